@@ -1,0 +1,20 @@
+"""Small shared helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Above this many rows a side is joined with a shuffle instead of broadcast.
+DEFAULT_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its row count (a cheap action on a
+    small aggregate); otherwise return it unchanged for a shuffled join."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def qcol(name: str):
+    return F.col(f"`{name}`")
