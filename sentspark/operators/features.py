@@ -160,7 +160,7 @@ def flatten_views(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     ``repeat`` are copied onto every view (as the reference's flattening does)."""
     zipped = F.arrays_zip(*[F.col(c) for c in cols])
     return (df.select(*keys, *repeat, F.posexplode(zipped).alias(view_col, "_z"))
-              .select(*keys, *repeat, view_col, *[F.col("_z")[str(i)].alias(c) for i, c in enumerate(cols)]))
+              .select(*keys, *repeat, view_col, *[F.col("_z")[c].alias(c) for c in cols]))
 
 
 def restore_views(flat: DataFrame, keys: Sequence[str], cols: Sequence[str],

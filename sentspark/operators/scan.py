@@ -78,7 +78,8 @@ def _local_scan(group_cols: list[str], value_col: str, how: str):
             if how == "sum":
                 incl = s.fillna(0.0).groupby(level=0).cumsum().to_numpy()
             elif how == "max":
-                incl = s.groupby(level=0).cummax().to_numpy()
+                # cummax leaves NaN where the input is NaN; carry the max on
+                incl = s.groupby(level=0).cummax().groupby(level=0).ffill().to_numpy()
             else:
                 raise ValueError(how)
             excl = np.empty(n, dtype="float64")

@@ -42,7 +42,7 @@ HEADLINES = """headlines AS (
   SELECT item_id, text AS title, CAST(item_id % 7 AS INTEGER) AS label,
          CASE WHEN item_id % 2 = 0 THEN 'train' ELSE 'dev' END AS split FROM benchmark)"""
 K = Q.VOCAB_SIZE - N_SPECIAL
-VOCAB = f"""toks AS (SELECT unnest(list_filter(string_split(sentence, ' '), t -> t <> '')) AS token FROM wiki),
+VOCAB = f"""toks AS (SELECT unnest(list_filter(string_split(sentence, ' '), lambda t: t <> '')) AS token FROM wiki),
 counts AS (SELECT token, count(*) AS cnt FROM toks GROUP BY token),
 vocab AS (SELECT token, CAST(rn + {N_SPECIAL - 1} AS INTEGER) AS id, cnt FROM (
   SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) AS rn FROM counts) WHERE rn <= {K})"""
@@ -56,7 +56,7 @@ SCORED = f"""scored AS (
 
 
 def _dot(a: str, b: str) -> str:
-    return f"list_sum(list_transform(range(1, len({a}) + 1), i -> {a}[i] * {b}[i]))"
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
 
 
 def _norm(a: str) -> str:
@@ -67,15 +67,15 @@ def _paired_cos(a: str, b: str) -> str:
     na, nb = _norm(a), _norm(b)
     ua = f"(CASE WHEN {na} > 0 THEN {a}[i] / {na} ELSE 0.0 END)"
     ub = f"(CASE WHEN {nb} > 0 THEN {b}[i] / {nb} ELSE 0.0 END)"
-    return f"(1.0 - 0.5 * list_sum(list_transform(range(1, len({a}) + 1), i -> ({ua} - {ub}) * ({ua} - {ub}))))"
+    return f"(1.0 - 0.5 * list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({ua} - {ub}) * ({ua} - {ub}))))"
 
 
 def _manhattan(a, b):
-    return f"list_sum(list_transform(range(1, len({a}) + 1), i -> abs({a}[i] - {b}[i])))"
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}[i])))"
 
 
 def _euclid(a, b):
-    return f"sqrt(list_sum(list_transform(range(1, len({a}) + 1), i -> ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
+    return f"sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
 
 
 def _cos_temp(a, b, temp=0.05):
@@ -96,7 +96,7 @@ def _encode(src: str, keys: list[str], text: str, name: str, pad: bool = True) -
         body = f"list_resize({body}, {L}, 0)"
     return f"""{name}_tok AS (
   SELECT {k}, unnest(tl) AS token, unnest(range(len(tl))) AS tpos FROM (
-    SELECT {k}, list_slice(list_filter(string_split({text}, ' '), t -> t <> ''), 1, {L - 2}) AS tl FROM {src})),
+    SELECT {k}, list_slice(list_filter(string_split({text}, ' '), lambda t: t <> ''), 1, {L - 2}) AS tl FROM {src})),
 {name}_ids AS (
   SELECT {k}, list(coalesce(v.id, 1) ORDER BY tpos) AS ids FROM {name}_tok LEFT JOIN vocab v USING (token) GROUP BY {k}),
 {name} AS (
@@ -194,8 +194,8 @@ def _mlm_sql() -> str:
         new = f"CASE WHEN {masked} THEN 4 WHEN {rand} THEN {rid} ELSE ids[i] END"
         lab = f"CASE WHEN {picked} THEN ids[i] ELSE -100 END"
         parts.append(f"""SELECT doc_id, pos, {view} AS view,
-  array_to_string(list_transform(range(1, {L} + 1), i -> {new}), ',') AS mlm_input_ids,
-  array_to_string(list_transform(range(1, {L} + 1), i -> {lab}), ',') AS mlm_labels FROM enc""")
+  array_to_string(list_transform(range(1, {L} + 1), lambda i: {new}), ',') AS mlm_input_ids,
+  array_to_string(list_transform(range(1, {L} + 1), lambda i: {lab}), ',') AS mlm_labels FROM enc""")
     return f"WITH {WIKI},\n{VOCAB},\n{_encode('wiki', ['doc_id', 'pos'], 'sentence', 'enc')}\n" + \
         "\nUNION ALL\n".join(parts)
 
@@ -217,7 +217,7 @@ def _pool_sql(layers: tuple[int, ...]) -> str:
     return f"""WITH hidden AS (
   SELECT vec_id // 10 AS id, vec_id % 10 AS pos, CAST((vec_id % 10) < 3 + (vec_id // 10) % 7 AS INTEGER) AS mask,
          unnest(range(3)) AS layer,
-         unnest([list_reverse(CAST(embedding AS DOUBLE[])), list_transform(CAST(embedding AS DOUBLE[]), x -> x * 0.5),
+         unnest([list_reverse(CAST(embedding AS DOUBLE[])), list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 0.5),
                  CAST(embedding AS DOUBLE[])]) AS vec
   FROM embeddings),
 h AS (SELECT id, layer, pos, mask, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM hidden)
@@ -283,8 +283,8 @@ def oracle_sql() -> dict[str, str]:
     sql["build_vocab"] = f"WITH {WIKI},\n{VOCAB}\nSELECT token, id, cnt FROM vocab"
     enc = f"WITH {WIKI},\n{VOCAB},\n{_encode('wiki', ['doc_id', 'pos'], 'sentence', 'enc')}\n"
     sql["encode_pad"] = enc + f"SELECT doc_id, pos, {_ids_text('ids')} AS input_ids FROM enc"
-    sql["attn_mask"] = enc + (f"SELECT doc_id, pos, {_ids_text('list_transform(ids, x -> CAST(x <> 0 AS INTEGER))')} "
-                              f"AS attention_mask, {_ids_text('list_transform(ids, x -> 0)')} AS token_type_ids FROM enc")
+    sql["attn_mask"] = enc + (f"SELECT doc_id, pos, {_ids_text('list_transform(ids, lambda x: CAST(x <> 0 AS INTEGER))')} "
+                              f"AS attention_mask, {_ids_text('list_transform(ids, lambda x: 0)')} AS token_type_ids FROM enc")
     order = f"md5('{Q.SEED}:' || doc_id || ':' || pos), doc_id, pos"
     sql["batch_assign"] = (wiki + f"SELECT doc_id, pos, idx, idx // {Q.BATCH_SIZE} AS batch_id FROM ("
                            f"SELECT doc_id, pos, row_number() OVER (ORDER BY {order}) - 1 AS idx FROM wiki)")
@@ -295,7 +295,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT doc_id, pos, batch_id, width, {_ids_text('list_resize(ids, width, 0)')} AS input_ids FROM w")
     sql["flatten_views"] = enc + (
         f"SELECT doc_id, pos, v AS view, {_ids_text('ids')} AS input_ids, "
-        f"{_ids_text('list_transform(ids, x -> CAST(x <> 0 AS INTEGER))')} AS attention_mask "
+        f"{_ids_text('list_transform(ids, lambda x: CAST(x <> 0 AS INTEGER))')} AS attention_mask "
         "FROM enc, (SELECT 0 AS v UNION ALL SELECT 1) vv")
     sql["take_view"] = ef + f"SELECT conv_id, turn, {_ids_text('ids2')} AS input_ids FROM ef"
     sql["dedup_label"] = ef + "SELECT conv_id, turn, round(labels, 6) AS labels FROM ef"

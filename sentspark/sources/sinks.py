@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header, RFC-4180 quote doubling, no index column."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
-       .option("quoteAll", False).csv(path))
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Tab-separated text with a header and quoting off (what ``read_tsv`` reads)."""
     (df.write.mode(mode).option("header", True).option("sep", "\t").option("quote", "\u0000")
-       .option("escape", "\u0000").option("emptyValue", "").option("nullValue", "").csv(path))
+       .option("escape", "\u0000").option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", "").csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("split",),
