@@ -168,7 +168,10 @@ def restore_views(flat: DataFrame, keys: Sequence[str], cols: Sequence[str],
     """T8 inverse: regroup views per row in view order (groups hold one row's views)."""
     agg = F.array_sort(F.collect_list(F.struct(F.col(view_col), *[F.col(c) for c in cols]))).alias("_s")
     g = flat.groupBy(*keys).agg(agg)
-    return g.select(*keys, *[F.transform("_s", lambda s, c=c: s[c]).alias(c) for c in cols])
+    def field(name):
+        return lambda s: s[name]
+
+    return g.select(*keys, *[F.transform("_s", field(c)).alias(c) for c in cols])
 
 
 def take_view(df: DataFrame, col: str, k: int, out_col: str | None = None) -> DataFrame:

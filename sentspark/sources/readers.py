@@ -77,8 +77,11 @@ def read_by_extension(spark: SparkSession, path: str, schema: T.StructType | Non
     """Reader chosen by the text after the last '.' of the path."""
     ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ext == "csv":
+        # A quoted "" stays an empty string; only an unquoted empty field is
+        # null (Spark's default maps both to null).
         r = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+             .option("nullValue", "\u0001"))
         return (r.schema(schema) if schema else r.option("inferSchema", False)).csv(path)
     if ext == "tsv":
         return read_tsv(spark, path, names=schema.fieldNames() if schema else None,
