@@ -30,6 +30,12 @@ STRIP_CLASS = (r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}"
 KEEP_CLASS = (r"\x{20}\x{22}\x{25}\x{27}-\x{B7}"
               r"\x{2018}\x{2019}\x{201C}\x{201D}\x{3008}-\x{300B}"
               r"\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}")
+# The same strip set as literal characters, for ``trim(str, chars)``.
+STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+# The ASCII characters outside the whitelist: U+0000-U+001F, ! # $ &.
+ASCII_DROP_CHARS = "".join(chr(c) for c in range(0x20)) + "!#$&"
 # Null sentences become one space so the row survives feature building.
 NULL_TEXT = " "
 # STS gold scores are on a 0-5 scale; null counts as 0.
@@ -61,8 +67,12 @@ def split_lines(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Strip Unicode whitespace at both ends (``trim`` only strips U+0020)."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    """Strip Unicode whitespace at both ends.
+
+    Plain ``trim`` only strips U+0020; ``trim(str, chars)`` strips any code
+    point of ``chars`` from both ends in one codegen loop (no regex).
+    """
+    return F.trim(_c(col), F.lit(STRIP_CHARS))
 
 
 def long_enough(col, min_chars: int = MIN_SENTENCE_CHARS) -> Column:
@@ -71,8 +81,17 @@ def long_enough(col, min_chars: int = MIN_SENTENCE_CHARS) -> Column:
 
 
 def char_filter(col) -> Column:
-    """Delete every character outside the whitelist (result may be empty)."""
-    return F.regexp_replace(_c(col), DROP_PATTERN, "")
+    """Delete every character outside the whitelist (result may be empty).
+
+    A pure-ASCII string (as many bytes as code points) only needs the few
+    ASCII characters outside the set deleted, which ``translate`` does without
+    a regex; other strings take the full class regex.  Both give the same
+    result on ASCII input.
+    """
+    c = _c(col)
+    ascii_only = F.length(c) == F.octet_length(c)
+    return (F.when(ascii_only, F.translate(c, ASCII_DROP_CHARS, ""))
+             .otherwise(F.regexp_replace(c, DROP_PATTERN, "")))
 
 
 def fill_null_text(col, blank_as_null: bool = False) -> Column:

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_key, md5_u32, md5_uniform
+from ..functions.hashing import hash_key, md5_slice_uniform, md5_u32
 from ..functions.text import fill_null_text
-from .scan import row_index
 
 # Reserved token ids (our own numbering).
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
@@ -34,6 +33,8 @@ MLM_RANDOM_SHARE = 0.5     # of the remaining picked tokens -> random id
 VALIDATION_PERCENT = 5
 # Largest vocabulary we agree to broadcast.
 MAX_BROADCAST_VOCAB = 2_000_000
+# Ceiling on the bucket-offset table broadcast by batch_assign (one row each).
+MAX_BATCH_BUCKETS = 1_000_000
 
 
 def self_pair(df: DataFrame, col: str = "sentence", out_col: str = "sentences",
@@ -66,6 +67,8 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
     k = vocab_size - N_SPECIAL
     if k <= 0:
         raise ValueError("vocab_size must exceed the number of reserved ids")
+    if vocab_size > MAX_BROADCAST_VOCAB:
+        raise ValueError(f"vocab_size above {MAX_BROADCAST_VOCAB} cannot be broadcast by encode()")
     counts = (df.select(F.explode(tokens(col)).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
     top = counts.orderBy(F.col("cnt").desc(), F.col("token").asc()).limit(k)
@@ -75,7 +78,8 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
 
 def encode(df: DataFrame, cols, vocab: DataFrame, keys: Sequence[str],
            max_length: int = MAX_SEQ_LENGTH, pad: bool = True,
-           out_col: str = "input_ids", carry: Sequence[str] = ()) -> DataFrame:
+           out_col: str = "input_ids", carry: Sequence[str] = (),
+           broadcast_vocab: bool = True) -> DataFrame:
     """``[CLS] t1..tn [SEP] [PAD]...``, truncated so the specials fit in L.
 
     ``cols`` is one text column (-> ``array<int>``) or a list of view columns
@@ -84,7 +88,10 @@ def encode(df: DataFrame, cols, vocab: DataFrame, keys: Sequence[str],
     bounded vocabulary (unknown -> UNK) and re-collected per row.  The collect
     is partial-aggregated map-side, so one row per sentence is shuffled.
     ``keys`` must identify a row; ``carry`` columns (functionally dependent on
-    the keys, e.g. labels) ride along in the grouping.
+    the keys, e.g. labels) ride along in the grouping.  A vocabulary from
+    ``build_vocab`` has at most ``vocab_size <= MAX_BROADCAST_VOCAB`` rows, a
+    proven bound; pass ``broadcast_vocab=False`` for a table without one (the
+    lookup is then a shuffled join).
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for CLS and SEP")
@@ -96,7 +103,7 @@ def encode(df: DataFrame, cols, vocab: DataFrame, keys: Sequence[str],
     toks = v.select(*keys, "view", F.posexplode_outer(F.slice(tokens("_text"), 1, max_length - 2))
                     .alias("tpos", "token"))
     voc = vocab.select("token", F.col("id").alias("tid"))
-    looked = toks.join(F.broadcast(voc), on="token", how="left")
+    looked = toks.join(F.broadcast(voc) if broadcast_vocab else voc, on="token", how="left")
     entry = F.struct(F.col("view"), F.col("tpos"),
                      F.when(F.col("tpos").isNull(), F.lit(None).cast("int"))
                       .otherwise(F.coalesce(F.col("tid"), F.lit(UNK_ID))).alias("tid"))
@@ -126,13 +133,37 @@ def token_type_ids(ids) -> Column:
 
 
 def batch_assign(df: DataFrame, keys: Sequence[str], batch_size: int, seed: int = 42,
-                 idx_col: str = "idx", batch_col: str = "batch_id") -> DataFrame:
-    """Shuffle by a seeded md5 of the key, number rows 0..n-1 with the
-    distributed scan, ``batch_id = idx div batch_size`` (last batch short)."""
-    keyed = df.withColumn("_ord", F.md5(hash_key(seed, *[F.col(k) for k in keys])))
-    out = row_index(keyed, ["_ord", *keys], out_col=idx_col)
-    return (out.withColumn(batch_col, F.floor(F.col(idx_col) / F.lit(batch_size)).cast("long"))
-               .drop("_ord"))
+                 idx_col: str = "idx", batch_col: str = "batch_id",
+                 num_buckets: int | None = None) -> DataFrame:
+    """Shuffle by a seeded md5 of the key, number rows ``0..n-1`` in that
+    order, ``batch_id = idx div batch_size`` (the last batch is short).
+
+    The order key is an md5, uniform by construction, so its leading 32 bits
+    cut it into ``num_buckets`` equal ranges without sampling: bucket b holds
+    a contiguous slice of the global order and ~n/num_buckets rows whatever
+    the keys look like (no hot bucket).  Rows take one hash exchange on the
+    bucket and get a per-bucket ``row_number``; the bucket sizes are counted
+    with map-side partial aggregation (one row per bucket and task is
+    shuffled), turned into offsets by a window over that tiny table and
+    broadcast back.  No Python, no sort of the whole table in one task.
+    """
+    spark = df.sparkSession
+    nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb = max(1, min(nb, MAX_BATCH_BUCKETS))
+    key = hash_key(seed, *[F.col(k) for k in keys])
+    order = F.md5(key)
+    bucket = F.floor(md5_u32(key).cast("double") * F.lit(float(nb)) / F.lit(2.0 ** 32)).cast("int")
+    keyed = df.withColumn("_bkt", bucket)
+    counts = keyed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    spread = keyed.withColumn("_ord", order).repartition(nb, "_bkt")
+    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= nb rows
+    offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_bkt").orderBy("_ord", *keys)) - F.lit(1)
+    numbered = spread.withColumn("_lrn", local)
+    out = numbered.join(F.broadcast(offsets), "_bkt")
+    idx = (F.col("_off") + F.col("_lrn")).cast("long")
+    return (out.select(*[F.col(f"`{c}`") for c in df.columns], idx.alias(idx_col))
+               .withColumn(batch_col, F.floor(F.col(idx_col) / F.lit(batch_size)).cast("long")))
 
 
 def pad_batch(df: DataFrame, ids_col: str, batch_col: str = "batch_id",
@@ -192,25 +223,37 @@ def mlm_mask(df: DataFrame, ids_col: str, keys: Sequence[str], vocab_size: int,
 
     Non-special positions are picked with ``probability``; of those 80 % become
     MASK, half of the rest a random id over the whole vocabulary, the rest stay.
-    Unpicked labels are -100.  Draws are md5 uniforms of
-    ``seed:keys:view:pos:draw`` -- stable across retries, no shuffle at all.
+    Unpicked labels are -100.  The four draws of a token are disjoint slices
+    of one md5 of ``seed:keys:view:pos`` -- stable across retries, no shuffle.
+
+    Lambda bodies get no common-subexpression elimination, so the work is
+    staged: the digest is computed once per *non-special* token (padding is
+    never hashed), the pick decision once from it, and the remaining draws
+    are decoded only for picked tokens (``AND``/``CASE`` short-circuit).
     """
     base = hash_key(seed, *[F.col(k) for k in keys])
     special = F.array(*[F.lit(i) for i in SPECIAL_IDS])
 
-    def per_token(view_idx, x, i, draw):
-        return md5_uniform(F.concat_ws(":", base, view_idx.cast("string"), i.cast("string"), F.lit(str(draw))))
-
     def one_view(v, k):
-        def tok(x, i):
-            picked = (~F.array_contains(special, x)) & (per_token(k, x, i, 1) < F.lit(probability))
-            masked = picked & (per_token(k, x, i, 2) < F.lit(MLM_MASK_SHARE))
-            rand = picked & ~masked & (per_token(k, x, i, 3) < F.lit(MLM_RANDOM_SHARE))
-            rid = F.floor(per_token(k, x, i, 4) * F.lit(vocab_size)).cast("int")
+        def digest(x, i):
+            h = F.when(~F.array_contains(special, x),
+                       F.md5(F.concat_ws(":", base, k.cast("string"), i.cast("string"))))
+            return F.struct(x.alias("x"), h.alias("h"))
+
+        def pick(t):
+            picked = t["h"].isNotNull() & (md5_slice_uniform(t["h"], 0) < F.lit(probability))
+            return F.struct(t["x"].alias("x"), t["h"].alias("h"), picked.alias("p"))
+
+        def decide(t):
+            x, h, picked = t["x"], t["h"], t["p"]
+            masked = picked & (md5_slice_uniform(h, 1) < F.lit(MLM_MASK_SHARE))
+            rand = picked & ~masked & (md5_slice_uniform(h, 2) < F.lit(MLM_RANDOM_SHARE))
+            rid = F.floor(md5_slice_uniform(h, 3) * F.lit(vocab_size)).cast("int")
             new = F.when(masked, F.lit(MASK_ID)).when(rand, rid).otherwise(x)
             lab = F.when(picked, x).otherwise(F.lit(IGNORE_INDEX))
             return F.struct(new.alias("i"), lab.alias("l"))
-        return F.transform(v, tok)
+
+        return F.transform(F.transform(F.transform(v, digest), pick), decide)
 
     pairs = F.transform(F.col(ids_col), one_view)
     return (df.withColumn("_m", pairs)

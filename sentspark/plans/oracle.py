@@ -183,7 +183,9 @@ def _mlm_sql() -> str:
     base = f"'{Q.SEED}:' || doc_id || ':' || pos"
 
     def u(view, draw):
-        return _unif(f"{base} || ':{view}:' || (i - 1) || ':{draw}'")
+        # draw d = hex digits 8(d-1)+1 .. 8d of one md5 per token
+        h = f"md5({base} || ':{view}:' || (i - 1))"
+        return f"(CAST(('0x' || substr({h}, {8 * (draw - 1) + 1}, 8)) AS BIGINT) / 4294967296.0)"
 
     parts = []
     for view in (0, 1):

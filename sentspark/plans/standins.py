@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_key, md5_u32
 from ..operators.runs import number_steps
 from ..operators.text import clean_sentences
+from ..sources.readers import spread_if_few_files
 
 # Stand-in shapes (our choices, mirrored in the oracle SQL).
 PAIR_BATCH_ROWS = 50        # rows per batch in the two-view table
@@ -27,9 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: only the two columns the text chain needs are read,
+    then spread on ``doc_id`` if the scan itself cannot parallelise."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_if_few_files(docs, ["doc_id"])
+
+
 def wiki_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encyclopedia corpus -> ``(doc_id, pos, sentence)``."""
-    return clean_sentences(table(spark, sf_dir, "documents"))
+    return clean_sentences(documents(spark, sf_dir))
 
 
 def sts_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,22 @@ def _regex_quote(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch for ch in s)
 
 
+def spread_if_few_files(df: DataFrame, keys: Sequence[str], slots: int | None = None) -> DataFrame:
+    """Hash-distribute ``df`` on ``keys`` when it is stored as fewer files than
+    the cluster has task slots.
+
+    A Parquet file is split by row group, so a table written as one file with
+    one row group is read by a single task and every row-local step after the
+    scan (regexes, tokenising) runs on one core.  Spreading costs one shuffle
+    of the scanned columns, which only pays when the scan cannot parallelise;
+    a large table stored as many files is returned unchanged (no shuffle).
+    """
+    slots = slots or df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots, *keys)
+
+
 def read_corpus(spark: SparkSession, path: str, col: str = "text") -> DataFrame:
     """S3: one text column of a table (only that column is read)."""
     return spark.read.parquet(path).select(col)
