@@ -20,6 +20,17 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def broadcast_scalar(s: Column, like) -> Column:
+    """``s`` repeated to the length of array ``like``.
+
+    Catalyst inlines a per-row value into the lambda that uses it, so
+    ``transform(a, x -> x / norm(a))`` recomputes ``norm(a)`` for every
+    element (quadratic).  ``zip_with(a, broadcast_scalar(norm(a), a), ...)``
+    evaluates it once per row: only the lambda body runs per element.
+    """
+    return F.array_repeat(s, F.size(_c(like)))
+
+
 def as_double(v) -> Column:
     return _c(v).cast("array<double>")
 
@@ -53,8 +64,8 @@ def cos_temp(a, b, temp: float = TEMPERATURE, eps: float = COSINE_EPS) -> Column
 
 def normalize(a) -> Column:
     """Unit vector; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > F.lit(0.0), x / n).otherwise(F.lit(0.0)))
+    return F.zip_with(_c(a), broadcast_scalar(norm(a), a),
+                      lambda x, n: F.when(n > F.lit(0.0), x / n).otherwise(F.lit(0.0)))
 
 
 def paired_cosine(a, b) -> Column:
@@ -74,8 +85,9 @@ def neg_euclidean(a, b) -> Column:
 
 
 def scale(v, s) -> Column:
-    s = s if isinstance(s, Column) else F.lit(float(s))
-    return F.transform(_c(v), lambda x: x * s)
+    if not isinstance(s, Column):
+        return F.transform(_c(v), lambda x: x * F.lit(float(s)))
+    return F.zip_with(_c(v), broadcast_scalar(s, v), lambda x, k: x * k)
 
 
 def vadd(a, b) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import COSINE_EPS, TEMPERATURE
+from ..functions.vectors import COSINE_EPS, TEMPERATURE, broadcast_scalar
 
 # Default weight of the masked-token loss in the combined objective.
 MLM_WEIGHT = 0.1
@@ -73,9 +73,12 @@ def in_batch_logits(df: DataFrame, view_cols: Sequence[str], batch_col: str = "b
 
 
 def logsumexp(arr) -> F.Column:
+    """Stable ``log(sum(exp(x)))`` of an array; the row max is repeated into
+    the element loop once (see ``broadcast_scalar``), not recomputed per element."""
     a = F.col(arr) if isinstance(arr, str) else arr
     m = F.array_max(a)
-    return m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    shifted = F.zip_with(a, broadcast_scalar(m, a), lambda x, mx: F.exp(x - mx))
+    return m + F.log(F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x))
 
 
 def row_losses(logits: DataFrame, logits_col: str = "logits", label_col: str = "label",

@@ -21,29 +21,6 @@ from ..functions import vectors as V
 POOLERS = ("cls", "cls_before_pooler", "avg", "avg_top2", "avg_first_last")
 
 
-def _entries(df: DataFrame, keys: Sequence[str], layer_col: str, pos_col: str,
-             mask_col: str, vec_col: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.collect_list(F.struct(
-        F.col(layer_col).alias("layer"), F.col(pos_col).alias("pos"),
-        F.col(mask_col).cast("double").alias("mask"), V.as_double(vec_col).alias("vec"))).alias("_e"))
-
-
-def _masked_mean(entries, pick_layers) -> F.Column:
-    """sum over picked layers and positions of vec*mask/len(layers), divided by
-    sum of mask over one layer's positions; zero mask -> nulls (no error)."""
-    e = F.col(entries)
-    chosen = F.filter(e, lambda x: F.array_contains(pick_layers, x["layer"]))
-    nlay = F.size(pick_layers).cast("double")
-    first = F.element_at(pick_layers, 1)
-    denom = F.aggregate(F.filter(e, lambda x: x["layer"] == first), F.lit(0.0),
-                        lambda acc, x: acc + x["mask"])
-    width = F.size(F.element_at(e, 1)["vec"])
-    zero = F.array_repeat(F.lit(0.0), width)
-    total = F.aggregate(chosen, zero, lambda acc, x: F.zip_with(
-        acc, x["vec"], lambda a, b: a + b * x["mask"] / nlay))
-    return F.transform(total, lambda t: F.try_divide(t, denom))
-
-
 def pool(df: DataFrame, pooler: str = "cls", keys: Sequence[str] = ("id",),
          layer_col: str = "layer", pos_col: str = "pos", mask_col: str = "mask",
          vec_col: str = "vec", out_col: str = "pooled") -> DataFrame:
@@ -52,24 +29,46 @@ def pool(df: DataFrame, pooler: str = "cls", keys: Sequence[str] = ("id",),
     ``cls``/``cls_before_pooler``: last layer, position 0 (the two differ only
     by the dense head, ``dense_tanh``).  ``avg``: masked mean of the last
     layer.  ``avg_first_last``: of the first and last.  ``avg_top2``: of the
-    last two.
+    last two.  A zero mask gives a vector of nulls (no error).
+
+    Per-row values that the element loops need (picked layers, mask total)
+    are computed once per row and fed in as arrays (``broadcast_scalar``),
+    never re-evaluated per element.
     """
     if pooler not in POOLERS:
         raise ValueError(f"unrecognized pooling type {pooler}")
     keys = list(keys)
-    g = _entries(df, keys, layer_col, pos_col, mask_col, vec_col)
-    layers = F.array_sort(F.array_distinct(F.transform("_e", lambda x: x["layer"])))
-    last = F.element_at(layers, -1)
+    g = df.groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col(layer_col).alias("layer"), F.col(pos_col).alias("pos"),
+                                F.col(mask_col).cast("double").alias("mask"),
+                                V.as_double(vec_col).alias("vec"))).alias("_e"),
+        F.array_sort(F.collect_set(F.col(layer_col))).alias("_layers"))
+    last = F.element_at("_layers", -1)
     if pooler in ("cls", "cls_before_pooler"):
-        hit = F.filter("_e", lambda x: (x["layer"] == last) & (x["pos"] == F.lit(0)))
-        out = F.element_at(hit, 1)["vec"]
-    elif pooler == "avg":
-        out = _masked_mean("_e", F.array(last))
+        hit = F.filter(F.zip_with("_e", V.broadcast_scalar(last, "_e"), lambda x, l: F.struct(
+            x["vec"].alias("vec"), ((x["layer"] == l) & (x["pos"] == F.lit(0))).alias("hit"))),
+            lambda x: x["hit"])
+        return g.select(*keys, F.element_at(hit, 1)["vec"].alias(out_col))
+    if pooler == "avg":
+        picks = F.array(last)
     elif pooler == "avg_first_last":
-        out = _masked_mean("_e", F.array(F.element_at(layers, 1), last))
+        picks = F.array(F.element_at("_layers", 1), last)
     else:  # avg_top2
-        out = _masked_mean("_e", F.array(F.element_at(layers, -2), last))
-    return g.select(*keys, out.alias(out_col))
+        picks = F.array(F.element_at("_layers", -2), last)
+    # entries of the picked layers (the layer list rides along per element)
+    tagged = F.zip_with("_e", V.broadcast_scalar(picks, "_e"), lambda x, p: F.struct(
+        x["mask"].alias("mask"), x["vec"].alias("vec"),
+        F.array_contains(p, x["layer"]).alias("keep"), (x["layer"] == F.element_at(p, 1)).alias("den")))
+    chosen = F.filter(tagged, lambda x: x["keep"])
+    # sum of the mask over one picked layer's positions
+    denom = F.aggregate(chosen, F.lit(0.0),
+                        lambda acc, x: acc + F.when(x["den"], x["mask"]).otherwise(F.lit(0.0)))
+    width = F.size(F.element_at("_e", 1)["vec"])
+    total = F.aggregate(chosen, F.array_repeat(F.lit(0.0), width), lambda acc, x: F.zip_with(
+        acc, F.transform(x["vec"], lambda b: b * x["mask"]), lambda a, b: a + b))
+    scale = denom * F.size(picks).cast("double")
+    mean = F.zip_with(total, F.array_repeat(scale, width), lambda t, d: F.try_divide(t, d))
+    return g.select(*keys, mean.alias(out_col))
 
 
 def dense_tanh(df: DataFrame, vec_col: str, weight: np.ndarray, bias: np.ndarray | None = None,
