@@ -129,7 +129,7 @@ def attention_mask(ids) -> Column:
 def token_type_ids(ids) -> Column:
     """T5: all-zero segment ids of the same length."""
     c = F.col(ids) if isinstance(ids, str) else ids
-    return F.transform(c, lambda x: F.lit(0))
+    return F.array_repeat(F.lit(0), F.size(c))
 
 
 def batch_assign(df: DataFrame, keys: Sequence[str], batch_size: int, seed: int = 42,
