@@ -60,9 +60,14 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
     """T4: ``(token, id, cnt)`` for the ``vocab_size - N_SPECIAL`` most frequent
     tokens (ties by token); ids start after the reserved ones.
 
-    The count is a partial-aggregated ``groupBy``; the top-k is a
-    TakeOrderedAndProject (each task keeps k rows), so the numbering window
-    runs over at most k rows.
+    * Token counts: ``groupBy`` with map-side partial aggregation.
+    * Exact pre-filter: a histogram of the count values (one row per distinct
+      count -- at most ~sqrt(2 x tokens) rows, whatever the corpus size) gives
+      the largest count ``c*`` that at least k tokens reach; every top-k token
+      has ``cnt >= c*``.  ``c*`` is one row, joined by broadcast.
+    * Only those ~k candidates (plus ties at ``c*``) reach the final ordered
+      top-k, so its single merge task sees ~k rows per partition at most, not
+      every distinct token.  Ids are numbered over those k rows.
     """
     k = vocab_size - N_SPECIAL
     if k <= 0:
@@ -71,8 +76,15 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
         raise ValueError(f"vocab_size above {MAX_BROADCAST_VOCAB} cannot be broadcast by encode()")
     counts = (df.select(F.explode(tokens(col)).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
-    top = counts.orderBy(F.col("cnt").desc(), F.col("token").asc()).limit(k)
-    w = Window.orderBy(F.col("cnt").desc(), F.col("token").asc())
+    hist = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("_n_tok"))
+    at_least = F.sum("_n_tok").over(
+        Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    thr = (hist.withColumn("_at_least", at_least).where(F.col("_at_least") >= F.lit(k))
+               .agg(F.max("cnt").alias("_thr"))
+               .select(F.coalesce(F.col("_thr"), F.lit(0)).alias("_thr")))  # < k tokens: keep all
+    cand = counts.join(F.broadcast(thr), F.col("cnt") >= F.col("_thr")).drop("_thr")
+    top = cand.orderBy(F.col("cnt").desc(), F.col("token").asc()).limit(k)
+    w = Window.orderBy(F.col("cnt").desc(), F.col("token").asc())  # over <= k rows
     return top.select("token", (F.row_number().over(w) + F.lit(N_SPECIAL - 1)).cast("int").alias("id"), "cnt")
 
 

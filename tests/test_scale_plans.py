@@ -65,3 +65,22 @@ def test_row_scalar_evaluated_once_per_row(spark):
 def test_token_type_ids_native(spark):
     df = spark.createDataFrame([([2, 7, 3, 0],)], "ids array<int>")
     assert df.select(FE.token_type_ids("ids")).first()[0] == [0, 0, 0, 0]
+
+
+def _brute_vocab(sentences, k):
+    from collections import Counter
+    c = Counter(t for s in sentences for t in s.split(" ") if t)
+    top = sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:k]
+    return [(t, FE.N_SPECIAL + i, n) for i, (t, n) in enumerate(top)]
+
+
+def test_vocab_threshold_exact_with_ties(spark):
+    import random
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    sents = [" ".join(rnd.choice(words[: rnd.randint(1, 60)]) for _ in range(rnd.randint(0, 12)))
+             for _ in range(300)]
+    df = spark.createDataFrame([(s,) for s in sents], "sentence string")
+    for size in (FE.N_SPECIAL + 1, FE.N_SPECIAL + 7, FE.N_SPECIAL + 30, FE.N_SPECIAL + 500):
+        got = [tuple(r) for r in FE.build_vocab(df, "sentence", size).orderBy("id").collect()]
+        assert got == _brute_vocab(sents, size - FE.N_SPECIAL), size
