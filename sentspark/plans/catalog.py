@@ -314,7 +314,7 @@ def q_attn_mask(spark, sf):
 
 @register("batch_assign")
 def q_batch_assign(spark, sf):
-    w = S.wiki_sentences(spark, sf).select("doc_id", "pos")
+    w = SK.land(S.wiki_sentences(spark, sf).select("doc_id", "pos"), "corpus-keys")
     return FE.batch_assign(w, ["doc_id", "pos"], BATCH_SIZE, SEED)
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from ..session import scratch_path
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header, RFC-4180 quote doubling, no index column."""
@@ -28,3 +30,20 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("spli
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared ``spark.checkpoint.dir``
+    and read it back.
+
+    Use it where a stage is consumed more than once (a corpus feeding both
+    the vocabulary count and the encoding, features feeding both the batch
+    counts and the batch rows): each consumer then scans the columns it needs
+    instead of recomputing the stage, and the lineage ends at the written
+    table, so a lost executor does not replay the upstream work.  The
+    reference also writes its corpus and features to disk between stages.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
