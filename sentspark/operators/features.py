@@ -238,39 +238,34 @@ def mlm_mask(df: DataFrame, ids_col: str, keys: Sequence[str], vocab_size: int,
     Unpicked labels are -100.  The four draws of a token are disjoint slices
     of one md5 of ``seed:keys:view:pos`` -- stable across retries, no shuffle.
 
-    Lambda bodies get no common-subexpression elimination, so the work is
-    staged: the digest is computed once per *non-special* token (padding is
-    never hashed), the pick decision once from it, and the remaining draws
-    are decoded only for picked tokens (``AND``/``CASE`` short-circuit).
+    Three passes per view: the pick (one digest per *non-special* token,
+    padding is never hashed), the labels (read the pick), and the new ids,
+    which re-derive the digest for picked tokens only (~15 %).
     """
     base = hash_key(seed, *[F.col(k) for k in keys])
     special = F.array(*[F.lit(i) for i in SPECIAL_IDS])
 
-    def one_view(v, k):
-        def digest(x, i):
-            h = F.when(~F.array_contains(special, x),
-                       F.md5(F.concat_ws(":", base, k.cast("string"), i.cast("string"))))
-            return F.struct(x.alias("x"), h.alias("h"))
+    def digest(k, i):
+        return F.md5(F.concat_ws(":", base, k.cast("string"), i.cast("string")))
 
-        def pick(t):
-            picked = t["h"].isNotNull() & (md5_slice_uniform(t["h"], 0) < F.lit(probability))
-            return F.struct(t["x"].alias("x"), t["h"].alias("h"), picked.alias("p"))
+    def pick_view(v, k):
+        return F.transform(v, lambda x, i: F.struct(x.alias("x"), (
+            ~F.array_contains(special, x) & (md5_slice_uniform(digest(k, i), 0) < F.lit(probability))).alias("p")))
 
-        def decide(t):
-            x, h, picked = t["x"], t["h"], t["p"]
-            masked = picked & (md5_slice_uniform(h, 1) < F.lit(MLM_MASK_SHARE))
-            rand = picked & ~masked & (md5_slice_uniform(h, 2) < F.lit(MLM_RANDOM_SHARE))
+    def new_ids(pv, k):
+        def one(t, i):
+            h = digest(k, i)
+            masked = md5_slice_uniform(h, 1) < F.lit(MLM_MASK_SHARE)
+            rand = md5_slice_uniform(h, 2) < F.lit(MLM_RANDOM_SHARE)
             rid = F.floor(md5_slice_uniform(h, 3) * F.lit(vocab_size)).cast("int")
-            new = F.when(masked, F.lit(MASK_ID)).when(rand, rid).otherwise(x)
-            lab = F.when(picked, x).otherwise(F.lit(IGNORE_INDEX))
-            return F.struct(new.alias("i"), lab.alias("l"))
-
-        return F.transform(F.transform(F.transform(v, digest), pick), decide)
-
-    pairs = F.transform(F.col(ids_col), one_view)
-    return (df.withColumn("_m", pairs)
-              .withColumn(out_ids, F.transform("_m", lambda v: F.transform(v, lambda s: s["i"])))
-              .withColumn(out_labels, F.transform("_m", lambda v: F.transform(v, lambda s: s["l"])))
+            return F.when(~t["p"], t["x"]).when(masked, F.lit(MASK_ID)).when(rand, rid).otherwise(t["x"])
+        return F.transform(pv, one)
+
+    picked = F.transform(F.col(ids_col), pick_view)
+    return (df.withColumn("_m", picked)
+              .withColumn(out_ids, F.transform("_m", new_ids))
+              .withColumn(out_labels, F.transform("_m", lambda pv: F.transform(
+                  pv, lambda t: F.when(t["p"], t["x"]).otherwise(F.lit(IGNORE_INDEX)))))
               .drop("_m"))
 
 
