@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,3 +94,18 @@ def eval_diag_report(diag: DataFrame, score_col: str, gold_col: str,
     """A4: ``(pearson, spearman)`` of the own-pair scores against gold."""
     c = correlations(diag, [score_col], gold_col, (), key_cols)
     return c.select("pearson", "spearman")
+
+
+def evaluate(scored_pairs: DataFrame, metrics: Callable[[DataFrame], DataFrame] | None = None,
+             v1: str = "v1", v2: str = "v2", gold_col: str = "gold",
+             group_cols: Sequence[str] = (), key_cols: Sequence[str] = ("pair_id",),
+             prefix: str = "eval") -> DataFrame:
+    """evaluation with a pluggable metric function.
+
+    ``metrics`` receives the pairs with the four similarity columns
+    (``cosine, manhattan, euclidean, dot``) added and returns any DataFrame;
+    without one, the eight-metric report (A3, or A5 with ``group_cols``).
+    """
+    if metrics is None:
+        return eval_report(scored_pairs, v1, v2, gold_col, group_cols, key_cols, prefix)
+    return metrics(pair_scores(scored_pairs, v1, v2))

@@ -269,6 +269,23 @@ def mlm_mask(df: DataFrame, ids_col: str, keys: Sequence[str], vocab_size: int,
               .drop("_m"))
 
 
+def default_batcher(df: DataFrame, keys: Sequence[str], ids_col: str = "input_ids",
+                    batch_size: int = 256, seed: int = 42,
+                    pad_to_multiple_of: int | None = None) -> DataFrame:
+    """The reference's default collation: shuffled fixed-size batches (T6),
+    then padding to the longest row of each batch (T7)."""
+    batched = batch_assign(df, keys, batch_size, seed)
+    return pad_batch(batched, ids_col, "batch_id", pad_to_multiple_of)
+
+
+def collate(df: DataFrame, keys: Sequence[str],
+            batcher: Callable[..., DataFrame] | None = None, **params) -> DataFrame:
+    """pluggable collator.  ``batcher(df, keys, **params)`` turns feature
+    rows into batch rows (a ``DataFrame -> DataFrame`` step); the default is
+    ``default_batcher``."""
+    return (batcher or default_batcher)(df, keys, **params)
+
+
 def map_batches(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema, **params) -> DataFrame:
     """A batched table function with bound parameters, run per Arrow
     batch in every task (the reference's ``Dataset.map(partial(f), batched)``)."""

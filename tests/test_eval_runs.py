@@ -117,3 +117,19 @@ def test_no_single_partition_window_in_eval(spark):
         if " ASC" in first or " DESC" in first:   # no partition columns
             assert first.startswith("_scan_pid"), first
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_evaluate_pluggable_metric(spark):
+    """a user metric function replaces the report; default is the report."""
+    from pyspark.sql import functions as F
+
+    from sentspark.operators.evaluation import evaluate
+    pairs = spark.createDataFrame(
+        [("dev", 0, [1.0, 0.0], [1.0, 0.0], 5.0), ("dev", 1, [1.0, 0.0], [0.0, 1.0], 0.0),
+         ("test", 2, [1.0, 1.0], [1.0, 1.0], 4.0)],
+        "split string, pair_id long, v1 array<double>, v2 array<double>, gold double")
+    mine = evaluate(pairs, metrics=lambda d: d.groupBy("split").agg(F.avg("cosine").alias("mean_cos")))
+    got = {r.split: round(r.mean_cos, 6) for r in mine.collect()}
+    assert got == {"dev": 0.5, "test": 1.0}
+    default = evaluate(pairs)
+    assert "eval_cosine_spearman" in default.columns and default.count() == 1

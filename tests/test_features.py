@@ -114,3 +114,16 @@ def test_map_batches_binds_params(spark):
 
     out = FE.map_batches(spark.range(5), add, "id long", k=10)
     assert sorted(r.id for r in out.collect()) == [10, 11, 12, 13, 14]
+
+
+def test_collate_pluggable_batcher(spark):
+    """default collation batches and pads per batch; a custom batcher wins."""
+    from sentspark.operators import features as FE
+    rows = [(i, [2] + [7] * (i % 5) + [3]) for i in range(10)]
+    df = spark.createDataFrame(rows, "k long, input_ids array<int>")
+    out = FE.collate(df, ["k"], batch_size=4, seed=1, pad_to_multiple_of=8).collect()
+    assert sorted(r.idx for r in out) == list(range(10))
+    for r in out:
+        assert len(r.input_ids) == r.width and r.width % 8 == 0
+    custom = FE.collate(df, ["k"], batcher=lambda d, keys, **p: d.withColumn("batch_id", d.k % 2))
+    assert {r.batch_id for r in custom.collect()} == {0, 1}
