@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import COSINE_EPS, TEMPERATURE, broadcast_scalar
+from ..session import ship_package
 
 # Default weight of the masked-token loss in the combined objective.
 MLM_WEIGHT = 0.1
@@ -69,6 +70,7 @@ def in_batch_logits(df: DataFrame, view_cols: Sequence[str], batch_col: str = "b
                              "label": np.arange(n, dtype="int32"), out_col: list(sim)})
 
     cols = [batch_col, row_col, *views]
+    ship_package(df.sparkSession)
     return df.select(*cols).groupBy(batch_col).applyInPandas(score, schema)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, md5_slice_uniform, md5_u32
 from ..functions.text import fill_null_text
+from ..session import ship_package
 
 # Reserved token ids (our own numbering).
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
@@ -295,6 +296,7 @@ def map_batches(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema, **para
         for b in batches:
             yield bound(b)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, ship_package
 
 _PID = "_scan_pid"
 _RN = "_scan_rn"
@@ -132,6 +132,7 @@ def prefix_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
         T.StructField(_INCL, T.DoubleType(), True),
         T.StructField(_EXCL, T.DoubleType(), True),
     ])
+    ship_package(spark)
     local = ranged.mapInPandas(_local_scan(group_cols, value_col, how), schema)
     # Fix the partitioning: the summary and the rows must see the same split.
     local = local.checkpoint(eager=True)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import ship_package
 
 POOLERS = ("cls", "cls_before_pooler", "avg", "avg_top2", "avg_first_last")
 
@@ -106,6 +107,7 @@ def dense_tanh(df: DataFrame, vec_col: str, weight: np.ndarray, bias: np.ndarray
             yield pa.RecordBatch.from_arrays(list(rb.columns) + [arr],
                                              schema=pa.schema(list(rb.schema) + [out_field]))
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, out_schema)
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -60,3 +62,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/sentspark-{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (what
+    ``spark-submit --py-files`` does), once per SparkContext.
+
+    Operators that run Python on executors (``mapInPandas``,
+    ``applyInPandas``, ``mapInArrow``) pickle functions that refer to this
+    package; a worker that cannot import it fails.  The package is zipped on
+    the driver and handed to ``addPyFile``, which serves it to every executor
+    and puts it on the workers' path.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    with _SHIP_LOCK:
+        if app in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        out = os.path.join(tempfile.mkdtemp(prefix="sentspark-pyfiles-"), "sentspark.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, dirnames, filenames in os.walk(pkg_dir):
+                dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+                for f in filenames:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(out)
+        _SHIPPED.add(app)
