@@ -15,16 +15,16 @@ def build_session(master: str | None = None, app: str = "sentspark",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Session with AQE (coalescing + skew join) on.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; shuffle
-    partitions should then be sized so each partition stays ~128-256 MB.
+    On a cluster pass ``master=None`` and let spark-submit decide.  Shuffle
+    partitions, unless given (or set in ``SENTSPARK_SHUFFLE_PARTITIONS``):
+    one per core in local mode; on a cluster four per core (at least 200),
+    with AQE coalescing small ones towards ``advisoryPartitionSizeInBytes``
+    (256 MB) -- enough reducers that a 100 TB shuffle does not spill per task.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    if shuffle_partitions is None:
-        shuffle_partitions = int(os.environ.get("SENTSPARK_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-          .config("spark.sql.adaptive.enabled", "true")
+    b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
@@ -34,6 +34,14 @@ def build_session(master: str | None = None, app: str = "sentspark",
         b = b.config("spark.driver.memory", os.environ.get("SENTSPARK_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    local = spark.sparkContext.master.startswith("local")
+    if shuffle_partitions is None:
+        env = os.environ.get("SENTSPARK_SHUFFLE_PARTITIONS")
+        cores = spark.sparkContext.defaultParallelism
+        shuffle_partitions = int(env) if env else (cores if local else max(200, 4 * cores))
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if not local:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(256 * 1024 * 1024))
     return spark
 
 
