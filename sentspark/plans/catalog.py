@@ -322,9 +322,11 @@ def q_batch_assign(spark, sf):
 def q_pad_batch(spark, sf):
     w = S.wiki_sentences(spark, sf)
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
-    e = FE.encode(w, "sentence", vocab, ["doc_id", "pos"], pad=False)
-    b = FE.batch_assign(e, ["doc_id", "pos"], BATCH_SIZE, SEED)
-    out = FE.pad_batch(b, "input_ids", "batch_id", PAD_MULTIPLE)
+    # batches depend on the keys only: number the sentences, carry the batch
+    # through the encoding (the count pass then never re-runs the encoding)
+    b = FE.batch_assign(w, ["doc_id", "pos"], BATCH_SIZE, SEED)
+    e = FE.encode(b, "sentence", vocab, ["doc_id", "pos"], pad=False, carry=["batch_id"])
+    out = FE.pad_batch(e, "input_ids", "batch_id", PAD_MULTIPLE)
     return out.select("doc_id", "pos", "batch_id", "width", ids_text("input_ids").alias("input_ids"))
 
 
