@@ -36,6 +36,7 @@ VALIDATION_PERCENT = 5
 MAX_BROADCAST_VOCAB = 2_000_000
 # Ceiling on the bucket-offset table broadcast by batch_assign (one row each).
 MAX_BATCH_BUCKETS = 1_000_000
+BUCKETS_PER_PARTITION = 4
 
 
 def self_pair(df: DataFrame, col: str = "sentence", out_col: str = "sentences",
@@ -161,14 +162,17 @@ def batch_assign(df: DataFrame, keys: Sequence[str], batch_size: int, seed: int
     broadcast back.  No Python, no sort of the whole table in one task.
     """
     spark = df.sparkSession
-    nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # several buckets per partition: hashing bucket ids onto partitions then
+    # evens out (one bucket per partition would leave some tasks with 3-4)
+    nb = num_buckets or BUCKETS_PER_PARTITION * parts
     nb = max(1, min(nb, MAX_BATCH_BUCKETS))
     key = hash_key(seed, *[F.col(k) for k in keys])
     order = F.md5(key)
     bucket = F.floor(md5_u32(key).cast("double") * F.lit(float(nb)) / F.lit(2.0 ** 32)).cast("int")
     keyed = df.withColumn("_bkt", bucket)
     counts = keyed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    spread = keyed.withColumn("_ord", order).repartition(nb, "_bkt")
+    spread = keyed.withColumn("_ord", order).repartition(parts, "_bkt")
     before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= nb rows
     offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy("_bkt").orderBy("_ord", *keys)) - F.lit(1)
