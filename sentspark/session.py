@@ -29,6 +29,8 @@ def build_session(master: str | None = None, app: str = "sentspark",
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # checkpoints of the rank scan are dropped once no plan refers to them
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.ui.enabled", "false"))
     if master and master.startswith("local"):
         b = b.config("spark.driver.memory", os.environ.get("SENTSPARK_DRIVER_MEMORY", "16g"))
