@@ -93,7 +93,7 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
 def encode(df: DataFrame, cols, vocab: DataFrame, keys: Sequence[str],
            max_length: int = MAX_SEQ_LENGTH, pad: bool = True,
            out_col: str = "input_ids", carry: Sequence[str] = (),
-           broadcast_vocab: bool = True) -> DataFrame:
+           broadcast_vocab: bool = True, with_masks: bool = False) -> DataFrame:
     """``[CLS] t1..tn [SEP] [PAD]...``, truncated so the specials fit in L.
 
     ``cols`` is one text column (-> ``array<int>``) or a list of view columns
@@ -106,6 +106,10 @@ def encode(df: DataFrame, cols, vocab: DataFrame, keys: Sequence[str],
     ``build_vocab`` has at most ``vocab_size <= MAX_BROADCAST_VOCAB`` rows, a
     proven bound; pass ``broadcast_vocab=False`` for a table without one (the
     lookup is then a shuffled join).
+
+    ``with_masks`` also returns ``attention_mask`` and ``token_type_ids`` (T5),
+    as a tokenizer does.  The aggregation counts each view's real tokens, so
+    both are built with ``array_repeat``/``concat`` -- no per-element lambda.
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for CLS and SEP")
@@ -121,17 +125,36 @@ def encode(df: DataFrame, cols, vocab: DataFrame, keys: Sequence[str],
     entry = F.struct(F.col("view"), F.col("tpos"),
                      F.when(F.col("tpos").isNull(), F.lit(None).cast("int"))
                       .otherwise(F.coalesce(F.col("tid"), F.lit(UNK_ID))).alias("tid"))
-    per = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
+    real = [F.sum(F.when((F.col("view") == F.lit(k)) & F.col("tpos").isNotNull(), F.lit(1))
+                   .otherwise(F.lit(0))).cast("int").alias(f"_n{k}") for k in range(len(views))]
+    per = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_t"), *real)
+
+    def width(k):  # CLS + real tokens + SEP
+        return F.col(f"_n{k}") + F.lit(2)
 
     def ids_of(k):
         mine = F.filter(F.col("_t"), lambda e: (e["view"] == F.lit(k)) & e["tid"].isNotNull())
         ids = F.concat(F.array(F.lit(CLS_ID)), F.transform(mine, lambda e: e["tid"]), F.array(F.lit(SEP_ID)))
         if pad:
-            ids = F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - F.size(ids)))
+            ids = F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - width(k)))
         return ids.cast("array<int>")
 
-    out = F.array(*[ids_of(k) for k in range(len(views))]) if nested else ids_of(0)
-    return per.select(*keys, out.alias(out_col))
+    def mask_of(k):
+        m = F.array_repeat(F.lit(1), width(k))
+        if pad:
+            m = F.concat(m, F.array_repeat(F.lit(0), F.lit(max_length) - width(k)))
+        return m
+
+    def types_of(k):
+        return F.array_repeat(F.lit(0), F.lit(max_length) if pad else width(k))
+
+    def stack(fn):
+        return F.array(*[fn(k) for k in range(len(views))]) if nested else fn(0)
+
+    out = [stack(ids_of).alias(out_col)]
+    if with_masks:
+        out += [stack(mask_of).alias("attention_mask"), stack(types_of).alias("token_type_ids")]
+    return per.select(*keys, *out)
 
 
 def attention_mask(ids) -> Column:

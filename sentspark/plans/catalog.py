@@ -293,10 +293,10 @@ def q_build_vocab(spark, sf):
     return FE.build_vocab(S.wiki_sentences(spark, sf), "sentence", VOCAB_SIZE)
 
 
-def _train_features(spark, sf):
+def _train_features(spark, sf, with_masks=False):
     w = S.wiki_sentences(spark, sf)
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
-    return FE.encode(w, "sentence", vocab, ["doc_id", "pos"])
+    return FE.encode(w, "sentence", vocab, ["doc_id", "pos"], with_masks=with_masks)
 
 
 @register("encode_pad")
@@ -307,9 +307,9 @@ def q_encode_pad(spark, sf):
 
 @register("attn_mask")
 def q_attn_mask(spark, sf):
-    e = _train_features(spark, sf)
-    return e.select("doc_id", "pos", ids_text(FE.attention_mask("input_ids")).alias("attention_mask"),
-                    ids_text(FE.token_type_ids("input_ids")).alias("token_type_ids"))
+    e = _train_features(spark, sf, with_masks=True)
+    return e.select("doc_id", "pos", ids_text("attention_mask").alias("attention_mask"),
+                    ids_text("token_type_ids").alias("token_type_ids"))
 
 
 @register("batch_assign")
@@ -330,17 +330,16 @@ def q_pad_batch(spark, sf):
     return out.select("doc_id", "pos", "batch_id", "width", ids_text("input_ids").alias("input_ids"))
 
 
-def _pair_features(spark, sf):
+def _pair_features(spark, sf, with_masks=False):
     w = S.wiki_sentences(spark, sf)
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
     p = FE.self_pair(w).select("doc_id", "pos", F.get("sentences", 0).alias("a"), F.get("sentences", 1).alias("b"))
-    return FE.encode(p, ["a", "b"], vocab, ["doc_id", "pos"])
+    return FE.encode(p, ["a", "b"], vocab, ["doc_id", "pos"], with_masks=with_masks)
 
 
 @register("flatten_views")
 def q_flatten_views(spark, sf):
-    f = _pair_features(spark, sf)
-    f = f.withColumn("attention_mask", F.transform("input_ids", lambda v: FE.attention_mask(v)))
+    f = _pair_features(spark, sf, with_masks=True)
     flat = FE.flatten_views(f, ["doc_id", "pos"], ["input_ids", "attention_mask"])
     return flat.select("doc_id", "pos", "view", ids_text("input_ids").alias("input_ids"),
                        ids_text("attention_mask").alias("attention_mask"))

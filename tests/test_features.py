@@ -127,3 +127,23 @@ def test_collate_pluggable_batcher(spark):
         assert len(r.input_ids) == r.width and r.width % 8 == 0
     custom = FE.collate(df, ["k"], batcher=lambda d, keys, **p: d.withColumn("batch_id", d.k % 2))
     assert {r.batch_id for r in custom.collect()} == {0, 1}
+
+
+def test_encode_masks_equal_elementwise_definition(spark):
+    """Native masks from encode == the per-element T5 definitions."""
+    from pyspark.sql import functions as F
+
+    from sentspark.operators import features as FE
+    df = spark.createDataFrame([(0, "a b c", "d"), (1, "", "a a a a a a a a a a"), (2, None, "b")],
+                               "k long, s1 string, s2 string")
+    vocab = FE.build_vocab(df.select(F.col("s2").alias("sentence")), "sentence", FE.N_SPECIAL + 3)
+    for cols in ("s1", ["s1", "s2"]):
+        for pad in (True, False):
+            e = FE.encode(df, cols, vocab, ["k"], max_length=8, pad=pad, with_masks=True)
+            nested = not isinstance(cols, str)
+            want_m = (F.transform("input_ids", lambda v: FE.attention_mask(v)) if nested
+                      else FE.attention_mask("input_ids"))
+            want_t = (F.transform("input_ids", lambda v: FE.token_type_ids(v)) if nested
+                      else FE.token_type_ids("input_ids"))
+            bad = e.where((F.col("attention_mask") != want_m) | (F.col("token_type_ids") != want_t)).count()
+            assert bad == 0, (cols, pad)
