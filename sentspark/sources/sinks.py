@@ -17,7 +17,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Tab-separated text with a header and quoting off (what ``read_tsv`` reads)."""
+    """Tab-separated text with a header and quoting off (what ``read_tsv`` reads).
+
+    Without quoting a field cannot hold a tab or a line break; replace them
+    first (each one would otherwise start a new field or row on read)."""
     (df.write.mode(mode).option("header", True).option("sep", "\t").option("quote", "\u0000")
        .option("escape", "\u0000").option("ignoreLeadingWhiteSpace", False)
        .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", "").csv(path))
