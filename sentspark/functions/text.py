@@ -34,8 +34,10 @@ KEEP_CLASS = (r"\x{20}\x{22}\x{25}\x{27}-\x{B7}"
 STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                "\u2028\u2029\u202f\u205f\u3000")
-# The ASCII characters outside the whitelist: U+0000-U+001F, ! # $ &.
-ASCII_DROP_CHARS = "".join(chr(c) for c in range(0x20)) + "!#$&"
+# The Latin-1 characters outside the whitelist: U+0000-U+001F, ! # $ &,
+# and U+00B8-U+00FF (accented letters among them).
+LATIN1_DROP_CHARS = ("".join(chr(c) for c in range(0x20)) + "!#$&"
+                     + "".join(chr(c) for c in range(0xB8, 0x100)))
 # Null sentences become one space so the row survives feature building.
 NULL_TEXT = " "
 # STS gold scores are on a 0-5 scale; null counts as 0.
@@ -83,15 +85,16 @@ def long_enough(col, min_chars: int = MIN_SENTENCE_CHARS) -> Column:
 def char_filter(col) -> Column:
     """Delete every character outside the whitelist (result may be empty).
 
-    A pure-ASCII string (as many bytes as code points) only needs the few
-    ASCII characters outside the set deleted, which ``translate`` does without
-    a regex; other strings take the full class regex.  Both give the same
-    result on ASCII input.
+    ``translate`` first deletes the Latin-1 characters outside the set (no
+    regex).  If what is left is pure ASCII (as many bytes as code points),
+    every character in it is kept and it is the result; otherwise -- other
+    scripts, or kept Latin-1 signs such as NBSP or guillemets -- the class
+    regex finishes it.  Deleting part of what the regex deletes first does
+    not change its result.
     """
-    c = _c(col)
-    ascii_only = F.length(c) == F.octet_length(c)
-    return (F.when(ascii_only, F.translate(c, ASCII_DROP_CHARS, ""))
-             .otherwise(F.regexp_replace(c, DROP_PATTERN, "")))
+    t = F.translate(_c(col), LATIN1_DROP_CHARS, "")
+    return (F.when(F.length(t) == F.octet_length(t), t)
+             .otherwise(F.regexp_replace(t, DROP_PATTERN, "")))
 
 
 def fill_null_text(col, blank_as_null: bool = False) -> Column:
