@@ -79,13 +79,13 @@ def q_sentence_break(spark, sf):
 
 @register("nbsp_norm")
 def q_nbsp_norm(spark, sf):
-    d = S.table(spark, sf, "documents")
+    d = S.documents(spark, sf)
     return d.select("doc_id", TX.nbsp_norm(TX.sentence_break("text")).alias("text"))
 
 
 @register("explode_sentences")
 def q_explode_sentences(spark, sf):
-    return TO.broken_lines(S.table(spark, sf, "documents"), "text", ["doc_id"], "line")
+    return TO.broken_lines(S.documents(spark, sf), "text", ["doc_id"], "line")
 
 
 @register("strip_ws")
