@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..functions.hashing import hash_key, md5_u32
 from ..operators import contrastive as C
 from ..operators import corpus as CO
 from ..operators import evaluation as EV
