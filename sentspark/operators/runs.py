@@ -37,13 +37,19 @@ def best_checkpoint(log: DataFrame, run_col: str = "run", step_col: str = "step"
 def improvement_log(log: DataFrame, run_col: str = "run", step_col: str = "step",
                     metric_col: str = "metric") -> DataFrame:
     """Adds ``improved`` (strictly above every earlier metric), ``best_so_far``
-    and ``last_improved`` (step of the latest improvement) per row."""
+    and ``last_improved`` (step of the latest improvement) per row.  A row
+    without a metric is never an improvement."""
     a = prefix_scan(log, [run_col], [step_col], metric_col, "max", out_col="best_so_far",
                     exclusive_col="_prev_best")
-    a = a.withColumn("improved", F.col("_prev_best").isNull() | (F.col(metric_col) > F.col("_prev_best")))
-    a = a.withColumn("_impr_step", F.when(F.col("improved"), F.col(step_col).cast("double")))
-    b = prefix_scan(a, [run_col], [step_col], "_impr_step", "max", out_col="last_improved")
-    return b.drop("_prev_best", "_impr_step").withColumn("last_improved", F.col("last_improved").cast("long"))
+    a = a.withColumn("improved", F.col(metric_col).isNotNull()
+                     & (F.col("_prev_best").isNull() | (F.col(metric_col) > F.col("_prev_best"))))
+    # Improvements are strict, so each running best is reached at exactly one
+    # step: the last improvement of a row is where its running best was set.
+    # One row per (run, best) -- an aggregate and an equi-join, not a scan.
+    set_at = (a.where("improved").groupBy(run_col, "best_so_far")
+                .agg(F.min(step_col).alias("last_improved")))
+    return (a.drop("_prev_best").join(set_at, [run_col, "best_so_far"], "left")
+              .withColumn("last_improved", F.col("last_improved").cast("long")))
 
 
 def early_stop(log: DataFrame, run_col: str = "run", step_col: str = "step",

@@ -361,7 +361,7 @@ SELECT count(*) AS n_tokens, round(avg(tl), 6) AS mlm_loss, round(0.1 * avg(tl),
     sql["early_stop"] = f"""WITH {METRICS},
 m1 AS (SELECT *, max(metric) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best,
               max(metric) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS best_so_far FROM metrics),
-m2 AS (SELECT *, max(CASE WHEN prev_best IS NULL OR metric > prev_best THEN step END)
+m2 AS (SELECT *, max(CASE WHEN metric IS NOT NULL AND (prev_best IS NULL OR metric > prev_best) THEN step END)
               OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS last_improved FROM m1)
 SELECT run, min(step) FILTER (WHERE step - last_improved >= 3) AS stop_step,
        coalesce(arg_min(last_improved, step) FILTER (WHERE step - last_improved >= 3), arg_max(last_improved, step)) AS best_step,

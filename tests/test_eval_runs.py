@@ -72,6 +72,13 @@ def test_best_and_early_stop(spark):
     assert never.stop_step is None and never.best_step == 3
 
 
+def test_early_stop_missing_metric_is_no_improvement(spark):
+    e = RU.early_stop(_log(spark, [None, 0.1, 0.05, 0.02, 0.01])).first()
+    assert (e.stop_step, e.best_step, e.best_metric) == (5, 2, 0.1)
+    imp = {r.step: (r.improved, r.last_improved) for r in RU.improvement_log(_log(spark, [None, 0.1, 0.3])).collect()}
+    assert imp == {1: (False, None), 2: (True, 2), 3: (True, 3)}
+
+
 def test_retain_last_k(spark):
     log = _log(spark, [0.9, 0.1, 0.2, 0.3, 0.1, 0.1, 0.1, 0.1, 0.1])
     kept = sorted(r.step for r in RU.retain_last_k(log, k=6).collect())
