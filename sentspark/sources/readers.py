@@ -70,16 +70,19 @@ def _regex_quote(s: str) -> str:
 
 def spread_if_few_files(df: DataFrame, keys: Sequence[str], slots: int | None = None) -> DataFrame:
     """Hash-distribute ``df`` on ``keys`` when it is stored as fewer files than
-    the cluster has task slots.
+    the cluster has task slots *and* its scan plans fewer splits than that.
 
     A Parquet file is split by row group, so a table written as one file with
     one row group is read by a single task and every row-local step after the
     scan (regexes, tokenising) runs on one core.  Spreading costs one shuffle
-    of the scanned columns, which only pays when the scan cannot parallelise;
-    a large table stored as many files is returned unchanged (no shuffle).
+    of the scanned columns, which only pays when the scan cannot parallelise.
+    A large table -- many files, or few large ones with as many splits
+    (``maxPartitionBytes`` each) as there are slots -- is returned unchanged:
+    at 100 TB the scan alone has far more splits than slots, so no shuffle.
+    The split count comes from planning the scan; no job runs.
     """
     slots = slots or df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
+    if len(df.inputFiles()) >= slots or df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, *keys)
 
