@@ -66,7 +66,8 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
     * Exact pre-filter: a histogram of the count values (one row per distinct
       count -- at most ~sqrt(2 x tokens) rows, whatever the corpus size) gives
       the largest count ``c*`` that at least k tokens reach; every top-k token
-      has ``cnt >= c*``.  ``c*`` is one row, joined by broadcast.
+      has ``cnt >= c*``.  ``c*`` is a scalar subquery (one value, computed
+      once), so the filter needs no join.
     * Only those ~k candidates (plus ties at ``c*``) reach the final ordered
       top-k, so its single merge task sees ~k rows per partition at most, not
       every distinct token.  Ids are numbered over those k rows.
@@ -84,7 +85,7 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
     thr = (hist.withColumn("_at_least", at_least).where(F.col("_at_least") >= F.lit(k))
                .agg(F.max("cnt").alias("_thr"))
                .select(F.coalesce(F.col("_thr"), F.lit(0)).alias("_thr")))  # < k tokens: keep all
-    cand = counts.join(F.broadcast(thr), F.col("cnt") >= F.col("_thr")).drop("_thr")
+    cand = counts.where(F.col("cnt") >= thr.scalar())  # scalar subquery, evaluated once
     top = cand.orderBy(F.col("cnt").desc(), F.col("token").asc()).limit(k)
     w = Window.orderBy(F.col("cnt").desc(), F.col("token").asc())  # over <= k rows
     return top.select("token", (F.row_number().over(w) + F.lit(N_SPECIAL - 1)).cast("int").alias("id"), "cnt")
