@@ -41,7 +41,8 @@ def prepare_corpus(corpus: DataFrame, headlines: Sequence[DataFrame], pairs: Seq
       table (U3), null rows dropped (P9).
     """
     keys = list(keys)
-    wiki = TO.drop_null(TO.clean_sentences(corpus.select(*keys, text_col), text_col, keys))
+    docs = R.spread_if_few_files(corpus.select(*keys, text_col), keys)
+    wiki = TO.drop_null(TO.clean_sentences(docs, text_col, keys))
     paths = {"wiki": dataset_path(out_dir, "wiki_", "train", "csv"),
              "add": dataset_path(out_dir, "add_", "train", "csv"),
              "unsup": dataset_path(out_dir, "unsup_", "train", "csv")}
