@@ -84,3 +84,12 @@ def test_vocab_threshold_exact_with_ties(spark):
     for size in (FE.N_SPECIAL + 1, FE.N_SPECIAL + 7, FE.N_SPECIAL + 30, FE.N_SPECIAL + 500):
         got = [tuple(r) for r in FE.build_vocab(df, "sentence", size).orderBy("id").collect()]
         assert got == _brute_vocab(sents, size - FE.N_SPECIAL), size
+
+
+def test_vocab_plan_has_no_nested_loop_or_cartesian(spark):
+    df = spark.createDataFrame([("a b c",), ("a b",), ("a",)], "sentence string")
+    plan = _plan(FE.build_vocab(df, "sentence", FE.N_SPECIAL + 2))
+    assert "Subquery" in plan
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    # the final merge is a bounded top-k, not a global sort
+    assert "TakeOrderedAndProject" in plan
