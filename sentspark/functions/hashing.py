@@ -20,11 +20,6 @@ def md5_u32(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
-def md5_uniform(key: Column) -> Column:
-    """Uniform in [0, 1) from md5(key)."""
-    return md5_u32(key).cast("double") / F.lit(TWO_POW_32)
-
-
 def md5_slice_uniform(hex_digest: Column, d: int) -> Column:
     """Uniform in [0, 1) from draw ``d`` (0-3) of an md5 hex digest: hex
     digits ``8d+1 .. 8d+8``, four disjoint 32-bit slices per digest."""
