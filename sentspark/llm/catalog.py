@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing, simhash
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document gives to the mix; one row per document."""
     docs = read_table(spark, sf_dir, "documents")
     return mixing.annotate(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words found in each document."""
+    found = decontaminate.annotate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                                   keep=["doc_id"])
+    hits = decontaminate.n_hit(F.col("spans"))
+    return found.select("row.doc_id", "n_words", hits.alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (hits > 0).alias("contaminated"))
+
+
+@register
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document."""
+    found = simhash.annotate(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
