@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, simhash
+from . import decontaminate, exact_dedup, mixing, quality, simhash
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def register(fn: Query) -> Query:
     return fn
 
 
+def held_out(parts: int, remainder: int) -> Column:
+    """Whether a document is kept from training: by the crc32 of its id as text."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder, F.lit(False))
+
+
 @register
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of each text stays; one row per document."""
@@ -33,6 +38,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.annotate(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    rows = quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                         used=~held_out(5, 0))
+    return rows.select("doc_id", held_out(5, 0).alias("held_out"), "score",
+                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @register
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in each document."""
