@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash
+from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def held_out(parts: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder, F.lit(False))
 
 
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    rows = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                          used=~held_out(3, 1))
+    return rows.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                       (F.col("score") >= 0.7).cast("int").alias("predicted"), "clauses")
+
+
 @register
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of each text stays; one row per document."""
