@@ -34,11 +34,15 @@ from pyspark.sql import types as T
 from ..session import ship_package
 from . import grammar as G
 from . import textkernel as tk
+from .tables import land
 
 FIT_ROWS = 16_000
-#: Bytes of a stem, from and to; toxic documents that must share one; most stems.
+#: Bytes of a stem, from and to; toxic documents that must share one; how
+#: surprising that must be (the likelihood ratio statistic; millions of word
+#: beginnings are tried); most stems.
 STEM_BYTES = range(3, 9)
 LEAST_DOCS = 4
+LEAST_RATIO = 30.0
 MOST_STEMS = 1024
 #: Log-odds above which a word's beginning is a stem.
 LEAST_STRENGTH = 3.0
@@ -195,6 +199,20 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               "clean": pa.array(clean, pa.int64())})
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of a text's word pairs: near copies mostly share it."""
+    for whole in batches:
+        for batch in tk.chunks(whole, "text"):
+            w = tk.words(batch.column("text"), tk.NOT_ALNUM)
+            with np.errstate(over="ignore"):
+                pair = tk.mix64(w.hash[:-1] * _U(0x100000001B3) + w.hash[1:]) if len(w.hash) else w.hash
+            family = np.zeros(batch.num_rows, dtype=_U)
+            for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                family[k] = pair[a:b - 1].min() if b - a > 1 else w.hash[a] if b > a else 0
+            yield pa.RecordBatch.from_pydict({"text": batch.column("text"), "label": batch.column("label"),
+                                              "family": pa.array(family.view(np.int64))})
+
+
 def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Stems that mark toxic texts, with log-odds as strengths.
 
@@ -203,6 +221,12 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str
     by texts that the chosen longer ones leave."""
     def strength(t: float, c: float) -> float:
         return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+
+    def surprise(t: float, c: float) -> float:
+        share = toxic / (toxic + clean)
+        own = t / (t + c)
+        return 2 * (t * math.log(own / share) + (c * math.log((1 - own) / (1 - share)) if c else 0.0))
+
     chosen: dict[str, float] = {}
     explained: dict[str, int] = defaultdict(int)
     for stem, t, c in sorted(rows, key=lambda r: (-round((r[1] + 0.5) / (r[1] + r[2] + 1), 2), -r[1], -len(r[0]), r[0])):
@@ -210,7 +234,7 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str
             continue
         left = t - explained[stem]
         power = strength(max(left, 0), c)
-        if left < LEAST_DOCS or power < LEAST_STRENGTH or len(chosen) >= MOST_STEMS:
+        if left < LEAST_DOCS or power < LEAST_STRENGTH or surprise(left, c) < LEAST_RATIO or len(chosen) >= MOST_STEMS:
             continue
         chosen[stem] = power
         for k in range(1, len(stem)):
@@ -259,13 +283,16 @@ def train(docs: DataFrame, labels: DataFrame, used: Column | None = None, rows:
               .where("label in (0, 1) and doc_id is not null")
     y = y.where(used) if used is not None else y
     picked = y.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(rows)
-    counts = {r.label: r["count"] for r in picked.groupBy("label").count().collect()}
+    text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    sample = text.join(F.broadcast(picked), "doc_id").select("text", "label")  # at most ``rows`` ids
+    # copies of one toxic text would make all its words look toxic: one text of a family counts
+    sample = land(sample.mapInArrow(_families, "text string, label long, family long")
+                  .dropDuplicates(["family", "label"]), "toxicity-sample")
+    counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     model = Model({s: PRIOR_STRENGTH for s in INSULTS}, {s: PRIOR_STRENGTH for s in THREATS})
     if not toxic or not clean:
         return model
-    text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sample = text.join(F.broadcast(picked), "doc_id").select("text", "label")  # at most ``rows`` ids
     stems = (sample.mapInArrow(_count_stems, "stem binary, toxic long, clean long").groupBy("stem")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .where(F.col("toxic") >= LEAST_DOCS)
