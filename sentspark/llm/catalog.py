@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity
+from ..session import scratch_path
+from . import decontaminate, exact_dedup, mixing, quality, simhash, token_counts, token_files, toxicity
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,12 @@ def held_out(parts: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder, F.lit(False))
 
 
+@register
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, length and checksum of each document's ids, from the files."""
+    return token_files.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of each document."""
@@ -73,3 +80,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     found = simhash.annotate(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+@register
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, from a cache that starts empty."""
+    cache = token_counts.CountCache(spark, scratch_path(spark, "count-cache"))
+    rows = token_counts.annotate(read_table(spark, sf_dir, "documents"), cache)
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
