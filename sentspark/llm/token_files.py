@@ -37,18 +37,13 @@ PAGE_BYTES = 128 << 10
 
 def _encode(tokenizer: str, folder: str | None, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_level(tokenizer, folder)
+        encoder, last = byte_level(tokenizer, folder), end.to_bytes(4, "little")
         offset = 0
         for whole in batches:
             for batch in tk.chunks(whole, "text", 1 << 19):
                 ids = encoder.encode(batch.column("text").to_pylist())
-                n = np.fromiter((len(x) + 1 for x in ids), dtype=np.int64, count=len(ids))
-                flat = np.empty(int(n.sum()), dtype=np.int32)
-                at = 0
-                for x in ids:
-                    flat[at:at + len(x)] = x
-                    flat[at + len(x)] = end
-                    at += len(x) + 1
+                n = np.fromiter((len(x) // 4 + 1 for x in ids), dtype=np.int64, count=len(ids))
+                flat = np.frombuffer(b"".join([x + last for x in ids]), dtype="<u4").astype(np.int32)
                 before = offset + np.concatenate([[0], np.cumsum(n)[:-1]])
                 offset += int(n.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)),

@@ -8,20 +8,31 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
 
-import regex
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: A pre-token cache entry is about 150 bytes; a full cache is emptied.
-CACHE_ENTRIES = 300_000
+#: Pre-tokens remembered in each of two generations (about 120 bytes each).
+REMEMBERED = 400_000
 
-#: Fixed value: the public byte-level BPE split.
-SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Texts outside this range are encoded whole: letters, digits and white space
-#: of these characters mean the same to every Unicode version.
-_SIMPLE = regex.compile(r"[^\x1C-\x1Fɐ-\U0010FFFF]*")
+#: The public byte-level BPE split, for texts of characters below U+0250 only,
+#: where letters, numbers and white space are these.  Texts with others (or
+#: with control characters that libraries class differently) are encoded whole.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_SIMPLE = re.compile("[^\x1C-\x1F\u0250-\U0010FFFF]*")
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte: printable Latin-1
+    bytes for themselves, the others numbered on from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    at = {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
+    return [chr(at[b]) for b in range(256)]
 
 
 def file_path(name: str, folder: str | None = None) -> str:
@@ -42,41 +53,47 @@ class ByteLevelEncoder:
     """``tokenizers`` encoding of whole texts, remembering pre-tokens.
 
     Byte-level BPE merges only inside a pre-token, so a text's ids are those
-    of its pre-tokens in turn.  Each new pre-token is encoded by the library;
-    texts for which the split could differ (rare scripts, control characters,
-    added special strings) are encoded whole by the library.
+    of its pre-tokens in turn.  The library's model encodes each new one; ids
+    are kept as little-endian 32-bit bytes, so a text is one join.  Texts for
+    which the split could differ (see ``SPLIT``) or that hold an added special
+    string are encoded whole by the library.
     """
 
     def __init__(self, name: str, folder: str | None = None) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file_path(name, folder))
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.characters = byte_characters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def simple(self, text: str) -> bool:
         return _SIMPLE.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        pieces = [SPLIT.findall(t) if self.simple(t) else None for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
-        known = self.known
-        new = list({p for ps in pieces if ps for p in ps if p not in known})
-        for at in range(0, len(new), 8192):
-            part = new[at:at + 8192]
-            known.update(zip(part, map(tuple, self._whole(part))))
+    def _learn(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            mapped = "".join([self.characters[b] for b in piece.encode()])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        self.young[piece] = ids
+        return ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         out = []
-        for text, ps in zip(texts, pieces):
-            if ps is None:
-                out += self._whole([text])
-            else:
-                ids: list[int] = []
-                for p in ps:
-                    ids += known[p]
-                out.append(ids)
+        for text in texts:
+            if not self.simple(text):
+                out += self.whole([text])
+                continue
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, {}
+            young, learn = self.young, self._learn
+            out.append(b"".join([young[p] if p in young else learn(p) for p in SPLIT.findall(text)]))
         return out
 
 
@@ -95,4 +112,4 @@ def count_tokens(texts: list[str], name: str, folder: str | None = None) -> list
     """Tokens per text as the name's library gives them by default."""
     if name.endswith(".model"):
         return [len(ids) for ids in pieces(name, folder).encode(texts, num_threads=1)]
-    return [len(ids) for ids in byte_level(name, folder)._whole(texts)]
+    return [len(ids) // 4 for ids in byte_level(name, folder).encode(texts)]
