@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, exact_dedup, mixing, quality, simhash, token_counts, token_files, toxicity
+from . import decontaminate, exact_dedup, mixing, quality, simhash, token_counts, token_files, toxicity, warc
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of each page.  Lengths and digests of responses
+    are taken from their payloads, those of revisits from their headers."""
+    rows = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    full = F.col("payload").isNotNull()
+    return rows.select(warc.page_of("record_id").alias("page_id"),
+                       F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+                       .alias("payload_bytes"),
+                       F.when(full, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+                       "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of each document."""
