@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, exact_dedup, mixing, quality, simhash, token_counts, token_files, toxicity, warc
+from . import decontaminate, exact_dedup, mixing, ngram_lm, quality, simhash, token_counts, token_files, toxicity, warc
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.annotate(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of each document under the model and a unigram base."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs, ~held_out(7, 2))
+    return ngram_lm.score(docs, model).withColumn("held_out", held_out(7, 2)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @register
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of each document."""
