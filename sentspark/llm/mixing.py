@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .tables import SPACE_WORD, land, row_key, text_or_empty
+from .tables import SPACE_WORD, land, pick, row_key, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -187,3 +187,10 @@ def annotate(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col:
     out = whole.unionByName(part).withColumn("copies", F.col("times") + F.col("extra"))
     return out.select("doc_id", "size", "source_size", "target", "copies",
                       (F.col("copies") * F.col("size")).alias("taken"), "row_key")
+
+
+def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source") -> DataFrame:
+    """The mix: rows of ``docs``, each as often as it is taken."""
+    taken = annotate(docs, seed, id_col, text_col, source_col)
+    return pick(docs, taken.select(F.col("doc_id").alias(id_col), "row_key", "copies"), "copies", id_col, text_col)

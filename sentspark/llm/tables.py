@@ -47,13 +47,12 @@ def pick(docs: DataFrame, decisions: DataFrame, copies: str, id_col: str = "doc_
     All columns of ``docs`` and nothing else come back.  One exchange of the
     rows, by id and text, which no hot group can share.
     """
-    per_key = (decisions.groupBy(F.col(id_col).alias("_id"), F.col("row_key").alias("_key"))
+    per_key = (decisions.groupBy(F.xxhash64(id_col).alias("_a"), F.col("row_key").alias("_b"))
                .agg(F.sum(F.col(copies).cast("long")).alias("_copies"))
                .where(F.col("_copies") > 0))
-    keyed = docs.withColumn("_row_key", row_key(text_col))
-    joined = keyed.join(per_key, F.col(id_col).eqNullSafe(F.col("_id"))
-                        & (F.col("_row_key") == F.col("_key")))
-    first = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.col("_copies")))
-    picked = joined.withColumn("_nth", first).where("_nth = 1")
-    repeated = picked.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                        F.xxhash64(F.col(f"`{id_col}`")).alias("_a"), row_key(f"`{text_col}`").alias("_b"))
+    # the window reuses the join's partitioning: keys are plain columns, never null
+    nth = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_copies"))
+    picked = keyed.join(per_key, ["_a", "_b"]).withColumn("_nth", nth).where("_nth = 1")
+    return picked.select("_row", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")
