@@ -76,7 +76,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     taken = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0 or not len(lengths):
         return taken
-    reach = int(budget) + min(int(budget), int(lengths.min())) + 1
+    reach = 2 * int(budget) + 1                  # a larger sum is no closer than 0
     by = np.full(reach, -1, dtype=np.int64)     # the part that first made a sum
     made = np.zeros(reach, dtype=bool)
     made[0] = True

@@ -286,8 +286,10 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str
-    final: str
+    """A task's file; no name if it had no rows."""
+
+    temporary: str | None
+    final: str | None
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -296,7 +298,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.level = int(options.get("level", 1))
         self.job = uuid.uuid4().hex[:12]
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, inner = filesystem(self.path)
         name = f"{self.job}-{uuid.uuid4().hex[:12]}.warc.gz"
         temporary, out = f"{inner}/_temporary-{self.job}/{name}", None
@@ -307,7 +309,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out = fs.open_output_stream(temporary, compression=None)
                 out.write(member(self._record(row), self.level))
         if out is None:
-            return None
+            return Written(None, None)
         out.close()
         return Written(temporary, f"{inner}/{name}")
 
@@ -331,7 +333,7 @@ class WarcWriter(DataSourceArrowWriter):
             for path, _ in warc_files(self.path):
                 fs.delete_file(path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.temporary:
                 fs.move(m.temporary, m.final)
         self._clean(fs, inner)
 
