@@ -20,3 +20,30 @@ SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(column: str) -> str:
+    return (rf"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+ORACLE["op7_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+     b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_words('text')} AS w FROM benchmark),
+     places AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+                FROM b WHERE len(w) > 0),
+     windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM places),
+     sizes AS (SELECT DISTINCT n FROM windows),
+     runs AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+              FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+     found AS (SELECT runs.doc_id, runs.i, runs.n, windows.item FROM runs JOIN windows USING (n, k)),
+     hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+               FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
