@@ -53,7 +53,9 @@ class CountCache:
         there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
         if not there:
             return self.spark.createDataFrame([], _CACHE)
-        return self.spark.read.schema(_CACHE).parquet(self.path).dropDuplicates(["digest"])
+        # equal digests have equal counts; distinct rows (not one per digest) leave a
+        # join by digest an exchange of its own, in which a hot digest can be split
+        return self.spark.read.schema(_CACHE).parquet(self.path).distinct()
 
     def fill(self, docs: DataFrame, text_col: str = "text") -> None:
         """Encode and append the distinct texts of ``docs`` that are not stored."""
