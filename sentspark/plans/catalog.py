@@ -199,33 +199,36 @@ def q_src_corpus(spark, sf):
 @register("src_json")
 def q_src_json(spark, sf):
     path = scratch_path(spark, "headlines") + "/ynat_train.json"
-    S.headlines(spark, sf).select("title", "label").write.json(path)
+    SK.write_json_array(S.headlines(spark, sf).select("item_id", "label", "title"), path)
     return R.read_json(spark, path, R.HEADLINE_SCHEMA)
 
 
-def _pairs_as_tsv(spark, sf, split_filter=None):
-    """Write the pair table as TSV: newlines/tabs in text become spaces and a
-    null score is *omitted* (a short row), as a hand-made file would be."""
+def _pairs_as_tsv(spark, sf, path, split_filter=None):
+    """Write the pair table as a seven-column TSV with the wanted columns out of
+    order: newlines/tabs in text become spaces and a null score is *omitted* (a
+    short row), as a hand-made file would be."""
     p = S.sts_pairs(spark, sf)
     if split_filter is not None:
         p = p.where(split_filter)
-    clean = lambda c: F.coalesce(F.regexp_replace(F.col(c), "[\t\n\r]", " "), F.lit(""))
-    line = F.concat_ws("\t", clean("sentence1"), clean("sentence2"), F.col("score").cast("string"))
-    header = spark.range(1).select(F.lit("sentence1\tsentence2\tscore").alias("value"))
-    return header.unionByName(p.select(line.alias("value")))
+    clean = lambda c: F.coalesce(F.regexp_replace(F.col(c), "[\t\n\r]", " "), F.lit(""))
+    line = F.concat_ws("\t", clean("sentence2"), F.lit("main"), F.col("conv_id").cast("string"),
+                       clean("sentence1"), F.lit("2012"), F.col("turn").cast("string"), F.col("score").cast("string"))
+    header = "\t".join(["sentence2", "genre", "file", "sentence1", "year", "id", "score"])
+    p.select(line.alias(header)).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000") \
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 @register("src_tsv")
 def q_src_tsv(spark, sf):
     path = scratch_path(spark, "pairs") + "/sts-train.tsv"
-    _pairs_as_tsv(spark, sf).write.text(path)
+    _pairs_as_tsv(spark, sf, path)
     return R.read_tsv(spark, path, names=["sentence1", "sentence2", "score"], types={"score": "double"})
 
 
 @register("src_by_ext")
 def q_src_by_ext(spark, sf):
     path = scratch_path(spark, "wiki") + "/wiki_train.csv"
-    SK.write_csv(S.wiki_sentences(spark, sf).select("sentence"), path)
+    SK.write_csv(S.wiki_sentences(spark, sf).select("doc_id", "sentence"), path)
     return R.read_by_extension(spark, path, R.SENTENCE_SCHEMA)
 
 
@@ -235,15 +238,17 @@ def q_src_splits(spark, sf):
     paths = {}
     for split, cond in (("dev", F.pmod("conv_id", F.lit(2)) == 0), ("test", F.pmod("conv_id", F.lit(2)) == 1)):
         paths[split] = f"{root}/sts-{split}.tsv"
-        _pairs_as_tsv(spark, sf, cond).write.text(paths[split])
+        _pairs_as_tsv(spark, sf, paths[split], cond)
     return R.read_splits(spark, paths, R.PAIR_SCHEMA)
 
 
 @register("sink_csv")
 def q_sink_csv(spark, sf):
+    """Sentences, titles (with line breaks) and a null title per fifth item."""
     path = scratch_path(spark, "add") + "/add_train.csv"
-    SK.write_csv(_corpora(spark, sf).select("sentence"), path)
-    return R.read_by_extension(spark, path, R.SENTENCE_SCHEMA)
+    none = S.headlines(spark, sf).where(F.pmod("item_id", F.lit(5)) == 0).select(F.lit(None).cast("string"))
+    SK.write_csv(_corpora(spark, sf).select("sentence").union(none), path)
+    return R.read_by_extension(spark, path, R.SENTENCE_SCHEMA, multiline=True)
 
 
 def _eval_features(spark, sf):

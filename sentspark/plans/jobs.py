@@ -3,7 +3,7 @@ from the operators only (no logic of their own).
 
 * ``prepare_corpus`` -- clean an encyclopedia text table into sentences,
   union them with headline titles, unpivot sentence-pair tables; each result
-  is written as CSV (the reference's corpus files).
+  is written as CSV, the dev and test pairs as TSV (the reference's corpus files).
 * ``make_datasets`` -- read the training sentences (format by extension) and
   the dev/test pair files, build the vocabulary, encode training rows as two
   identical views and evaluation rows as (sentence1, sentence2) with labels,
@@ -31,17 +31,24 @@ ROW_ID = "row_id"
 
 
 def prepare_corpus(corpus: DataFrame, headlines: Sequence[DataFrame], pairs: Sequence[DataFrame],
-                   out_dir: str, keys: Sequence[str] = ("doc_id",), text_col: str = "text") -> dict[str, str]:
+                   out_dir: str, keys: Sequence[str] = ("doc_id",), text_col: str = "text",
+                   spread_to: int | None = None, eval_pairs: Mapping[str, DataFrame] | None = None) -> dict[str, str]:
     """Corpus preparation.  Returns the written paths:
 
     * ``wiki``: cleaned sentences of ``corpus`` (P4-P9, U1), one column;
     * ``add``: those sentences, then every headline ``title`` in the order
       given (U2, UNION ALL, nulls kept);
     * ``unsup``: every ``sentence1`` then every ``sentence2`` of each pair
-      table (U3), null rows dropped (P9).
+      table (U3), null rows dropped (P9);
+    * one TSV per split of ``eval_pairs`` (``dev``, ``test``): ``sentence1``,
+      ``sentence2`` and ``score``, tabs and line breaks in texts as spaces.
+
+    ``spread_to`` deals a corpus stored as one file to that many tasks.
     """
     keys = list(keys)
-    docs = R.spread_if_few_files(corpus.select(*keys, text_col), keys)
+    docs = corpus.select(*keys, text_col)
+    if spread_to:
+        docs = R.spread(docs, keys, spread_to)
     wiki = TO.drop_null(TO.clean_sentences(docs, text_col, keys))
     paths = {"wiki": dataset_path(out_dir, "wiki_", "train", "csv"),
              "add": dataset_path(out_dir, "add_", "train", "csv"),
@@ -54,6 +61,10 @@ def prepare_corpus(corpus: DataFrame, headlines: Sequence[DataFrame], pairs: Seq
         u = CO.unpivot_pairs(p.select("sentence1", "sentence2").withColumn("_src", F.lit(i)), ["_src"])
         flat.append(u.select("sentence"))
     SK.write_csv(TO.drop_null(CO.union_corpora(flat, "sentence").select("sentence")), paths["unsup"])
+    for split, p in (eval_pairs or {}).items():
+        paths[split] = dataset_path(out_dir, "sts-", split, "tsv")
+        plain = [F.regexp_replace(c, "[\t\n\r]", " ").alias(c) for c in ("sentence1", "sentence2")]
+        SK.write_tsv(p.select(*plain, "score"), paths[split])
     return paths
 
 

@@ -272,7 +272,8 @@ def oracle_sql() -> dict[str, str]:
     sql["src_by_ext"] = wiki + "SELECT sentence FROM wiki"
     sql["src_splits"] = (f"WITH {PAIRS}\nSELECT {_tsv_cols()}, CASE WHEN conv_id % 2 = 0 THEN 'dev' ELSE 'test' END "
                          "AS split FROM pairs")
-    sql["sink_csv"] = corpora + "SELECT sentence FROM corpora"
+    sql["sink_csv"] = corpora + ("SELECT sentence FROM corpora UNION ALL "
+                                 "SELECT CAST(NULL AS VARCHAR) FROM benchmark WHERE item_id % 5 = 0")
     ef = f"WITH {WIKI},\n{VOCAB},\n{_eval_features_sql()}\n"
     sql["sink_parquet"] = ef + ("SELECT split, conv_id, turn, round(labels, 6) AS labels, "
                                 f"{_ids_text('ids1')} AS ids1, {_ids_text('ids2')} AS ids2 FROM ef")

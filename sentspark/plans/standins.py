@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_key, md5_u32
 from ..operators.runs import number_steps
 from ..operators.text import clean_sentences
-from ..sources.readers import spread_if_few_files
+from ..sources.readers import spread
 
 # Stand-in shapes (our choices, mirrored in the oracle SQL).
 PAIR_BATCH_ROWS = 50        # rows per batch in the two-view table
@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)``: only the two columns the text chain needs are read,
-    then spread on ``doc_id`` if the scan itself cannot parallelise."""
+    """``(doc_id, text)``: only the two columns the text chain needs are read.
+    The driver's tables are single files, which one task scans; a session that
+    sets ``sentspark.spread`` (the bench does) deals their rows to that many."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread_if_few_files(docs, ["doc_id"])
+    parts = spark.conf.get("sentspark.spread", None)
+    return spread(docs, ["doc_id"], int(parts)) if parts else docs
 
 
 def wiki_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

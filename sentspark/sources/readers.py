@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,67 +24,100 @@ HEADLINE_SCHEMA = T.StructType([
 SENTENCE_SCHEMA = T.StructType([T.StructField("sentence", T.StringType(), True)])
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
-    """JSON records.  ``multiline=True`` reads a whole-file JSON array (the
-    reference's format); such a file is not splittable, so land it once as
-    Parquet before heavy use.  Unknown fields are ignored."""
+#: What a null is written as, so that it differs from an empty string.
+NULL_MARK = "\u0001"
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool | None = None) -> DataFrame:
+    """JSON records, either a whole-file array (the reference's format) or
+    one record a line.  ``multiline=None`` looks at the first character of the
+    first file: ``[`` is an array.  An array file is one task, so land it once
+    as Parquet (``land_json``) before heavy use.  Unknown fields are ignored."""
+    if multiline is None:
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        multiline = bool(first) and first[0][0].lstrip("\ufeff \t").startswith("[")
     return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
 
 
+def land_json(spark: SparkSession, path: str, schema: T.StructType, name: str = "json") -> DataFrame:
+    """The one-off landing step for array files: Parquet under ``spark.checkpoint.dir``."""
+    from .sinks import land
+    return land(read_json(spark, path, schema), name)
+
+
+def _typed(raw: Column, kind: str | T.DataType | None) -> Column:
+    return raw if kind is None else raw.try_cast(kind)
+
+
+def _lines(spark: SparkSession, path: str, sep: str, names: Sequence[str] | None,
+           header: bool) -> tuple[DataFrame, list[str]]:
+    """Rows as one column ``value`` without the header, and the file's own names.
+
+    Spark's CSV reader takes the first line of each file as its header; read
+    with a separator that cannot occur, the whole line is that header, and
+    ``enforceSchema=false`` fails if any other file's header differs."""
+    if not header:
+        if names is None:
+            raise ValueError("names are required without a header")
+        return spark.read.text(path), list(names)
+    whole = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False,
+             "ignoreTrailingWhiteSpace": False, "header": True}
+    line = spark.read.options(**whole).csv(path).columns
+    if not line:
+        raise ValueError(f"no header in {path}")
+    schema = T.StructType([T.StructField(line[0], T.StringType())])
+    rows = spark.read.options(**whole, enforceSchema=False).schema(schema).csv(path)
+    return rows.toDF("value"), line[0].removeprefix("\ufeff").split(sep)
+
+
 def read_tsv(spark: SparkSession, path: str, names: Sequence[str] | None = None,
-             types: Mapping[str, T.DataType] | None = None, header: bool = True,
+             types: Mapping[str, str | T.DataType] | None = None, header: bool = True,
              sep: str = "\t") -> DataFrame:
-    """Delimited text with malformed rows handled like the reference:
-    rows with *more* fields than the header are dropped, rows with *fewer*
-    are padded with nulls, quoting is off, an empty field is null.
-
-    Spark's CSV modes do not offer that combination (PERMISSIVE truncates
-    long rows, DROPMALFORMED also drops short ones), so the split is done
-    with native expressions over ``read.text``.  With ``header=True`` every
-    line equal to the header line is dropped (as Spark's CSV reader does per
-    file) and, when ``names`` is not given, the names come from it.
+    """Delimited text, columns by the name in the file's header.
+
+    ``names`` picks columns (all by default, in the file's order); one that
+    the header lacks is an error.  Rows with *more* fields than the header are
+    dropped, rows with *fewer* are padded with nulls, quoting is off, an empty
+    field is null, a value that does not fit its type is null (``tsv_rejects``
+    counts both).  Only the first line of a file is its header; all files of
+    a folder must have the same.  Spark's own CSV modes do not offer that
+    combination (PERMISSIVE truncates long rows, DROPMALFORMED also drops
+    short ones), so the fields are split with native expressions.
     """
-    lines = spark.read.text(path)
-    if names is None:
-        if not header:
-            raise ValueError("names are required without a header")
-        names = spark.read.option("header", True).option("sep", sep).option("quote", "\u0000").csv(path).columns
-    names = list(names)
-    header_line = sep.join(names)
-    if header:
-        lines = lines.where(F.col("value") != F.lit(header_line))
-    parts = F.split(F.col("value"), _regex_quote(sep), -1)
-    kept = lines.select(parts.alias("_f")).where(F.size("_f") <= F.lit(len(names)))
+    rows, own = _lines(spark, path, sep, names, header)
+    picked = list(names) if names is not None else own
+    if missing := [n for n in picked if n not in own]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(own)}")
     types = dict(types or {})
-    cols = []
-    for i, n in enumerate(names):
-        raw = F.get(F.col("_f"), i)
-        v = F.when(raw == F.lit(""), F.lit(None).cast("string")).otherwise(raw)
-        cols.append((v.cast(types[n]) if n in types else v).alias(n))
-    return kept.select(*cols)
+    fields = rows.select(F.split("value", _regex_quote(sep), -1).alias("_f")).where(F.size("_f") <= len(own))
+    return fields.select(*[_typed(F.nullif(F.get("_f", F.lit(own.index(n))), F.lit("")), types.get(n)).alias(n)
+                           for n in picked])
+
+
+def tsv_rejects(spark: SparkSession, path: str, types: Mapping[str, str | T.DataType],
+                names: Sequence[str] | None = None, header: bool = True, sep: str = "\t") -> DataFrame:
+    """``reason, n``: rows that ``read_tsv`` drops (``fields``) and values it nulls (by column)."""
+    rows, own = _lines(spark, path, sep, names, header)
+    f = rows.select(F.split("value", _regex_quote(sep), -1).alias("_f"))
+    long = F.size("_f") > len(own)
+    counts = [F.count_if(long).alias("fields")]
+    for n, kind in types.items():
+        raw = F.nullif(F.get("_f", F.lit(own.index(n))), F.lit(""))
+        counts.append(F.count_if(~long & raw.isNotNull() & raw.try_cast(kind).isNull()).alias(n))
+    one = f.agg(*counts)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("reason"), F.col(f"`{c}`").alias("n"))
+                                          for c in one.columns])).alias("_r")).select("_r.*")
 
 
 def _regex_quote(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch for ch in s)
 
 
-def spread_if_few_files(df: DataFrame, keys: Sequence[str], slots: int | None = None) -> DataFrame:
-    """Hash-distribute ``df`` on ``keys`` when it is stored as fewer files than
-    the cluster has task slots *and* its scan plans fewer splits than that.
-
-    A Parquet file is split by row group, so a table written as one file with
-    one row group is read by a single task and every row-local step after the
-    scan (regexes, tokenising) runs on one core.  Spreading costs one shuffle
-    of the scanned columns, which only pays when the scan cannot parallelise.
-    A large table -- many files, or few large ones with as many splits
-    (``maxPartitionBytes`` each) as there are slots -- is returned unchanged:
-    at 100 TB the scan alone has far more splits than slots, so no shuffle.
-    The split count comes from planning the scan; no job runs.
-    """
-    slots = slots or df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots or df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)
+def spread(df: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
+    """Hash-distribute ``df`` on ``keys`` over ``parts`` partitions, for a table
+    stored as one file that a single task would read.  The caller decides: at
+    scale a scan has far more splits than task slots and needs no shuffle."""
+    return df.repartition(parts, *keys)
 
 
 def read_corpus(spark: SparkSession, path: str, col: str = "text") -> DataFrame:
@@ -92,23 +125,38 @@ def read_corpus(spark: SparkSession, path: str, col: str = "text") -> DataFrame:
     return spark.read.parquet(path).select(col)
 
 
-def read_by_extension(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Reader chosen by the text after the last '.' of the path."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             multiline: bool = False) -> DataFrame:
+    """CSV with a header, columns by name (a missing one is an error), values
+    that do not fit their type null.  ``NULL_MARK`` is null, a quoted ``""`` an
+    empty string.  ``multiline`` allows line breaks in quoted fields, at the
+    price of one task per file; cleaned sentences hold none."""
+    rows = (spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
+            .option("multiLine", multiline).option("nullValue", NULL_MARK)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    if schema is None:
+        return rows
+    if missing := [n for n in schema.fieldNames() if n not in rows.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(rows.columns)}")
+    return rows.select(*[_typed(F.col(f"`{f.name}`"), None if isinstance(f.dataType, T.StringType) else f.dataType)
+                         .alias(f.name) for f in schema.fields])
+
+
+def read_by_extension(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                      multiline: bool = False) -> DataFrame:
+    """Reader chosen by the text after the last '.' of the path
+    (``multiline``: as in ``read_csv``)."""
     ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ext == "csv":
-        # A quoted "" stays an empty string; only an unquoted empty field is
-        # null (Spark's default maps both to null).
-        r = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-             .option("nullValue", "\u0001"))
-        return (r.schema(schema) if schema else r.option("inferSchema", False)).csv(path)
+        return read_csv(spark, path, schema, multiline)
     if ext == "tsv":
         return read_tsv(spark, path, names=schema.fieldNames() if schema else None,
-                        types={f.name: f.dataType for f in schema.fields} if schema else None)
+                        types={f.name: f.dataType for f in schema.fields
+                               if not isinstance(f.dataType, T.StringType)} if schema else None)
     if ext in ("json", "jsonl"):
         if schema is None:
             raise ValueError("a schema is required for JSON")
-        return read_json(spark, path, schema)
+        return read_json(spark, path, schema, False if ext == "jsonl" else None)
     if ext == "parquet":
         return spark.read.parquet(path)
     if ext in ("txt", "text"):

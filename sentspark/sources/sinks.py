@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
+from .readers import NULL_MARK
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, RFC-4180 quote doubling, no index column."""
-    (df.write.mode(mode).option("header", True).option("escape", '"')
+    """CSV with a header, RFC-4180 quote doubling, no index column.  A null
+    is ``NULL_MARK`` and an empty string ``""``, so both come back as they were."""
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", NULL_MARK)
+       .option("emptyValue", '""')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
 
@@ -26,6 +31,24 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
        .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", "").csv(path))
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON arrays, one per file, a record a line (nulls are written as such)."""
+    ship_package(df.sparkSession)
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(record.alias("value")).mapInArrow(_as_array, "value string").write.mode(mode).text(path)
+
+
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    before = "["
+    for batch in batches:
+        lines = []
+        for record in batch.column(0).to_pylist():
+            lines.append(before + record)
+            before = ","
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": ["]" if before == "," else "[]"]})
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("split",),
                   mode: str = "overwrite") -> None:
     """Columnar sink, partitioned by split so readers prune folders."""

@@ -19,23 +19,19 @@ def test_prepare_corpus_and_make_datasets(spark):
     heads = [h.where(F.col("split") == s) for s in ("train", "dev")]
     pairs = S.sts_pairs(spark, SMOKE)
     out = scratch_path(spark, "corpus-job")
-    paths = J.prepare_corpus(docs, heads, [pairs], out)
+    by = {"dev": pairs.where(F.pmod("conv_id", F.lit(2)) == 0), "test": pairs.where(F.pmod("conv_id", F.lit(2)) == 1)}
+    paths = J.prepare_corpus(docs, heads, [pairs], out, eval_pairs=by)
 
     n_wiki = clean_sentences(docs).count()
     wiki = R.read_by_extension(spark, paths["wiki"], R.SENTENCE_SCHEMA)
     assert wiki.count() == n_wiki
-    add = R.read_by_extension(spark, paths["add"], R.SENTENCE_SCHEMA)
+    add = R.read_by_extension(spark, paths["add"], R.SENTENCE_SCHEMA, multiline=True)
     assert add.count() == n_wiki + h.count()
-    unsup = R.read_by_extension(spark, paths["unsup"], R.SENTENCE_SCHEMA)
+    unsup = R.read_by_extension(spark, paths["unsup"], R.SENTENCE_SCHEMA, multiline=True)
     flat = CO.unpivot_pairs(pairs.select("conv_id", "turn", "sentence1", "sentence2"), ["conv_id", "turn"])
     assert unsup.count() == flat.where(F.col("sentence").isNotNull()).count()
 
-    evals = {}
-    for split, cond in (("dev", F.pmod("conv_id", F.lit(2)) == 0), ("test", F.pmod("conv_id", F.lit(2)) == 1)):
-        evals[split] = scratch_path(spark, "job-eval") + f"/sts-{split}.tsv"
-        # TSV without quoting cannot hold tabs or newlines inside a field
-        flat_text = [F.regexp_replace(c, "[\t\n\r]", " ").alias(c) for c in ("sentence1", "sentence2")]
-        SK.write_tsv(pairs.where(cond).select(*flat_text, "score"), evals[split])
+    evals = {split: paths[split] for split in by}
     feats = J.make_datasets(spark, paths["wiki"], evals, scratch_path(spark, "job-features"),
                             vocab_size=512, max_length=16)
     d = spark.read.parquet(feats)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentspark.functions import vectors as V
 from sentspark.operators import features as FE
-from sentspark.sources.readers import spread_if_few_files
+from sentspark.sources.readers import spread
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -19,13 +19,16 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-def test_spread_only_when_scan_cannot_split(spark):
+def test_spread_is_explicit(spark):
+    from sentspark.plans import standins as S
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
-    spread = spread_if_few_files(docs, ["doc_id"], slots=8)
-    assert "REPARTITION_BY_NUM" in _plan(spread)
-    # as many files as slots: returned unchanged, no exchange added
-    same = spread_if_few_files(docs, ["doc_id"], slots=1)
-    assert same is docs
+    assert "REPARTITION_BY_NUM" in _plan(spread(docs, ["doc_id"], 8))
+    assert "Exchange" not in _plan(S.documents(spark, SMOKE))
+    spark.conf.set("sentspark.spread", "8")
+    try:
+        assert "REPARTITION_BY_NUM" in _plan(S.documents(spark, SMOKE))
+    finally:
+        spark.conf.unset("sentspark.spread")
 
 
 def test_batch_assign_is_dense_and_native(spark):
