@@ -4,9 +4,9 @@
   the same value as ``corr`` but NULL (not an ANSI error) for constant input
   or a single row.  Rows with a null on either side are skipped.
 * Spearman is Pearson over *average* ranks (ties share their mean position),
-  ranked per group with the distributed scan -- no single-partition window.
-* All metrics and groups (e.g. dev/test splits) are ranked in one job: the
-  scores are stacked into a long ``(group, metric, side, value)`` table.
+  ranked per group in two native levels (``scan``) -- no window over a group,
+  no Python and no job before the result is asked for.
+* All metrics and groups (e.g. dev/test splits) are ranked in one job.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import average_rank
+from .scan import value_ranks
 from .vectors import pair_scores
 
 # Report metric names, in the reference's order; each maps to the column
@@ -33,53 +33,49 @@ def pearson(x, y) -> Column:
     return F.try_divide(F.covar_pop(xv, yv), F.stddev_pop(xv) * F.stddev_pop(yv))
 
 
-def _long(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[str],
-          score_cols: Sequence[str], gold_col: str) -> DataFrame:
-    """One row per (group, metric, key) with both sides present."""
-    recs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"))
-                     for m in score_cols])
-    return (df.select(*group_cols, *key_cols, F.col(gold_col).cast("double").alias("y"),
-                      F.inline(recs))
-              .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-
-
 def correlations(df: DataFrame, score_cols: Sequence[str], gold_col: str,
-                 group_cols: Sequence[str] = (), key_cols: Sequence[str] = ("pair_id",),
-                 num_partitions: int | None = None) -> DataFrame:
+                 group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group..., metric, n, pearson, spearman)`` for every score column.
 
-    ``key_cols`` must identify a row inside a group.
+    A row counts for a metric if it has both that score and gold.  Gold is
+    ranked once, with one count per metric; scores are ranked in one long
+    table.  Ranks join back by value: a tied gold value is a skewed join side,
+    which is split, never a group.
     """
-    g = list(group_cols)
-    k = list(key_cols)
-    long = _long(df, g, k, score_cols, gold_col)
-    pear = long.groupBy(*g, "metric").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("pearson"))
-    sides = long.select(*g, "metric", *k, F.inline(F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))))
-    ranked = average_rank(sides, [*g, "metric", "side"], "value", out_col="rank",
-                          num_partitions=num_partitions)
-    paired = ranked.groupBy(*g, "metric", *k).agg(
-        F.max(F.when(F.col("side") == "x", F.col("rank"))).alias("rx"),
-        F.max(F.when(F.col("side") == "y", F.col("rank"))).alias("ry"))
-    spear = paired.groupBy(*g, "metric").agg(pearson("rx", "ry").alias("spearman"))
-    return pear.join(spear, on=[*g, "metric"], how="left")
-
-
-def spearman(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = (),
-             key_cols: Sequence[str] = ("pair_id",)) -> DataFrame:
+    g, m = list(group_cols), list(score_cols)
+    wide = df.select(*g, F.col(gold_col).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in m]) \
+             .where(F.col("y").isNotNull())
+    gold = value_ranks(wide, g, "y", [F.col(c).isNotNull() for c in m], [f"_ry_{c}" for c in m])
+    recs = lambda extra: F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("x"), *extra(c))
+                                            for c in m]))
+    scores = wide.select(*g, recs(lambda c: ())).where("x is not null")
+    ranked = value_ranks(scores, [*g, "metric"], "x", [F.lit(1)], ["rx"])
+    gold = gold.toDF(*[f"_g{i}" for i in range(len(g))], "_y", *[f"_ry_{c}" for c in m])
+    on = wide["y"] == gold["_y"]
+    for i, c in enumerate(g):
+        on = on & wide[c].eqNullSafe(gold[f"_g{i}"])
+    long = (wide.join(gold, on).select(*g, "y", recs(lambda c: (F.col(f"_ry_{c}").alias("ry"),)))
+            .where("x is not null"))
+    ranked = ranked.toDF(*[f"_h{i}" for i in range(len(g))], "_m", "_x", "rx")
+    on = (long["metric"] == ranked["_m"]) & (long["x"] == ranked["_x"])
+    for i, c in enumerate(g):
+        on = on & long[c].eqNullSafe(ranked[f"_h{i}"])
+    return (long.join(ranked, on).groupBy(*g, "metric")
+            .agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman")))
+
+
+def spearman(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """A2: ``(group..., spearman)`` for one score column."""
-    c = correlations(df, [x], y, group_cols, key_cols)
+    c = correlations(df, [x], y, group_cols)
     return c.select(*group_cols, "spearman")
 
 
 def eval_report(scored_pairs: DataFrame, v1: str = "v1", v2: str = "v2", gold_col: str = "gold",
-                group_cols: Sequence[str] = (), key_cols: Sequence[str] = ("pair_id",),
-                prefix: str = "eval") -> DataFrame:
+                group_cols: Sequence[str] = (), prefix: str = "eval") -> DataFrame:
     """A3 / A5: one row (per group) of the eight metrics,
     ``{prefix}_{cosine,euclidean,manhattan,dot}_{pearson,spearman}``."""
     scored = pair_scores(scored_pairs, v1, v2)
-    c = correlations(scored, REPORT_METRICS, gold_col, group_cols, key_cols)
+    c = correlations(scored, REPORT_METRICS, gold_col, group_cols)
     aggs = []
     for m in REPORT_METRICS:
         for kind in ("pearson", "spearman"):
@@ -89,17 +85,15 @@ def eval_report(scored_pairs: DataFrame, v1: str = "v1", v2: str = "v2", gold_co
     return c.agg(*aggs)
 
 
-def eval_diag_report(diag: DataFrame, score_col: str, gold_col: str,
-                     key_cols: Sequence[str]) -> DataFrame:
+def eval_diag_report(diag: DataFrame, score_col: str, gold_col: str) -> DataFrame:
     """A4: ``(pearson, spearman)`` of the own-pair scores against gold."""
-    c = correlations(diag, [score_col], gold_col, (), key_cols)
+    c = correlations(diag, [score_col], gold_col)
     return c.select("pearson", "spearman")
 
 
 def evaluate(scored_pairs: DataFrame, metrics: Callable[[DataFrame], DataFrame] | None = None,
              v1: str = "v1", v2: str = "v2", gold_col: str = "gold",
-             group_cols: Sequence[str] = (), key_cols: Sequence[str] = ("pair_id",),
-             prefix: str = "eval") -> DataFrame:
+             group_cols: Sequence[str] = (), prefix: str = "eval") -> DataFrame:
     """evaluation with a pluggable metric function.
 
     ``metrics`` receives the pairs with the four similarity columns
@@ -107,5 +101,5 @@ def evaluate(scored_pairs: DataFrame, metrics: Callable[[DataFrame], DataFrame]
     without one, the eight-metric report (A3, or A5 with ``group_cols``).
     """
     if metrics is None:
-        return eval_report(scored_pairs, v1, v2, gold_col, group_cols, key_cols, prefix)
+        return eval_report(scored_pairs, v1, v2, gold_col, group_cols, prefix)
     return metrics(pair_scores(scored_pairs, v1, v2))

@@ -1,202 +1,132 @@
-"""Distributed running aggregates, global positions and average ranks.
-
-A ``Window.orderBy(...)`` without ``partitionBy`` moves every row into one
-task, and ``Window.partitionBy(key)`` moves a whole hot key into one task.
-Both break at scale.  ``prefix_scan`` instead:
-
-1. range-partitions on ``(group, order)`` -- the sampled range bounds split a
-   hot group across many tasks, because the full key is unique;
-2. sorts inside each partition and runs a per-partition scan in Arrow
-   batches (``mapInPandas``; the one place a sequential loop is needed);
-3. checkpoints that result, so the partitioning is fixed for the next step;
-4. builds one summary row per partition (bounded by the partition count, not
-   by the data), derives the carry-in each partition needs for the group it
-   starts with, and broadcasts that small table back.
-
-``average_rank`` uses it on *distinct* values with their counts, so a value
-repeated by a third of all rows is still one row in the scan; the join back
-to the rows is a many-to-one equi-join that AQE's skew-join handling splits.
+"""Distributed prefix sums, row indexes and average ranks, in two levels.
+
+A running quantity over a large group needs no single-task window: rows are
+cut into *buckets* that are monotone in the order, each (group, bucket) is
+scanned by its own native window, and what lies before a bucket comes from a
+window over the bucket totals -- one row per (group, bucket), summed with
+map-side partial aggregation and joined back.  Nothing is sampled and nothing
+runs while the plan is built; only keys and the scanned value take part, other
+columns just ride along.  Joins on groups are null-safe.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root, ship_package
-
-_PID = "_scan_pid"
-_RN = "_scan_rn"
-_INCL = "_scan_incl"
-_EXCL = "_scan_excl"
-# Hard ceiling on the carry table that is broadcast (one row per partition).
-MAX_SCAN_PARTITIONS = 100_000
-
-
-def _name(c) -> str:
-    if isinstance(c, str):
-        return c
-    raise TypeError("order/group columns must be given by name; use desc_order=")
-
-
-def _local_scan(group_cols: list[str], value_col: str, how: str):
-    """Per-partition sequential scan; input arrives sorted by (group, order)."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        prev_key = None
-        carry = None
-        rn0 = 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            vals = pdf[value_col].astype("float64")
-            if group_cols:
-                new = np.zeros(n, dtype=bool)
-                new[0] = True
-                for g in group_cols:
-                    a = pdf[g].to_numpy()
-                    na = pd.isna(a)
-                    same = (a[1:] == a[:-1]) | (na[1:] & na[:-1])
-                    new[1:] |= ~np.asarray(same, dtype=bool)
-                first_key = tuple(pdf[g].iloc[0] for g in group_cols)
-                last_key = tuple(pdf[g].iloc[-1] for g in group_cols)
-            else:
-                new = np.zeros(n, dtype=bool)
-                new[0] = True
-                first_key = last_key = ()
-            seg = np.cumsum(new)
-            s = pd.Series(vals.to_numpy(), index=seg)
-            if how == "sum":
-                incl = s.fillna(0.0).groupby(level=0).cumsum().to_numpy()
-            elif how == "max":
-                # cummax leaves NaN where the input is NaN; carry the max on
-                incl = s.groupby(level=0).cummax().groupby(level=0).ffill().to_numpy()
-            else:
-                raise ValueError(how)
-            excl = np.empty(n, dtype="float64")
-            excl[1:] = incl[:-1]
-            excl[new] = np.nan
-            # carry from the previous Arrow batch of the same partition
-            if carry is not None and prev_key == first_key:
-                head = seg == 1
-                if how == "sum":
-                    incl[head] = incl[head] + carry
-                    excl[head] = np.where(np.isnan(excl[head]), carry, excl[head] + carry)
-                else:
-                    incl[head] = np.fmax(incl[head], carry)
-                    excl[head] = np.where(np.isnan(excl[head]), carry, np.fmax(excl[head], carry))
-            prev_key = last_key
-            carry = incl[-1]
-            out = pdf.copy()
-            out[_PID] = pid
-            out[_RN] = np.arange(rn0, rn0 + n, dtype="int64")
-            out[_INCL] = incl
-            out[_EXCL] = excl
-            rn0 += n
-            yield out
-
-    return run
+_BUCKET = "_scan_b"
+#: Steps of an integer order column per bucket, and buckets per octave of a
+#: floating-point one.
+INTEGER_STEPS = 1024
+PER_OCTAVE = 4096
+
+
+def order_bucket(df: DataFrame, col: str) -> Column:
+    """A bucket of ``col`` that never decreases as ``col`` grows."""
+    kind, c = df.schema[col].dataType, F.col(f"`{col}`")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # sign and logarithm: as many buckets in each octave of magnitude
+        size = F.floor((F.log2(F.abs(c)) + F.lit(1100.0)) * F.lit(float(PER_OCTAVE)))
+        most = F.lit(2 ** 40)
+        return (F.when(F.isnan(c), most + F.lit(1)).when(F.abs(c) == F.lit(float("inf")), F.signum(c).cast("long") * most)
+                 .when(c == F.lit(0.0), F.lit(0)).otherwise(F.signum(c).cast("long") * size.cast("long")))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", c)
+    if isinstance(kind, T.StringType):
+        return F.substring(c, 1, 2)
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        return F.floor(c / F.lit(INTEGER_STEPS))
+    return c
 
 
 def prefix_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                value_col: str, how: str = "sum", out_col: str = "prefix",
-                exclusive_col: str | None = None, desc_order: bool = False,
-                num_partitions: int | None = None) -> DataFrame:
+                value_col: str | Sequence[str], how: str = "sum", out_col: str | Sequence[str] = "prefix",
+                exclusive_col: str | Sequence[str] | None = None, desc_order: bool = False,
+                bucket: Column | None = None) -> DataFrame:
     """Running ``sum`` or ``max`` of ``value_col`` per group, in order.
 
     ``(group_cols + order_cols)`` must be unique.  Adds ``out_col`` (inclusive
     prefix) and, if asked, ``exclusive_col`` (prefix before the row; null for
-    the first row of a group under ``max``, 0 under ``sum``).
+    the first row of a group under ``max``, 0 under ``sum``).  Lists scan
+    several values at once.  ``bucket`` overrides ``order_bucket`` of the first
+    order column; it must be monotone in the order.
     """
-    group_cols = [_name(c) for c in group_cols]
-    order_cols = [_name(c) for c in order_cols]
-    spark = df.sparkSession
-    checkpoint_root(spark)  # make sure the reliable checkpoint folder exists
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(n, MAX_SCAN_PARTITIONS))
-    ords = [F.col(c).desc() if desc_order else F.col(c).asc() for c in order_cols]
-    keys = [F.col(c).asc() for c in group_cols] + ords
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    schema = T.StructType(df.schema.fields + [
-        T.StructField(_PID, T.IntegerType(), False),
-        T.StructField(_RN, T.LongType(), False),
-        T.StructField(_INCL, T.DoubleType(), True),
-        T.StructField(_EXCL, T.DoubleType(), True),
-    ])
-    ship_package(spark)
-    local = ranged.mapInPandas(_local_scan(group_cols, value_col, how), schema)
-    # Fix the partitioning: the summary and the rows must see the same split.
-    local = local.checkpoint(eager=True)
-
-    gkey = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
-    summary = (local.groupBy(_PID).agg(
-        F.min_by(gkey, F.col(_RN)).alias("first_g"),
-        F.max_by(gkey, F.col(_RN)).alias("last_g"),
-        F.max_by(F.col(_INCL), F.col(_RN)).alias("last_total")))
-    # Running total of "last group" totals over partitions, per group; the
-    # carry into partition p is that running value at p-1 when p-1 ends with
-    # the group p starts with.  The table has one row per partition.
-    wg = Window.partitionBy("last_g").orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.sum("last_total").over(wg) if how == "sum" else F.max("last_total").over(wg)
-    summary = summary.withColumn("cum_total", cum)
-    wp = Window.orderBy(_PID)  # over <= num_partitions rows only
-    carries = (summary
-               .withColumn("prev_last", F.lag("last_g").over(wp))
-               .withColumn("prev_cum", F.lag("cum_total").over(wp))
-               .select(F.col(_PID), F.col("first_g").alias("_carry_g"),
-                       F.when(F.col("prev_last").eqNullSafe(F.col("first_g")), F.col("prev_cum"))
-                        .alias("_carry")))
-    joined = local.join(F.broadcast(carries), on=_PID, how="left")
-    applies = gkey.eqNullSafe(F.col("_carry_g")) & F.col("_carry").isNotNull()
-    if how == "sum":
-        incl = F.col(_INCL) + F.when(applies, F.col("_carry")).otherwise(F.lit(0.0))
-        excl = F.coalesce(F.col(_EXCL), F.lit(0.0)) + F.when(applies, F.col("_carry")).otherwise(F.lit(0.0))
-    else:
-        incl = F.when(applies, F.greatest(F.col(_INCL), F.col("_carry"))).otherwise(F.col(_INCL))
-        excl = F.when(applies, F.greatest(F.col(_EXCL), F.col("_carry"))).otherwise(F.col(_EXCL))
-    cols = [F.col(f"`{c}`") for c in df.columns] + [incl.alias(out_col)]
-    if exclusive_col:
-        cols.append(excl.alias(exclusive_col))
-    return joined.select(*cols)
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    values = [value_col] if isinstance(value_col, str) else list(value_col)
+    outs = [out_col] if isinstance(out_col, str) else list(out_col)
+    excl = [exclusive_col] if isinstance(exclusive_col, str) else list(exclusive_col or [])
+    fold = {"sum": F.sum, "max": F.max}[how]
+    way = (lambda c: F.col(f"`{c}`").desc()) if desc_order else (lambda c: F.col(f"`{c}`").asc())
+    keyed = df.withColumn(_BUCKET, bucket if bucket is not None else order_bucket(df, order_cols[0]))
+    here = Window.partitionBy(*group_cols, _BUCKET).orderBy(*[way(c) for c in order_cols])
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed
+    for k, v in enumerate(values):
+        local = local.withColumn(f"_in{k}", fold(v).over(upto)).withColumn(f"_ex{k}", fold(v).over(earlier))
+    # one row per (group, bucket); the window over it is the only one without buckets
+    before = Window.partitionBy(*group_cols).orderBy(way(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = keyed.groupBy(*group_cols, _BUCKET).agg(*[fold(v).alias(f"_t{k}") for k, v in enumerate(values)])
+    carry = totals.select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group_cols)],
+                          F.col(_BUCKET).alias("_b"),
+                          *[fold(f"_t{k}").over(before).alias(f"_c{k}") for k in range(len(values))])
+    on = local[_BUCKET].eqNullSafe(carry["_b"])
+    for i, c in enumerate(group_cols):
+        on = on & local[c].eqNullSafe(carry[f"_g{i}"])
+    joined = local.join(carry, on)
+
+    def add(a: Column, b: Column) -> Column:
+        if how == "max":
+            return F.greatest(a, b)   # skips nulls
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+    made = [add(F.col(f"_in{k}"), F.col(f"_c{k}")).alias(o) for k, o in enumerate(outs)]
+    made += [add(F.col(f"_ex{k}"), F.col(f"_c{k}")).alias(o) for k, o in enumerate(excl)]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *made)
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-              out_col: str = "idx", desc_order: bool = False,
-              num_partitions: int | None = None) -> DataFrame:
+              out_col: str = "idx", desc_order: bool = False, bucket: Column | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order (per group).
 
-    Equivalent to ``row_number() - 1`` but with no single-partition window.
+    Equivalent to ``row_number() - 1`` but with no window over a whole group.
     ``(group_cols + order_cols)`` must be unique.
     """
     one = "_scan_one"
-    out = prefix_scan(df.withColumn(one, F.lit(1.0)), group_cols, order_cols, one, "sum",
-                      out_col="_scan_pos", desc_order=desc_order, num_partitions=num_partitions)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns],
-                      (F.col("_scan_pos") - F.lit(1)).cast("long").alias(out_col))
+    out = prefix_scan(df.withColumn(one, F.lit(1).cast("long")), group_cols, order_cols, one, "sum",
+                      out_col="_scan_pos", desc_order=desc_order, bucket=bucket)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_scan_pos") - F.lit(1)).alias(out_col))
+
+
+def value_ranks(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                weights: Sequence[Column], out_cols: Sequence[str]) -> DataFrame:
+    """``(group..., value, rank...)`` per distinct non-null value: the average
+    rank among all rows, once for each weight (how often a row counts)."""
+    counts = [f"_w{k}" for k in range(len(weights))]
+    distinct = (df.where(F.col(f"`{value_col}`").isNotNull()).groupBy(*group_cols, value_col)
+                  .agg(*[F.sum(w.cast("long")).alias(c) for w, c in zip(weights, counts)]))
+    below = [f"_below{k}" for k in range(len(weights))]
+    scanned = prefix_scan(distinct, group_cols, [value_col], counts, "sum",
+                          out_col=[f"_upto{k}" for k in range(len(weights))], exclusive_col=below)
+    return scanned.select(*group_cols, value_col,
+                          *[(F.col(b) + (F.col(c) + F.lit(1)) / F.lit(2.0)).alias(o)
+                            for b, c, o in zip(below, counts, out_cols)])
 
 
 def average_rank(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                 out_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
+                 out_col: str = "rank") -> DataFrame:
     """1-based average ranks (ties share the mean of their positions).
 
     Rows with a null value get a null rank and do not count.
     """
     group_cols = list(group_cols)
-    cnt = "_rank_cnt"
-    distinct = (df.where(F.col(value_col).isNotNull())
-                  .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).cast("double").alias(cnt)))
-    scanned = prefix_scan(distinct, group_cols, [value_col], cnt, "sum", out_col="_rank_incl",
-                          num_partitions=num_partitions)
-    ranks = scanned.select(*group_cols, value_col,
-                           (F.col("_rank_incl") - F.col(cnt) + (F.col(cnt) + F.lit(1.0)) / F.lit(2.0))
-                           .alias(out_col))
-    return df.join(ranks, on=[*group_cols, value_col], how="left")
+    ranks = value_ranks(df, group_cols, value_col, [F.lit(1)], [out_col])
+    ranks = ranks.select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group_cols)],
+                         F.col(f"`{value_col}`").alias("_v"), out_col)
+    on = df[value_col] == ranks["_v"]
+    for i, c in enumerate(group_cols):
+        on = on & df[c].eqNullSafe(ranks[f"_g{i}"])
+    return df.join(ranks, on, "left").select(*[F.col(f"`{c}`") for c in df.columns], out_col)

@@ -521,7 +521,7 @@ def q_pearson(spark, sf):
 @register("spearman")
 def q_spearman(spark, sf):
     s = VO.pair_scores(S.scored_pairs(spark, sf))
-    return EV.spearman(s, "cosine", "gold", ["split"], ["pair_id"]).select("split", r6("spearman").alias("spearman"))
+    return EV.spearman(s, "cosine", "gold", ["split"]).select("split", r6("spearman").alias("spearman"))
 
 
 def _rounded(df, keep=()):
@@ -543,7 +543,7 @@ def q_eval_diag_report(spark, sf):
     v = S.views(spark, sf, 2)
     d = C.diag_scores(C.in_batch_logits(v, ["z1", "z2"])).join(v.select("batch_id", "row", "gold"),
                                                                ["batch_id", "row"])
-    return _rounded(EV.eval_diag_report(d, "score", "gold", ["batch_id", "row"]))
+    return _rounded(EV.eval_diag_report(d, "score", "gold"))
 
 
 # --------------------------------------------------------------------- runs

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentspark.operators import evaluation as EV
 from sentspark.operators import runs as RU
-from sentspark.operators.scan import average_rank, prefix_scan, row_index
+from sentspark.operators.scan import average_rank, order_bucket, prefix_scan, row_index
 
 
 def _xy(spark, rows):
@@ -86,44 +86,86 @@ def test_retain_last_k(spark):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-3, 3)), min_size=1, max_size=60),
+@given(st.lists(st.tuples(st.sampled_from([0, 1, None]), st.integers(-3, 3)), min_size=1, max_size=60),
        st.integers(1, 5))
-def test_scan_matches_pandas(spark, rows, parts):
-    pdf = pd.DataFrame(rows, columns=["g", "v"]).astype({"v": float})
-    pdf["o"] = np.arange(len(pdf))
-    df = spark.createDataFrame(pdf[["g", "o", "v"]])
-    got = prefix_scan(df, ["g"], ["o"], "v", "sum", "s", num_partitions=parts).toPandas().sort_values("o")
-    exp = pdf.groupby("g")["v"].cumsum()
-    assert np.allclose(got["s"].to_numpy(), exp.to_numpy())
-    mx = prefix_scan(df, ["g"], ["o"], "v", "max", "m", num_partitions=parts).toPandas().sort_values("o")
-    assert np.allclose(mx["m"].to_numpy(), pdf.groupby("g")["v"].cummax().to_numpy())
-    rk = average_rank(df, ["g"], "v", num_partitions=parts).toPandas().sort_values("o")
-    assert np.allclose(rk["rank"].to_numpy(), pdf.groupby("g")["v"].rank().to_numpy())
+def test_scan_matches_pandas(spark, rows, size):
+    pdf = pd.DataFrame({"g": [None if g is None else 2 ** 60 + g for g, _ in rows],
+                        "o": range(len(rows)), "v": [float(v) for _, v in rows]}, dtype=object)
+    df = spark.createDataFrame([tuple(r) for r in pdf.itertuples(index=False)], "g long, o long, v double")
+    b = F.floor(F.col("o") / size)
+    by = pdf.astype({"v": float}).groupby(pdf["g"].map(str))["v"]
+    sums = {r.o: r.s for r in prefix_scan(df, ["g"], ["o"], "v", "sum", "s", bucket=b).collect()}
+    assert np.allclose([sums[o] for o in pdf.o], by.cumsum())
+    most = {r.o: r.m for r in prefix_scan(df, ["g"], ["o"], "v", "max", "m", bucket=b).collect()}
+    assert np.allclose([most[o] for o in pdf.o], by.cummax())
+    ranks = average_rank(df, ["g"], "v").collect()
+    assert {r.g for r in ranks} == set(pdf.g)                      # large keys stay what they are
+    assert np.allclose([r.rank for r in sorted(ranks, key=lambda r: r.o)], by.rank())
+
+
+def test_rank_buckets_are_monotone(spark):
+    xs = [float("-inf"), -1e300, -2.0, -1.0000001, -1.0, -5e-324, 0.0, 5e-324, 1e-9, 0.5, 0.500000001, 1.0, 3.0, 1e308,
+          float("inf"), float("nan")]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    got = [r[0] for r in df.select(order_bucket(df, "v")).collect()]
+    assert got == sorted(got) and len(set(got)) > 12
+    ranks = {str(r.v): r["rank"] for r in average_rank(df, [], "v").collect()}
+    assert [ranks[str(x)] for x in xs] == list(range(1, len(xs) + 1))
+
+
+def test_null_group_and_large_keys(spark):
+    rows = [(None, i, float(i), float(i * i)) for i in range(30)] + [(2 ** 60 + g, i, float(i), float(-i)) for g in (0, 1)
+                                                                   for i in range(20)]
+    df = spark.createDataFrame(rows, "g long, pair_id long, x double, y double")
+    got = {r.g: (r.n, round(r.spearman, 9)) for r in EV.correlations(df, ["x"], "y", ["g"]).collect()}
+    assert got == {None: (30, 1.0), 2 ** 60: (20, -1.0), 2 ** 60 + 1: (20, -1.0)}
+
+
+def test_gold_ranked_per_metric_null_pattern(spark):
+    rows = [(1.0, None, 1.0), (2.0, 5.0, 1.0), (None, 4.0, 3.0), (4.0, 3.0, 2.0), (5.0, 9.0, 9.0), (6.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    pdf = pd.DataFrame(rows, columns=["a", "b", "y"])
+    for r in EV.correlations(df, ["a", "b"], "y").collect():
+        own = pdf[[r.metric, "y"]].dropna()
+        assert r.n == len(own)
+        assert r.spearman == pytest.approx(own[r.metric].rank().corr(own.y.rank()), abs=1e-9)
 
 
 def test_hot_group_spreads_over_partitions(spark):
-    # one group holds 90 % of rows; the ranged scan must still use many tasks
+    # one group holds 90 % of rows; its windows must still be many
     df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, F.lit(1)).otherwise(F.lit(0)).alias("g"),
                                    F.col("id").alias("o"))
-    out = row_index(df, ["o"], ["g"], num_partitions=8)
-    sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    assert max(r["count"] for r in sizes) < 20000 * 0.5
+    out = row_index(df, ["o"], ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(g" in plan and "_scan_b" in plan
     pdf = out.toPandas()
     for g, sub in pdf.groupby("g"):
         assert sorted(sub.idx) == list(range(len(sub)))
 
 
-def test_no_single_partition_window_in_eval(spark):
-    """Windows without partition keys may only run over the scan's
-    per-partition summary (one row per partition), never over data rows."""
+def test_eval_plan_is_native_and_bucketed(spark):
+    """Windows without partition keys may only run over bucket totals, never
+    over data rows; no Python node; building the plan runs no job."""
     import re
     df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(50)], "pair_id long, x double, y double")
-    plan = EV.correlations(df, ["x"], "y")._jdf.queryExecution().executedPlan().toString()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "")
+    c = EV.correlations(df, ["x"], "y")
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    assert not tracker.getJobIdsForGroup("plan-only")
+    spark.sparkContext.setJobGroup("", "")
     for m in re.finditer(r"windowspecdefinition\(([^,)]*)", plan):
         first = m.group(1)
         if " ASC" in first or " DESC" in first:   # no partition columns
-            assert first.startswith("_scan_pid"), first
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+            assert first.startswith("_scan_b"), first
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "Arrow"):
+        assert node not in plan
+
+
+def test_nan_metric_is_missing_everywhere(spark):
+    log = _log(spark, [0.1, 0.3, float("nan"), 0.2])
+    assert RU.best_checkpoint(log).first().best_step == 2
+    assert RU.early_stop(log).first().best_step == 2
 
 
 def test_evaluate_pluggable_metric(spark):
