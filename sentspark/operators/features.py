@@ -2,8 +2,7 @@
 
 The reference encodes with a pretrained subword tokenizer.  Here the
 vocabulary is a table built from the corpus (space-separated tokens, top-k
-by frequency), joined by broadcast -- its size is bounded by ``vocab_size``.
-Token ids therefore differ from any pretrained model; shapes, special-token
+by frequency) or a tokenizer of the caller's own; shapes, special-token
 placement, truncation, padding and masking follow the reference.
 """
 
@@ -15,13 +14,14 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import hash_key, md5_slice_uniform, md5_u32
+from ..functions.hashing import hash_key, md5_u32
 from ..functions.text import fill_null_text
 from ..session import ship_package
+from .scan import row_index
+from .tokenizing import CLS_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID, Tokenizer, VocabTokenizer, encoder, masker
 
-# Reserved token ids (our own numbering).
-PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 SPECIAL_IDS = (PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID)
 N_SPECIAL = len(SPECIAL_IDS)
 # Label value that the masked-token loss ignores.
@@ -32,10 +32,8 @@ MLM_PROBABILITY = 0.15
 MLM_MASK_SHARE = 0.8       # of picked tokens -> MASK
 MLM_RANDOM_SHARE = 0.5     # of the remaining picked tokens -> random id
 VALIDATION_PERCENT = 5
-# Largest vocabulary we agree to broadcast.
-MAX_BROADCAST_VOCAB = 2_000_000
-# Ceiling on the bucket-offset table broadcast by batch_assign (one row each).
-MAX_BATCH_BUCKETS = 1_000_000
+# Rows of a vocabulary up to which it is sent to every task; beyond, a join.
+BROADCAST_VOCAB = 2_000_000
 BUCKETS_PER_PARTITION = 4
 
 
@@ -63,98 +61,106 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
     tokens (ties by token); ids start after the reserved ones.
 
     * Token counts: ``groupBy`` with map-side partial aggregation.
-    * Exact pre-filter: a histogram of the count values (one row per distinct
-      count -- at most ~sqrt(2 x tokens) rows, whatever the corpus size) gives
-      the largest count ``c*`` that at least k tokens reach; every top-k token
-      has ``cnt >= c*``.  ``c*`` is a scalar subquery (one value, computed
-      once), so the filter needs no join.
-    * Only those ~k candidates (plus ties at ``c*``) reach the final ordered
-      top-k, so its single merge task sees ~k rows per partition at most, not
-      every distinct token.  Ids are numbered over those k rows.
+    * Exact pre-filter: tokens per octave bucket of their count (16 buckets an
+      octave, about a thousand at most) give the bucket in which the k-th token
+      lies; lower ones are dropped before anything else moves.  The bucket is a
+      scalar subquery, computed once.
+    * What is left is numbered in two levels in order of (count, token), so
+      neither a popular count (all tokens seen once) nor the candidates ever
+      meet in one task; the table of bucket totals is bounded by the octave
+      buckets plus the first characters of rare tokens, not by the corpus.
     """
     k = vocab_size - N_SPECIAL
     if k <= 0:
         raise ValueError("vocab_size must exceed the number of reserved ids")
-    if vocab_size > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocab_size above {MAX_BROADCAST_VOCAB} cannot be broadcast by encode()")
     counts = (df.select(F.explode(tokens(col)).alias("token"))
-                .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
-    hist = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("_n_tok"))
-    at_least = F.sum("_n_tok").over(
-        Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, 0))
+                .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+                .withColumn("_oct", F.floor(F.log2("cnt") * F.lit(16.0)).cast("int")))
+    hist = counts.groupBy("_oct").agg(F.count(F.lit(1)).alias("_n_tok"))
+    at_least = F.sum("_n_tok").over(  # over octave buckets only
+        Window.orderBy(F.col("_oct").desc()).rowsBetween(Window.unboundedPreceding, 0))
     thr = (hist.withColumn("_at_least", at_least).where(F.col("_at_least") >= F.lit(k))
-               .agg(F.max("cnt").alias("_thr"))
+               .agg(F.max("_oct").alias("_thr"))
                .select(F.coalesce(F.col("_thr"), F.lit(0)).alias("_thr")))  # < k tokens: keep all
-    cand = counts.where(F.col("cnt") >= thr.scalar())  # scalar subquery, evaluated once
-    top = cand.orderBy(F.col("cnt").desc(), F.col("token").asc()).limit(k)
-    w = Window.orderBy(F.col("cnt").desc(), F.col("token").asc())  # over <= k rows
-    return top.select("token", (F.row_number().over(w) + F.lit(N_SPECIAL - 1)).cast("int").alias("id"), "cnt")
+    cand = counts.where(F.col("_oct") >= thr.scalar()).withColumn("_less", -F.col("cnt"))
+    # a count below 17 has an octave bucket of its own, so it can be cut by token
+    part = F.struct((-F.col("_oct")).alias("a"),
+                    F.when(F.col("cnt") <= 16, F.substring("token", 1, 1)).otherwise("").alias("b"))
+    top = row_index(cand, ["_less", "token"], out_col="_nth", bucket=part).where(F.col("_nth") < k)
+    return top.select("token", (F.col("_nth") + F.lit(N_SPECIAL)).cast("int").alias("id"), "cnt")
 
 
-def encode(df: DataFrame, cols, vocab: DataFrame, keys: Sequence[str],
+def vocab_tokenizer(vocab: DataFrame, most: int = BROADCAST_VOCAB) -> VocabTokenizer | None:
+    """A tokenizer of the ``(token, id)`` table, or ``None`` if it has more than
+    ``most`` rows.  Runs the table's plan: the bounded table is what tasks get."""
+    table = vocab.select("token", F.col("id").cast("int").alias("id")).limit(most + 1).toArrow()
+    if table.num_rows > most:
+        return None
+    return VocabTokenizer(table.column("token").combine_chunks(), table.column("id").to_numpy())
+
+
+def encode(df: DataFrame, cols, vocab: DataFrame | Tokenizer, keys: Sequence[str],
            max_length: int = MAX_SEQ_LENGTH, pad: bool = True,
-           out_col: str = "input_ids", carry: Sequence[str] = (),
-           broadcast_vocab: bool = True, with_masks: bool = False) -> DataFrame:
+           out_col: str = "input_ids", carry: Sequence[str] = (), with_masks: bool = False,
+           pad_id: int = PAD_ID, broadcast_rows: int = BROADCAST_VOCAB) -> DataFrame:
     """``[CLS] t1..tn [SEP] [PAD]...``, truncated so the specials fit in L.
 
     ``cols`` is one text column (-> ``array<int>``) or a list of view columns
-    (-> ``array<array<int>>``, one inner array per view).  Tokens of every view
-    are exploded in one pass, looked up with a broadcast hash join against the
-    bounded vocabulary (unknown -> UNK) and re-collected per row.  The collect
-    is partial-aggregated map-side, so one row per sentence is shuffled.
-    ``keys`` must identify a row; ``carry`` columns (functionally dependent on
-    the keys, e.g. labels) ride along in the grouping.  A vocabulary from
-    ``build_vocab`` has at most ``vocab_size <= MAX_BROADCAST_VOCAB`` rows, a
-    proven bound; pass ``broadcast_vocab=False`` for a table without one (the
-    lookup is then a shuffled join).
+    (-> ``array<array<int>>``, one inner array per view; a column named twice
+    is encoded once).  ``vocab`` is a ``(token, id)`` table or a tokenizer of
+    the caller's own (``tokenizing.Tokenizer``), e.g. a pretrained subword one.
+    Encoding is row-local: rows stay in their tasks and nothing is exchanged.
+    A table of more than ``broadcast_rows`` rows is joined instead.  ``keys``
+    must identify a row; ``carry`` columns ride along.
 
     ``with_masks`` also returns ``attention_mask`` and ``token_type_ids`` (T5),
-    as a tokenizer does.  The aggregation counts each view's real tokens, so
-    both are built with ``array_repeat``/``concat`` -- no per-element lambda.
+    as a tokenizer does.
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for CLS and SEP")
     keys = list(keys) + list(carry)
     nested = not isinstance(cols, str)
     views = list(cols) if nested else [cols]
+    tokenizer = vocab_tokenizer(vocab, broadcast_rows) if isinstance(vocab, DataFrame) else vocab
+    if tokenizer is None:
+        return _encode_by_join(df, views, nested, vocab, keys, max_length, pad, out_col, with_masks)
+    ship_package(df.sparkSession)
+    texts = {v: f"_text{i}" for i, v in enumerate(dict.fromkeys(views))}
+    rows = df.select(*keys, *[F.col(v).cast("string").alias(t) for v, t in texts.items()])
+    kind = "array<array<int>>" if nested else "array<int>"
+    names = [out_col, "attention_mask", "token_type_ids"][:3 if with_masks else 1]
+    out = T.StructType([*(rows.schema[c] for c in keys),
+                        *(T.StructField(n, T.DataType.fromDDL(kind)) for n in names)])
+    return rows.mapInArrow(encoder(tokenizer, [texts[v] for v in views], nested, keys, out_col, max_length, pad,
+                                   pad_id, with_masks), out)
+
+
+def _encode_by_join(df: DataFrame, views: list[str], nested: bool, vocab: DataFrame, keys: list[str],
+                    max_length: int, pad: bool, out_col: str, with_masks: bool) -> DataFrame:
+    """``encode`` for a vocabulary too large to send: tokens are exploded, joined
+    and collected again per row (two exchanges)."""
     arr = F.array(*[F.col(c) for c in views])
     v = df.select(*keys, F.posexplode(arr).alias("view", "_text"))
     toks = v.select(*keys, "view", F.posexplode_outer(F.slice(tokens("_text"), 1, max_length - 2))
                     .alias("tpos", "token"))
-    voc = vocab.select("token", F.col("id").alias("tid"))
-    looked = toks.join(F.broadcast(voc) if broadcast_vocab else voc, on="token", how="left")
+    looked = toks.join(vocab.select("token", F.col("id").alias("tid")), on="token", how="left")
     entry = F.struct(F.col("view"), F.col("tpos"),
-                     F.when(F.col("tpos").isNull(), F.lit(None).cast("int"))
-                      .otherwise(F.coalesce(F.col("tid"), F.lit(UNK_ID))).alias("tid"))
-    real = [F.sum(F.when((F.col("view") == F.lit(k)) & F.col("tpos").isNotNull(), F.lit(1))
-                   .otherwise(F.lit(0))).cast("int").alias(f"_n{k}") for k in range(len(views))]
-    per = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_t"), *real)
-
-    def width(k):  # CLS + real tokens + SEP
-        return F.col(f"_n{k}") + F.lit(2)
+                     F.when(F.col("tpos").isNotNull(), F.coalesce(F.col("tid"), F.lit(UNK_ID))).alias("tid"))
+    per = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
 
     def ids_of(k):
         mine = F.filter(F.col("_t"), lambda e: (e["view"] == F.lit(k)) & e["tid"].isNotNull())
         ids = F.concat(F.array(F.lit(CLS_ID)), F.transform(mine, lambda e: e["tid"]), F.array(F.lit(SEP_ID)))
         if pad:
-            ids = F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - width(k)))
+            ids = F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - F.size(ids)))
         return ids.cast("array<int>")
 
-    def mask_of(k):
-        m = F.array_repeat(F.lit(1), width(k))
-        if pad:
-            m = F.concat(m, F.array_repeat(F.lit(0), F.lit(max_length) - width(k)))
-        return m
-
-    def types_of(k):
-        return F.array_repeat(F.lit(0), F.lit(max_length) if pad else width(k))
-
     def stack(fn):
-        return F.array(*[fn(k) for k in range(len(views))]) if nested else fn(0)
+        return F.array(*[fn(ids_of(k)) for k in range(len(views))]) if nested else fn(ids_of(0))
 
-    out = [stack(ids_of).alias(out_col)]
+    out = [stack(lambda ids: ids).alias(out_col)]
     if with_masks:
-        out += [stack(mask_of).alias("attention_mask"), stack(types_of).alias("token_type_ids")]
+        out += [stack(attention_mask).alias("attention_mask"), stack(token_type_ids).alias("token_type_ids")]
     return per.select(*keys, *out)
 
 
@@ -189,8 +195,7 @@ def batch_assign(df: DataFrame, keys: Sequence[str], batch_size: int, seed: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # several buckets per partition: hashing bucket ids onto partitions then
     # evens out (one bucket per partition would leave some tasks with 3-4)
-    nb = num_buckets or BUCKETS_PER_PARTITION * parts
-    nb = max(1, min(nb, MAX_BATCH_BUCKETS))
+    nb = max(1, num_buckets or BUCKETS_PER_PARTITION * parts)
     key = hash_key(seed, *[F.col(k) for k in keys])
     order = F.md5(key)
     bucket = F.floor(md5_u32(key).cast("double") * F.lit(float(nb)) / F.lit(2.0 ** 32)).cast("int")
@@ -267,35 +272,14 @@ def mlm_mask(df: DataFrame, ids_col: str, keys: Sequence[str], vocab_size: int,
     Unpicked labels are -100.  The four draws of a token are disjoint slices
     of one md5 of ``seed:keys:view:pos`` -- stable across retries, no shuffle.
 
-    Three passes per view: the pick (one digest per *non-special* token,
-    padding is never hashed), the labels (read the pick), and the new ids,
-    which re-derive the digest for picked tokens only (~15 %).
+    Works on Arrow batches; padding and other special ids are never hashed.
     """
-    base = hash_key(seed, *[F.col(k) for k in keys])
-    special = F.array(*[F.lit(i) for i in SPECIAL_IDS])
-
-    def digest(k, i):
-        return F.md5(F.concat_ws(":", base, k.cast("string"), i.cast("string")))
-
-    def pick_view(v, k):
-        return F.transform(v, lambda x, i: F.struct(x.alias("x"), (
-            ~F.array_contains(special, x) & (md5_slice_uniform(digest(k, i), 0) < F.lit(probability))).alias("p")))
-
-    def new_ids(pv, k):
-        def one(t, i):
-            h = digest(k, i)
-            masked = md5_slice_uniform(h, 1) < F.lit(MLM_MASK_SHARE)
-            rand = md5_slice_uniform(h, 2) < F.lit(MLM_RANDOM_SHARE)
-            rid = F.floor(md5_slice_uniform(h, 3) * F.lit(vocab_size)).cast("int")
-            return F.when(~t["p"], t["x"]).when(masked, F.lit(MASK_ID)).when(rand, rid).otherwise(t["x"])
-        return F.transform(pv, one)
-
-    picked = F.transform(F.col(ids_col), pick_view)
-    return (df.withColumn("_m", picked)
-              .withColumn(out_ids, F.transform("_m", new_ids))
-              .withColumn(out_labels, F.transform("_m", lambda pv: F.transform(
-                  pv, lambda t: F.when(t["p"], t["x"]).otherwise(F.lit(IGNORE_INDEX)))))
-              .drop("_m"))
+    ship_package(df.sparkSession)
+    keyed = df.withColumn("_key", hash_key(seed, *[F.col(k) for k in keys]))
+    kind = T.ArrayType(T.ArrayType(T.IntegerType()))
+    out = T.StructType([*df.schema, T.StructField(out_ids, kind), T.StructField(out_labels, kind)])
+    return keyed.mapInArrow(masker(ids_col, SPECIAL_IDS, probability, MLM_MASK_SHARE, MLM_RANDOM_SHARE, vocab_size,
+                                   IGNORE_INDEX, out_ids, out_labels, "_key"), out)
 
 
 def default_batcher(df: DataFrame, keys: Sequence[str], ids_col: str = "input_ids",

@@ -326,10 +326,9 @@ def q_batch_assign(spark, sf):
 def q_pad_batch(spark, sf):
     w = S.wiki_sentences(spark, sf)
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
-    # batches depend on the keys only: number the sentences, carry the batch
-    # through the encoding (the count pass then never re-runs the encoding)
-    b = FE.batch_assign(w, ["doc_id", "pos"], BATCH_SIZE, SEED)
-    e = FE.encode(b, "sentence", vocab, ["doc_id", "pos"], pad=False, carry=["batch_id"])
+    # encode in place, then only ids are numbered and padded per batch
+    ids = FE.encode(w, "sentence", vocab, ["doc_id", "pos"], pad=False)
+    e = FE.batch_assign(ids, ["doc_id", "pos"], BATCH_SIZE, SEED).drop("idx")
     out = FE.pad_batch(e, "input_ids", "batch_id", PAD_MULTIPLE)
     return out.select("doc_id", "pos", "batch_id", "width", ids_text("input_ids").alias("input_ids"))
 
@@ -337,8 +336,8 @@ def q_pad_batch(spark, sf):
 def _pair_features(spark, sf, with_masks=False):
     w = S.wiki_sentences(spark, sf)
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
-    p = FE.self_pair(w).select("doc_id", "pos", F.get("sentences", 0).alias("a"), F.get("sentences", 1).alias("b"))
-    return FE.encode(p, ["a", "b"], vocab, ["doc_id", "pos"], with_masks=with_masks)
+    p = FE.self_pair(w).select("doc_id", "pos", F.get("sentences", 0).alias("a"))  # both views are alike
+    return FE.encode(p, ["a", "a"], vocab, ["doc_id", "pos"], with_masks=with_masks)
 
 
 @register("flatten_views")

@@ -23,6 +23,7 @@ from ..functions.text import norm_score
 from ..operators import corpus as CO
 from ..operators import features as FE
 from ..operators import text as TO
+from ..operators.tokenizing import Tokenizer
 from ..sources import readers as R
 from ..sources import sinks as SK
 from ..sources.paths import dataset_path
@@ -75,16 +76,18 @@ def _keyed(df: DataFrame, name: str) -> DataFrame:
 
 
 def make_datasets(spark: SparkSession, train_path: str, eval_paths: Mapping[str, str], out_dir: str,
-                  vocab_size: int = 32000, max_length: int = FE.MAX_SEQ_LENGTH) -> str:
+                  vocab_size: int = 32000, max_length: int = FE.MAX_SEQ_LENGTH,
+                  tokenizer: Tokenizer | None = None) -> str:
     """Feature building.  ``train_path`` holds one ``sentence`` column (CSV,
     TSV, JSON or Parquet by extension); ``eval_paths`` maps split names to
-    TSV files with ``sentence1, sentence2, score``.  Writes
+    TSV files with ``sentence1, sentence2, score``.  ``tokenizer`` replaces the
+    corpus vocabulary (e.g. a pretrained one).  Writes
     ``(row_id, input_ids, attention_mask, token_type_ids, labels)`` per
     split under ``out_dir`` (``labels`` is null for training rows)."""
     train = _keyed(R.read_by_extension(spark, train_path, R.SENTENCE_SCHEMA), "train-keyed")
-    vocab = FE.build_vocab(train, "sentence", vocab_size)
-    views = FE.self_pair(train).select(ROW_ID, F.get("sentences", 0).alias("a"), F.get("sentences", 1).alias("b"))
-    tr = FE.encode(views, ["a", "b"], vocab, [ROW_ID], max_length=max_length, with_masks=True)
+    vocab = tokenizer or FE.vocab_tokenizer(FE.build_vocab(train, "sentence", vocab_size), vocab_size)
+    views = FE.self_pair(train).select(ROW_ID, F.get("sentences", 0).alias("a"))  # views are alike
+    tr = FE.encode(views, ["a", "a"], vocab, [ROW_ID], max_length=max_length, with_masks=True)
     tr = tr.select(F.lit("train").alias("split"), "*", F.lit(None).cast("double").alias("labels"))
     parts = [tr]
     if eval_paths:

@@ -147,3 +147,29 @@ def test_encode_masks_equal_elementwise_definition(spark):
                       else FE.token_type_ids("input_ids"))
             bad = e.where((F.col("attention_mask") != want_m) | (F.col("token_type_ids") != want_t)).count()
             assert bad == 0, (cols, pad)
+
+
+def test_encode_with_own_tokenizer(spark):
+    """The hook: any callable from texts to id lists, padded and masked alike."""
+    def by_length(texts, max_length):
+        return [[101, *(len(w) for w in t.split())][:max_length - 1] + [102] for t in texts]
+
+    df = spark.createDataFrame([(0, "aa b", "x"), (1, None, "a b c d e f g h")], "k long, s string, t string")
+    out = {r.k: r for r in FE.encode(df, ["s", "t"], by_length, ["k"], max_length=5, pad_id=9, with_masks=True).collect()}
+    assert out[0].input_ids == [[101, 2, 1, 102, 9], [101, 1, 102, 9, 9]]
+    assert out[1].input_ids == [[101, 102, 9, 9, 9], [101, 1, 1, 1, 102]]
+    assert out[0].attention_mask == [[1, 1, 1, 1, 0], [1, 1, 1, 0, 0]]
+    assert out[0].token_type_ids == [[0] * 5] * 2
+
+
+def test_encode_by_join_equals_row_local(spark):
+    df = spark.createDataFrame([(i, " ".join(f"t{j % (i + 1)}" for j in range(i))) for i in range(12)] + [(99, None)],
+                               "k long, s string")
+    voc = _vocab(spark, ["t0", "t2", "t3"])
+    for pad in (True, False):
+        a = FE.encode(df, ["s", "s"], voc, ["k"], max_length=8, pad=pad, with_masks=True)
+        b = FE.encode(df, ["s", "s"], voc, ["k"], max_length=8, pad=pad, with_masks=True, broadcast_rows=2)
+        assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
+        key = lambda r: r.k
+        assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
+    assert FE.encode(df.limit(0), "s", voc, ["k"]).count() == 0
