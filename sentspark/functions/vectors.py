@@ -82,13 +82,3 @@ def neg_manhattan(a, b) -> Column:
 def neg_euclidean(a, b) -> Column:
     """Negative L2 distance."""
     return -euclidean(a, b)
-
-
-def scale(v, s) -> Column:
-    if not isinstance(s, Column):
-        return F.transform(_c(v), lambda x: x * F.lit(float(s)))
-    return F.zip_with(_c(v), broadcast_scalar(s, v), lambda x, k: x * k)
-
-
-def vadd(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + y)

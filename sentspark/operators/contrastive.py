@@ -1,10 +1,10 @@
 """In-batch contrastive scoring.
 
 A batch is built by ``batch_assign`` with a fixed size, so a group here is
-bounded by the batch size, not by the data.  Each batch is scored with one
-numpy matrix product inside ``applyInPandas``; what comes back is one row per
-anchor holding its logit row (the reference's ``(bs, bs[+bs])`` matrix row),
-never one row per pair.  Losses are then plain array expressions.
+bounded by the batch size, not by the data.  Each batch is scored in tiles of
+the similarity matrix and reduced as it goes: what comes back is, per anchor,
+its own logit, the largest one and the log-sum-exp of the row -- never the
+row itself.  Losses are then plain expressions.
 """
 
 from __future__ import annotations
@@ -12,66 +12,105 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import vectors as V
 from ..functions.vectors import COSINE_EPS, TEMPERATURE, broadcast_scalar
 from ..session import ship_package
 
 # Default weight of the masked-token loss in the combined objective.
 MLM_WEIGHT = 0.1
-# A batch bigger than this is refused (it would not come from batch_assign).
-MAX_BATCH_ROWS = 65_536
-
-
-def _cos_matrix(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    na = np.linalg.norm(a, axis=1)
-    nb = np.linalg.norm(b, axis=1)
-    return (a @ b.T) / np.maximum(np.outer(na, nb), eps)
-
-
-def in_batch_logits(df: DataFrame, view_cols: Sequence[str], batch_col: str = "batch_id",
+# A tile of the similarity matrix: anchors by columns.
+TILE = (512, 4096)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows (zeros where missing), and which are there."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    width = int(size.max(initial=0))
+    whole = size == width if width else np.zeros(len(size), dtype=bool)
+    kept = lists.filter(pa.array(whole))
+    out = np.zeros((len(size), width))
+    out[whole] = np.asarray(kept.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
+    whole &= ~np.isnan(out).any(axis=1)
+    out[~whole] = 0.0
+    return out, whole
+
+
+def _reduce(views: list[tuple[np.ndarray, np.ndarray]], temp: float, weight: float,
+            eps: float) -> tuple[np.ndarray, ...]:
+    """Per anchor: own logit, largest logit, log-sum-exp and number of columns."""
+    z, there = views[0]
+    n = len(z)
+    norms = [np.linalg.norm(v, axis=1) for v, _ in views]
+    own, most = np.full(n, np.nan), np.full(n, -np.inf)
+    total, columns = np.zeros(n), 0
+    for k, (other, has) in enumerate(views[1:], 1):
+        cols = np.flatnonzero(has)
+        columns += len(cols)
+        for a in range(0, n, TILE[0]):
+            rows = np.arange(a, min(n, a + TILE[0]))
+            for b in range(0, len(cols), TILE[1]):
+                c = cols[b:b + TILE[1]]
+                tile = z[rows] @ other[c].T
+                tile /= np.maximum(norms[0][rows, None] * norms[k][None, c], eps) * temp
+                at = np.searchsorted(c, rows)
+                diagonal = np.flatnonzero((at < len(c)) & (c[np.minimum(at, len(c) - 1)] == rows))
+                if k == 1:
+                    own[rows[diagonal]] = tile[diagonal, at[diagonal]]
+                elif weight:
+                    tile[diagonal, at[diagonal]] += weight
+                new = np.maximum(most[rows], tile.max(axis=1))
+                total[rows] = total[rows] * np.exp(most[rows] - new) + np.exp(tile - new[:, None]).sum(axis=1)
+                most[rows] = new
+    with np.errstate(divide="ignore"):
+        lse = most + np.log(total)
+    for x in (own, most, lse):
+        x[~there] = np.nan
+        x[~np.isfinite(x)] = np.nan
+    return own, most, lse, np.full(n, columns)
+
+
+def in_batch_scores(df: DataFrame, view_cols: Sequence[str], batch_col: str = "batch_id",
                     row_col: str = "row", temp: float = TEMPERATURE,
-                    hard_negative_weight: float = 0.0, eps: float = COSINE_EPS,
-                    out_col: str = "logits", max_batch_rows: int = MAX_BATCH_ROWS) -> DataFrame:
-    """V7 (+ V8, V9): per anchor row, ``cos(z1_i, z2_j)/temp`` for every j of
-    its batch; with a third view, ``cos(z1_i, z3_j)/temp`` columns follow, and
+                    hard_negative_weight: float = 0.0, eps: float = COSINE_EPS) -> DataFrame:
+    """V7 (+ V8, V9): an anchor's logits are ``cos(z1_i, z2_j)/temp`` for every j
+    of its batch; with a third view, ``cos(z1_i, z3_j)/temp`` columns follow, and
     ``hard_negative_weight`` is added to the anchor's own z3 column.
 
-    Output ``(batch_id, row, label, logits)``: ``label`` is the anchor's
-    position in its batch (rows sorted by ``row_col``), i.e. the index of its
-    positive in ``logits``.
+    Output ``(batch_id, row, label, n_cols, pos_logit, max_logit, lse)``:
+    ``label`` is the anchor's position in its batch (rows sorted by
+    ``row_col``), the index of its positive; ``pos_logit`` is that column's
+    logit and ``lse`` the log-sum-exp of all.
+
+    A null vector (or one of another length, or with a NaN) is missing: as z2
+    or z3 it is no column, as z1 or as an anchor's own z2 it makes that
+    anchor's values null.  Memory is one batch plus one tile.
     """
     views = list(view_cols)
     if len(views) not in (2, 3):
         raise ValueError("two or three views are supported")
-    schema = T.StructType([
-        T.StructField(batch_col, df.schema[batch_col].dataType, True),
-        T.StructField(row_col, df.schema[row_col].dataType, True),
-        T.StructField("label", T.IntegerType(), False),
-        T.StructField(out_col, T.ArrayType(T.DoubleType()), True),
-    ])
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        if n > max_batch_rows:
-            raise ValueError(f"batch of {n} rows exceeds {max_batch_rows}")
-        pdf = pdf.sort_values(row_col, kind="stable")
-        z = [np.stack(pdf[v].to_numpy()).astype("float64") for v in views]
-        sim = _cos_matrix(z[0], z[1], eps) / temp
-        if len(z) == 3:
-            neg = _cos_matrix(z[0], z[2], eps) / temp
-            if hard_negative_weight:
-                neg = neg + np.eye(n) * hard_negative_weight
-            sim = np.hstack([sim, neg])
-        return pd.DataFrame({batch_col: pdf[batch_col].to_numpy(), row_col: pdf[row_col].to_numpy(),
-                             "label": np.arange(n, dtype="int32"), out_col: list(sim)})
-
-    cols = [batch_col, row_col, *views]
+    kinds = [("label", T.IntegerType()), ("n_cols", T.IntegerType()), ("pos_logit", T.DoubleType()),
+             ("max_logit", T.DoubleType()), ("lse", T.DoubleType())]
+    schema = T.StructType([df.schema[batch_col], df.schema[row_col], *(T.StructField(c, k) for c, k in kinds)])
+
+    def score(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by(row_col)
+        own, most, lse, columns = _reduce([_matrix(batch.column(f"_z{k}")) for k in range(len(views))], temp,
+                                          hard_negative_weight, eps)
+        null = lambda x: pa.array(x, mask=np.isnan(x))
+        return pa.table({batch_col: batch.column(batch_col), row_col: batch.column(row_col),
+                         "label": pa.array(np.arange(len(own)), pa.int32()), "n_cols": pa.array(columns, pa.int32()),
+                         "pos_logit": null(own), "max_logit": null(most), "lse": null(lse)})
+
     ship_package(df.sparkSession)
-    return df.select(*cols).groupBy(batch_col).applyInPandas(score, schema)
+    rows = df.select(batch_col, row_col, *[F.col(v).alias(f"_z{k}") for k, v in enumerate(views)])
+    return rows.groupBy(batch_col).applyInArrow(score, schema)
 
 
 def logsumexp(arr) -> F.Column:
@@ -83,17 +122,15 @@ def logsumexp(arr) -> F.Column:
     return m + F.log(F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def row_losses(logits: DataFrame, logits_col: str = "logits", label_col: str = "label",
-               out_col: str = "loss") -> DataFrame:
+def row_losses(scores: DataFrame, out_col: str = "loss") -> DataFrame:
     """V10 per anchor: ``logsumexp(row) - row[label]`` (cross-entropy)."""
-    own = F.get(F.col(logits_col), F.col(label_col))
-    return logits.withColumn(out_col, logsumexp(logits_col) - own)
+    return scores.withColumn(out_col, F.col("lse") - F.col("pos_logit"))
 
 
-def info_nce(logits: DataFrame, batch_col: str = "batch_id", logits_col: str = "logits",
-             label_col: str = "label") -> DataFrame:
-    """Mean cross-entropy per batch ``(batch_id, n_rows, loss)``."""
-    r = row_losses(logits, logits_col, label_col)
+def info_nce(scores: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+    """Mean cross-entropy per batch ``(batch_id, n_rows, loss)`` over the
+    anchors that have one."""
+    r = row_losses(scores)
     return r.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("loss").alias("loss"))
 
 
@@ -109,20 +146,14 @@ def global_batches(df: DataFrame, step_col: str, rank_col: str, row_col: str,
               .withColumn(out_row, F.col(rank_col) * F.lit(local_batch_rows) + F.col(row_col)))
 
 
-def masked_ce(logits: DataFrame, token_keys: Sequence[str], vocab_col: str = "vocab_id",
-              logit_col: str = "logit", label_col: str = "label",
-              ignore_index: int = -100) -> DataFrame:
+def masked_ce(logits: DataFrame, token_keys: Sequence[str], logits_col: str = "logits",
+              label_col: str = "label", ignore_index: int = -100) -> DataFrame:
     """V12 per token: ``logsumexp over vocab - logit[label]`` for tokens whose
-    label is not ``ignore_index``.  The max and the sum share one exchange on
-    the token key (a group is one token's vocabulary)."""
-    keys = list(token_keys)
+    label is not ``ignore_index``.  A token is one row with its logits as an
+    array, as a model emits them: nothing is exchanged."""
     live = logits.where(F.col(label_col) != F.lit(ignore_index))
-    g = live.groupBy(*keys).agg(
-        F.max(logit_col).alias("_m"),
-        F.collect_list(F.col(logit_col)).alias("_l"),
-        F.sum(F.when(F.col(vocab_col) == F.col(label_col), F.col(logit_col))).alias("_own"))
-    lse = F.col("_m") + F.log(F.aggregate("_l", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_m"))))
-    return g.select(*keys, (lse - F.col("_own")).alias("token_loss"))
+    own = F.get(F.col(logits_col), F.col(label_col))
+    return live.select(*token_keys, (logsumexp(logits_col) - own).alias("token_loss"))
 
 
 def combined_loss(cl_loss, mlm_loss, weight: float = MLM_WEIGHT) -> F.Column:
@@ -130,7 +161,7 @@ def combined_loss(cl_loss, mlm_loss, weight: float = MLM_WEIGHT) -> F.Column:
     return F.col(cl_loss) + F.lit(weight) * F.col(mlm_loss)
 
 
-def diag_scores(logits: DataFrame, temp: float = TEMPERATURE, logits_col: str = "logits",
-                label_col: str = "label", out_col: str = "score") -> DataFrame:
-    """Each anchor's own-pair cosine (the diagonal of its batch block)."""
-    return logits.withColumn(out_col, F.get(F.col(logits_col), F.col(label_col)) * F.lit(temp))
+def diag_scores(df: DataFrame, v1: str = "z1", v2: str = "z2", out_col: str = "score") -> DataFrame:
+    """Each anchor's own-pair cosine (the diagonal of its batch block),
+    from its own row alone."""
+    return df.withColumn(out_col, V.cos_temp(V.as_double(v1), V.as_double(v2), 1.0))

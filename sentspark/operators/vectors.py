@@ -1,9 +1,9 @@
 """Pooling, dense projection and pair similarities over vector tables.
 
 Token-level hidden states are a long table ``(id, layer, pos, mask, vec)``.
-Pooling groups by sentence id; a group holds at most ``layers x L`` vectors
-(L = sequence length), so collecting one group per row is bounded by the
-model shape, never by the data.
+Pooling groups by sentence id; a group holds at most the vectors of two layers
+(``2 x L``, L = sequence length), so collecting one group per row is bounded by
+the model shape, never by the data.
 """
 
 from __future__ import annotations
@@ -30,45 +30,38 @@ def pool(df: DataFrame, pooler: str = "cls", keys: Sequence[str] = ("id",),
     ``cls``/``cls_before_pooler``: last layer, position 0 (the two differ only
     by the dense head, ``dense_tanh``).  ``avg``: masked mean of the last
     layer.  ``avg_first_last``: of the first and last.  ``avg_top2``: of the
-    last two.  A zero mask gives a vector of nulls (no error).
+    last two.  Layers are those of the whole table (a model's); one layer
+    stands for both of a pair of which there is only one.  A zero mask gives a
+    vector of nulls; a sentence without position 0 has no ``cls`` row.
 
-    Per-row values that the element loops need (picked layers, mask total)
-    are computed once per row and fed in as arrays (``broadcast_scalar``),
-    never re-evaluated per element.
+    Only the picked layers (or position 0) cross the exchange, and of those
+    only vectors that the mask keeps; ``cls`` keeps one row per task and key.
     """
     if pooler not in POOLERS:
-        raise ValueError(f"unrecognized pooling type {pooler}")
+        raise ValueError(f"no such pooling: {pooler} (there are {', '.join(POOLERS)})")
     keys = list(keys)
-    g = df.groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col(layer_col).alias("layer"), F.col(pos_col).alias("pos"),
-                                F.col(mask_col).cast("double").alias("mask"),
-                                V.as_double(vec_col).alias("vec"))).alias("_e"),
-        F.array_sort(F.collect_set(F.col(layer_col))).alias("_layers"))
-    last = F.element_at("_layers", -1)
+    layer = F.col(layer_col)
     if pooler in ("cls", "cls_before_pooler"):
-        hit = F.filter(F.zip_with("_e", V.broadcast_scalar(last, "_e"), lambda x, l: F.struct(
-            x["vec"].alias("vec"), ((x["layer"] == l) & (x["pos"] == F.lit(0))).alias("hit"))),
-            lambda x: x["hit"])
-        return g.select(*keys, F.element_at(hit, 1)["vec"].alias(out_col))
+        first = df.where(F.col(pos_col) == F.lit(0)).select(*keys, layer, F.col(vec_col))
+        return first.groupBy(*keys).agg(V.as_double(F.max_by(vec_col, layer_col)).alias(out_col))
+    last = df.agg(F.max(layer_col)).scalar()
     if pooler == "avg":
-        picks = F.array(last)
+        other = last
     elif pooler == "avg_first_last":
-        picks = F.array(F.element_at("_layers", 1), last)
+        other = df.agg(F.min(layer_col)).scalar()
     else:  # avg_top2
-        picks = F.array(F.element_at("_layers", -2), last)
-    # entries of the picked layers (the layer list rides along per element)
-    tagged = F.zip_with("_e", V.broadcast_scalar(picks, "_e"), lambda x, p: F.struct(
-        x["mask"].alias("mask"), x["vec"].alias("vec"),
-        F.array_contains(p, x["layer"]).alias("keep"), (x["layer"] == F.element_at(p, 1)).alias("den")))
-    chosen = F.filter(tagged, lambda x: x["keep"])
-    # sum of the mask over one picked layer's positions
-    denom = F.aggregate(chosen, F.lit(0.0),
-                        lambda acc, x: acc + F.when(x["den"], x["mask"]).otherwise(F.lit(0.0)))
-    width = F.size(F.element_at("_e", 1)["vec"])
-    total = F.aggregate(chosen, F.array_repeat(F.lit(0.0), width), lambda acc, x: F.zip_with(
-        acc, F.transform(x["vec"], lambda b: b * x["mask"]), lambda a, b: a + b))
-    scale = denom * F.size(picks).cast("double")
-    mean = F.zip_with(total, F.array_repeat(scale, width), lambda t, d: F.try_divide(t, d))
+        other = F.coalesce(df.where(layer < last).agg(F.max(layer_col)).scalar(), last)
+    picked = df.where((layer == last) | (layer == other)).select(
+        *keys, F.size(vec_col).alias("_size"), F.when(layer == last, F.col(mask_col).cast("double")).alias("_mask"),
+        F.when(F.col(mask_col) != F.lit(0), F.struct(F.col(mask_col).cast("double").alias("mask"),
+                                                     F.col(vec_col).alias("vec"))).alias("_e"),
+        F.when(other == last, F.lit(1.0)).otherwise(F.lit(2.0)).alias("_layers"))
+    g = picked.groupBy(*keys).agg(F.collect_list("_e").alias("_e"), F.max("_size").alias("_size"),
+                                  (F.sum("_mask") * F.max("_layers")).alias("_scale"))
+    total = F.aggregate("_e", F.array_repeat(F.lit(0.0), F.col("_size")), lambda acc, x: F.zip_with(
+        acc, F.zip_with(V.as_double(x["vec"]), V.broadcast_scalar(x["mask"], x["vec"]), lambda b, m: b * m),
+        lambda a, b: a + b))
+    mean = F.zip_with(total, F.array_repeat(F.col("_scale"), F.col("_size")), lambda t, d: F.try_divide(t, d))
     return g.select(*keys, mean.alias(out_col))
 
 

@@ -462,39 +462,38 @@ def q_sim_dot(spark, sf):
 
 
 # -------------------------------------------------------------- contrastive
-def _logit_summary(lg):
-    own = F.get(F.col("logits"), F.col("label"))
-    return lg.select("batch_id", "row", F.size("logits").alias("n_cols"), r6(own).alias("pos_logit"),
-                     r6(F.array_max("logits")).alias("max_logit"), r6(C.logsumexp("logits")).alias("lse"))
+def _summary(scores):
+    return scores.select("batch_id", "row", "n_cols", r6("pos_logit").alias("pos_logit"),
+                         r6("max_logit").alias("max_logit"), r6("lse").alias("lse"))
 
 
 @register("batch_sim")
 def q_batch_sim(spark, sf):
-    return _logit_summary(C.in_batch_logits(S.views(spark, sf, 2), ["z1", "z2"]))
+    return _summary(C.in_batch_scores(S.views(spark, sf, 2), ["z1", "z2"]))
 
 
 @register("hard_neg_cols")
 def q_hard_neg_cols(spark, sf):
-    return _logit_summary(C.in_batch_logits(S.views(spark, sf, 3), ["z1", "z2", "z3"]))
+    return _summary(C.in_batch_scores(S.views(spark, sf, 3), ["z1", "z2", "z3"]))
 
 
 @register("hard_neg_weight")
 def q_hard_neg_weight(spark, sf):
-    return _logit_summary(C.in_batch_logits(S.views(spark, sf, 3), ["z1", "z2", "z3"], hard_negative_weight=1.0))
+    return _summary(C.in_batch_scores(S.views(spark, sf, 3), ["z1", "z2", "z3"], hard_negative_weight=1.0))
 
 
 @register("info_nce")
 def q_info_nce(spark, sf):
-    lg = C.in_batch_logits(S.views(spark, sf, 2), ["z1", "z2"])
-    return C.info_nce(lg).select("batch_id", "n_rows", r6("loss").alias("loss"))
+    scores = C.in_batch_scores(S.views(spark, sf, 2), ["z1", "z2"])
+    return C.info_nce(scores).select("batch_id", "n_rows", r6("loss").alias("loss"))
 
 
 @register("global_batch")
 def q_global_batch(spark, sf):
     w = S.worker_views(spark, sf)
     g = C.global_batches(w, "step", "rank", "row", S.LOCAL_BATCH_ROWS)
-    lg = C.in_batch_logits(g, ["z1", "z2"])
-    return C.info_nce(lg).select(F.col("batch_id").alias("step"), "n_rows", r6("loss").alias("loss"))
+    scores = C.in_batch_scores(g, ["z1", "z2"])
+    return C.info_nce(scores).select(F.col("batch_id").alias("step"), "n_rows", r6("loss").alias("loss"))
 
 
 @register("masked_ce")
@@ -506,7 +505,7 @@ def q_masked_ce(spark, sf):
 
 @register("diag_scores")
 def q_diag_scores(spark, sf):
-    d = C.diag_scores(C.in_batch_logits(S.views(spark, sf, 2), ["z1", "z2"]))
+    d = C.diag_scores(S.views(spark, sf, 2))
     return d.select("batch_id", "row", r6("score").alias("score"))
 
 
@@ -540,8 +539,7 @@ def q_eval_by_split(spark, sf):
 @register("eval_diag_report")
 def q_eval_diag_report(spark, sf):
     v = S.views(spark, sf, 2)
-    d = C.diag_scores(C.in_batch_logits(v, ["z1", "z2"])).join(v.select("batch_id", "row", "gold"),
-                                                               ["batch_id", "row"])
+    d = C.diag_scores(v)
     return _rounded(EV.eval_diag_report(d, "score", "gold"))
 
 

@@ -51,7 +51,7 @@ SCORED = f"""scored AS (
   SELECT CASE WHEN x.pair_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, x.pair_id, x.v1, y.v2,
          {GOLD.format(a='x.l1', b='y.l2')} AS gold
   FROM (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS v1, label AS l1 FROM embeddings WHERE vec_id % 2 = 0) x
-  JOIN (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS v2, label AS l2 FROM embeddings WHERE vec_id % 2 = 1) y
+  LEFT JOIN (SELECT vec_id // 2 AS pair_id, CAST(embedding AS DOUBLE[]) AS v2, label AS l2 FROM embeddings WHERE vec_id % 2 = 1) y
   USING (pair_id))"""
 
 
@@ -108,7 +108,7 @@ def _views(n: int, per: int, name: str) -> str:
     for k in range(n):
         parts.append(f"(SELECT vec_id // {n} AS rk, CAST(embedding AS DOUBLE[]) AS z, label AS l "
                      f"FROM embeddings WHERE vec_id % {n} = {k}) v{k}")
-    joins = parts[0] + "".join(f" JOIN {p} USING (rk)" for p in parts[1:])
+    joins = parts[0] + "".join(f" LEFT JOIN {p} USING (rk)" for p in parts[1:])
     zs = ", ".join(f"v{k}.z AS z{k + 1}" for k in range(n))
     return f"""{name} AS (
   SELECT rk // {per} AS batch_id, rk % {per} AS row, rk AS row_key, {zs}, {GOLD.format(a='v0.l', b='v1.l')} AS gold
@@ -117,11 +117,11 @@ def _views(n: int, per: int, name: str) -> str:
 
 def _logits(view: str, n: int, weight: float = 0.0, temp: float = 0.05) -> str:
     sel = [f"SELECT a.batch_id, a.row, b.row AS j, {_cos_temp('a.z1', 'b.z2', temp)} AS logit, 0 AS kind "
-           f"FROM {view} a JOIN {view} b USING (batch_id)"]
+           f"FROM {view} a JOIN {view} b USING (batch_id) WHERE b.z2 IS NOT NULL"]
     if n == 3:
         w = f" + CASE WHEN a.row = b.row THEN {weight} ELSE 0.0 END" if weight else ""
         sel.append(f"SELECT a.batch_id, a.row, b.row AS j, {_cos_temp('a.z1', 'b.z3', temp)}{w} AS logit, 1 AS kind "
-                   f"FROM {view} a JOIN {view} b USING (batch_id)")
+                   f"FROM {view} a JOIN {view} b USING (batch_id) WHERE b.z3 IS NOT NULL")
     return f"""logits AS ({' UNION ALL '.join(sel)}),
 lsum AS (
   SELECT batch_id, row, count(*) AS n_cols, max(logit) FILTER (WHERE kind = 0 AND j = row) AS pos_logit,

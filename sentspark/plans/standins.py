@@ -82,7 +82,7 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.col("label").alias("l1"))
     y = e.where(side == 1).select(pid.alias("pair_id"), F.col("embedding").cast("array<double>").alias("v2"),
                                   F.col("label").alias("l2"))
-    j = x.join(y, "pair_id")
+    j = x.join(y, "pair_id", "left")  # an odd last vector has no partner
     split = F.when(F.pmod("pair_id", F.lit(2)) == 0, F.lit("dev")).otherwise(F.lit("test"))
     return j.select(split.alias("split"), "pair_id", "v1", "v2", _gold("l1", "l2").alias("gold"))
 
@@ -105,7 +105,7 @@ def hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def views(spark: SparkSession, sf_dir: str, n_views: int = 2) -> DataFrame:
     """Contrastive rows ``(batch_id, row, z1, z2[, z3], gold)``: vector v is
-    view v % n of row v div n; rows need every view (inner joins)."""
+    view v % n of row v div n; the last row may lack views (null)."""
     e = table(spark, sf_dir, "embeddings")
     rk = F.floor(F.col("vec_id") / n_views).cast("long")
     v = F.pmod("vec_id", F.lit(n_views))
@@ -114,7 +114,7 @@ def views(spark: SparkSession, sf_dir: str, n_views: int = 2) -> DataFrame:
     for k in range(n_views):
         part = e.where(v == k).select(rk.alias("row_key"), F.col("embedding").cast("array<double>").alias(f"z{k + 1}"),
                                       F.col("label").alias(f"l{k + 1}"))
-        out = part if out is None else out.join(part, "row_key")
+        out = part if out is None else out.join(part, "row_key", "left")
     cols = [F.floor(F.col("row_key") / per).cast("long").alias("batch_id"),
             F.pmod("row_key", F.lit(per)).cast("long").alias("row"), "row_key"]
     cols += [f"z{k + 1}" for k in range(n_views)]
@@ -139,16 +139,14 @@ def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mlm_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked-token logits ``(row, pos, vocab_id, logit, label)``: event e is
-    position e % 10 of row e div 10; 8 vocabulary logits ``3 sin(value + id)``;
-    85 % of positions are unlabelled (-100) by md5."""
+    """Masked-token logits ``(row, pos, logits, label)``: event e is position
+    e % 10 of row e div 10; 8 vocabulary logits ``3 sin(value + id)``; 85 % of
+    positions are unlabelled (-100) by md5."""
     ev = table(spark, sf_dir, "events")
     u = md5_u32(hash_key("mlm", F.col("event_id")))
     label = F.when(F.pmod(u, F.lit(100)) < F.lit(100 - MLM_LABELLED_PERCENT), F.lit(-100)) \
              .otherwise(F.pmod(u, F.lit(MLM_VOCAB))).cast("int")
-    base = ev.select(F.floor(F.col("event_id") / 10).cast("long").alias("row"),
-                     F.pmod("event_id", F.lit(10)).cast("int").alias("pos"), "value", label.alias("label"))
-    x = base.select("row", "pos", "label", "value",
-                    F.explode(F.sequence(F.lit(0), F.lit(MLM_VOCAB - 1))).alias("vocab_id"))
-    return x.select("row", "pos", "vocab_id", (F.lit(3.0) * F.sin(F.col("value") + F.col("vocab_id"))).alias("logit"),
-                    "label")
+    logits = F.array(*[F.lit(3.0) * F.sin(F.col("value") + F.lit(k)) for k in range(MLM_VOCAB)])
+    return ev.select(F.floor(F.col("event_id") / 10).cast("long").alias("row"),
+                     F.pmod("event_id", F.lit(10)).cast("int").alias("pos"), logits.alias("logits"),
+                     label.alias("label"))
