@@ -6,6 +6,8 @@ whole-stage codegen and run unchanged on batch or streaming DataFrames.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,35 +20,23 @@ NBSP = "\u00a0"
 # Minimum sentence length in code points, tested after strip, before the
 # character whitelist.
 MIN_SENTENCE_CHARS = 10
-# Characters Python's str.strip() treats as whitespace, in code-point order:
-# U+0009-U+000D, U+001C-U+001F, U+0020, U+0085, U+00A0, U+1680,
-# U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
-STRIP_CLASS = (r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}"
-               r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
-# Characters kept by the cleaning whitelist, in code-point order:
-# U+0020 space, U+0022 ", U+0025 %, U+0027-U+00B7 (one range),
-# U+2018, U+2019, U+201C, U+201D, U+3008-U+300B, U+4E00-U+9FA5 (CJK),
-# U+AC00-U+D7A3 (Hangul syllables).  Everything else is deleted.
-KEEP_CLASS = (r"\x{20}\x{22}\x{25}\x{27}-\x{B7}"
-              r"\x{2018}\x{2019}\x{201C}\x{201D}\x{3008}-\x{300B}"
-              r"\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}")
-# The same strip set as literal characters, for ``trim(str, chars)``.
-STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
-               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-               "\u2028\u2029\u202f\u205f\u3000")
-# The Latin-1 characters outside the whitelist: U+0000-U+001F, ! # $ &,
-# and U+00B8-U+00FF (accented letters among them).
-LATIN1_DROP_CHARS = ("".join(chr(c) for c in range(0x20)) + "!#$&"
-                     + "".join(chr(c) for c in range(0xB8, 0x100)))
+# Characters Python's str.strip() treats as whitespace, in code-point order.
+STRIP_CHARS = "".join(chr(c) for first, last in (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(first, last + 1))
+# Characters kept by the cleaning whitelist, as a regex class in code-point
+# order: space, quote, percent, apostrophe to middle dot, curly quotes, angle
+# brackets, CJK, Hangul syllables.  Everything else is deleted.
+KEEP_CLASS = " \"%'-·‘’“”〈-》一-龥가-힣"
 # Null sentences become one space so the row survives feature building.
 NULL_TEXT = " "
 # STS gold scores are on a 0-5 scale; null counts as 0.
 SCORE_SCALE = 5.0
 # ---------------------------------------------------------------------------
 
-# \A and \z anchor at the true ends of the input in both Java and RE2.
-STRIP_PATTERN = rf"\A[{STRIP_CLASS}]+|[{STRIP_CLASS}]+\z"
-DROP_PATTERN = rf"[^{KEEP_CLASS}]"
+DROP_PATTERN = f"[^{KEEP_CLASS}]"
+# The part of Latin-1 that the whitelist deletes.
+LATIN1_DROP_CHARS = "".join(re.findall(DROP_PATTERN, "".join(map(chr, range(0x100)))))
 
 
 def _c(col) -> Column:

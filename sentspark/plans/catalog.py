@@ -78,7 +78,7 @@ def q_sentence_break(spark, sf):
 
 @register("nbsp_norm")
 def q_nbsp_norm(spark, sf):
-    d = S.documents(spark, sf)
+    d = S.edge_documents(spark, sf)
     return d.select("doc_id", TX.nbsp_norm(TX.sentence_break("text")).alias("text"))
 
 
@@ -89,20 +89,20 @@ def q_explode_sentences(spark, sf):
 
 @register("strip_ws")
 def q_strip_ws(spark, sf):
-    lines = TO.broken_lines(S.documents(spark, sf), "text", ["doc_id"], "line")
+    lines = TO.broken_lines(S.edge_documents(spark, sf), "text", ["doc_id"], "line")
     return lines.select("doc_id", "pos", TX.strip_ws("line").alias("line"))
 
 
 @register("min_len")
 def q_min_len(spark, sf):
-    lines = TO.broken_lines(S.documents(spark, sf), "text", ["doc_id"], "line")
+    lines = TO.broken_lines(S.edge_documents(spark, sf), "text", ["doc_id"], "line")
     s = lines.select("doc_id", "pos", TX.strip_ws("line").alias("line"))
     return s.where(TX.long_enough("line"))
 
 
 @register("char_filter")
 def q_char_filter(spark, sf):
-    lines = TO.broken_lines(S.documents(spark, sf), "text", ["doc_id"], "line")
+    lines = TO.broken_lines(S.edge_documents(spark, sf), "text", ["doc_id"], "line")
     return lines.select("doc_id", "pos", TX.char_filter(TX.strip_ws("line")).alias("line"))
 
 

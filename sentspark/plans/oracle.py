@@ -7,7 +7,6 @@ functions, list functions and self-joins, reading the same views
 
 from __future__ import annotations
 
-from ..functions.text import KEEP_CLASS, MIN_SENTENCE_CHARS, STRIP_CLASS
 from ..operators.features import MAX_SEQ_LENGTH, N_SPECIAL
 from . import catalog as Q
 from . import standins as S
@@ -23,13 +22,29 @@ def _unif(key_sql: str) -> str:
     return f"({_u32(key_sql)} / 4294967296.0)"
 
 
-LINES = f"""lines AS (
+def _lines(table: str) -> str:
+    return f"""lines AS (
   SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (
     SELECT doc_id, unnest(arr) AS line, unnest(range(len(arr))) AS pos FROM (
       SELECT doc_id, string_split(replace(replace(text, '. ', '.' || {NL}), chr(160), ' '), {NL}) AS arr
-      FROM documents)))"""
-STRIP = f"'^[{STRIP_CLASS}]+|[{STRIP_CLASS}]+$'"
-KEEP = f"'[^{KEEP_CLASS}]'"
+      FROM {table})))"""
+
+
+LINES = _lines("documents")
+# Spelled out here on purpose: the oracle shares no class with the library.
+MIN_SENTENCE_CHARS = 10
+_SPACE = r"[\x{9}\x{A}\x{B}\x{C}\x{D}\x{1C}\x{1D}\x{1E}\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+STRIP = f"'^{_SPACE}+|{_SPACE}+$'"
+KEEP = (r"'[^\x{20}\x{22}\x{25}\x{27}-\x{B7}\x{2018}\x{2019}\x{201C}\x{201D}\x{3008}\x{3009}\x{300A}\x{300B}"
+        r"\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}]'")
+# documents, and per benchmark item a null, a no-break-space, a CJK and a Hangul text
+EDGE = """edge AS (
+  SELECT doc_id, text FROM documents
+  UNION ALL SELECT -4 * item_id - 1, NULL FROM benchmark
+  UNION ALL SELECT -4 * item_id - 2, chr(160) || replace(text, ' ', chr(160)) FROM benchmark
+  UNION ALL SELECT -4 * item_id - 3, chr(12288) || text || ' 漢字! #é€«龥龦» ' || chr(8195) || chr(133) FROM benchmark
+  UNION ALL SELECT -4 * item_id - 4, '가나다. ' || text || '. 힣힤·한국어' || chr(160) FROM benchmark)"""
+EDGE_LINES = f"{EDGE},\n{_lines('edge')}"
 WIKI = f"""{LINES},
 stripped AS (SELECT doc_id, pos, regexp_replace(line, {STRIP}, '', 'g') AS line FROM lines),
 wiki AS (SELECT doc_id, pos, regexp_replace(line, {KEEP}, '', 'g') AS sentence
@@ -233,12 +248,12 @@ def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["clean_sentences"] = wiki + "SELECT doc_id, pos, sentence FROM wiki"
     sql["sentence_break"] = f"SELECT doc_id, replace(text, '. ', '.' || {NL}) AS text FROM documents"
-    sql["nbsp_norm"] = f"SELECT doc_id, replace(replace(text, '. ', '.' || {NL}), chr(160), ' ') AS text FROM documents"
+    sql["nbsp_norm"] = f"WITH {EDGE}\nSELECT doc_id, replace(replace(text, '. ', '.' || {NL}), chr(160), ' ') AS text FROM edge"
     sql["explode_sentences"] = f"WITH {LINES}\nSELECT doc_id, pos, line FROM lines"
-    sql["strip_ws"] = f"WITH {LINES}\nSELECT doc_id, pos, regexp_replace(line, {STRIP}, '', 'g') AS line FROM lines"
-    sql["min_len"] = (f"WITH {LINES},\nstripped AS (SELECT doc_id, pos, regexp_replace(line, {STRIP}, '', 'g') AS line FROM lines)\n"
+    sql["strip_ws"] = f"WITH {EDGE_LINES}\nSELECT doc_id, pos, regexp_replace(line, {STRIP}, '', 'g') AS line FROM lines"
+    sql["min_len"] = (f"WITH {EDGE_LINES},\nstripped AS (SELECT doc_id, pos, regexp_replace(line, {STRIP}, '', 'g') AS line FROM lines)\n"
                       f"SELECT doc_id, pos, line FROM stripped WHERE length(line) >= {MIN_SENTENCE_CHARS}")
-    sql["char_filter"] = (f"WITH {LINES}\nSELECT doc_id, pos, regexp_replace(regexp_replace(line, {STRIP}, '', 'g'), "
+    sql["char_filter"] = (f"WITH {EDGE_LINES}\nSELECT doc_id, pos, regexp_replace(regexp_replace(line, {STRIP}, '', 'g'), "
                           f"{KEEP}, '', 'g') AS line FROM lines")
     sql["drop_null"] = (f"WITH {PAIRS}\nSELECT * FROM pairs WHERE conv_id IS NOT NULL AND turn IS NOT NULL "
                         "AND sentence1 IS NOT NULL AND sentence2 IS NOT NULL AND score IS NOT NULL")

@@ -37,6 +37,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(docs, ["doc_id"], int(parts)) if parts else docs
 
 
+def edge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` and, per benchmark item, texts that the driver's tables
+    lack: null, no-break spaces, CJK and Hangul (negative ids)."""
+    b = table(spark, sf_dir, "benchmark")
+    text, nbsp = F.col("text"), "\u00a0"
+    made = [F.lit(None).cast("string"),
+            F.concat(F.lit(nbsp), F.replace(text, F.lit(" "), F.lit(nbsp))),
+            F.concat(F.lit("\u3000"), text, F.lit(" 漢字! #é€«龥龦» \u2003\x85")),
+            F.concat(F.lit("가나다. "), text, F.lit(". 힣힤·한국어" + nbsp))]
+    rows = F.explode(F.array(*[F.struct((F.lit(-4) * F.col("item_id") - F.lit(k)).alias("doc_id"), t.alias("text"))
+                               for k, t in enumerate(made, 1)])).alias("_r")
+    return documents(spark, sf_dir).unionByName(b.select(rows).select("_r.*"))
+
+
 def wiki_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encyclopedia corpus -> ``(doc_id, pos, sentence)``."""
     return clean_sentences(documents(spark, sf_dir))
