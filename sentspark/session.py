@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import threading
@@ -69,11 +70,34 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root."""
+    """A fresh, unique folder under the shared checkpoint root.  It is deleted
+    when this process ends, or earlier by ``drop_scratch``."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/sentspark-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/sentspark-{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(_drop_all)
+    _SCRATCH[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def drop_scratch(path: str) -> None:
+    """Delete a folder of ``scratch_path`` whose contents no plan needs any more."""
+    held = _SCRATCH.pop(path, None)
+    if held is not None:
+        jvm, conf = held
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def _drop_all() -> None:
+    for path in list(_SCRATCH):
+        try:
+            drop_scratch(path)
+        except Exception:  # the JVM may have ended first; nothing is left to ask
+            return
 
 
+_SCRATCH: dict[str, tuple] = {}
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 

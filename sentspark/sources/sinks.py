@@ -68,6 +68,7 @@ def land(df: DataFrame, name: str) -> DataFrame:
     instead of recomputing the stage, and the lineage ends at the written
     table, so a lost executor does not replay the upstream work.  The
     reference also writes its corpus and features to disk between stages.
+    The folder is deleted when the process ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)

@@ -30,3 +30,29 @@ def test_python_stages_from_foreign_cwd():
     assert r.returncode == 0 and line, r.stderr[-2000:]
     _, n, m = line[0].split()
     assert int(n) > 0 and int(m) > 0
+
+
+def test_scratch_folders_are_deleted(tmp_path):
+    """Nothing that a finished process landed stays behind."""
+    import subprocess
+    import sys
+    import textwrap
+    code = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+        from sentspark.session import build_session, drop_scratch, scratch_path
+        from sentspark.sources.sinks import land
+        import os
+        spark = build_session("local[2]")
+        spark.sparkContext.setCheckpointDir({str(tmp_path)!r})
+        assert land(spark.range(5), "kept").count() == 5
+        p = scratch_path(spark, "early")
+        spark.range(3).write.parquet(p)
+        drop_scratch(p)
+        local = p.removeprefix("file:")
+        assert not os.path.exists(local) and any("kept" in x for _, d, _ in os.walk({str(tmp_path)!r}) for x in d)
+        spark.stop()
+    """)
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+    left = [x for _, d, f in os.walk(tmp_path) for x in [*d, *f] if "sentspark-" in x]
+    assert left == []
