@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import land
+from ..session import drop_scratch
+from .tables import landed
 
 #: Rounds grow with the logarithm of the node count; this only stops a defect.
 MOST_ROUNDS = 100
@@ -28,8 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     their least.  Neither takes a component apart, and they settle in stars.
     Null nodes link nothing; no links give no rows.
     """
-    links = land(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                 .where("u > v").distinct(), "links")
+    links, path = landed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                         .where("u > v").distinct(), "links")
     mark = None
     for _ in range(MOST_ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
         small = _towards_least(large)
         links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        links = land(links, "stars")
+        before = path
+        links, path = landed(links, "stars")
+        drop_scratch(before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

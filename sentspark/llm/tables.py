@@ -19,16 +19,22 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def land(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back.
+def landed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` under ``spark.checkpoint.dir``; the table read back, and its
+    folder for ``drop_scratch``.
 
     Cuts the lineage at a table that survives a lost executor, and lets
     several consumers scan only the columns they need.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """``landed`` for a table that is needed until the process ends."""
+    return landed(df, name)[0]
 
 
 def row_key(text: str = "text") -> Column:

@@ -125,6 +125,7 @@ def test_pipeline(spark):
     """Each stage against brute force over what its predecessor kept."""
     import corpus_pipeline as P
     from sentspark.llm import mixing, quality
+    from sentspark.llm.tables import land
     from sentspark.llm.catalog import held_out
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -132,20 +133,20 @@ def test_pipeline(spark):
     stage = dict(P.STAGES)
     rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    kept = P.land(stage["quality"](spark, docs, folder), "t1")
+    kept = land(stage["quality"](spark, docs, folder), "t1")
     scores = {r.doc_id: r.score for r in quality.score(docs, labels, used=~held_out(5, 0)).collect()}
     assert sorted(rows(kept)) == sorted((i, t) for i, t in rows(docs) if scores[i] >= P.QUALITY)
-    unique = P.land(stage["near_dedup"](spark, kept, folder), "t2")
+    unique = land(stage["near_dedup"](spark, kept, folder), "t2")
     before = rows(kept)
     least = {}
     for (i, t), c in zip(before, brute_components([brute_print(t) for _, t in before], 2)):
         least[c] = min(least.get(c, (i, t)), (i, t))
     assert sorted(rows(unique)) == sorted(least.values())
-    clean = P.land(stage["decontaminate"](spark, unique, folder), "t3")
+    clean = land(stage["decontaminate"](spark, unique, folder), "t3")
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
     hits = {i: h for i, _, h, _ in brute_hits(rows(unique), items)}
     assert sorted(rows(clean)) == sorted((i, t) for i, t in rows(unique) if not hits[i])
-    mixed = P.land(stage["mix"](spark, clean, folder), "t4")
+    mixed = land(stage["mix"](spark, clean, folder), "t4")
     copies = {r.doc_id: r.copies for r in mixing.annotate(clean).collect()}
     assert Counter(rows(mixed)) == Counter({(i, t): copies[i] for i, t in rows(clean) if copies[i]})
     for df in (kept, unique, clean, mixed):
