@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentspark.llm import decontaminate, mixing, quality, simhash, token_files
 from sentspark.llm.catalog import held_out
-from sentspark.llm.tables import land, read_table
+from sentspark.llm.tables import landed, read_table
+from sentspark.session import drop_scratch
 
 #: A document with a lower quality score is rejected.
 QUALITY = 0.3
@@ -59,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = land(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = landed(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            drop_scratch(before)
+        before = path
     return docs
