@@ -54,7 +54,8 @@ def r6(c) -> F.Column:
 
 def ids_text(c) -> F.Column:
     """An int array as "a,b,c" (exact, engine-neutral)."""
-    return F.array_join(F.col(c) if isinstance(c, str) else c, ",")
+    # the cast is one generated loop; it prints "[1, 2]"
+    return F.translate((F.col(c) if isinstance(c, str) else c).cast("string"), "[] ", "")
 
 
 def dense_weights(out_dim: int = DENSE_OUT, in_dim: int = 64) -> np.ndarray:
@@ -326,9 +327,10 @@ def q_batch_assign(spark, sf):
 def q_pad_batch(spark, sf):
     w = S.wiki_sentences(spark, sf)
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
-    # encode in place, then only ids are numbered and padded per batch
-    ids = FE.encode(w, "sentence", vocab, ["doc_id", "pos"], pad=False)
-    e = FE.batch_assign(ids, ["doc_id", "pos"], BATCH_SIZE, SEED).drop("idx")
+    # number first: the count pass then needs no encoding, and a sentence's text
+    # is smaller than its ids; encoding afterwards moves nothing
+    b = FE.batch_assign(w, ["doc_id", "pos"], BATCH_SIZE, SEED)
+    e = FE.encode(b, "sentence", vocab, ["doc_id", "pos"], pad=False, carry=["batch_id"])
     out = FE.pad_batch(e, "input_ids", "batch_id", PAD_MULTIPLE)
     return out.select("doc_id", "pos", "batch_id", "width", ids_text("input_ids").alias("input_ids"))
 
