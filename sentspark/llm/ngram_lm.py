@@ -52,9 +52,8 @@ FLUSH_TOKENS = 3_000_000
 SPREAD = 0.25
 #: So many most frequent words of each shard can be found to be such.
 FREQUENT = 256
-#: The end token's and the start context's hashes: no word's, but by a collision.
+#: The end token's hash: no word's, but by a collision.
 END = _U(0x9D39247E33776D41)
-START = _U(0x2AF7398005AAA5C7)
 _CODEC = pa.Codec("zstd", compression_level=1)
 _PART = "shard int, n long, a binary, b binary, c binary"
 

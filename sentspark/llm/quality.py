@@ -16,7 +16,7 @@ score is the share of class 1 among the labels (0.5 without any).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,8 @@ DIGIT = np.zeros(256, dtype=bool)
 DIGIT[48:58] = True
 HIGH = np.zeros(256, dtype=bool)
 HIGH[128:] = True
+_NEWLINE = np.zeros(256, dtype=bool)
+_NEWLINE[10] = True
 
 NAMES = ("log_words", "log_word_bytes", "symbols", "upper", "digits", "repeats", "sameness", "symbol_words",
          "log_line_words", "high_bytes", "same_lines", "stops")
@@ -87,10 +89,6 @@ def statistics(column: pa.Array) -> np.ndarray:
         share(_per_text(raw == 46, offsets), words)])
 
 
-_NEWLINE = np.zeros(256, dtype=bool)
-_NEWLINE[10] = True
-
-
 def _sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return np.diff(upto[first]).astype(np.float64)

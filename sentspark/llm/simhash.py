@@ -44,7 +44,6 @@ SEED = 42
 #: The Golay code's length, covering radius and generator
 #: polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 N, RADIUS, GENERATOR = 23, 3, 0b110001110101
-BLOCKS = 2
 _U = np.uint64
 
 
