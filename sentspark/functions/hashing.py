@@ -6,9 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_POW_32 = 4294967296.0
-
-
 def hash_key(*parts) -> Column:
     """``"p0:p1:..."`` as a string column (each part a Column or literal)."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
@@ -18,12 +15,3 @@ def hash_key(*parts) -> Column:
 def md5_u32(key: Column) -> Column:
     """First 8 hex digits of md5(key) as an integer in [0, 2^32)."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
-
-
-def md5_slice_uniform(hex_digest: Column, d: int) -> Column:
-    """Uniform in [0, 1) from draw ``d`` (0-3) of an md5 hex digest: hex
-    digits ``8d+1 .. 8d+8``, four disjoint 32-bit slices per digest."""
-    if not 0 <= d <= 3:
-        raise ValueError("one md5 holds four 32-bit draws")
-    u = F.conv(F.substring(hex_digest, 8 * d + 1, 8), 16, 10).cast("long")
-    return u.cast("double") / F.lit(TWO_POW_32)

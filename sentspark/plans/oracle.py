@@ -18,10 +18,6 @@ def _u32(key_sql: str) -> str:
     return f"CAST(('0x' || substr(md5({key_sql}), 1, 8)) AS BIGINT)"
 
 
-def _unif(key_sql: str) -> str:
-    return f"({_u32(key_sql)} / 4294967296.0)"
-
-
 def _lines(table: str) -> str:
     return f"""lines AS (
   SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (

@@ -8,7 +8,6 @@ from sentspark.plans import jobs as J
 from sentspark.plans import standins as S
 from sentspark.session import scratch_path
 from sentspark.sources import readers as R
-from sentspark.sources import sinks as SK
 
 SMOKE = "/root/testdata/sf0.001"
 

@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from sentspark.session import scratch_path
 from sentspark.sources import paths as P
