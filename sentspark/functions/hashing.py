@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def hash_key(*parts) -> Column:
     """``"p0:p1:..."`` as a string column (each part a Column or literal)."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
