@@ -61,9 +61,10 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, folder: str |
     spark = docs.sparkSession
     ship_package(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # texts break ties, so that rows without an id (or with one id) are dealt apart too
     rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("text"))
-            .repartitionByRange(parts, "doc_id")
-            .sortWithinPartitions("doc_id", row_key("text"), "text")
+            .withColumn("key", row_key("text"))
+            .repartitionByRange(parts, "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
             .withColumn("part", F.spark_partition_id()))
     out = T.StructType([rows.schema["doc_id"], T.StructField("part", T.IntegerType()),
                         T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType()),
