@@ -160,3 +160,28 @@ def test_pipeline(spark):
         want.append((i, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         at += len(ids)
     assert sorted(tuple(r) for r in P.run(spark, folder).collect()) == want
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_edge_cases(spark, empty):
+    """Nulls, empty and long texts, copies, repeated rows, clashing columns; and no rows at all."""
+    import random
+
+    import corpus_pipeline as P
+    from sentspark.llm.tables import land
+    from test_operators import CLASHES, docs as make, edge_rows
+    rows = [] if empty else edge_rows(random.Random(5))
+    df = land(make(spark, rows, CLASHES), "edge")
+    columns = df.columns
+    for name, stage in P.STAGES:
+        before, df = df.count(), land(stage(spark, df, SF), f"edge-{name}")
+        if name != "tokens":
+            assert df.columns == columns
+        if name in ("quality", "near_dedup", "decontaminate"):
+            assert df.count() <= before
+        if name == "tokens":
+            assert df.count() == before
+    assert (df.count() == 0) == empty
+    if not empty:
+        total = df.selectExpr("max(start + n_tokens) as m", "sum(n_tokens) as s").first()
+        assert total.m == total.s
