@@ -61,9 +61,10 @@ class CountCache:
         """Encode and append the distinct texts of ``docs`` that are not stored."""
         ship_package(self.spark)
         text = text_or_empty(f"`{text_col}`")
-        keyed = docs.select(digest(text).alias("digest"), text.alias("text"))
-        misses = (keyed.join(self.read().select("digest"), "digest", "left_anti")
-                  .groupBy("digest").agg(F.first("text").alias("text")))
+        # one text of each digest per task first: a join before that would move all copies
+        distinct = (docs.select(digest(text).alias("digest"), text.alias("text"))
+                    .groupBy("digest").agg(F.first("text").alias("text")))
+        misses = distinct.join(self.read().select("digest"), "digest", "left_anti")
         misses.mapInArrow(_count(self.tokenizer, self.folder), _CACHE).write.mode("append").parquet(self.path)
 
 
