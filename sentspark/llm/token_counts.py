@@ -61,10 +61,12 @@ class CountCache:
         """Encode and append the distinct texts of ``docs`` that are not stored."""
         ship_package(self.spark)
         text = text_or_empty(f"`{text_col}`")
-        # one text of each digest per task first: a join before that would move all copies
+        # one text of each digest per task first: a join before that would move all
+        # copies (and an anti join would be put there by the optimiser)
         distinct = (docs.select(digest(text).alias("digest"), text.alias("text"))
                     .groupBy("digest").agg(F.first("text").alias("text")))
-        misses = distinct.join(self.read().select("digest"), "digest", "left_anti")
+        stored = self.read().select("digest", F.lit(True).alias("stored"))
+        misses = distinct.join(stored, "digest", "left").where("stored is null").select("digest", "text")
         misses.mapInArrow(_count(self.tokenizer, self.folder), _CACHE).write.mode("append").parquet(self.path)
 
 
