@@ -12,7 +12,8 @@ one row.  Each shard becomes files of sorted arrays in the shared folder that
 
 Scoring is one pass over the documents.  A task maps the files into memory
 (pages are read as needed and never count as its own) and looks up its sorted
-distinct keys.  Nothing but file names, sizes and counts of counts, one row
+distinct keys, shard by shard; from a store that can't be mapped it reads one
+shard at a time.  Nothing but file names, sizes and counts of counts, one row
 per shard, reaches the driver.
 
 A word's place is its shard's base plus its index there.  The pairs of one
@@ -108,25 +109,8 @@ class Shards:
         fs, inner = filesystem(path)
         if isinstance(fs, pafs.LocalFileSystem):
             return np.memmap(inner, dtype=dtype, mode="r")
-        return np.frombuffer(_fetched(path), dtype=dtype)
-
-
-_FETCHED: dict[str, memoryview] = {}
-
-
-def _fetched(path: str) -> memoryview:
-    """A file of a store that can't be mapped: copied once per worker into a
-    temporary file, which is unlinked as soon as it is mapped."""
-    if path not in _FETCHED:
-        import mmap
-        import tempfile
-        fs, inner = filesystem(path)
-        with fs.open_input_stream(inner) as f, tempfile.TemporaryFile() as t:
-            while block := f.read(1 << 22):
-                t.write(block)
-            t.flush()
-            _FETCHED[path] = memoryview(mmap.mmap(t.fileno(), 0, access=mmap.ACCESS_READ))
-    return _FETCHED[path]
+        with fs.open_input_stream(inner) as f:    # a store that can't be mapped: this shard alone
+            return np.frombuffer(f.read(), dtype=dtype)
 
 
 def _store(folder: str, kind: str, shard: int, x: np.ndarray) -> str | None:
