@@ -45,7 +45,7 @@ ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("t
                    ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 #: Columns that are known once the headers are, and can carry a pushed predicate.
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")
-PARTITION_BYTES = 128 << 20
+PARTITION_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 DATE = "2025-01-01T00:00:00Z"
 LEAST_REVISIT = 100
