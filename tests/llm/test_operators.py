@@ -1,6 +1,8 @@
 """The training-data operators against brute force on small tables."""
 
+import contextlib
 import hashlib
+import io
 import math
 import random
 import re
@@ -512,6 +514,10 @@ def test_warc_pushdown_and_plain_files(spark, tmp_path):
         {("response", b"hello"): 2, ("request", b"GET /"): 3})
     wanted = df.where("record_type = 'response' and target_uri like 'http%'")
     assert wanted.count() == 2
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        wanted.explain("formatted")
+    plan = said.getvalue()
+    assert "EqualTo(record_type,response)" in plan and "StringStartsWith(target_uri,http)" in plan
     reader = warc.WarcReader({"path": str(tmp_path), "payload": "false"})
     from pyspark.sql.datasource import EqualTo, GreaterThan
     left = list(reader.pushFilters([EqualTo(("record_type",), "request"), GreaterThan(("payload_bytes",), 3)]))
