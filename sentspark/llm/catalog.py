@@ -73,7 +73,8 @@ def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = ngram_lm.train(docs, ~held_out(7, 2))
     return ngram_lm.score(docs, model).withColumn("held_out", held_out(7, 2)).select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "trigram_score")
 
 
 @register

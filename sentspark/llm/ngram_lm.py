@@ -1,4 +1,6 @@
-"""Interpolated modified Kneser-Ney bigram model.
+"""Interpolated modified Kneser-Ney model of order 2 or 3 (``ORDER``).
+
+This module holds words and pairs, ``trigrams`` the triples above them.
 
 Counting runs in Spark.  Tasks reduce their words, then their word pairs, to
 sorted distinct keys with counts before anything is shuffled, packed as a few
@@ -43,11 +45,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path, ship_package
+from ..session import drop_scratch, scratch_path, ship_package
 from . import textkernel as tk
 from .warc import filesystem
 
 _U = np.uint64
+#: Words of the longest n-grams.
+ORDER = 3
 FLUSH_TOKENS = 3_000_000
 #: A first word with more than this share of a shard's tokens is spread.
 SPREAD = 0.25
@@ -147,10 +151,17 @@ def _training(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(batch.column("train")) if "train" in batch.schema.names else batch
 
 
+def by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by shard, and where each shard begins in it (shards + 1)."""
+    if shards < 1 << 16:
+        shard = shard.astype(np.uint16)          # sorted by radix
+    order = np.argsort(shard, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+
 def _shard_rows(shard: np.ndarray, shards: int, key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed rows by shard; ``key`` is sorted."""
-    order = np.argsort(shard, kind="stable")     # keys stay sorted within a shard
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    order, cut = by_shard(shard, shards)         # keys stay sorted within a shard
     for s in range(shards):
         own = order[cut[s]:cut[s + 1]]
         if len(own):
@@ -398,6 +409,7 @@ class Model:
     word_discounts: np.ndarray
     distinct_pairs: int
     unseen_mass: float
+    triples: object = None                       # ``trigrams.Triples`` at order 3
 
     def lower(self, places: np.ndarray) -> np.ndarray:
         """Continuation probability of words by place (-1: unknown)."""
@@ -430,12 +442,12 @@ class Model:
         """Training counts of distinct pairs of known places."""
         key = pair_key(first, second)
         shard = pair_shard(first, key, self.hot, self.vocabulary.shards)
-        order = np.lexsort((key, shard))
-        cut = np.searchsorted(shard[order], np.arange(self.vocabulary.shards + 1))
+        order, cut = by_shard(shard, self.vocabulary.shards)
         out = np.zeros(len(first), dtype=np.int64)
         for s in range(self.vocabulary.shards):
             own = order[cut[s]:cut[s + 1]]
             if len(own):
+                own = own[np.argsort(key[own])]
                 k = find(self.pairs.load(s), key[own])
                 hit = k >= 0
                 out[own[hit]] = self.pair_counts.load(s)[k[hit]]
@@ -456,8 +468,12 @@ class Model:
         return np.log10(np.where(total > 0, held / np.maximum(total, 1), 0.0) + mass * lower)
 
 
-def train(docs: DataFrame, used: Column | None = None, shards: int | None = None, text_col: str = "text") -> Model:
+def train(docs: DataFrame, used: Column | None = None, shards: int | None = None, text_col: str = "text",
+          order: int = ORDER) -> Model:
     """Model of the rows of ``docs`` for which ``used`` (over its columns) holds."""
+    from . import trigrams
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     ship_package(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -490,16 +506,20 @@ def train(docs: DataFrame, used: Column | None = None, shards: int | None = None
     found = {r.n: r for r in pairs.where("shard = -1").select("n", "keys", "counts", "n1", "n2", "n3", "n4").collect()}
     beside = {r.shard: r for r in pairs.where("shard >= 0").select("shard", "n", "kind", "a", "b").groupBy("shard")
               .applyInArrow(_merge_beside(folder, vocabulary.base), _BESIDE_ROW).collect()}
+    drop_scratch(landed)
     start = list(beside[shards].start) if shards in beside else []
     own = [r for s, r in beside.items() if s < shards]
     word_n = [sum(getattr(r, f"n{k}") for r in own) for k in (1, 2, 3, 4)]
     d = discounts(*word_n)
     distinct = sum(r.pairs for r in own)
     taken = d[1] * word_n[0] + d[2] * word_n[1] + d[3] * sum(r.n3up for r in own)
-    return Model(vocabulary, hot_places, at(found, "keys"), at(found, "counts"),
-                 {x: at(beside, x) for x in _BESIDE}, documents, start,
-                 discounts(*(sum(getattr(r, f"n{k}") for r in found.values()) for k in (1, 2, 3, 4))), d, distinct,
-                 taken / distinct if distinct else 1.0)
+    model = Model(vocabulary, hot_places, at(found, "keys"), at(found, "counts"),
+                  {x: at(beside, x) for x in _BESIDE}, documents, start,
+                  discounts(*(sum(getattr(r, f"n{k}") for r in found.values()) for k in (1, 2, 3, 4))), d, distinct,
+                  taken / distinct if distinct else 1.0)
+    if order == 3:
+        model.triples = trigrams.train(rows, model, held)
+    return model
 
 
 def _score(model):
@@ -538,21 +558,28 @@ def _score_block(m: Model, held) -> pa.RecordBatch:
     sizes = np.concatenate([np.diff(b) for _, (_, b) in held])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     total = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end token
-    return pa.RecordBatch.from_pydict({
+    columns = {
         "doc_id": pa.concat_arrays([d for d, _ in held]), "n_tokens": pa.array(sizes, pa.int64()),
         "n_known": pa.array(total((second >= 0).astype(np.int64))),
         "train_tokens": pa.array(np.full(len(sizes), v.tokens)),
-        "base_score": pa.array(total(base)), "score": pa.array(total(logs))})
+        "base_score": pa.array(total(base)), "score": pa.array(total(logs))}
+    if m.triples is not None:
+        lower = m.triples.middle(m, f - 1, s - 1)[index]
+        columns["trigram_score"] = pa.array(total(m.triples.log10(m, f - 1, s - 1, index, first, lower)))
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every
-    row; perplexity is ``10 ^ (-score / n_tokens)``."""
+    row, ``score`` of the pairs, and at order 3 ``trigram_score``; perplexity is
+    ``10 ^ (-score / n_tokens)``."""
     spark = docs.sparkSession
     ship_package(spark)
     held = spark.sparkContext.broadcast(model)   # file names, sizes and discounts
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kinds = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(),
              "base_score": T.DoubleType(), "score": T.DoubleType()}
+    if model.triples is not None:
+        kinds["trigram_score"] = T.DoubleType()
     return rows.mapInArrow(_score(held), T.StructType(
         [rows.schema["doc_id"], *(T.StructField(k, t) for k, t in kinds.items())]))

@@ -585,6 +585,63 @@ def test_ngram_model(spark, rows):
     assert ngram_lm.score(df.limit(0), model).count() == 0
 
 
+def brute_trigrams(train, test):
+    words = lambda t: (t or "").lower().encode().split()
+    tri, raw, uni = Counter(), Counter(), Counter()
+    for t in train:
+        w = [b"<s>", *words(t), b"</s>"]
+        uni.update(w[1:])
+        raw.update(zip(w, w[1:]))
+        tri.update(zip(w, w[1:], w[2:]))
+    cc = lambda c: [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
+    left = Counter((b, c) for _, b, c in tri)
+    one = Counter(c for _, c in raw)
+    d3, d2, d1 = ngram_lm.discounts(*cc(tri)), ngram_lm.discounts(*cc(left)), ngram_lm.discounts(*cc(one))
+    middle = left + Counter({k: n for k, n in raw.items() if k[0] == b"<s>"})
+
+    def order(table, d):
+        total, taken = Counter(), Counter()
+        for k, n in table.items():
+            total[k[:-1]] += n
+            taken[k[:-1]] += d[min(n, 3)]
+        return lambda context, w, low: low if not total[context] else (
+            max(table[(*context, w)] - d[min(table[(*context, w)], 3)], 0) + taken[context] * low) / total[context]
+    n1 = sum(one.values())
+    mass = sum(d1[min(n, 3)] for n in one.values()) / n1
+    p1 = lambda w: mass / (len(uni) + 1) + ((one[w] - d1[min(one[w], 3)]) / n1 if one[w] else 0.0)
+    p2, p3 = order(middle, d2), order(tri, d3)
+
+    def p(u, v, w):
+        low = p2((v,), w, p1(w))
+        return low if v == b"<s>" else p3((u, v), w, low)
+    out = []
+    for t in test:
+        w = [b"", b"<s>", *words(t), b"</s>"]
+        out.append(sum(math.log10(p(*x)) for x in zip(w, w[1:], w[2:])))
+    return out, uni, p
+
+
+def test_ngram_order_3(spark):
+    rng = random.Random(5)
+    words = "a b c d e f g h i j the of".split()
+    texts_ = [" ".join(rng.choices(words, range(1, 13), k=rng.randint(0, 40))) for _ in range(120)]
+    texts_ += ["the of a " * 400, "zz the of new words", "", None]
+    df = docs(spark, list(enumerate(texts_)))
+    used = F.col("doc_id") % 5 != 0
+    want, uni, p = brute_trigrams([t for i, t in enumerate(texts_) if i % 5], texts_)
+    for shards in (1, 5):                                          # hot middle words are spread over five
+        model = ngram_lm.train(df, used, shards=shards)
+        got = {r.doc_id: r for r in ngram_lm.score(df, model).collect()}
+        for i, x in enumerate(want):
+            assert math.isclose(got[i].trigram_score, x, rel_tol=1e-9, abs_tol=1e-9), (shards, i)
+    for u, v in ((b"the", b"of"), (b"a", b"a"), (b"", b"<s>"), (b"<s>", b"the"), (b"never", b"seen")):
+        assert math.isclose(sum(p(u, v, w) for w in uni) + p(u, v, b"unknown!"), 1.0, abs_tol=1e-9)
+    pairs_only = ngram_lm.train(df, used, order=2)
+    assert "trigram_score" not in ngram_lm.score(df, pairs_only).columns
+    with pytest.raises(ValueError):
+        ngram_lm.train(df, used, order=4)
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(2)
     for n in (0, 1, 1000):
