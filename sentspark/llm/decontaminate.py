@@ -9,8 +9,10 @@ of windows with that suffix, and their words are compared directly, bytes
 included.  A chunk of documents is cut into lanes of a few hundred possible
 end positions that all advance together, each by its own shift.
 
-The benchmark is read in parts of bounded size.  Each part is one broadcast
-and one pass over the documents, which never leave their partitions.
+The benchmark is read in parts of bounded size (``PART_BYTES`` of text, tables
+of at most ``SHIFT_BITS``).  Each part is one broadcast and one pass over the
+documents, which never leave their partitions.  Between passes the rows are
+written with what was found, so a task holds the tables of one part.
 
 Defined cases: null texts have no words; an item without words is no pattern;
 items with equal ids are one item; a null item id counts as an empty string;
@@ -27,12 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import drop_scratch, ship_package
 from . import textkernel as tk
+from .tables import landed
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast part.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
+#: Most bits of a shift table's address (16 MB of bytes); a fuller table only skips less.
+SHIFT_BITS = 24
 LANE = 256
 PAIRS = 1 << 18
 _U = np.uint64
@@ -67,12 +72,12 @@ class _Length:
         self.item = pairs[:, 1]
         self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
         at = at[first]
-        bits = max(10, int(np.ceil(np.log2(len(at) * length + 1))) + 3)
+        bits = max(10, min(SHIFT_BITS, int(np.ceil(np.log2(len(at) * length + 1))) + 3))
         self.mask = _U((1 << bits) - 1)
-        self.shift = np.full(1 << bits, length - self.block + 1, dtype=np.int64)
+        self.shift = np.full(1 << bits, length - self.block + 1, dtype=np.min_scalar_type(-length))
         for q in range(self.block - 1, length):
             slot = (_block_hash(h, at + q, self.block) & self.mask).astype(np.int64)
-            np.minimum.at(self.shift, slot, length - 1 - q)
+            np.minimum.at(self.shift, slot, self.shift.dtype.type(length - 1 - q))
         suffix = _block_hash(h, at + length - 1, self.block)
         order = np.argsort(suffix, kind="stable")
         self.at, self.suffix = at[order], suffix[order]
@@ -129,7 +134,7 @@ class Matcher:
                     a = np.searchsorted(t.suffix, block[hit], side="left")
                     n = np.searchsorted(t.suffix, block[hit], side="right") - a
                     yield from self._confirm(w, t, doc[hit], p[hit], a, n)
-                p = p + np.maximum(step, 1)
+                p = p + np.maximum(step, 1).astype(np.int64)
                 on = p < stop
                 p, stop, doc = p[on], stop[on], doc[on]
 
@@ -234,11 +239,19 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] | None =
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
                      F.col(f"`{text_col}`").alias("text"))
     row = T.StructType([df.schema["row"], *OUT])
-    held = [spark.sparkContext.broadcast(m) for m in parts(benchmark, part_bytes, window)]
-    for k, part in enumerate(held):
-        more = k + 1 < len(held)
-        df = df.mapInArrow(_pass(part, more), T.StructType([*row, df.schema["text"]]) if more else row)
-    return df
+    rest = parts(benchmark, part_bytes, window)
+    matcher, past = next(rest), None
+    while matcher is not None:
+        part = spark.sparkContext.broadcast(matcher)
+        matcher = next(rest, None)
+        if matcher is None:
+            return df.mapInArrow(_pass(part, False), row)
+        df, path = landed(df.mapInArrow(_pass(part, True), T.StructType([*row, df.schema["text"]])),
+                          "decontaminate-pass")
+        part.destroy()
+        if past:
+            drop_scratch(past)
+        past = path
 
 
 def n_hit(spans: Column) -> Column:

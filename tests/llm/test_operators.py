@@ -585,6 +585,19 @@ def test_ngram_model(spark, rows):
     assert ngram_lm.score(df.limit(0), model).count() == 0
 
 
+def test_decontaminate_holds_one_part(spark, tmp_path, monkeypatch):
+    small = decontaminate.Matcher(["i"], [" ".join(f"w{k}" for k in range(3000))])
+    assert small.lengths[0].shift.dtype == np.int8
+    bench = spark.createDataFrame([(f"i{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(4)],
+                                  "item_id string, text string")
+    df = docs(spark, [(k, "before " + " ".join(f"w{k}x{j}" for j in range(12)) + " after") for k in range(4)])
+    found = decontaminate.annotate(df, bench, part_bytes=60)
+    assert {r.row.doc_id: r["items"] for r in found.collect()} == {k: [f"i{k}"] for k in range(4)}
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        found.explain()
+    assert said.getvalue().count("MapInArrow") == 1           # a task holds one part
+
+
 def brute_trigrams(train, test):
     words = lambda t: (t or "").lower().encode().split()
     tri, raw, uni = Counter(), Counter(), Counter()
