@@ -11,7 +11,9 @@ to strength; words outside a matched clause count nothing.
 Learned from labelled rows: the stems (beginnings of words that toxic
 documents share and clean ones lack, beside the lists below), their strengths,
 and the weights of the patterns.  Learning reads a seeded sample of at most
-``FIT_ROWS`` labelled rows (the documented bound); scoring reads everything.
+``FIT_ROWS`` labelled rows (the documented bound), one text per family of
+copies.  At most ``CANDIDATES`` stems are considered and ``MOST_STEMS`` kept,
+those of the greatest likelihood ratio; scoring reads everything.
 
 Defined cases: null text counts as empty; a text without matched clause scores
 the bias alone; labels other than 0 and 1 are not used; without labels of both
@@ -44,6 +46,7 @@ STEM_BYTES = range(3, 9)
 LEAST_DOCS = 4
 LEAST_RATIO = 30.0
 MOST_STEMS = 1024
+CANDIDATES = 16 * MOST_STEMS
 #: Log-odds above which a word's beginning is a stem.
 LEAST_STRENGTH = 3.0
 PRIOR_STRENGTH = 4.0
@@ -228,18 +231,20 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str
         return 2 * (t * math.log(own / share) + (c * math.log((1 - own) / (1 - share)) if c else 0.0))
 
     chosen: dict[str, float] = {}
+    ratio: dict[str, float] = {}
     explained: dict[str, int] = defaultdict(int)
     for stem, t, c in sorted(rows, key=lambda r: (-round((r[1] + 0.5) / (r[1] + r[2] + 1), 2), -r[1], -len(r[0]), r[0])):
         if any(stem[:k] in chosen for k in range(1, len(stem))):
             continue
         left = t - explained[stem]
         power = strength(max(left, 0), c)
-        if left < LEAST_DOCS or power < LEAST_STRENGTH or surprise(left, c) < LEAST_RATIO or len(chosen) >= MOST_STEMS:
+        if left < LEAST_DOCS or power < LEAST_STRENGTH or surprise(left, c) < LEAST_RATIO:
             continue
-        chosen[stem] = power
+        chosen[stem], ratio[stem] = power, surprise(left, c)
         for k in range(1, len(stem)):
             explained[stem[:k]] += left
-    return chosen
+    most = sorted(chosen, key=lambda s: (-ratio[s], s))[:MOST_STEMS]
+    return {s: chosen[s] for s in most} if len(chosen) > MOST_STEMS else chosen
 
 
 def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -293,12 +298,14 @@ def train(docs: DataFrame, labels: DataFrame, used: Column | None = None, rows:
     model = Model({s: PRIOR_STRENGTH for s in INSULTS}, {s: PRIOR_STRENGTH for s in THREATS})
     if not toxic or not clean:
         return model
+    t, c, share = F.col("toxic"), F.col("clean"), toxic / (toxic + clean)
+    ratio = 2 * (t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0))
     stems = (sample.mapInArrow(_count_stems, "stem binary, toxic long, clean long").groupBy("stem")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .where(F.col("toxic") >= LEAST_DOCS)
              .where((F.col("toxic") + 0.5) / (toxic + 1) >= math.exp(LEAST_STRENGTH) * (F.col("clean") + 0.5) / (clean + 1))
-             .orderBy(F.col("toxic") / (F.col("clean") + 1), "stem", ascending=[False, True])
-             .limit(16 * MOST_STEMS).collect())
+             .where(ratio >= LEAST_RATIO)
+             .orderBy(ratio.desc(), "stem").limit(CANDIDATES).collect())
     found = [(s, r.toxic, r.clean) for r in stems if (s := bytes(r.stem).decode("utf-8", "ignore")).encode() == bytes(r.stem)]
     learned = choose(found, toxic, clean)
     # a listed word that the labels speak against keeps no strength of its own

@@ -598,6 +598,20 @@ def test_decontaminate_holds_one_part(spark, tmp_path, monkeypatch):
     assert said.getvalue().count("MapInArrow") == 1           # a task holds one part
 
 
+def test_toxic_stems_by_likelihood_before_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_STEMS", 3)
+    rare = [(f"r{chr(97 + k)}are", 8, 0) for k in range(20)]
+    assert "strong" in toxicity.choose([*rare, ("strong", 200, 200)], 320, 15680)
+    monkeypatch.setattr(toxicity, "CANDIDATES", 3)
+    rng = random.Random(4)
+    noise = lambda n: " ".join("".join(rng.choices("ghjklmnp", k=7)) for _ in range(n))
+    texts_ = [(i, f"{noise(6)} qualster " + f" xx{chr(97 + i // 6)}{chr(97 + i // 6)}yy " + noise(3)) for i in range(60)]
+    clean = [(100 + i, noise(9) + (" qualster" if i < 6 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in texts_ + clean], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts_ + clean), labels)
+    assert any("qualster".startswith(s) for s in model.stems)
+
+
 def brute_trigrams(train, test):
     words = lambda t: (t or "").lower().encode().split()
     tri, raw, uni = Counter(), Counter(), Counter()
