@@ -47,6 +47,8 @@ LEAST_DOCS = 4
 LEAST_RATIO = 30.0
 MOST_STEMS = 1024
 CANDIDATES = 16 * MOST_STEMS
+#: Least hashes of word pairs that texts of one family share.
+MIN_HASHES = 3
 #: Log-odds above which a word's beginning is a stem.
 LEAST_STRENGTH = 3.0
 PRIOR_STRENGTH = 4.0
@@ -203,15 +205,22 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least hash of a text's word pairs: near copies mostly share it."""
+    """Adds a hash of the ``MIN_HASHES`` least hashes of a text's word pairs,
+    each of its own hash function: near copies mostly share them all, texts
+    with a common pair or two don't."""
     for whole in batches:
         for batch in tk.chunks(whole, "text"):
             w = tk.words(batch.column("text"), tk.NOT_ALNUM)
             with np.errstate(over="ignore"):
                 pair = tk.mix64(w.hash[:-1] * _U(0x100000001B3) + w.hash[1:]) if len(w.hash) else w.hash
+                mixed = [pair, *(tk.mix64(pair + _U(j)) for j in range(1, MIN_HASHES))]
             family = np.zeros(batch.num_rows, dtype=_U)
             for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
-                family[k] = pair[a:b - 1].min() if b - a > 1 else w.hash[a] if b > a else 0
+                if b - a > 1:
+                    for x in mixed:
+                        family[k:k + 1] = tk.mix64(family[k:k + 1] ^ x[a:b - 1].min())
+                elif b > a:
+                    family[k] = w.hash[a]
             yield pa.RecordBatch.from_pydict({"text": batch.column("text"), "label": batch.column("label"),
                                               "family": pa.array(family.view(np.int64))})
 
@@ -292,7 +301,8 @@ def train(docs: DataFrame, labels: DataFrame, used: Column | None = None, rows:
     sample = text.join(F.broadcast(picked), "doc_id").select("text", "label")  # at most ``rows`` ids
     # copies of one toxic text would make all its words look toxic: one text of a family counts
     sample = land(sample.mapInArrow(_families, "text string, label long, family long")
-                  .dropDuplicates(["family", "label"]), "toxicity-sample")
+                  .groupBy("family", "label").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "text"), "text")).alias("one"))
+                  .select("one.text", "label"), "toxicity-sample")
     counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     model = Model({s: PRIOR_STRENGTH for s in INSULTS}, {s: PRIOR_STRENGTH for s in THREATS})

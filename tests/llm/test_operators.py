@@ -612,6 +612,15 @@ def test_toxic_stems_by_likelihood_before_the_limit(spark, monkeypatch):
     assert any("qualster".startswith(s) for s in model.stems)
 
 
+def test_toxicity_families_are_copies_not_common_pairs(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(["common pair", *("".join(rng.choices("abcdefgh", k=6)) for _ in range(6))])
+    column = pa.array([text() for _ in range(400)] + ["one and the same text of some words"] * 5)
+    batch = pa.RecordBatch.from_pydict({"text": column, "label": pa.array([1] * len(column), pa.int64())})
+    family = np.concatenate([b.column("family").to_numpy() for b in toxicity._families(iter([batch]))])
+    assert len(set(family[:400].tolist())) >= 395 and len(set(family[400:].tolist())) == 1
+
+
 def brute_trigrams(train, test):
     words = lambda t: (t or "").lower().encode().split()
     tri, raw, uni = Counter(), Counter(), Counter()
