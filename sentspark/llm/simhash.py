@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_package
 from . import textkernel as tk
@@ -201,11 +202,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def annotate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``doc_id, row_key, print, component_id, root`` for every row."""
+    """``doc_id, row_key, print, component_id, root`` for every row; ids keep
+    their type."""
     ship_package(docs.sparkSession)
-    rows = land(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(text_col).alias("row_key"),
-                            F.col(f"`{text_col}`").alias("text"))
-                .mapInArrow(_fingerprints(shingle), "doc_id long, row_key long, print long"), "fingerprints")
+    given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(text_col).alias("row_key"),
+                        F.col(f"`{text_col}`").alias("text"))
+    out = T.StructType([given.schema["doc_id"], T.StructField("row_key", T.LongType()),
+                        T.StructField("print", T.LongType())])
+    rows = land(given.mapInArrow(_fingerprints(shingle), out), "fingerprints")
     nodes = land(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     stars = components(links(nodes, max_bits))
     placed = (nodes.join(stars, nodes["print"] == stars["node"], "left")

@@ -621,6 +621,18 @@ def test_toxicity_families_are_copies_not_common_pairs(spark):
     assert len(set(family[:400].tolist())) >= 395 and len(set(family[400:].tolist())) == 1
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_near_dedup_keeps_id_types(spark, kind):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text), (2, text), (3, "another text of quite other words, long enough")],
+                               "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    if kind == "string":
+        df = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    kept = simhash.dedup(df, shingle=3, max_bits=2)
+    assert kept.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    assert sorted(str(r.doc_id)[-1] for r in kept.collect()) == ["1", "3"]
+
+
 def brute_trigrams(train, test):
     words = lambda t: (t or "").lower().encode().split()
     tri, raw, uni = Counter(), Counter(), Counter()
