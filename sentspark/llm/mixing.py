@@ -148,7 +148,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def annotate(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken, row_key`` for every row."""
+    """``doc_id, size, source_size, target, copies, taken, row_key, source`` for every row."""
     spark = docs.sparkSession
     ship_package(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -186,11 +186,12 @@ def annotate(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col:
             .withColumn("extra", (nth <= F.col("here")).cast("long")))
     out = whole.unionByName(part).withColumn("copies", F.col("times") + F.col("extra"))
     return out.select("doc_id", "size", "source_size", "target", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"), "row_key")
+                      (F.col("copies") * F.col("size")).alias("taken"), "row_key", "source")
 
 
 def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
     """The mix: rows of ``docs``, each as often as it is taken."""
     taken = annotate(docs, seed, id_col, text_col, source_col)
-    return pick(docs, taken.select(F.col("doc_id").alias(id_col), "row_key", "copies"), "copies", id_col, text_col)
+    own = taken.select(F.col("doc_id").alias(id_col), "row_key", "copies", F.col("source").alias(source_col))
+    return pick(docs, own, "copies", id_col, text_col, also=(source_col,))

@@ -43,21 +43,23 @@ def row_key(text: str = "text") -> Column:
 
 
 def pick(docs: DataFrame, decisions: DataFrame, copies: str, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``docs`` repeated as ``decisions`` says.
 
     ``decisions`` has one row per row of ``docs``: the id, ``row_key`` and a
     number of copies (0 drops the row).  Rows alike in id and text are one
     key: the key's copies are summed and given to one of its rows, which
-    returns the same rows whichever of them that is.  Null ids match null ids.
+    returns the same rows whichever of them that is; where other columns must
+    agree too, ``also`` names them (both tables have them).  Null ids match null ids.
     All columns of ``docs`` and nothing else come back.  One exchange of the
     rows, by id and text, which no hot group can share.
     """
-    per_key = (decisions.groupBy(F.xxhash64(id_col).alias("_a"), F.col("row_key").alias("_b"))
+    key = lambda text: F.xxhash64(text, *[F.col(f"`{c}`") for c in also]) if also else text
+    per_key = (decisions.groupBy(F.xxhash64(id_col).alias("_a"), key(F.col("row_key")).alias("_b"))
                .agg(F.sum(F.col(copies).cast("long")).alias("_copies"))
                .where(F.col("_copies") > 0))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                        F.xxhash64(F.col(f"`{id_col}`")).alias("_a"), row_key(f"`{text_col}`").alias("_b"))
+                        F.xxhash64(F.col(f"`{id_col}`")).alias("_a"), key(row_key(f"`{text_col}`")).alias("_b"))
     # the window reuses the join's partitioning: keys are plain columns, never null
     nth = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_copies"))
     picked = keyed.join(per_key, ["_a", "_b"]).withColumn("_nth", nth).where("_nth = 1")

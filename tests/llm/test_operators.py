@@ -633,6 +633,16 @@ def test_near_dedup_keeps_id_types(spark, kind):
     assert sorted(str(r.doc_id)[-1] for r in kept.collect()) == ["1", "3"]
 
 
+def test_mix_gives_each_source_its_own(spark):
+    rows_ = [(i, "same words in both sources", s) for i in range(40) for s in ("a", "b", "c")]
+    df = docs(spark, rows_)
+    plan = Counter()
+    for r in mixing.annotate(df, seed=3).collect():
+        plan[r.doc_id, r.source] += r.copies
+    got = Counter((r.doc_id, r.source) for r in mixing.mix(df, seed=3).collect())
+    assert got == +plan
+
+
 def brute_trigrams(train, test):
     words = lambda t: (t or "").lower().encode().split()
     tri, raw, uni = Counter(), Counter(), Counter()
