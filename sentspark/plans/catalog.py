@@ -492,9 +492,7 @@ def q_info_nce(spark, sf):
 
 @register("global_batch")
 def q_global_batch(spark, sf):
-    w = S.worker_views(spark, sf)
-    g = C.global_batches(w, "step", "rank", "row", S.LOCAL_BATCH_ROWS)
-    scores = C.in_batch_scores(g, ["z1", "z2"])
+    scores = C.in_batch_scores(S.step_views(spark, sf), ["z1", "z2"])
     return C.info_nce(scores).select(F.col("batch_id").alias("step"), "n_rows", r6("loss").alias("loss"))
 
 

@@ -135,14 +135,12 @@ def views(spark: SparkSession, sf_dir: str, n_views: int = 2) -> DataFrame:
     return out.select(*cols, _gold("l1", "l2").alias("gold"))
 
 
-def worker_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-view rows as ``GLOBAL_RANKS`` workers would hold them:
-    ``(step, rank, row, z1, z2)``, ``LOCAL_BATCH_ROWS`` rows per worker."""
+def step_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-view rows keyed by the step of all workers: ``(batch_id, row, z1, z2)``."""
     v = views(spark, sf_dir, 2)
     g = GLOBAL_RANKS * LOCAL_BATCH_ROWS
-    return v.select(F.floor(F.col("row_key") / g).cast("long").alias("step"),
-                    F.floor(F.pmod("row_key", F.lit(g)) / LOCAL_BATCH_ROWS).cast("long").alias("rank"),
-                    F.pmod("row_key", F.lit(LOCAL_BATCH_ROWS)).cast("long").alias("row"), "z1", "z2")
+    return v.select(F.floor(F.col("row_key") / g).cast("long").alias("batch_id"),
+                    F.pmod("row_key", F.lit(g)).cast("long").alias("row"), "z1", "z2")
 
 
 def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:

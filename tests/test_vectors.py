@@ -163,6 +163,14 @@ def test_pool_filters_before_the_exchange(spark):
         assert f"Filter" in below and wanted in below[below.index("Filter"):]
 
 
+def test_step_views_are_keyed_by_step(spark):
+    from sentspark.plans import standins as S
+    rows = S.step_views(spark, "/root/testdata/sf0.001")
+    g = S.GLOBAL_RANKS * S.LOCAL_BATCH_ROWS
+    keys = [r.row_key for r in S.views(spark, "/root/testdata/sf0.001").select("row_key").collect()]
+    assert sorted((r.batch_id, r.row) for r in rows.select("batch_id", "row").collect()) == sorted(divmod(k, g) for k in keys)
+
+
 def test_global_batches_rekey(spark):
     df = spark.createDataFrame([(0, rk, r, [1.0, float(rk)], [1.0, float(r)]) for rk in range(2) for r in range(3)],
                                "step long, rank long, row long, z1 array<double>, z2 array<double>")
