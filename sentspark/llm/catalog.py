@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, exact_dedup, mixing, ngram_lm, quality, simhash, token_counts, token_files, toxicity, warc
+from . import (centroids, collocations, decontaminate, exact_dedup, mixing, ngram_lm, quality, simhash, token_counts,
+               token_files, toxicity, url_labels, urls, warc)
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +112,28 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = token_counts.CountCache(spark, scratch_path(spark, "count-cache"))
     rows = token_counts.annotate(read_table(spark, sf_dir, "documents"), cache)
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@register
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each vector and the inertia of the clustering."""
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings")).drop("checked")
+
+
+#: Rules of the page filter (host and path prefix).
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+
+
+@register
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL: by the longest rule, else by the model."""
+    model = urls.train(url_labels.table(spark))
+    rules = [urls.parse_rule(line) for line in URL_RULES]
+    return urls.judge(read_table(spark, sf_dir, "pages"), model, rules, keep=["page_id"]).select(
+        "page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases."""
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
