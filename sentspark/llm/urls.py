@@ -42,11 +42,11 @@ from . import textkernel as tk
 
 ALLOW, BLOCK = "allow", "block"
 BITS = 16
-GRAMS = (3, 4, 5)
+GRAMS = (2, 3, 4)
 MOST_LABELLED = 16_384
 #: Rules are one expression each; a larger set would need a join.
 MOST_RULES = 1_000
-STEPS, RATE, RIDGE = 1500, 4.0, 1e-3
+STEPS, RATE, RIDGE = 1500, 4.0, 1e-4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _U = np.uint64
 
