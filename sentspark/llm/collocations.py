@@ -137,11 +137,10 @@ class Fingerprints:
             return tk.mix64(value ^ (self.seed[begin] + _U(n))) & self.mask
 
 
-def _texts(batch: pa.RecordBatch, seeds: dict[str, int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Chunks with a language number a row; new languages join ``seeds``."""
-    for chunk in tk.chunks(batch, "text"):
-        names = [x if x is not None else NO_LANGUAGE for x in chunk.column("lang").to_pylist()]
-        yield chunk, np.array([seeds.setdefault(x, len(seeds)) for x in names], dtype=np.int64)
+def _languages(chunk: pa.RecordBatch, numbers: dict[str, int]) -> np.ndarray:
+    """A language number a row; new languages join ``numbers``."""
+    names = [x if x is not None else NO_LANGUAGE for x in chunk.column("lang").to_pylist()]
+    return np.array([numbers.setdefault(x, len(numbers)) for x in names], dtype=np.int64)
 
 
 def _seeds(names: dict[str, int]) -> np.ndarray:
@@ -158,8 +157,8 @@ def _flushes(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[He
     held: list[Held] = []
     size, names = 0, {}
     for batch in batches:
-        for chunk, lang in _texts(batch, names):
-            held.append(Held.of(chunk, lang))
+        for chunk in tk.chunks(batch, "text"):
+            held.append(Held.of(chunk, _languages(chunk, names)))
             size += len(held[-1].hash)
             if size >= limit:
                 yield together(held), names
@@ -175,9 +174,9 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
-def _count(shards: int, bits: int):
+def _count(shards: int, bits: int, flush_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, names in _flushes(batches, FLUSH_TOKENS):
+        for held, names in _flushes(batches, flush_tokens):
             f = Fingerprints(held, _seeds(names), bits)
             keys = np.concatenate([f.at(f.begins(n), n) for n in (1, 2)])
             del held, f
@@ -212,9 +211,9 @@ def _mark(least: int, table_bits: int):
     return run
 
 
-def frequent(rows: DataFrame, least: int, shards: int, bits: int, table_bits: int) -> np.ndarray:
+def frequent(rows: DataFrame, least: int, shards: int, bits: int, table_bits: int, flush_tokens: int) -> np.ndarray:
     """Bit table of the fingerprints of words and pairs with ``least`` occurrences or more."""
-    marked = (rows.mapInArrow(_count(shards, bits), "shard int, n long, a binary, b binary").groupBy("shard")
+    marked = (rows.mapInArrow(_count(shards, bits, flush_tokens), "shard int, n long, a binary, b binary").groupBy("shard")
               .applyInArrow(_mark(least, table_bits), "first long, bytes binary"))
     out = np.zeros(1 << (table_bits - 3), dtype=np.uint8)
     for r in marked.collect():                   # all parts together are the table, whatever the corpus
@@ -242,7 +241,7 @@ def same_text(held: Held, one: np.ndarray, other: np.ndarray, n: int) -> np.ndar
     size = held.end[one + n - 1] - held.start[one]
     same = (size == held.end[other + n - 1] - held.start[other]) & (held.lang[one] == held.lang[other])
     open_ = np.flatnonzero(same)
-    step = max(1, FLUSH_TOKENS // 4)
+    step = 500_000                               # n-grams compared at a time
     for a in range(0, len(open_), step):
         own = open_[a:a + step]
         k = size[own]
@@ -265,10 +264,10 @@ def groups(held: Held, begin: np.ndarray, key: np.ndarray, n: int) -> tuple[np.n
     return (np.concatenate(pointers), np.concatenate(counts)) if pointers else (none, none)
 
 
-def _occurrences(held_table, most: int, bits: int, table_bits: int):
+def _occurrences(held_table, most: int, bits: int, table_bits: int, flush_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held_table.value
-        for held, names in _flushes(batches, FLUSH_TOKENS):
+        for held, names in _flushes(batches, flush_tokens):
             f = Fingerprints(held, _seeds(names), bits)
             lang = pa.array(list(names), pa.string())
             words = np.bincount(held.lang, minlength=len(names))
@@ -303,7 +302,7 @@ def _phrases(lang: pa.Array, which: np.ndarray, n: int, data: np.ndarray, size:
 
 def counted(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, lang_col: str = "lang",
             text_col: str = "text", shards: int | None = None, bits: int = 64,
-            table_bits: int = TABLE_BITS) -> DataFrame:
+            table_bits: int = TABLE_BITS, flush_tokens: int = FLUSH_TOKENS) -> DataFrame:
     """``lang, words, phrase, f``: exact counts of all phrases of 1 to ``most``
     words with ``least`` occurrences or more; ``words`` 0 holds the number of
     all words of a language."""
@@ -313,8 +312,9 @@ def counted(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, lang_co
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(1, -(-size // SHARD_BYTES))
-    table = spark.sparkContext.broadcast(frequent(rows, least, shards, bits, table_bits))
-    found = rows.mapInArrow(_occurrences(table, most, bits, table_bits), "lang string, words int, phrase string, f long")
+    table = spark.sparkContext.broadcast(frequent(rows, least, shards, bits, table_bits, flush_tokens))
+    found = rows.mapInArrow(_occurrences(table, most, bits, table_bits, flush_tokens),
+                            "lang string, words int, phrase string, f long")
     return (found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
             .where((F.col("f") >= least) | (F.col("words") == 0)))
 
@@ -326,7 +326,11 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST_W
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top``
     phrases of 2 to ``most`` words, after those are dropped that a longer one
     covers (in ``covered`` percent or more of their occurrences)."""
-    counts = land(counted(docs, least, most, **of_counting), "phrases")
+    return scored(land(counted(docs, least, most, **of_counting), "phrases"), top, most, covered)
+
+
+def scored(counts: DataFrame, top: int = TOP, most: int = MOST_WORDS, covered: int = COVERED) -> DataFrame:
+    """``mine`` from the table of ``counted``."""
     candidates = counts.where("words >= 2").select("lang", "words", "phrase", F.col("f").alias("a"))
     # longer candidates cover their parts
     parts = []
