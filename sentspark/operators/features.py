@@ -20,10 +20,9 @@ from ..functions.hashing import hash_key, md5_u32
 from ..functions.text import fill_null_text
 from ..session import ship_package
 from .scan import row_index
-from .tokenizing import CLS_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID, Tokenizer, VocabTokenizer, encoder, masker
+from .tokenizing import (CLS_ID, MASK_ID, N_SPECIAL, PAD_ID, SEP_ID, SPECIAL_IDS, UNK_ID, Tokenizer, VocabTokenizer,
+                         encoder, masker)
 
-SPECIAL_IDS = (PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID)
-N_SPECIAL = len(SPECIAL_IDS)
 # Label value that the masked-token loss ignores.
 IGNORE_INDEX = -100
 # Defaults of the reference's arguments.
@@ -96,7 +95,9 @@ def vocab_tokenizer(vocab: DataFrame, most: int = BROADCAST_VOCAB) -> VocabToken
     table = vocab.select("token", F.col("id").cast("int").alias("id")).limit(most + 1).toArrow()
     if table.num_rows > most:
         return None
-    return VocabTokenizer(table.column("token").combine_chunks(), table.column("id").to_numpy())
+    made = VocabTokenizer.of(table.column("token").to_pylist(), table.column("id").to_numpy())
+    made.trie.send(vocab.sparkSession)
+    return made
 
 
 def encode(df: DataFrame, cols, vocab: DataFrame | Tokenizer, keys: Sequence[str],

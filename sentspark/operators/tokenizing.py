@@ -3,7 +3,9 @@
 A tokenizer is any picklable callable ``(texts, max_length) -> list of id
 lists``: special ids included, at most ``max_length`` long.  It runs inside the
 Arrow batches of the rows' own tasks, so no row moves.  ``VocabTokenizer`` is
-the one for a vocabulary table; it works on whole Arrow columns.
+the one for a vocabulary table of whole words, ``SubwordTokenizer`` for one of
+word pieces; both work on whole Arrow columns, and the distinct words of a
+batch walk a trie (``trie.FlatTrie``) together.
 """
 
 from __future__ import annotations
@@ -14,43 +16,126 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .trie import FlatTrie
+
 # Reserved token ids (our own numbering).
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
+SPECIAL_IDS = (PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID)
+N_SPECIAL = len(SPECIAL_IDS)
+#: Mark of a piece that continues a word.
+CONTINUES = "##"
+#: Longer words are unknown as a whole to ``SubwordTokenizer`` (as in word-piece tokenizers).
+MOST_WORD_BYTES = 400
 
 Tokenizer = Callable[[Sequence[str], int], Sequence[Sequence[int]]]
 
 
+def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row of each space-separated word, and the words."""
+    pieces = pc.split_pattern(pc.fill_null(column, ""), " ")
+    if isinstance(pieces, pa.ChunkedArray):
+        pieces = pieces.combine_chunks()
+    row = np.repeat(np.arange(len(pieces)), pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+    words = pieces.flatten()
+    some = np.flatnonzero(pc.not_equal(words, "").to_numpy(zero_copy_only=False))
+    return row[some], words.take(pa.array(some))
+
+
+def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a string column without nulls, and where each value lies in them."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    return np.frombuffer(raw if raw is not None else b"", dtype=np.uint8), offsets[:-1], offsets[1:]
+
+
+def framed(ids: np.ndarray, row: np.ndarray, rows: int, max_length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids by row, cut so that ``CLS`` and ``SEP`` fit around them; all ids, and each row's number."""
+    first = np.searchsorted(row, np.arange(rows))
+    nth = np.arange(len(row)) - first[row]
+    fit = nth < max_length - 2
+    ids, row, nth = ids[fit], row[fit], nth[fit]
+    size = np.bincount(row, minlength=rows) + 2
+    begin = np.cumsum(size) - size
+    out = np.full(int(size.sum()), CLS_ID, dtype=np.int32)
+    out[begin[row] + 1 + nth] = ids
+    out[begin + size - 1] = SEP_ID
+    return out, size
+
+
 class VocabTokenizer:
     """Space-separated tokens looked up in a vocabulary: ``[CLS] t1..tn [SEP]``,
     truncated so that both fit; tokens outside it are ``UNK``."""
 
-    def __init__(self, tokens: Sequence[str], ids: Sequence[int]) -> None:
-        self.tokens = pa.array(tokens, pa.string())
-        self.ids = np.asarray(ids, dtype=np.int32)
+    def __init__(self, trie: FlatTrie) -> None:
+        self.trie = trie
+
+    @classmethod
+    def of(cls, tokens: Sequence[str], ids: Sequence[int]) -> VocabTokenizer:
+        return cls(FlatTrie.build([t.encode() for t in tokens], np.zeros(len(tokens), dtype=np.int64), ids))
+
+    def arrays(self, column: pa.Array, max_length: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has."""
+        row, words = split_words(column)
+        coded = words.dictionary_encode()
+        found = self.trie.whole(*string_bytes(coded.dictionary))
+        ids = np.where(found >= 0, found, UNK_ID)[coded.indices.to_numpy(zero_copy_only=False)]
+        return framed(ids, row, len(column), max_length)
+
+    def __call__(self, texts: Sequence[str], max_length: int) -> list[list[int]]:
+        flat, size = self.arrays(pa.array(texts, pa.string()), max_length)
+        return [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] if len(size) else []
+
+
+class SubwordTokenizer:
+    """``[CLS] p1..pn [SEP]`` with the longest pieces from the left; a word of
+    which some place has no piece is one ``UNK``."""
+
+    def __init__(self, trie: FlatTrie) -> None:
+        self.trie = trie
+
+    @classmethod
+    def of(cls, tokens: Sequence[str], ids: Sequence[int]) -> SubwordTokenizer:
+        # a word may itself begin with the mark, so marked pieces are known in both places
+        inner = [(t[len(CONTINUES):], i) for t, i in zip(tokens, ids) if t.startswith(CONTINUES)]
+        strings = [*tokens, *(t for t, _ in inner)]
+        roots = np.concatenate([np.zeros(len(tokens), np.int64), np.ones(len(inner), np.int64)])
+        return cls(FlatTrie.build([t.encode() for t in strings], roots, [*ids, *(i for _, i in inner)]))
+
+    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has."""
+        data, start, end = string_bytes(column)
+        n = len(start)
+        at, bad = start.copy(), (end - start) > MOST_WORD_BYTES
+        whose, ids = [], []
+        open_, root = np.flatnonzero(~bad & (start < end)), 0
+        while len(open_):
+            found, to = self.trie.longest(data, at[open_], end[open_], root)
+            bad[open_[found < 0]] = True
+            open_, found, to = open_[found >= 0], found[found >= 0], to[found >= 0]
+            whose.append(open_)
+            ids.append(found)
+            at[open_] = to
+            open_, root = open_[to < end[open_]], 1
+        whose = np.concatenate([*whose, np.flatnonzero(bad)]) if n else np.zeros(0, np.int64)
+        ids = np.concatenate([*ids, np.full(int(bad.sum()), UNK_ID, np.int32)]) if n else np.zeros(0, np.int32)
+        kept = ~bad[whose]
+        kept[len(kept) - int(bad.sum()):] = True                 # one UNK each; its pieces so far go
+        whose, ids = whose[kept], ids[kept]
+        order = np.argsort(whose, kind="stable")                 # rounds are in order of the pieces
+        return ids[order], np.bincount(whose, minlength=n)
 
     def arrays(self, column: pa.Array, max_length: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        pieces = pc.split_pattern(pc.fill_null(column, ""), " ")
-        if isinstance(pieces, pa.ChunkedArray):
-            pieces = pieces.combine_chunks()
-        rows = len(pieces)
-        row = np.repeat(np.arange(rows), pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
-        values = pieces.flatten()
-        some = np.flatnonzero(pc.not_equal(values, "").to_numpy(zero_copy_only=False))
-        row, values = row[some], values.take(pa.array(some))
-        first = np.searchsorted(row, np.arange(rows))
-        nth = np.arange(len(row)) - first[row]
-        fit = np.flatnonzero(nth < max_length - 2)
-        row, nth = row[fit], nth[fit]
-        found = pc.fill_null(pc.index_in(values.take(pa.array(fit)), value_set=self.tokens), -1)
-        at = found.to_numpy(zero_copy_only=False)
-        ids = np.where(at >= 0, self.ids[at] if len(self.ids) else UNK_ID, UNK_ID)
-        size = np.bincount(row, minlength=rows) + 2
-        begin = np.cumsum(size) - size
-        out = np.full(int(size.sum()), CLS_ID, dtype=np.int32)
-        out[begin[row] + 1 + nth] = ids
-        out[begin + size - 1] = SEP_ID
-        return out, size
+        rows = len(column)
+        row, words = split_words(column)
+        coded = words.dictionary_encode()
+        flat, per_word = self.words(coded.dictionary)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        begin = np.cumsum(per_word) - per_word
+        size = per_word[which]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(begin[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return framed(ids, np.repeat(row, size), rows, max_length)
 
     def __call__(self, texts: Sequence[str], max_length: int) -> list[list[int]]:
         flat, size = self.arrays(pa.array(texts, pa.string()), max_length)
@@ -58,7 +143,7 @@ class VocabTokenizer:
 
 
 def _encoded(tokenizer: Tokenizer, column: pa.Array, max_length: int) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(tokenizer, VocabTokenizer):
+    if isinstance(tokenizer, (VocabTokenizer, SubwordTokenizer)):
         return tokenizer.arrays(column, max_length)
     ids = tokenizer(pc.fill_null(column, "").to_pylist(), max_length)
     size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
