@@ -17,9 +17,10 @@ numpy expression, at a cost that does not depend on its length.
    occurrence of a group is verified against the text there; a group of
    several texts (a collision) is split.  Pointers stay in the task that made
    them: the phrase is read from the text they point to, once a group.
-3. **Phrases.**  Only these frequent phrases are materialised and shuffled;
-   texts are counted by themselves, so a collision across tasks parts here.
-   What remains is joins and windows of phrases.
+3. **Phrases.**  Only these frequent phrases are materialised and shuffled, as
+   compressed blocks by ranges of fingerprints; a range's counts are summed by
+   text, so a collision across tasks parts here.  What remains is joins and
+   windows of phrases.
 
 The bit table (``TABLE_BITS``, 16 MB) is the only broadcast; it does not grow.
 In a corpus with more frequent pairs than it can part, more phrases pass to
@@ -44,6 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ from .tables import land, landed
 
 LEAST, TOP, MOST_WORDS, COVERED = 10, 2000, 3, 50
 #: Words that a task holds at a time.
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 #: Bytes of text whose fingerprints one shard merges.
 SHARD_BYTES = 32 << 20
 TABLE_BITS = 27
@@ -241,7 +243,7 @@ def same_text(held: Held, one: np.ndarray, other: np.ndarray, n: int) -> np.ndar
     size = held.end[one + n - 1] - held.start[one]
     same = (size == held.end[other + n - 1] - held.start[other]) & (held.lang[one] == held.lang[other])
     open_ = np.flatnonzero(same)
-    step = 500_000                               # n-grams compared at a time
+    step = 100_000                               # n-grams compared at a time
     for a in range(0, len(open_), step):
         own = open_[a:a + step]
         k = size[own]
@@ -264,14 +266,15 @@ def groups(held: Held, begin: np.ndarray, key: np.ndarray, n: int) -> tuple[np.n
     return (np.concatenate(pointers), np.concatenate(counts)) if pointers else (none, none)
 
 
-def _occurrences(held_table, most: int, bits: int, table_bits: int, flush_tokens: int):
+def _occurrences(held_table, most: int, bits: int, table_bits: int, shards: int, flush_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held_table.value
         for held, names in _flushes(batches, flush_tokens):
-            f = Fingerprints(held, _seeds(names), bits)
-            lang = pa.array(list(names), pa.string())
-            words = np.bincount(held.lang, minlength=len(names))
-            yield _phrases(lang, np.arange(len(names)), 0, np.zeros(0, np.uint8), np.zeros(len(names), int), words)
+            seeds = _seeds(names)
+            f = Fingerprints(held, seeds, bits)
+            # the number of all words stands under the empty phrase
+            found = [(tk.mix64(seeds) & f.mask, np.arange(len(names)), np.zeros(len(names), np.int64), 0,
+                      np.bincount(held.lang, minlength=len(names)))]
             marked = np.zeros(len(held.hash) + 1, dtype=bool)        # of the pair (word) that begins there
             for n in range(1, most + 1):
                 begin = f.begins(n)
@@ -286,18 +289,52 @@ def _occurrences(held_table, most: int, bits: int, table_bits: int, flush_tokens
                         begin = begin[marked[begin + j]]
                     key = f.at(begin, n)
                 at, counts = groups(held, begin, key, n)
-                size = held.end[at + n - 1] - held.start[at]
-                yield _phrases(lang, held.lang[at], n, gather(held.data, held.start[at], size), size, counts)
+                found.append((f.at(at, n), held.lang[at], at, n, counts))
+            yield from _blocks(held, list(names), found, shards)
     return run
 
 
-def _phrases(lang: pa.Array, which: np.ndarray, n: int, data: np.ndarray, size: np.ndarray,
-             counts: np.ndarray) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    phrase = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
-    return pa.RecordBatch.from_arrays(
-        [lang.take(pa.array(which)), pa.array(np.full(len(size), n, dtype=np.int32)), phrase,
-         pa.array(counts.astype(np.int64))], ["lang", "words", "phrase", "f"])
+_PHRASE = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _blocks(held: Held, names: list[str], found: list[tuple], shards: int) -> Iterator[pa.RecordBatch]:
+    """One compressed block of phrases a shard."""
+    key, lang, at, counts = (np.concatenate([r[k] for r in found]) for k in (0, 1, 2, 4))
+    n = np.concatenate([np.full(len(r[0]), r[3], dtype=np.int32) for r in found])
+    shard = shard_of(key, shards)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    names = pa.array(names, pa.string())
+    last = len(held.end) - 1
+    for s in range(shards):
+        own = order[cut[s]:cut[s + 1]]
+        if not len(own):
+            continue
+        begin, k = at[own], n[own]
+        size = np.where(k > 0, held.end[np.clip(begin + k - 1, 0, last)] - held.start[np.minimum(begin, last)], 0) \
+            if last >= 0 else np.zeros(len(own), np.int64)
+        start = held.start[np.minimum(begin, last)] if last >= 0 else begin
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        phrase = pa.StringArray.from_buffers(len(own), pa.py_buffer(offsets.tobytes()),
+                                             pa.py_buffer(gather(held.data, start, size).tobytes()))
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _PHRASE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(pa.RecordBatch.from_arrays(
+                [names.take(pa.array(lang[own])), pa.array(k), phrase, pa.array(counts[own].astype(np.int64))],
+                schema=_PHRASE))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()),
+                                          "block": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+
+def _sum_phrases(least: int):
+    """Exact counts of a shard's phrases, by their text."""
+    def run(table: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(b.as_py()).read_all() for b in table.column("block")]
+        whole = pa.concat_tables(parts).group_by(["lang", "words", "phrase"]).aggregate([("f", "sum")])
+        whole = whole.rename_columns({"f_sum": "f"}).select(_PHRASE.names)
+        keep = pc.or_(pc.greater_equal(whole.column("f"), least), pc.equal(whole.column("words"), 0))
+        return whole.filter(keep).cast(_PHRASE)
+    return run
 
 
 def counted(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, lang_col: str = "lang",
@@ -313,10 +350,9 @@ def counted(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, lang_co
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(1, -(-size // SHARD_BYTES))
     table = spark.sparkContext.broadcast(frequent(rows, least, shards, bits, table_bits, flush_tokens))
-    found = rows.mapInArrow(_occurrences(table, most, bits, table_bits, flush_tokens),
-                            "lang string, words int, phrase string, f long")
-    return (found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-            .where((F.col("f") >= least) | (F.col("words") == 0)))
+    found = rows.mapInArrow(_occurrences(table, most, bits, table_bits, shards, flush_tokens),
+                            "shard int, block binary")
+    return found.groupBy("shard").applyInArrow(_sum_phrases(least), "lang string, words int, phrase string, f long")
 
 
 # ---- 3: scores --------------------------------------------------------------
