@@ -56,9 +56,9 @@ from .tables import land, landed
 
 LEAST, TOP, MOST_WORDS, COVERED = 10, 2000, 3, 50
 #: Words that a task holds at a time.
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 600_000
 #: Bytes of text whose fingerprints one shard merges.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 TABLE_BITS = 27
 #: Parts into which joins on a phrase's parts cut their keys: a common word begins many phrases.
 SALTS = 8
@@ -86,29 +86,33 @@ class Held:
     lang: np.ndarray
 
     @classmethod
-    def of(cls, batch: pa.RecordBatch, lang: np.ndarray) -> Held:
+    def of(cls, batch: pa.RecordBatch, lang: np.ndarray, texts: bool) -> Held:
+        """``texts``: also keep the words' bytes."""
         w = tk.words(batch.column("text"), SEPARATORS)
-        row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-        ends = np.concatenate([[0], np.cumsum(PIECE_ENDS[w.data])])
-        size = w.end - w.start
+        row = np.repeat(np.arange(len(w.first) - 1, dtype=np.int32), np.diff(w.first))
+        ends = np.concatenate([[0], np.cumsum(PIECE_ENDS[w.data], dtype=np.int32)])
+        piece, size = (ends[w.start] + row).astype(np.int32), (w.end - w.start).astype(np.int32)
+        if not texts:
+            none = np.zeros(0, dtype=np.int32)
+            return cls(none.astype(np.uint8), none, none, w.hash, piece, lang[row])
         # one space after every word: phrases are slices, whatever white space the text has
         keep = np.zeros(len(w.data) + 1, dtype=np.int8)
         keep[w.start] += 1
         keep[w.end] -= 1                         # a text may end where the next begins
         inside = np.cumsum(keep[:-1]).astype(bool)
-        to = np.cumsum(size + 1)
+        to = np.cumsum(size + 1, dtype=np.int32)
         start = to - size - 1
         data = np.full(int(to[-1]) if len(to) else 0, 0x20, dtype=np.uint8)
         word = np.ones(len(data), dtype=bool)
         word[to - 1] = False
         data[word] = w.data[inside]
-        return cls(data, start, start + size, w.hash, ends[w.start] + row, lang[row])
+        return cls(data, start, start + size, w.hash, piece, lang[row])
 
 
 def together(parts: list[Held]) -> Held:
     """Several chunks as one; pieces stay apart."""
-    bytes_before = np.cumsum([0, *(len(p.data) for p in parts[:-1])])
-    pieces_before = np.cumsum([0, *(int(p.piece[-1]) + 1 if len(p.piece) else 0 for p in parts[:-1])])
+    bytes_before = np.cumsum([0, *(len(p.data) for p in parts[:-1])], dtype=np.int32)
+    pieces_before = np.cumsum([0, *(int(p.piece[-1]) + 1 if len(p.piece) else 0 for p in parts[:-1])], dtype=np.int32)
     join = lambda xs: np.concatenate(list(xs))
     return Held(join(p.data for p in parts),
                 join(p.start + b for p, b in zip(parts, bytes_before)),
@@ -142,7 +146,7 @@ class Fingerprints:
 def _languages(chunk: pa.RecordBatch, numbers: dict[str, int]) -> np.ndarray:
     """A language number a row; new languages join ``numbers``."""
     names = [x if x is not None else NO_LANGUAGE for x in chunk.column("lang").to_pylist()]
-    return np.array([numbers.setdefault(x, len(numbers)) for x in names], dtype=np.int64)
+    return np.array([numbers.setdefault(x, len(numbers)) for x in names], dtype=np.int32)
 
 
 def _seeds(names: dict[str, int]) -> np.ndarray:
@@ -155,16 +159,17 @@ def _seeds(names: dict[str, int]) -> np.ndarray:
     return tk.mix64(out)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Held, list[str]]]:
+def _flushes(batches: Iterator[pa.RecordBatch], limit: int, texts: bool) -> Iterator[tuple[Held, dict[str, int]]]:
     held: list[Held] = []
     size, names = 0, {}
     for batch in batches:
         for chunk in tk.chunks(batch, "text"):
-            held.append(Held.of(chunk, _languages(chunk, names)))
+            held.append(Held.of(chunk, _languages(chunk, names), texts))
             size += len(held[-1].hash)
             if size >= limit:
-                yield together(held), names
-                held, size, names = [], 0, {}
+                whole, held, size = together(held), [], 0
+                yield whole, names
+                names = {}
     if held:
         yield together(held), names
 
@@ -178,7 +183,7 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
 
 def _count(shards: int, bits: int, flush_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, names in _flushes(batches, flush_tokens):
+        for held, names in _flushes(batches, flush_tokens, False):
             f = Fingerprints(held, _seeds(names), bits)
             keys = np.concatenate([f.at(f.begins(n), n) for n in (1, 2)])
             del held, f
@@ -233,9 +238,10 @@ def _is_marked(table: np.ndarray, table_bits: int, key: np.ndarray) -> np.ndarra
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Bytes of all slices, one after another."""
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int32)
     at = np.repeat(start - (ends - size), size)
-    return data[at + np.arange(len(at))]
+    at += np.arange(len(at), dtype=np.int32)
+    return data[at]
 
 
 def same_text(held: Held, one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
@@ -269,7 +275,7 @@ def groups(held: Held, begin: np.ndarray, key: np.ndarray, n: int) -> tuple[np.n
 def _occurrences(held_table, most: int, bits: int, table_bits: int, shards: int, flush_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held_table.value
-        for held, names in _flushes(batches, flush_tokens):
+        for held, names in _flushes(batches, flush_tokens, True):
             seeds = _seeds(names)
             f = Fingerprints(held, seeds, bits)
             # the number of all words stands under the empty phrase
