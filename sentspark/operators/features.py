@@ -34,6 +34,8 @@ VALIDATION_PERCENT = 5
 # Rows of a vocabulary up to which it is sent to every task; beyond, a join.
 BROADCAST_VOCAB = 2_000_000
 BUCKETS_PER_PARTITION = 4
+# Ranges a partition in the count pass of ``batch_and_pad``; one in so many rows may be sent twice.
+FINE_BUCKETS = 256
 
 
 def self_pair(df: DataFrame, col: str = "sentence", out_col: str = "sentences",
@@ -219,11 +221,15 @@ def pad_batch(df: DataFrame, ids_col: str, batch_col: str = "batch_id",
     """Pad every row to the longest row *of its batch*, rounded up to a
     multiple.  Batches are bounded by the batch size, so the window is too."""
     out_col = out_col or ids_col
-    w = Window.partitionBy(batch_col)
-    longest = F.max(F.size(ids_col)).over(w)
+    longest = F.max(F.size(ids_col)).over(Window.partitionBy(batch_col))
+    return _padded(df, ids_col, longest, pad_to_multiple_of, max_length, out_col, width_col)
+
+
+def _padded(df: DataFrame, ids_col: str, longest: Column, multiple: int | None, max_length: int | None,
+            out_col: str, width_col: str) -> DataFrame:
     width = longest
-    if pad_to_multiple_of:
-        m = F.lit(pad_to_multiple_of)
+    if multiple:
+        m = F.lit(multiple)
         width = F.ceil(longest / m) * m
     if max_length:
         width = F.least(width, F.lit(max_length))
@@ -232,6 +238,51 @@ def pad_batch(df: DataFrame, ids_col: str, batch_col: str = "batch_id",
     return out.withColumn(out_col, padded)
 
 
+def batch_and_pad(df: DataFrame, keys: Sequence[str], ids_col: str, batch_size: int, seed: int = 42,
+                  pad_to_multiple_of: int | None = None, max_length: int | None = None,
+                  counts_from: DataFrame | None = None, idx_col: str = "idx", batch_col: str = "batch_id",
+                  width_col: str = "width", partitions: int | None = None) -> DataFrame:
+    """T6 and T7 with one exchange of the rows: the batches of ``batch_assign``,
+    each padded as by ``pad_batch``.
+
+    * Count pass: rows per md5 range (``FINE_BUCKETS`` ranges a partition;
+      partial sums, one row a range).  It reads the keys alone, from
+      ``counts_from`` if given (the same rows before a costly step such as
+      encoding).  Running totals say which numbers a range holds.
+    * A partition holds a run of whole batches.  The numbers of a row's range
+      name its partition; the few ranges that straddle a border go to both
+      sides.  Rows are dealt there directly (``repartitionById``).
+    * There each row is numbered, rows of other partitions are dropped, and
+      the longest row of each batch is a window that needs no exchange.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = FINE_BUCKETS * parts
+    def key():
+        return hash_key(seed, *[F.col(f"`{k}`") for k in keys])
+
+    bucket = F.floor(md5_u32(key()).cast("double") * F.lit(float(ranges)) / F.lit(2.0 ** 32)).cast("int")
+    counts = (df if counts_from is None else counts_from).select(bucket.alias("_bkt")).groupBy("_bkt").agg(
+        F.count(F.lit(1)).alias("_n"))
+    batches = F.ceil(counts.agg(F.sum("_n")).scalar() / F.lit(batch_size))
+    held = (F.ceil(batches / F.lit(parts)) * F.lit(batch_size)).cast("long")      # rows of a partition
+    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)    # one row a range
+    offsets = counts.select("_bkt", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), held.alias("_held"))
+    offsets = offsets.select("_bkt", "_off", "_held", F.sequence(
+        F.expr("_off div _held"), F.expr("(_off + _n - 1) div _held")).alias("_parts"))
+    dealt = (df.withColumn("_bkt", bucket).withColumn("_ord", F.md5(key()))
+               .join(F.broadcast(offsets), "_bkt")
+               .withColumn("_part", F.explode("_parts")).drop("_parts")
+               .repartitionById(parts, F.col("_part").cast("int")).withColumn("_part", F.col("_part").cast("int")))
+    order = Window.partitionBy("_part").orderBy("_bkt", "_ord", *[F.col(f"`{k}`") for k in keys])
+    numbered = dealt.withColumn(idx_col, F.first("_off").over(order) + F.row_number().over(order) - F.lit(1))
+    mine = numbered.where(F.expr(f"`{idx_col}` div _held") == F.col("_part")).withColumn(
+        batch_col, F.expr(f"`{idx_col}` div {int(batch_size)}"))
+    longest = F.max(F.size(ids_col)).over(Window.partitionBy("_part", batch_col))
+    return _padded(mine, ids_col, longest, pad_to_multiple_of, max_length, ids_col, width_col).select(
+        *[F.col(f"`{c}`") for c in df.columns], idx_col, batch_col, width_col)
+
+
 def flatten_views(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                   view_col: str = "view", repeat: Sequence[str] = ()) -> DataFrame:
     """``(row, [v0..vk])`` -> ``(row, view, v)``; the other columns in
@@ -288,8 +339,7 @@ def default_batcher(df: DataFrame, keys: Sequence[str], ids_col: str = "input_id
                     pad_to_multiple_of: int | None = None) -> DataFrame:
     """The reference's default collation: shuffled fixed-size batches (T6),
     then padding to the longest row of each batch (T7)."""
-    batched = batch_assign(df, keys, batch_size, seed)
-    return pad_batch(batched, ids_col, "batch_id", pad_to_multiple_of)
+    return batch_and_pad(df, keys, ids_col, batch_size, seed, pad_to_multiple_of)
 
 
 def collate(df: DataFrame, keys: Sequence[str],

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..functions.md5 import md5_words
 from .trie import FlatTrie
 
 # Reserved token ids (our own numbering).
@@ -193,11 +194,30 @@ def encoder(tokenizer: Tokenizer, views: Sequence[str], nested: bool, keys: Sequ
     return run
 
 
+def token_digests(keys: pa.Array, row: np.ndarray, view: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """MD5 words (n, 4) of ``key:view:pos`` for each token; ``key`` is that of its row."""
+    data, start, end = string_bytes(keys)
+    size = end - start
+    # a row's tokens share its key, and tokens of one place the rest of the message
+    place, which = np.unique(view * (int(pos.max(initial=0)) + 1) + pos, return_inverse=True)
+    ends = [b":%d:%d" % divmod(int(p), int(pos.max(initial=0)) + 1) for p in place]
+    tail = np.zeros((len(ends), max(map(len, ends), default=0)), dtype=np.uint8)
+    for k, e in enumerate(ends):
+        tail[k, :len(e)] = np.frombuffer(e, dtype=np.uint8)
+    tail_size = np.array([len(e) for e in ends], dtype=np.int64)
+    head = np.zeros((len(size), int(size.max(initial=0)) + tail.shape[1]), dtype=np.uint8)
+    at = np.repeat(np.arange(len(size)), size)
+    head[at, np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)] = data[start[0]:end[-1]] if len(size) else 0
+    messages = head[row]
+    for j in range(tail.shape[1]):
+        own = np.flatnonzero(tail_size[which] > j)
+        messages[own, size[row[own]] + j] = tail[which[own], j]
+    return md5_words(messages, size[row] + tail_size[which])
+
+
 def masker(ids_col: str, special: Sequence[int], probability: float, mask_share: float, random_share: float,
            vocab_size: int, ignore: int, out_ids: str, out_labels: str, key_col: str):
     """The batch function of ``mlm_mask``: one digest per token that is not special."""
-    from hashlib import md5
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             outer = batch.column(ids_col)
@@ -210,10 +230,8 @@ def masker(ids_col: str, special: Sequence[int], probability: float, mask_share:
             first = np.cumsum(per_view) - per_view
             of = np.repeat(np.arange(len(per_view)), per_view)
             drawn = np.flatnonzero(~np.isin(ids, special))
-            keys = [k.encode() for k in batch.column(key_col).to_pylist()]
-            digests = b"".join([md5(b"%s:%d:%d" % (keys[r], v, i)).digest() for r, v, i in zip(
-                row_of_view[of[drawn]].tolist(), view[of[drawn]].tolist(), (drawn - first[of[drawn]]).tolist())])
-            u = np.frombuffer(digests, dtype=">u4").reshape(-1, 4) / 4294967296.0
+            u = token_digests(batch.column(key_col), row_of_view[of[drawn]], view[of[drawn]],
+                              drawn - first[of[drawn]]) / 4294967296.0
             picked = u[:, 0] < probability
             masked = u[:, 1] < mask_share
             swapped = u[:, 2] < random_share

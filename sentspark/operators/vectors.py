@@ -1,9 +1,9 @@
 """Pooling, dense projection and pair similarities over vector tables.
 
 Token-level hidden states are a long table ``(id, layer, pos, mask, vec)``.
-Pooling groups by sentence id; a group holds at most the vectors of two layers
-(``2 x L``, L = sequence length), so collecting one group per row is bounded by
-the model shape, never by the data.
+Pooling sums a sentence's vectors where they lie and merges the partial sums by
+sentence id; a group holds at most one vector per position and layer, so it is
+bounded by the model shape, never by the data.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def pool(df: DataFrame, pooler: str = "cls", keys: Sequence[str] = ("id",),
     stands for both of a pair of which there is only one.  A zero mask gives a
     vector of nulls; a sentence without position 0 has no ``cls`` row.
 
-    Only the picked layers (or position 0) cross the exchange, and of those
-    only vectors that the mask keeps; ``cls`` keeps one row per task and key.
+    Tasks add up their own positions first: what crosses the exchange is one
+    vector a sentence and batch of the picked layers, not one a position;
+    ``cls`` keeps one row per task and key.
     """
     if pooler not in POOLERS:
         raise ValueError(f"no such pooling: {pooler} (there are {', '.join(POOLERS)})")
@@ -53,18 +54,75 @@ def pool(df: DataFrame, pooler: str = "cls", keys: Sequence[str] = ("id",),
         other = F.coalesce(df.where(layer < last).agg(F.max(layer_col)).scalar(), last)
     picked = df.where((layer == last) | (layer == other)).select(
         *keys, F.size(vec_col).alias("_size"), F.when(layer == last, F.col(mask_col).cast("double")).alias("_mask"),
-        F.when(F.col(mask_col) != F.lit(0), F.struct(F.col(mask_col).cast("double").alias("mask"),
-                                                     F.col(vec_col).alias("vec"))).alias("_e"),
-        F.when(other == last, F.lit(1.0)).otherwise(F.lit(2.0)).alias("_layers"))
-    g = picked.groupBy(*keys).agg(F.collect_list("_e").alias("_e"), F.max("_size").alias("_size"),
-                                  (F.sum("_mask") * F.max("_layers")).alias("_scale"))
-    total = F.aggregate("_e", F.array_repeat(F.lit(0.0), F.col("_size")), lambda acc, x: F.zip_with(
-        acc, F.zip_with(V.as_double(x["vec"]), V.broadcast_scalar(x["mask"], x["vec"]), lambda b, m: b * m),
-        lambda a, b: a + b))
+        F.when(F.col(mask_col) != F.lit(0), F.col(mask_col).cast("double")).alias("_weight"),
+        V.as_double(vec_col).alias("_vec"), F.when(other == last, F.lit(1.0)).otherwise(F.lit(2.0)).alias("_layers"))
+    ship_package(df.sparkSession)
+    parts = picked.mapInArrow(_partial_sums(keys), T.StructType([
+        *(picked.schema[k] for k in keys), T.StructField("_size", T.IntegerType()),
+        T.StructField("_mask", T.DoubleType()), T.StructField("_layers", T.DoubleType()),
+        T.StructField("_sum", T.ArrayType(T.DoubleType()))]))
+    # one vector a key and batch is left; those of a key are added up
+    g = parts.groupBy(*keys).agg(F.collect_list("_sum").alias("_sums"), F.max("_size").alias("_size"),
+                                 (F.sum("_mask") * F.max("_layers")).alias("_scale"))
+    total = F.aggregate("_sums", F.array_repeat(F.lit(0.0), F.col("_size")),
+                        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
     mean = F.zip_with(total, F.array_repeat(F.col("_scale"), F.col("_size")), lambda t, d: F.try_divide(t, d))
     return g.select(*keys, mean.alias(out_col))
 
 
+def _codes(columns: Sequence[pa.Array]) -> np.ndarray:
+    """A number of each row, equal for rows alike in all columns (null is a value)."""
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        coded = c.dictionary_encode(null_encoding="encode")
+        _, code = np.unique(code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False),
+                            return_inverse=True)
+    return code
+
+
+def _partial_sums(keys: Sequence[str]):
+    """Per batch, one row a key: the weighted sum of its vectors and of its mask.
+    Vectors of another length are summed apart."""
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            size = batch.column("_size").fill_null(-1)
+            code = _codes([*(batch.column(k) for k in keys), size])
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            lead = pa.array(order[first])
+            mask = batch.column("_mask")
+            masks = np.add.reduceat(mask.fill_null(0.0).to_numpy()[order], first)
+            seen = np.logical_or.reduceat(np.asarray(mask.is_valid())[order], first)
+            sizes = np.maximum(size.to_numpy(), 0)
+            used = np.asarray(batch.column("_weight").is_valid()) & np.asarray(batch.column("_vec").is_valid())
+            weight = batch.column("_weight").fill_null(0.0).to_numpy()
+            width = sizes[order[first]]
+            end = np.cumsum(width)
+            values, gaps = np.zeros(int(end[-1])), np.zeros(int(end[-1]), dtype=bool)
+            for w in np.unique(width[width > 0]).tolist():
+                rows = order[(sizes[order] == w) & used[order]]          # in order of their keys
+                if not len(rows):
+                    continue
+                flat = batch.column("_vec").take(pa.array(rows)).flatten()
+                x = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, w) * weight[rows, None]
+                begin = np.flatnonzero(np.diff(code[rows], prepend=-1))
+                group = code[rows[begin]]
+                at = (end - width)[group][:, None] + np.arange(w)
+                values[at] = np.add.reduceat(x, begin, axis=0)
+                if flat.null_count:
+                    gaps[at] = np.logical_or.reduceat(np.asarray(flat.is_null()).reshape(-1, w), begin, axis=0)
+            some = np.bincount(code, weights=used, minlength=len(first)) > 0
+            sums = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)),
+                                            pa.array(values, mask=gaps), mask=pa.array(~some))
+            out = {k: batch.column(k).take(lead) for k in keys}
+            out |= {"_size": batch.column("_size").take(lead), "_mask": pa.array(masks, mask=~seen),
+                    "_layers": batch.column("_layers").take(lead), "_sum": sums}
+            yield pa.RecordBatch.from_pydict(out)
+    return run
+
+
 def dense_tanh(df: DataFrame, vec_col: str, weight: np.ndarray, bias: np.ndarray | None = None,
                out_col: str = "projected") -> DataFrame:
     """V5: ``tanh(W x + b)`` per row as one numpy matmul per Arrow batch.

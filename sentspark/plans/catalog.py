@@ -327,11 +327,9 @@ def q_batch_assign(spark, sf):
 def q_pad_batch(spark, sf):
     w = S.wiki_sentences(spark, sf)
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
-    # number first: the count pass then needs no encoding, and a sentence's text
-    # is smaller than its ids; encoding afterwards moves nothing
-    b = FE.batch_assign(w, ["doc_id", "pos"], BATCH_SIZE, SEED)
-    e = FE.encode(b, "sentence", vocab, ["doc_id", "pos"], pad=False, carry=["batch_id"])
-    out = FE.pad_batch(e, "input_ids", "batch_id", PAD_MULTIPLE)
+    # the ranges are counted before encoding; encoded rows cross the one exchange
+    e = FE.encode(w, "sentence", vocab, ["doc_id", "pos"], pad=False)
+    out = FE.batch_and_pad(e, ["doc_id", "pos"], "input_ids", BATCH_SIZE, SEED, PAD_MULTIPLE, counts_from=w)
     return out.select("doc_id", "pos", "batch_id", "width", ids_text("input_ids").alias("input_ids"))
 
 
@@ -492,7 +490,8 @@ def q_info_nce(spark, sf):
 
 @register("global_batch")
 def q_global_batch(spark, sf):
-    scores = C.in_batch_scores(S.step_views(spark, sf), ["z1", "z2"])
+    """The negatives of a step are those of all workers: a block product, blocks as large as a worker's batch."""
+    scores = C.blocked_scores(S.step_views(spark, sf), ["z1", "z2"], block_rows=S.LOCAL_BATCH_ROWS)
     return C.info_nce(scores).select(F.col("batch_id").alias("step"), "n_rows", r6("loss").alias("loss"))
 
 
