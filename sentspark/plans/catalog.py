@@ -21,9 +21,12 @@ from ..operators import contrastive as C
 from ..operators import corpus as CO
 from ..operators import evaluation as EV
 from ..operators import features as FE
+from ..operators import resumable as RS
 from ..operators import runs as RU
+from ..operators import subword as SW
 from ..operators import text as TO
 from ..operators import vectors as VO
+from ..operators.scan import row_index
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as SK
@@ -34,6 +37,7 @@ QUERIES: dict[str, Query] = {}
 
 # Query parameters (fixed so Spark and the oracle agree).
 VOCAB_SIZE = 4096
+SUBWORD_SIZE = 2048
 SEED = 42
 BATCH_SIZE = 256
 PAD_MULTIPLE = 8
@@ -317,6 +321,42 @@ def q_attn_mask(spark, sf):
                     ids_text("token_type_ids").alias("token_type_ids"))
 
 
+@register("subword_vocab")
+def q_subword_vocab(spark, sf):
+    return SW.learn_subwords(S.wiki_sentences(spark, sf), "sentence", SUBWORD_SIZE)
+
+
+@register("subword_encode")
+def q_subword_encode(spark, sf):
+    """Word pieces learned from the corpus, looked up in the mapped trie."""
+    w = S.wiki_sentences(spark, sf)
+    pieces = SW.subword_tokenizer(SW.learn_subwords(w, "sentence", SUBWORD_SIZE))
+    e = FE.encode(w, "sentence", pieces, ["doc_id", "pos"])
+    return e.select("doc_id", "pos", ids_text("input_ids").alias("input_ids"))
+
+
+@register("collate_hook")
+def q_collate_hook(spark, sf):
+    """A collator of the caller's own (F4): batches by length, without a shuffle order."""
+    e = _eval_features(spark, sf).select("conv_id", "turn", F.get("input_ids", 0).alias("ids"))
+
+    def by_length(df, keys, batch_size):
+        used = F.size(F.filter("ids", lambda x: x != FE.PAD_ID)).alias("used")
+        return row_index(df.select(*keys, used), ["used", *keys], out_col="idx").withColumn(
+            "batch_id", F.expr(f"idx div {batch_size}"))
+
+    return FE.collate(e, ["conv_id", "turn"], by_length, batch_size=BATCH_SIZE)
+
+
+@register("restore_views")
+def q_restore_views(spark, sf):
+    """The inverse of ``flatten_views``."""
+    flat = FE.flatten_views(_eval_features(spark, sf), ["conv_id", "turn"], ["input_ids"])
+    back = FE.restore_views(flat, ["conv_id", "turn"], ["input_ids"])
+    return back.select("conv_id", "turn", ids_text(F.get("input_ids", 0)).alias("ids1"),
+                       ids_text(F.get("input_ids", 1)).alias("ids2"))
+
+
 @register("batch_assign")
 def q_batch_assign(spark, sf):
     w = SK.land(S.wiki_sentences(spark, sf).select("doc_id", "pos"), "corpus-keys")
@@ -391,6 +431,16 @@ def q_map_batches(spark, sf):
                           max_chars=64)
 
 
+@register("map_files")
+def q_map_files(spark, sf):
+    """The batched map over a landed corpus with a commit for every few files."""
+    root = scratch_path(spark, "map-files")
+    S.wiki_sentences(spark, sf).select("doc_id", "pos", "sentence").write.parquet(root + "/in")
+    return RS.map_files(spark, root + "/in", _length_features,
+                        "doc_id long, pos int, n_chars long, n_chars_capped long, n_pieces long", root + "/out",
+                        max_chars=64)
+
+
 @register("holdout_split")
 def q_holdout_split(spark, sf):
     w = S.wiki_sentences(spark, sf).select("doc_id", "pos")
@@ -535,6 +585,15 @@ def q_eval_by_split(spark, sf):
     return _rounded(EV.eval_report(S.scored_pairs(spark, sf), group_cols=["split"]), keep=["split"])
 
 
+@register("metric_hook")
+def q_metric_hook(spark, sf):
+    """A metric of the caller's own (F3): mean absolute difference of cosine and scaled gold, per split."""
+    def metrics(scored):
+        off = F.abs(F.col("cosine") - F.col("gold") / F.lit(5.0))
+        return scored.groupBy("split").agg(F.count(off).alias("n"), r6(F.avg(off)).alias("mean_off"))
+    return EV.evaluate(S.scored_pairs(spark, sf), metrics)
+
+
 @register("eval_diag_report")
 def q_eval_diag_report(spark, sf):
     v = S.views(spark, sf, 2)

@@ -311,12 +311,18 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT doc_id, pos, v AS view, {_ids_text('ids')} AS input_ids, "
         f"{_ids_text('list_transform(ids, lambda x: CAST(x <> 0 AS INTEGER))')} AS attention_mask "
         "FROM enc, (SELECT 0 AS v UNION ALL SELECT 1) vv")
+    sql["restore_views"] = ef + f"SELECT conv_id, turn, {_ids_text('ids1')} AS ids1, {_ids_text('ids2')} AS ids2 FROM ef"
+    sql["collate_hook"] = ef + (
+        f"SELECT conv_id, turn, used, idx, idx // {Q.BATCH_SIZE} AS batch_id FROM ("
+        "SELECT conv_id, turn, used, row_number() OVER (ORDER BY used, conv_id, turn) - 1 AS idx FROM ("
+        "SELECT conv_id, turn, CAST(len(list_filter(ids1, lambda x: x <> 0)) AS INTEGER) AS used FROM ef))")
     sql["take_view"] = ef + f"SELECT conv_id, turn, {_ids_text('ids2')} AS input_ids FROM ef"
     sql["dedup_label"] = ef + "SELECT conv_id, turn, round(labels, 6) AS labels FROM ef"
     sql["mlm_mask"] = _mlm_sql()
     sql["map_batches"] = wiki + ("SELECT doc_id, pos, CAST(length(sentence) AS BIGINT) AS n_chars, "
                                  "CAST(least(length(sentence), 64) AS BIGINT) AS n_chars_capped, "
                                  "CAST(len(string_split(sentence, ' ')) AS BIGINT) AS n_pieces FROM wiki")
+    sql["map_files"] = sql["map_batches"]
     sql["holdout_split"] = wiki + (f"SELECT doc_id, pos, CASE WHEN {_u32(chr(39) + str(Q.SEED) + ':' + chr(39) + ' || doc_id || ' + chr(39) + ':' + chr(39) + ' || pos')} % 100 < 5 "
                                    "THEN 'validation' ELSE 'train' END AS split FROM wiki")
 
@@ -364,6 +370,8 @@ SELECT count(*) AS n_tokens, round(avg(tl), 6) AS mlm_loss, round(0.1 * avg(tl),
                        f"SELECT split, round({_pearson('rx', 'ry')}, 6) AS spearman FROM r GROUP BY split")
     sql["eval_report"] = _eval(None)
     sql["eval_by_split"] = _eval("split")
+    sql["metric_hook"] = (f"WITH {SCORED},\ns AS (SELECT split, abs({_paired_cos('v1', 'v2')} - gold / 5.0) AS off FROM scored)\n"
+                          "SELECT split, count(off) AS n, round(avg(off), 6) AS mean_off FROM s GROUP BY split")
     sql["eval_diag_report"] = (f"WITH {v2},\nd AS (SELECT gold, {_cos_temp('z1', 'z2', 1.0)} AS x FROM v2),\n"
                                f"r AS (SELECT x, gold, {_avg_rank('x', '')} AS rx, {_avg_rank('gold', '')} AS ry FROM d)\n"
                                f"SELECT round({_pearson('x', 'gold')}, 6) AS pearson, "

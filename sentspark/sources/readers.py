@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_arrays import read_json_array
+
 PAIR_SCHEMA = T.StructType([
     T.StructField("sentence1", T.StringType(), True),
     T.StructField("sentence2", T.StringType(), True),
@@ -31,11 +33,14 @@ NULL_MARK = "\u0001"
 def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool | None = None) -> DataFrame:
     """JSON records, either a whole-file array (the reference's format) or
     one record a line.  ``multiline=None`` looks at the first character of the
-    first file: ``[`` is an array.  An array file is one task, so land it once
-    as Parquet (``land_json``) before heavy use.  Unknown fields are ignored."""
+    first file: ``[`` is an array, which is read by many tasks
+    (``json_arrays.read_json_array``).  Unknown fields are ignored.
+    ``multiline=True`` leaves each file to one task of Spark's own reader."""
     if multiline is None:
-        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        multiline = bool(first) and first[0][0].lstrip("\ufeff \t").startswith("[")
+        first = spark.read.option("lineSep", "}").text(path).where(F.trim("value") != "").limit(1).collect()
+        if first and first[0][0].lstrip("\ufeff \t\r\n").startswith("["):
+            return read_json_array(spark, path, schema)
+        multiline = False
     return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
 
 
@@ -120,9 +125,11 @@ def spread(df: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def read_corpus(spark: SparkSession, path: str, col: str = "text") -> DataFrame:
-    """S3: one text column of a table (only that column is read)."""
-    return spark.read.parquet(path).select(col)
+def read_corpus(spark: SparkSession, name: str, col: str = "text") -> DataFrame:
+    """S3: one text column of a table (only that column is read), by the name
+    of a table or view of the session's catalog, or else by the path of Parquet files."""
+    named = "/" not in name and spark.catalog.tableExists(name)
+    return (spark.table(name) if named else spark.read.parquet(name)).select(col)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
