@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from ..session import drop_scratch, scratch_path, ship_package
 from .tokenizing import CONTINUES, N_SPECIAL, SubwordTokenizer
 
-#: Pairs made active in a round, and pieces of words that the driver merges, at most.
-ACTIVE = 4096
+#: Pairs made active in a round, at most and in the first, and most pieces of words that the driver merges.
+ACTIVE, FIRST_ACTIVE = 4096, 64
 MOST_PIECES = 100_000
 
 Pair = tuple[str, str]
@@ -185,6 +185,7 @@ def learn_subwords(df: DataFrame, col: str = "sentence", vocab_size: int = 32000
     letters = (each.groupBy("token").agg(F.sum("cnt").alias("cnt"))
                    .orderBy(F.desc("cnt"), "token").limit(room).collect())        # at most the vocabulary
     vocabulary: dict[str, int] = {r.token: r.cnt for r in letters}
+    take = min(active, FIRST_ACTIVE)             # pairs made active; more as far as their pieces are few enough
     while len(vocabulary) < room:
         s = F.split("symbols", " ")
         pairs = (state.select(F.explode(F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("a"),
@@ -195,20 +196,20 @@ def learn_subwords(df: DataFrame, col: str = "sentence", vocab_size: int = 32000
             break
         pieces = None
         while pieces is None:
-            floor = min_count if len(top) <= active else max(min_count, top[active].cnt + 1)
-            chosen = [(r.a, r.b) for r in top[:active] if r.cnt >= floor]
-            if not chosen:                       # more ties than pairs: only the first is sure
-                chosen, floor, one = [(top[0].a, top[0].b)], top[0].cnt, True
-            else:
-                one = False
+            floor = min_count if len(top) <= take else max(min_count, top[take].cnt + 1)
+            chosen = [(r.a, r.b) for r in top[:take] if r.cnt >= floor]
+            one = not chosen                     # more ties than pairs: only the first is sure
+            if one:
+                chosen, floor = [(top[0].a, top[0].b)], top[0].cnt
             counted = (state.mapInArrow(_pieces(frozenset(chosen)), "piece string, cnt long")
                             .groupBy("piece").agg(F.sum("cnt").alias("cnt")))
             got = counted.limit(most_pieces + 1).collect()
             if len(got) <= most_pieces or len(chosen) == 1:
                 pieces = [(r.piece.split(" "), r.cnt) for r in got]
             else:
-                active = max(1, active // 4)
-                top = top[:active + 1]
+                take = max(1, take // 4)
+        if len(pieces) <= most_pieces // 4:
+            take = min(active, take * 4)
         merges = merge_pieces(pieces, floor, vocabulary, room, 1 if one else None)
         if len(vocabulary) < room:
             before = path
