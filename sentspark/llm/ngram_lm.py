@@ -554,32 +554,29 @@ def _score_block(m: Model, held) -> pa.RecordBatch:
     with np.errstate(over="ignore"):
         every = (first + 1).astype(_U) * width + (second + 1).astype(_U)
         index = np.searchsorted(f.astype(_U) * width + s.astype(_U), every)
-    logs = m.log10(f - 1, s - 1)[index]
     sizes = np.concatenate([np.diff(b) for _, (_, b) in held])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     total = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end token
-    columns = {
+    if m.triples is None:
+        logs = m.log10(f - 1, s - 1)[index]
+    else:
+        lower = m.triples.middle(m, f - 1, s - 1)[index]
+        logs = m.triples.log10(m, f - 1, s - 1, index, first, lower)
+    return pa.RecordBatch.from_pydict({
         "doc_id": pa.concat_arrays([d for d, _ in held]), "n_tokens": pa.array(sizes, pa.int64()),
         "n_known": pa.array(total((second >= 0).astype(np.int64))),
         "train_tokens": pa.array(np.full(len(sizes), v.tokens)),
-        "base_score": pa.array(total(base)), "score": pa.array(total(logs))}
-    if m.triples is not None:
-        lower = m.triples.middle(m, f - 1, s - 1)[index]
-        columns["trigram_score"] = pa.array(total(m.triples.log10(m, f - 1, s - 1, index, first, lower)))
-    return pa.RecordBatch.from_pydict(columns)
+        "base_score": pa.array(total(base)), "score": pa.array(total(logs))})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every
-    row, ``score`` of the pairs, and at order 3 ``trigram_score``; perplexity is
-    ``10 ^ (-score / n_tokens)``."""
+    row, ``score`` of the model's order; perplexity is ``10 ^ (-score / n_tokens)``."""
     spark = docs.sparkSession
     ship_package(spark)
     held = spark.sparkContext.broadcast(model)   # file names, sizes and discounts
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kinds = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(),
              "base_score": T.DoubleType(), "score": T.DoubleType()}
-    if model.triples is not None:
-        kinds["trigram_score"] = T.DoubleType()
     return rows.mapInArrow(_score(held), T.StructType(
         [rows.schema["doc_id"], *(T.StructField(k, t) for k, t in kinds.items())]))

@@ -98,15 +98,15 @@ def within(array: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray)
     out = np.full(len(x), -1, dtype=np.int64)
     on = np.flatnonzero(low < high)
     lo, hi, want = low[on].astype(np.int64), high[on].astype(np.int64), x[on].astype(np.int64)
-    end = hi.copy()
-    while len(open_ := np.flatnonzero(lo < hi)):
-        mid = (lo[open_] + hi[open_]) >> 1
-        less = array[mid].astype(np.int64) < want[open_]
-        lo[open_] = np.where(less, mid + 1, lo[open_])
-        hi[open_] = np.where(less, hi[open_], mid)
-    inside = np.flatnonzero(lo < end)
-    hit = inside[array[lo[inside]].astype(np.int64) == want[inside]]
-    out[on[hit]] = lo[hit]
+    while len(on):                               # only searches that go on are kept
+        mid = (lo + hi) >> 1
+        there = array[mid]
+        hit = there == want
+        out[on[hit]] = mid[hit]
+        less = there < want
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        keep = np.flatnonzero((lo < hi) & ~hit)
+        on, lo, hi, want = on[keep], lo[keep], hi[keep], want[keep]
     return out
 
 
@@ -129,6 +129,36 @@ def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def stairs(*columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of sorted rows as differences to the row before, in each column
+    as long as the columns to its left stay the same; else the value itself."""
+    out = []
+    same = np.ones(max(0, len(columns[0]) - 1), dtype=bool)
+    for c in columns:
+        c = c.astype(_U)
+        step = c.copy()
+        step[1:] -= np.where(same, c[:-1], _U(0))
+        out.append(step)
+        same = same & (c[1:] == c[:-1])
+    return out
+
+
+def climbed(*steps: np.ndarray) -> list[np.ndarray]:
+    """The columns of ``stairs``."""
+    out = []
+    new = np.zeros(len(steps[0]), dtype=bool)    # where a value stands for itself
+    new[:1] = True
+    for d in steps:
+        total = np.cumsum(d, dtype=_U)
+        at = np.flatnonzero(new)
+        # what came before a run of differences is taken off again
+        c = total - np.repeat(np.concatenate([[_U(0)], total[at[1:] - 1]]), np.diff(np.append(at, len(d)))) if len(d) else d
+        out.append(c)
+        new = new.copy()
+        new[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def before(first: np.ndarray, start: int) -> np.ndarray:
     """The place before each first word (of use only where that is no start)."""
     return np.concatenate([[start], first[:-1]]).astype(first.dtype)
@@ -151,7 +181,7 @@ def _count(held_vocabulary, hot: np.ndarray, shards: int):
         for s in range(shards):
             own = order[cut[s]:cut[s + 1]]
             if len(own):
-                blobs = (lm.pack(lm.deltas(v[own].astype(_U))), *(lm.pack(x[own].astype(_U)) for x in (u, w, n)))
+                blobs = [lm.pack(x) for x in stairs(v[own], u[own], w[own])] + [lm.pack(n[own].astype(_U))]
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([s], pa.int32()), "n": pa.array([len(own)], pa.int64()),
                     **{c: pa.array([x], pa.binary()) for c, x in zip("abcd", blobs)}})
@@ -185,7 +215,7 @@ def _of_counts(name: str, x: np.ndarray) -> dict[str, int]:
 def _merge(folder: str, pairs: lm.Shards, hot: np.ndarray, shards: int):
     """The shard's file (kind 0), and pairs of hot words for their shards (kind 1)."""
     def run(table: pa.Table) -> pa.Table:
-        parts = [(lm.undo(lm.unpack(r["a"], r["n"])), *(lm.unpack(r[c], r["n"]) for c in "bcd"))
+        parts = [(*climbed(*(lm.unpack(r[c], r["n"]) for c in "abc")), lm.unpack(r["d"], r["n"]))
                  for r in table.to_pylist()]
         shard = table.column("shard")[0].as_py()
         v, u, w, n = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
@@ -354,7 +384,7 @@ class Triples:
             if not len(own) or not self.files[s]:
                 continue
             f = Opened(*self.files[s])
-            own = own[np.argsort(v[own])]
+            own = own[np.lexsort((u[own], v[own]))]
             mid = lm.find(f["mid"], v[own])
             low = {x: np.where(mid >= 0, f[x][np.maximum(mid, 0)], 0) for x in ("once_off", "many_off")}
             high = {x: np.where(mid >= 0, f[x][np.maximum(mid, 0) + 1], 0) for x in ("once_off", "many_off")}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sentspark.llm import (components, decontaminate, exact_dedup, grammar, mixing, ngram_lm, quality, simhash,
-                           textkernel, token_counts, token_files, tokenizers_public, toxicity, warc)
+                           textkernel, token_counts, token_files, tokenizers_public, toxicity, trigrams, warc)
 from sentspark.llm.tables import pick, row_key
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -529,8 +529,13 @@ def test_warc_pushdown_and_plain_files(spark, tmp_path):
 
 # ---- op5 --------------------------------------------------------------------
 
+def brute_words(t):
+    """Words with A-Z alone lower-cased."""
+    return re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
+
+
 def brute_model(train, test):
-    words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
+    words = brute_words
     uni, bi = Counter(), Counter()
     for t in train:
         w = [*words(t), b"</s>"]
@@ -571,7 +576,7 @@ def test_ngram_model(spark, rows):
     train = [t for i, t in every if i is not None and i % 5 != 0]
     want, uni, p = brute_model(train, [t for _, t in every])
     for shards in (1, 5):
-        model = ngram_lm.train(df, used, shards=shards)
+        model = ngram_lm.train(df, used, shards=shards, order=2)
         got = ngram_lm.score(df, model).collect()
         key = lambda i, x: (-1 if i is None else i, x[0], x[1], round(x[3], 6), round(x[4], 6))
         have = sorted(key(r.doc_id, r[1:]) for r in got)
@@ -644,7 +649,7 @@ def test_mix_gives_each_source_its_own(spark):
 
 
 def brute_trigrams(train, test):
-    words = lambda t: (t or "").lower().encode().split()
+    words = brute_words
     tri, raw, uni = Counter(), Counter(), Counter()
     for t in train:
         w = [b"<s>", *words(t), b"</s>"]
@@ -691,15 +696,25 @@ def test_ngram_order_3(spark):
         model = ngram_lm.train(df, used, shards=shards)
         got = {r.doc_id: r for r in ngram_lm.score(df, model).collect()}
         for i, x in enumerate(want):
-            assert math.isclose(got[i].trigram_score, x, rel_tol=1e-9, abs_tol=1e-9), (shards, i)
+            assert math.isclose(got[i].score, x, rel_tol=1e-9, abs_tol=1e-9), (shards, i)
     for u, v in ((b"the", b"of"), (b"a", b"a"), (b"", b"<s>"), (b"<s>", b"the"), (b"never", b"seen")):
         assert math.isclose(sum(p(u, v, w) for w in uni) + p(u, v, b"unknown!"), 1.0, abs_tol=1e-9)
     pairs_only = ngram_lm.train(df, used, order=2)
-    assert "trigram_score" not in ngram_lm.score(df, pairs_only).columns
+    assert ngram_lm.score(df, pairs_only).columns == ngram_lm.score(df, model).columns
     with pytest.raises(ValueError):
         ngram_lm.train(df, used, order=4)
 
 
+def test_stairs():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 500):
+        rows = np.sort(rng.integers(0, 5, n)), *(rng.integers(0, 2 ** 40, n) % k for k in (4, 7))
+        order = np.lexsort(rows[::-1])
+        rows = [x[order].astype(np.uint64) for x in rows]
+        back = trigrams.climbed(*trigrams.stairs(*rows))
+        assert all((a == b).all() for a, b in zip(rows, back))
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(2)
     for n in (0, 1, 1000):

@@ -14,7 +14,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
 
-from test_operators import brute_components, brute_hits, brute_model, brute_print, fill  # noqa: E402
+from test_operators import brute_components, brute_hits, brute_model, brute_print, brute_trigrams, fill  # noqa: E402
 
 from sentspark.llm.catalog import QUERIES  # noqa: E402
 from sentspark.llm.oracle import ORACLE  # noqa: E402
@@ -54,9 +54,10 @@ def test_op1(spark, documents):
 
 def test_op5(spark, documents):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in documents}
-    want, _, _ = brute_model([t for i, t, _ in documents if not held[i]], [t for _, t, _ in documents])
+    texts = [t for i, t, _ in documents if not held[i]], [t for _, t, _ in documents]
+    want, of_three = brute_model(*texts)[0], brute_trigrams(*texts)[0]
     got = {r.doc_id: r for r in QUERIES["op5_ngram_scores"](spark, SF).collect()}
-    for (i, _, _), (n, known, total, base, score) in zip(documents, want):
+    for (i, _, _), (n, known, total, base, _), score in zip(documents, want, of_three):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], n, known, total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
