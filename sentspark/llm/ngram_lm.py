@@ -8,9 +8,10 @@ compressed rows per task and shard, so a frequent word or pair is one entry of
 one row.  Each shard becomes files of sorted arrays in the shared folder that
 ``spark.checkpoint.dir`` names:
 
-* words (by hash): counts, left-context counts, and what follows them (how
-  many pairs they begin, by count 1, 2, 3 and more);
-* pairs (by the hash of both words' places): counts.
+* words (by hash): counts, left-context counts, and (at order 2) what follows
+  them: how many pairs they begin, by count 1, 2, 3 and more;
+* pairs (by the hash of both words' places): counts; at order 3 the triples
+  give them, and no pass counts pairs.
 
 Scoring is one pass over the documents.  A task maps the files into memory
 (pages are read as needed and never count as its own) and looks up its sorted
@@ -30,6 +31,9 @@ Defined cases: null text has the end token alone; words are runs of bytes
 other than ASCII white space, with A-Z lower-cased; a table without training
 rows makes a model that knows no token and gives each 1 / (V + 1) with V = 0;
 repeated rows count and are scored each; words are told apart by 64-bit hashes.
+Long texts are read whole (a task holds one text beyond its bound).  Scores
+have no ties to break.  Only the id, the text and the columns of ``used`` are
+read, so other columns and their names don't matter.
 """
 
 from __future__ import annotations
@@ -308,6 +312,22 @@ def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, n
     return first[new], second[new], np.diff(np.append(new, len(first))).astype(_U)
 
 
+def indexed_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, and which of them each pair is."""
+    if int(first.max(initial=0)) < 1 << 31:
+        key = (first.astype(_U) << _U(32)) | second.astype(_U)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        index = np.empty(len(key), dtype=np.int64)
+        index[order] = np.cumsum(new) - 1
+        key = key[new]
+        return (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64), index
+    pairs, index = np.unique(np.stack([first, second], axis=1), axis=0, return_inverse=True)
+    return pairs[:, 0], pairs[:, 1], index.reshape(-1)
+
+
 def _flush_pairs(held, vocabulary: Vocabulary, hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     first, second, _, _ = _pairs(held, vocabulary)
     first, second, n = distinct_pairs(first, second)
@@ -432,7 +452,7 @@ class Model:
         begin = np.flatnonzero(places == v.size)
         total[begin] = self.documents
         d = self.pair_discounts
-        for own, held in ((known, (one, two, more)), (begin, self.start[1:] or (0, 0, 0))):
+        for own, held in ((known, (one, two, more)), (begin, self.start)):
             taken = d[1] * held[0] + d[2] * held[1] + d[3] * held[2]
             seen = (held[0] + held[1] + held[2]) * np.ones(len(own))
             mass[own] = np.where(seen > 0, taken / np.maximum(total[own], 1), 1.0)
@@ -498,28 +518,33 @@ def train(docs: DataFrame, used: Column | None = None, shards: int | None = None
     if documents > least:
         hot_places = np.append(hot_places, vocabulary.size)
     held = spark.sparkContext.broadcast(vocabulary)   # file names and sizes, one per shard
-    pairs = (rows.mapInArrow(_count_pairs(held, hot_places, shards), _PART).groupBy("shard")
-             .applyInArrow(_merge_pairs(folder, vocabulary.base), _PAIR_ROW))
-    landed = scratch_path(spark, "ngram-pairs")
-    pairs.write.parquet(landed)
-    pairs = spark.read.parquet(landed)
-    found = {r.n: r for r in pairs.where("shard = -1").select("n", "keys", "counts", "n1", "n2", "n3", "n4").collect()}
-    beside = {r.shard: r for r in pairs.where("shard >= 0").select("shard", "n", "kind", "a", "b").groupBy("shard")
+    none = Shards((None,) * shards)
+    triples, found, start = None, {}, []
+    if order == 3:
+        triples, seconds, start, drop = trigrams.train(rows, vocabulary, hot_places, held)
+    else:
+        pairs = (rows.mapInArrow(_count_pairs(held, hot_places, shards), _PART).groupBy("shard")
+                 .applyInArrow(_merge_pairs(folder, vocabulary.base), _PAIR_ROW))
+        drop = [scratch_path(spark, "ngram-pairs")]
+        pairs.write.parquet(drop[0])
+        pairs = spark.read.parquet(drop[0])
+        found = {r.n: r for r in pairs.where("shard = -1").select("n", "keys", "counts", "n1", "n2", "n3", "n4").collect()}
+        seconds = pairs.where("shard >= 0").select("shard", "n", "kind", "a", "b")
+    beside = {r.shard: r for r in seconds.groupBy("shard")
               .applyInArrow(_merge_beside(folder, vocabulary.base), _BESIDE_ROW).collect()}
-    drop_scratch(landed)
-    start = list(beside[shards].start) if shards in beside else []
+    for path in drop:
+        drop_scratch(path)
+    if order == 2:
+        start = list(beside[shards].start[1:]) if shards in beside else [0, 0, 0]
     own = [r for s, r in beside.items() if s < shards]
     word_n = [sum(getattr(r, f"n{k}") for r in own) for k in (1, 2, 3, 4)]
     d = discounts(*word_n)
     distinct = sum(r.pairs for r in own)
     taken = d[1] * word_n[0] + d[2] * word_n[1] + d[3] * sum(r.n3up for r in own)
-    model = Model(vocabulary, hot_places, at(found, "keys"), at(found, "counts"),
-                  {x: at(beside, x) for x in _BESIDE}, documents, start,
-                  discounts(*(sum(getattr(r, f"n{k}") for r in found.values()) for k in (1, 2, 3, 4))), d, distinct,
-                  taken / distinct if distinct else 1.0)
-    if order == 3:
-        model.triples = trigrams.train(rows, model, held)
-    return model
+    return Model(vocabulary, hot_places, at(found, "keys") if found else none, at(found, "counts") if found else none,
+                 {x: at(beside, x) for x in _BESIDE}, documents, start,
+                 discounts(*(sum(getattr(r, f"n{k}") for r in found.values()) for k in (1, 2, 3, 4))), d, distinct,
+                 taken / distinct if distinct else 1.0, triples)
 
 
 def _score(model):
@@ -549,11 +574,7 @@ def _score_block(m: Model, held) -> pa.RecordBatch:
     count[known] = v.gather(v.counts, places[known])
     base = np.log10((count + 1) / (v.tokens + (v.size + 1)))[which]
     # look up distinct pairs only (unknown words are -1, so shift by one)
-    f, s, _ = distinct_pairs(first + 1, second + 1)
-    width = _U(v.size + 2)
-    with np.errstate(over="ignore"):
-        every = (first + 1).astype(_U) * width + (second + 1).astype(_U)
-        index = np.searchsorted(f.astype(_U) * width + s.astype(_U), every)
+    f, s, index = indexed_pairs(first + 1, second + 1)
     sizes = np.concatenate([np.diff(b) for _, (_, b) in held])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     total = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end token

@@ -3,21 +3,24 @@
 Tasks reduce their triples (u, v, w) of word places to distinct ones with
 counts, packed per shard.  A triple goes where its middle word lies (those of
 hot middle words by their context (u, v)), so that a shard holds whole contexts
-(u, v) and, but for hot words, all words u before a pair (v, w).  The counts
-are exact: keys are the words' places, not hashes.  Each shard becomes one file
-of arrays:
+(u, v) and, but for hot words, all words u before a pair (v, w).  A text's
+first word has the start as middle word and nothing before it; it goes by
+itself, as a pair.  The counts are exact: keys are the words' places, not
+hashes.  Each shard becomes one file of arrays:
 
 * contexts seen once: u and the word that follows, by middle word;
 * other contexts: u, counts, and what follows, by middle word; counts are
   bytes, with those of 255 and more in a list of their own;
-* of middle words that are not hot: how many triples end in their pairs.
+* pairs, by hash: how many different words lie before them (continuation
+  counts, from which the middle order is made; after the start, plain counts).
 
-A second, small exchange adds up the pairs of hot words, and each shard gets,
-beside its pairs, the number of different words before them (their
-continuation counts, from which the middle order is made).
+A second, small exchange adds up the pairs of hot words.  Both stages tell the
+words' shards in how many pairs each word is the second, from which the lowest
+order is made: no pass over the texts counts pairs alone.
 
 Defined cases: the first word of a text has the start context alone and is
 scored by the pairs' counts; a context never seen leaves all to the pairs.
+The other cases are those of ``ngram_lm``.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_scratch, scratch_path
+from ..session import scratch_path
 from . import ngram_lm as lm
 from . import textkernel as tk
 from .warc import filesystem
@@ -164,19 +167,22 @@ def before(first: np.ndarray, start: int) -> np.ndarray:
     return np.concatenate([[start], first[:-1]]).astype(first.dtype)
 
 
+def home_of_start(second: np.ndarray, start: int, shards: int) -> np.ndarray:
+    """Shard of the pairs of the start context, by the whole pair."""
+    return (lm.pair_key(np.full(len(second), start), second) % _U(shards)).astype(np.int64)
+
+
 def _count(held_vocabulary, hot: np.ndarray, shards: int):
     def flush(held) -> Iterator[pa.RecordBatch]:
-        vocabulary = held_vocabulary.value
-        v, w, _, _ = lm._pairs(held, vocabulary)
-        u = before(v, vocabulary.size)
-        inner = np.flatnonzero(v != vocabulary.size)
-        if not len(inner):
-            return
-        u, v, w = u[inner], v[inner], w[inner]
+        start = held_vocabulary.value.size
+        v, w, _, _ = lm._pairs(held, held_vocabulary.value)
+        u = np.where(v == start, start + 1, before(v, start))
         order, new = distinct(v, u, w)
         n = np.diff(np.append(new, len(order)))
         u, v, w = (x[order[new]] for x in (u, v, w))
         shard = lm.pair_shard(v, lm.pair_key(u, v), hot, shards)
+        first = int(np.searchsorted(v, start))   # sorted: the start comes last
+        shard[first:] = home_of_start(w[first:], start, shards)
         order, cut = lm.by_shard(shard, shards)
         for s in range(shards):
             own = order[cut[s]:cut[s + 1]]
@@ -201,19 +207,39 @@ def _count(held_vocabulary, hot: np.ndarray, shards: int):
     return run
 
 
-_FILE_ROW = ("shard int, kind int, path string, layout string, n1 long, n2 long, n3 long, n4 long, "
-             "c1 long, c2 long, c3 long, c4 long, n long, a binary, b binary, c binary")
+_NUMBERS = [*(f"{x}{k}" for x in "nc" for k in (1, 2, 3, 4)), "s1", "s2", "s3"]
+#: Kinds of rows: a shard's file, pairs of hot words for their shards, second words for theirs.
+FILE, HOT, SECOND = 0, 1, 2
+_FILE_ROW = ("shard int, kind int, path string, layout string, " + ", ".join(f"{x} long" for x in _NUMBERS)
+             + ", n long, a binary, b binary, c binary, d binary")
 _FILE_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("path", pa.string()), ("layout", pa.string()),
-                         *((f"{x}{k}", pa.int64()) for x in "nc" for k in (1, 2, 3, 4)),
-                         ("n", pa.int64()), *((c, pa.binary()) for c in "abc")])
+                         *((x, pa.int64()) for x in _NUMBERS), ("n", pa.int64()), *((c, pa.binary()) for c in "abcd")])
 
 
 def _of_counts(name: str, x: np.ndarray) -> dict[str, int]:
     return {f"{name}{k}": int((x == k).sum()) for k in (1, 2, 3, 4)}
 
 
-def _merge(folder: str, pairs: lm.Shards, hot: np.ndarray, shards: int):
-    """The shard's file (kind 0), and pairs of hot words for their shards (kind 1)."""
+def _seconds(words: np.ndarray, base: np.ndarray) -> Iterator[dict]:
+    """Rows for the words' shards: in how many of these pairs each word is the second."""
+    places, count = np.unique(words, return_counts=True)
+    cut = np.searchsorted(places, base)
+    for s in range(len(base) - 1):
+        own = slice(cut[s], cut[s + 1])
+        if cut[s + 1] > cut[s]:
+            yield {"shard": s, "kind": SECOND, "n": int(cut[s + 1] - cut[s]),
+                   "a": lm.pack(lm.deltas(places[own].astype(_U))), "b": lm.pack(count[own].astype(_U))}
+
+
+def _runs(x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums of the runs that begin at ``head``."""
+    return np.add.reduceat(x.astype(np.int64), head) if len(head) else np.zeros(0, dtype=np.int64)
+
+
+def _merge(folder: str, base: np.ndarray, hot: np.ndarray, shards: int):
+    """The shard's file, pairs of hot words for their shards, and second words for theirs."""
+    start = int(base[-1])
+
     def run(table: pa.Table) -> pa.Table:
         parts = [(*climbed(*(lm.unpack(r[c], r["n"]) for c in "abc")), lm.unpack(r["d"], r["n"]))
                  for r in table.to_pylist()]
@@ -223,22 +249,27 @@ def _merge(folder: str, pairs: lm.Shards, hot: np.ndarray, shards: int):
         order, new = distinct(v, u, w)
         n = np.add.reduceat(n[order], new)
         v, u, w = (x[order[new]] for x in (v, u, w))
+        # pairs of the start context lie at the end
+        first = int(np.searchsorted(v, start))
+        begun, begun_n = w[first:], n[first:]
+        v, u, w, n = (x[:first] for x in (v, u, w, n))
         # contexts (v, u), each a run of triples
-        head = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])]))
-        total = np.add.reduceat(n, head)
+        same = np.ones(len(v), dtype=bool)
+        same[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+        head = np.flatnonzero(same)
+        total = _runs(n, head)
         mid = np.unique(v)
         once = np.flatnonzero(total == 1)
         many = np.flatnonzero(total > 1)
-        to = np.append(head, len(v))
-        runs = np.diff(to)[many]
-        rest = np.repeat(total > 1, np.diff(to))
+        length = np.diff(np.append(head, len(v)))
+        rest = np.repeat(total > 1, length)
         place = lambda x: np.concatenate([np.searchsorted(x, mid), [len(x)]])
         kept = {"mid": mid, "once_off": place(v[head[once]]), "once_u": u[head[once]], "once_w": w[head[once]],
                 "many_off": place(v[head[many]]), "many_u": u[head[many]],
-                "runs": np.concatenate([[0], np.cumsum(runs)]), "w": w[rest], **small("n", n[rest]),
+                "runs": np.concatenate([[0], np.cumsum(length[many])]), "w": w[rest], **small("n", n[rest]),
                 **small("total", total[many])}
         for name, x in zip(_SUMS[1:], (n == 1, n == 2, n >= 3)):
-            kept |= small(name, np.add.reduceat(x.astype(np.int64), head)[many])
+            kept |= small(name, _runs(x, head)[many])
         counts = _of_counts("n", n)
         # how many words lie before each pair (v, w)
         order, new = distinct(v, w)
@@ -246,49 +277,53 @@ def _merge(folder: str, pairs: lm.Shards, hot: np.ndarray, shards: int):
         key = lm.pair_key(pv, pw)
         far = np.isin(pv, hot)
         near = ~far
-        own = pairs.load(shard)
-        beside = np.zeros(len(own), dtype=np.int64)
-        beside[lm.find(own, key[near])] = left[near]
         at = np.searchsorted(mid, pv[near])
         for name, x in zip(_SUMS, (left[near], left[near] == 1, left[near] == 2, left[near] >= 3)):
             kept[f"v_{name}"] = np.bincount(at, weights=x, minlength=len(mid)).astype(np.int64)
-        path, layout = store(folder, "triples", shard, kept | {"left": beside})
-        rows = [{"shard": shard, "kind": 0, "path": path, "layout": layout, **counts,
-                 **_of_counts("c", left[near])}]
+        own = np.concatenate([key[near], lm.pair_key(np.full(len(begun), start), begun)])
+        order = np.argsort(own)
+        kept |= {"keys": own[order]} | small("left", np.concatenate([left[near], begun_n])[order])
+        path, layout = store(folder, "triples", shard, kept)
+        rows = [{"shard": shard, "kind": FILE, "path": path, "layout": layout, **counts, **_of_counts("c", left[near]),
+                 "s1": int((begun_n == 1).sum()), "s2": int((begun_n == 2).sum()), "s3": int((begun_n >= 3).sum())}]
+        rows += _seconds(np.concatenate([pw[near], begun]), base)
         home = (key[far] % _U(shards)).astype(np.int64)
         order = np.lexsort((key[far], home))
         cut = np.searchsorted(home[order], np.arange(shards + 1))
         for s in range(shards):
             some = order[cut[s]:cut[s + 1]]
             if len(some):
-                rows.append({"shard": s, "kind": 1, "n": len(some), "a": lm.pack(lm.deltas(key[far][some])),
-                             "b": lm.pack(left[far][some].astype(_U)), "c": lm.pack(pv[far][some].astype(_U))})
+                rows.append({"shard": s, "kind": HOT, "n": len(some), "a": lm.pack(lm.deltas(key[far][some])),
+                             **{c: lm.pack(x[far][some].astype(_U)) for c, x in (("b", left), ("c", pv), ("d", pw))}})
         return pa.Table.from_pylist(rows, _FILE_ARROW)
     return run
 
 
-_HOT_ROW = "shard int, path string, layout string, v long, sum long, one long, two long, more long, c1 long, c2 long, c3 long, c4 long"
-_HOT_ARROW = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("layout", pa.string()),
-                        *((x, pa.int64()) for x in ("v", *_SUMS, "c1", "c2", "c3", "c4"))])
+_HOT_ROW = ("shard int, kind int, path string, layout string, v long, sum long, one long, two long, more long, "
+            "c1 long, c2 long, c3 long, c4 long, n long, a binary, b binary")
+_HOT_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("path", pa.string()), ("layout", pa.string()),
+                        *((x, pa.int64()) for x in ("v", *_SUMS, "c1", "c2", "c3", "c4", "n")),
+                        ("a", pa.binary()), ("b", pa.binary())])
 
 
-def _merge_hot(folder: str, pairs: lm.Shards):
-    """Continuation counts of the pairs of hot words in a shard: where they lie
-    beside the pairs, and sums by first word."""
+def _merge_hot(folder: str, base: np.ndarray):
+    """Continuation counts of the pairs of hot words in a shard, sums by first
+    word, and second words for their shards."""
     def run(table: pa.Table) -> pa.Table:
-        parts = [(lm.undo(lm.unpack(r["a"], r["n"])), lm.unpack(r["b"], r["n"]), lm.unpack(r["c"], r["n"]))
+        parts = [(lm.undo(lm.unpack(r["a"], r["n"])), *(lm.unpack(r[c], r["n"]) for c in "bcd"))
                  for r in table.to_pylist()]
         shard = table.column("shard")[0].as_py()
-        key, left, v = (np.concatenate(x) for x in zip(*parts))
+        key, left, v, w = (np.concatenate(x) for x in zip(*parts))
         order, new = distinct(key)
         left = np.add.reduceat(left[order].astype(np.int64), new)
-        key, v = key[order[new]], v[order[new]].astype(np.int64)
-        path, layout = store(folder, "hot", shard, {"at": lm.find(pairs.load(shard), key), "left": left})
-        rows = [{"shard": shard, "path": path, "layout": layout, **_of_counts("c", left)}]
+        key, v, w = key[order[new]], v[order[new]].astype(np.int64), w[order[new]].astype(np.int64)
+        path, layout = store(folder, "hot", shard, {"keys": key} | small("left", left))
+        rows = [{"shard": shard, "kind": FILE, "path": path, "layout": layout, **_of_counts("c", left)}]
         words, at = np.unique(v, return_inverse=True)
         sums = [np.bincount(at, weights=x).astype(np.int64) for x in (left, left == 1, left == 2, left >= 3)]
-        rows += [{"shard": -1, "v": int(x), **{name: int(s[k]) for name, s in zip(_SUMS, sums)}}
+        rows += [{"shard": -1, "kind": HOT, "v": int(x), **{name: int(s[k]) for name, s in zip(_SUMS, sums)}}
                  for k, x in enumerate(words)]
+        rows += _seconds(w, base)
         return pa.Table.from_pylist(rows, _HOT_ARROW)
     return run
 
@@ -314,41 +349,35 @@ class Triples:
         sums = np.zeros((len(first), 4), dtype=np.int64)
         left = np.zeros(len(first), dtype=np.int64)
         begin = first == size
-        sums[begin] = [m.documents, *(m.start[1:] or (0, 0, 0))]
-        known = begin & (second >= 0)
-        left[known] = m.count(first[known], second[known])
+        sums[begin] = [m.documents, *m.start]
         inner = np.flatnonzero((first >= 0) & ~begin)
-        hot = np.isin(first[inner], self.hot)
-        sums[inner[hot]] = self.hot_sums[np.searchsorted(self.hot, first[inner[hot]])]
+        hot = np.isin(first, self.hot) & ~begin
+        sums[hot] = self.hot_sums[np.searchsorted(self.hot, first[hot])]
         by_word = (tk.mix64(first[inner].astype(_U)) % _U(shards)).astype(np.int64)
-        key = lm.pair_key(first[inner], second[inner])
-        home = lm.pair_shard(first[inner], key, m.hot, shards)
         order, cut = lm.by_shard(by_word, shards)
+        pair = np.flatnonzero((first >= 0) & (second >= 0))
+        key = lm.pair_key(first[pair], second[pair])
+        home = lm.pair_shard(first[pair], key, m.hot, shards)
+        home[begin[pair]] = home_of_start(second[pair[begin[pair]]], size, shards)
         order_home, cut_home = lm.by_shard(home, shards)
         for s in range(shards):
             file = self.files[s] and Opened(*self.files[s])
-            own = order[cut[s]:cut[s + 1]]
+            own = inner[order[cut[s]:cut[s + 1]]]
             own = own[~hot[own]] if file else own[:0]
             if len(own):                         # by first word, as the pairs come
-                k = lm.find(file["mid"], first[inner[own]])
-                own, k = inner[own[k >= 0]], k[k >= 0]
+                k = lm.find(file["mid"], first[own])
+                own, k = own[k >= 0], k[k >= 0]
                 for j, name in enumerate(_SUMS):
                     sums[own, j] = file[f"v_{name}"][k]
             own = order_home[cut_home[s]:cut_home[s + 1]]
-            own = own[second[inner[own]] >= 0]
             if not len(own):
                 continue
             own = own[np.argsort(key[own])]
-            k = lm.find(m.pairs.load(s), key[own])
-            own, k = own[k >= 0], k[k >= 0]
-            cool = ~hot[own]
-            if file and cool.any():
-                left[inner[own[cool]]] = file["left"][k[cool]]
-            if self.hot_files[s] and not cool.all():
-                more = Opened(*self.hot_files[s])
-                at = np.asarray(more["at"])
-                j = lm.find(at, k[~cool])
-                left[inner[own[~cool][j >= 0]]] = more["left"][j[j >= 0]]
+            far = hot[pair[own]]
+            for some, at in ((file, own[~far]), (self.hot_files[s] and Opened(*self.hot_files[s]), own[far])):
+                if some and len(at):
+                    k = lm.find(some["keys"], key[at])
+                    left[pair[at[k >= 0]]] = some.small("left", k[k >= 0])
         d = self.pair_discounts
         total = np.maximum(sums[:, 0], 1)
         mass = np.where(sums[:, 0] > 0, (sums[:, 1:] @ d[1:]) / total, 1.0)
@@ -412,28 +441,32 @@ class Triples:
         return np.log10(out)
 
 
-def train(rows: DataFrame, model: lm.Model, held_vocabulary) -> Triples:
-    """Triples of the texts of ``rows``, above a model of their pairs."""
+def train(rows: DataFrame, vocabulary: lm.Vocabulary, hot: np.ndarray, held_vocabulary
+          ) -> tuple[Triples, DataFrame, list[int], list[str]]:
+    """Triples of the texts of ``rows``; rows that tell in how many pairs each
+    word is the second; how many words begin texts once, twice and more often;
+    and folders to drop when those rows have been read."""
     spark = rows.sparkSession
-    shards, hot = model.vocabulary.shards, np.sort(model.hot)
+    shards, hot = vocabulary.shards, np.sort(hot)
     folder = scratch_path(spark, "ngram-triples")
     landed = scratch_path(spark, "ngram-triple-rows")
     (rows.mapInArrow(_count(held_vocabulary, hot, shards), TRIPLE_ROW).groupBy("shard")
-     .applyInArrow(_merge(folder, model.pairs, hot, shards), _FILE_ROW).write.parquet(landed))
+     .applyInArrow(_merge(folder, vocabulary.base, hot, shards), _FILE_ROW).write.parquet(landed))
     made = spark.read.schema(_FILE_ROW).parquet(landed)
-    files = {r.shard: r for r in made.where("kind = 0").drop("a", "b", "c").collect()}   # one row per shard
+    files = {r.shard: r for r in made.where(f"kind = {FILE}").drop("a", "b", "c", "d").collect()}   # one row a shard
     again = scratch_path(spark, "ngram-hot-rows")
-    (made.where("kind = 1").select("shard", "n", "a", "b", "c").groupBy("shard")
-     .applyInArrow(_merge_hot(folder, model.pairs), _HOT_ROW).write.parquet(again))
+    (made.where(f"kind = {HOT}").select("shard", "n", "a", "b", "c", "d").groupBy("shard")
+     .applyInArrow(_merge_hot(folder, vocabulary.base), _HOT_ROW).write.parquet(again))
     found = spark.read.schema(_HOT_ROW).parquet(again)
-    hot_files = {r.shard: r for r in found.where("shard >= 0").collect()}
+    hot_files = {r.shard: r for r in found.where(f"kind = {FILE}").drop("a", "b").collect()}
     sums = np.zeros((len(hot), 4), dtype=np.int64)
-    for r in found.where("shard < 0").groupBy("v").agg(*[F.sum(x).alias(x) for x in _SUMS]).collect():  # hot words
+    for r in found.where(f"kind = {HOT}").groupBy("v").agg(*[F.sum(x).alias(x) for x in _SUMS]).collect():  # hot words
         sums[np.searchsorted(hot, r.v)] = [r[x] for x in _SUMS]
-    drop_scratch(landed)
-    drop_scratch(again)
     at = lambda f: [(f[s].path, f[s].layout) if s in f else None for s in range(shards)]
     both = [*files.values(), *hot_files.values()]
-    return Triples(at(files), at(hot_files), hot, sums,
-                   lm.discounts(*(sum(r[f"c{k}"] for r in both) for k in (1, 2, 3, 4))),
-                   lm.discounts(*(sum(r[f"n{k}"] for r in files.values()) for k in (1, 2, 3, 4))))
+    triples = Triples(at(files), at(hot_files), hot, sums,
+                      lm.discounts(*(sum(r[f"c{k}"] for r in both) for k in (1, 2, 3, 4))),
+                      lm.discounts(*(sum(r[f"n{k}"] for r in files.values()) for k in (1, 2, 3, 4))))
+    seconds = [x.where(f"kind = {SECOND}").select("shard", "n", F.lit(0).alias("kind"), "a", "b") for x in (made, found)]
+    return (triples, seconds[0].unionByName(seconds[1]), [sum(r[f"s{k}"] for r in files.values()) for k in (1, 2, 3)],
+            [landed, again])
