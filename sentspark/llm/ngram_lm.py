@@ -272,17 +272,28 @@ def pair_shard(first: np.ndarray, key: np.ndarray, hot: np.ndarray, shards: int)
     return np.where(np.isin(first, hot), (key % _U(shards)).astype(np.int64), by_first)
 
 
-def _pairs(held: list[tuple[np.ndarray, np.ndarray]], vocabulary: Vocabulary):
-    """Places of the first and second words of all pairs (the start context is place V)."""
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of all tokens (sorted), which of them each token is, and where texts begin."""
     tokens = np.concatenate([t for t, _ in held])
     begins = np.concatenate([b[:-1] + k for (t, b), k in
                              zip(held, np.cumsum([0, *(len(t) for t, _ in held[:-1])]))]).astype(np.int64)
     keys, which = np.unique(tokens, return_inverse=True)
+    return keys, which, begins
+
+
+def shifted(x: np.ndarray, begins: np.ndarray, start: int) -> np.ndarray:
+    """The value before each token; ``start`` where a text begins."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[begins] = start
+    return out
+
+
+def _pairs(held: list[tuple[np.ndarray, np.ndarray]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and second words of all pairs (the start context is place V)."""
+    keys, which, begins = _joined(held)
     second = vocabulary.places(keys)[which]
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[begins] = vocabulary.size
-    return first, second, keys, which
+    return shifted(second, begins, vocabulary.size), second
 
 
 def _count_pairs(held_vocabulary, hot: np.ndarray, shards: int):
@@ -329,7 +340,7 @@ def indexed_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _flush_pairs(held, vocabulary: Vocabulary, hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    first, second, _, _ = _pairs(held, vocabulary)
+    first, second = _pairs(held, vocabulary)
     first, second, n = distinct_pairs(first, second)
     shard = pair_shard(first, pair_key(first, second), hot, shards)
     yield from _shard_rows(shard, shards, first.astype(_U), second.astype(_U), n)
@@ -567,25 +578,27 @@ def _score(model):
 
 def _score_block(m: Model, held) -> pa.RecordBatch:
     v = m.vocabulary
-    first, second, keys, which = _pairs([t for _, t in held], v)
+    keys, which, begins = _joined([t for _, t in held])
     places = v.places(keys)
     known = np.flatnonzero(places >= 0)
     count = np.zeros(len(keys))
     count[known] = v.gather(v.counts, places[known])
     base = np.log10((count + 1) / (v.tokens + (v.size + 1)))[which]
-    # look up distinct pairs only (unknown words are -1, so shift by one)
-    f, s, index = indexed_pairs(first + 1, second + 1)
+    # distinct pairs only, as numbers of the block's distinct words (the start comes after them)
+    first = shifted(which, begins, len(keys))
+    f, s, index = indexed_pairs(first, which)
+    words = np.append(places, v.size)
     sizes = np.concatenate([np.diff(b) for _, (_, b) in held])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     total = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end token
     if m.triples is None:
-        logs = m.log10(f - 1, s - 1)[index]
+        logs = m.log10(words[f], words[s])[index]
     else:
-        lower = m.triples.middle(m, f - 1, s - 1)[index]
-        logs = m.triples.log10(m, f - 1, s - 1, index, first, lower)
+        lower = m.triples.middle(m, words, f, s)[index]
+        logs = m.triples.log10(m, words[f], words[s], index, words[first], lower)
     return pa.RecordBatch.from_pydict({
         "doc_id": pa.concat_arrays([d for d, _ in held]), "n_tokens": pa.array(sizes, pa.int64()),
-        "n_known": pa.array(total((second >= 0).astype(np.int64))),
+        "n_known": pa.array(total((places >= 0)[which].astype(np.int64))),
         "train_tokens": pa.array(np.full(len(sizes), v.tokens)),
         "base_score": pa.array(total(base)), "score": pa.array(total(logs))})
 

@@ -175,7 +175,7 @@ def home_of_start(second: np.ndarray, start: int, shards: int) -> np.ndarray:
 def _count(held_vocabulary, hot: np.ndarray, shards: int):
     def flush(held) -> Iterator[pa.RecordBatch]:
         start = held_vocabulary.value.size
-        v, w, _, _ = lm._pairs(held, held_vocabulary.value)
+        v, w = lm._pairs(held, held_vocabulary.value)
         u = np.where(v == start, start + 1, before(v, start))
         order, new = distinct(v, u, w)
         n = np.diff(np.append(new, len(order)))
@@ -341,48 +341,55 @@ class Triples:
     pair_discounts: np.ndarray
     discounts: np.ndarray
 
-    def middle(self, m: lm.Model, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """p(second | first) of the middle order, of distinct pairs of places."""
+    def contexts(self, m: lm.Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words at these places (the last is the start): what the middle
+        order's counts after each add up to, and the share left for the lower order."""
         size, shards = m.vocabulary.size, m.vocabulary.shards
-        words, which = np.unique(second, return_inverse=True)
-        low = m.lower(words)[which]
-        sums = np.zeros((len(first), 4), dtype=np.int64)
-        left = np.zeros(len(first), dtype=np.int64)
-        begin = first == size
-        sums[begin] = [m.documents, *m.start]
-        inner = np.flatnonzero((first >= 0) & ~begin)
-        hot = np.isin(first, self.hot) & ~begin
-        sums[hot] = self.hot_sums[np.searchsorted(self.hot, first[hot])]
-        by_word = (tk.mix64(first[inner].astype(_U)) % _U(shards)).astype(np.int64)
-        order, cut = lm.by_shard(by_word, shards)
-        pair = np.flatnonzero((first >= 0) & (second >= 0))
-        key = lm.pair_key(first[pair], second[pair])
-        home = lm.pair_shard(first[pair], key, m.hot, shards)
-        home[begin[pair]] = home_of_start(second[pair[begin[pair]]], size, shards)
-        order_home, cut_home = lm.by_shard(home, shards)
+        sums = np.zeros((len(words), 4), dtype=np.int64)
+        sums[-1] = [m.documents, *m.start]
+        inner = np.flatnonzero((words >= 0) & (words < size))
+        hot = np.isin(words[inner], self.hot)
+        sums[inner[hot]] = self.hot_sums[np.searchsorted(self.hot, words[inner[hot]])]
+        inner = inner[~hot]
+        order, cut = lm.by_shard((tk.mix64(words[inner].astype(_U)) % _U(shards)).astype(np.int64), shards)
         for s in range(shards):
-            file = self.files[s] and Opened(*self.files[s])
             own = inner[order[cut[s]:cut[s + 1]]]
-            own = own[~hot[own]] if file else own[:0]
-            if len(own):                         # by first word, as the pairs come
-                k = lm.find(file["mid"], first[own])
+            if len(own) and self.files[s]:
+                file = Opened(*self.files[s])
+                own = own[np.argsort(words[own])]
+                k = lm.find(file["mid"], words[own])
                 own, k = own[k >= 0], k[k >= 0]
                 for j, name in enumerate(_SUMS):
                     sums[own, j] = file[f"v_{name}"][k]
-            own = order_home[cut_home[s]:cut_home[s + 1]]
+        total = sums[:, 0]
+        return total, np.where(total > 0, (sums[:, 1:] @ self.pair_discounts[1:]) / np.maximum(total, 1), 1.0)
+
+    def middle(self, m: lm.Model, words: np.ndarray, f: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """p(second | first) of the middle order, of distinct pairs; ``f`` and
+        ``s`` number ``words``, places of which the last is the start."""
+        size, shards = m.vocabulary.size, m.vocabulary.shards
+        total, mass = self.contexts(m, words)
+        left = np.zeros(len(f), dtype=np.int64)
+        pair = np.flatnonzero((total[f] > 0) & (words[s] >= 0))
+        first, second = words[f[pair]], words[s[pair]]
+        begin = first == size
+        hot = np.isin(first, self.hot) & ~begin
+        key = lm.pair_key(first, second)
+        home = lm.pair_shard(first, key, m.hot, shards)
+        home[begin] = home_of_start(second[begin], size, shards)
+        order, cut = lm.by_shard(home, shards)
+        for k in range(shards):
+            own = order[cut[k]:cut[k + 1]]
             if not len(own):
                 continue
             own = own[np.argsort(key[own])]
-            far = hot[pair[own]]
-            for some, at in ((file, own[~far]), (self.hot_files[s] and Opened(*self.hot_files[s]), own[far])):
-                if some and len(at):
-                    k = lm.find(some["keys"], key[at])
-                    left[pair[at[k >= 0]]] = some.small("left", k[k >= 0])
-        d = self.pair_discounts
-        total = np.maximum(sums[:, 0], 1)
-        mass = np.where(sums[:, 0] > 0, (sums[:, 1:] @ d[1:]) / total, 1.0)
-        held = np.where(sums[:, 0] > 0, np.maximum(left - d[np.minimum(left, 3)], 0) / total, 0.0)
-        return held + mass * low
+            for entry, at in ((self.files[k], own[~hot[own]]), (self.hot_files[k], own[hot[own]])):
+                if entry and len(at):
+                    file = Opened(*entry)
+                    j = lm.find(file["keys"], key[at])
+                    left[pair[at[j >= 0]]] = file.small("left", j[j >= 0])
+        d, n = self.pair_discounts, np.maximum(total, 1)[f]
+        return np.maximum(left - d[np.minimum(left, 3)], 0) / n + mass[f] * m.lower(words[:-1])[s]
 
     def log10(self, m: lm.Model, first, second, index, sizes_first, lower) -> np.ndarray:
         """log10 p(token | the two before it).  ``first, second`` are distinct
