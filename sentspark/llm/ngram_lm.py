@@ -56,7 +56,7 @@ from .warc import filesystem
 _U = np.uint64
 #: Words of the longest n-grams.
 ORDER = 3
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 3_600_000
 #: A first word with more than this share of a shard's tokens is spread.
 SPREAD = 0.25
 #: So many most frequent words of each shard can be found to be such.
