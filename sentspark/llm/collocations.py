@@ -62,6 +62,8 @@ SHARD_BYTES = 16 << 20
 TABLE_BITS = 27
 #: Parts into which joins on a phrase's parts cut their keys: a common word begins many phrases.
 SALTS = 8
+#: Parts of a language's candidates that are cut to the best first.
+TOP_PARTS = 16
 NO_LANGUAGE = "und"
 
 _U = np.uint64
@@ -407,8 +409,13 @@ def scored(counts: DataFrame, top: int = TOP, most: int = MOST_WORDS, covered: i
             .withColumn("score", F.expr("bigint(cast(1000000 * cast(_over as decimal(31,0)) as decimal(38,0)) div _under)")))
     best = cuts.groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("best")).select("lang", "phrase", "a", "best.*")
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+    # two levels, so that one language's candidates don't meet in one task: the first leaves TOP_PARTS * top of them
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    parts = best.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS)))
+    some = parts.withColumn("_nth", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(
+        F.col("_nth") <= top)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(
+        F.col("rank") <= top)
     every = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(every, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r",
                                              "n", "score")
