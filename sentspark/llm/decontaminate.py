@@ -10,18 +10,24 @@ included.  A chunk of documents is cut into lanes of a few hundred possible
 end positions that all advance together, each by its own shift.
 
 The benchmark is read in parts of bounded size (``PART_BYTES`` of text, tables
-of at most ``SHIFT_BITS``).  Each part is one broadcast and one pass over the
-documents, which never leave their partitions.  Between passes the rows are
-written with what was found, so a task holds the tables of one part.
+of at most ``SHIFT_BITS``), whose tables are files in the shared folder that
+``spark.checkpoint.dir`` names.  There is one pass over the documents, however
+large the benchmark: a task splits a buffer of ``BUFFER_BYTES`` of text into
+words once and searches it part by part, with the tables of one part in memory
+at a time.  Documents never leave their partitions and nothing is written between.
 
 Defined cases: null texts have no words; an item without words is no pattern;
 items with equal ids are one item; a null item id counts as an empty string;
-repeated rows are searched each on its own; empty tables give no hits.
+repeated rows are searched each on its own; empty tables give no hits.  Texts
+are searched whole, however long.  An item found in several places counts once;
+items are listed in order.  The kept columns travel in one struct, so no names clash.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import drop_scratch, ship_package
+from ..session import scratch_path, ship_package
 from . import textkernel as tk
-from .tables import landed
+from .warc import filesystem
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast part.
 PART_BYTES = 1 << 20
 #: Most bits of a shift table's address (16 MB of bytes); a fuller table only skips less.
 SHIFT_BITS = 24
+#: Bytes of text that a task holds while it goes through several parts.
+BUFFER_BYTES = 8 << 20
 LANE = 256
 PAIRS = 1 << 18
 _U = np.uint64
@@ -161,53 +169,83 @@ class Matcher:
                    for k in range(t.length))
 
 
-def _pass(part, keep_text: bool):
+class Chunk:
+    """A chunk of rows with the words of its texts and what was found in them."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.row = batch.column("row")
+        self.words = tk.words(batch.column("text"), tk.NOT_ALNUM)
+        self.edge = np.zeros(len(self.words.hash) + 1, dtype=np.int64)
+        self.items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+
+    def search(self, matcher: Matcher) -> None:
+        for length, doc, end, window, t in matcher.search(self.words):
+            np.add.at(self.edge, end - length + 1, 1)
+            np.add.at(self.edge, end + 1, -1)
+            n = t.item_from[window + 1] - t.item_from[window]
+            pairs = np.unique(np.stack([np.repeat(doc, n), t.item[_ranges(t.item_from[window], n)]], axis=1), axis=0)
+            for k, item in pairs.tolist():
+                self.items[k].add(matcher.names[item])
+
+    def found(self) -> pa.RecordBatch:
+        w = self.words
+        hit = np.concatenate([[False], np.cumsum(self.edge[:-1]) > 0, [False]])
+        # a span also ends where its text does
+        inside = hit[1:-1]
+        border = np.zeros(len(inside) + 1, dtype=bool)
+        border[w.first] = True
+        starts = np.flatnonzero(inside & (~hit[:-2] | border[:-1]))
+        ends = np.flatnonzero(hit[1:-1] & (~hit[2:] | border[1:])) + 1
+        of = np.searchsorted(w.first, starts, side="right") - 1
+        offsets = pa.array(np.searchsorted(starts, w.first).astype(np.int32))
+        spans = pa.StructArray.from_arrays([pa.array(starts - w.first[of], pa.int64()),
+                                            pa.array(ends - w.first[of], pa.int64())], ["start", "end"])
+        return pa.RecordBatch.from_pydict({
+            "row": self.row, "n_words": pa.array(np.diff(w.first), pa.int64()),
+            "spans": pa.ListArray.from_arrays(offsets, spans),
+            "items": pa.array([sorted(x) for x in self.items], pa.list_(pa.string()))})
+
+
+@lru_cache(maxsize=1)
+def _opened(path: str) -> Matcher:
+    """The tables of one part; those of another are let go."""
+    fs, inner = filesystem(path)
+    with fs.open_input_stream(inner) as f:
+        return pickle.loads(f.read())
+
+
+def _stored(matcher: Matcher, folder: str, k: int) -> str:
+    fs, inner = filesystem(folder)
+    fs.create_dir(inner, recursive=True)
+    with fs.open_output_stream(f"{inner}/part-{k:05d}", compression=None) as out:
+        out.write(pickle.dumps(matcher, protocol=5))
+    return f"{folder}/part-{k:05d}"
+
+
+def _search(paths: Sequence[str], buffer_bytes: int):
+    def flush(held: list[Chunk]) -> Iterator[pa.RecordBatch]:
+        for path in paths:
+            matcher = _opened(path)
+            for chunk in held:
+                chunk.search(matcher)
+        for chunk in held:
+            yield chunk.found()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher: Matcher = part.value
+        held: list[Chunk] = []
+        size = 0
         for whole in batches:
             for batch in tk.chunks(whole, "text"):
-                yield _search_chunk(matcher, batch, keep_text)
+                held.append(Chunk(batch))
+                size += len(held[-1].words.data)
+                if len(paths) == 1 or size >= buffer_bytes:      # one part stays open anyway
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
     return run
 
 
-def _search_chunk(matcher: Matcher, batch: pa.RecordBatch, keep_text: bool) -> pa.RecordBatch:
-    w = tk.words(batch.column("text"), tk.NOT_ALNUM)
-    rows = batch.num_rows
-    edge = np.zeros(len(w.hash) + 1, dtype=np.int64)
-    items: list[set[str]] = [set() for _ in range(rows)]
-    if "items" in batch.schema.names:            # what earlier parts have found
-        for k, (spans, own) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
-            items[k].update(own)
-            for s in spans:
-                edge[w.first[k] + s["start"]] += 1
-                edge[w.first[k] + s["end"]] -= 1
-    for length, doc, end, window, t in matcher.search(w):
-        np.add.at(edge, end - length + 1, 1)
-        np.add.at(edge, end + 1, -1)
-        n = t.item_from[window + 1] - t.item_from[window]
-        pairs = np.unique(np.stack([np.repeat(doc, n), t.item[_ranges(t.item_from[window], n)]], axis=1), axis=0)
-        for k, item in pairs.tolist():
-            items[k].add(matcher.names[item])
-    hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-    # a span also ends where its text does
-    inside = hit[1:-1]
-    border = np.zeros(len(inside) + 1, dtype=bool)
-    border[w.first] = True
-    starts = np.flatnonzero(inside & (~hit[:-2] | border[:-1]))
-    ends = np.flatnonzero(hit[1:-1] & (~hit[2:] | border[1:])) + 1
-    of = np.searchsorted(w.first, starts, side="right") - 1
-    offsets = pa.array(np.searchsorted(starts, w.first).astype(np.int32))
-    spans = pa.StructArray.from_arrays([pa.array(starts - w.first[of], pa.int64()),
-                                        pa.array(ends - w.first[of], pa.int64())], ["start", "end"])
-    columns = {"row": batch.column("row"),
-               "n_words": pa.array(np.diff(w.first), pa.int64()),
-               "spans": pa.ListArray.from_arrays(offsets, spans),
-               "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-    if keep_text:
-        columns["text"] = batch.column("text")
-    return pa.RecordBatch.from_pydict(columns)
-
-
 def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES, window: int = WINDOW, id_col: str = "item_id",
           text_col: str = "text") -> Iterator[Matcher]:
     """The benchmark's windows in parts of at most ``part_bytes`` of text (one
@@ -215,8 +253,8 @@ def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES, window: int = WIND
     items: list[str] = []
     texts: list[str | None] = []
     size, given = 0, False
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"),
-                            F.col(text_col).alias("t"))
+    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"),
+                            F.col(f"`{text_col}`").alias("t"))
     for row in rows.toLocalIterator():
         n = len((row.t or "").encode())
         if items and size + n > part_bytes:
@@ -230,7 +268,7 @@ def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES, window: int = WIND
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] | None = None, window: int = WINDOW,
-             part_bytes: int = PART_BYTES, text_col: str = "text") -> DataFrame:
+             part_bytes: int = PART_BYTES, text_col: str = "text", buffer_bytes: int = BUFFER_BYTES) -> DataFrame:
     """``row, n_words, spans, items`` for every row: its columns ``keep`` (all
     by default) as a struct, the spans of hit words (counted from 0, end
     exclusive) and the sorted ids of found items."""
@@ -238,20 +276,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] | None =
     ship_package(spark)
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
                      F.col(f"`{text_col}`").alias("text"))
-    row = T.StructType([df.schema["row"], *OUT])
-    rest = parts(benchmark, part_bytes, window)
-    matcher, past = next(rest), None
-    while matcher is not None:
-        part = spark.sparkContext.broadcast(matcher)
-        matcher = next(rest, None)
-        if matcher is None:
-            return df.mapInArrow(_pass(part, False), row)
-        df, path = landed(df.mapInArrow(_pass(part, True), T.StructType([*row, df.schema["text"]])),
-                          "decontaminate-pass")
-        part.destroy()
-        if past:
-            drop_scratch(past)
-        past = path
+    folder = scratch_path(spark, "benchmark-parts")
+    paths = [_stored(m, folder, k) for k, m in enumerate(parts(benchmark, part_bytes, window))]   # one at a time
+    return df.mapInArrow(_search(paths, buffer_bytes), T.StructType([df.schema["row"], *OUT]))
 
 
 def n_hit(spans: Column) -> Column:
