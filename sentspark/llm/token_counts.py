@@ -8,10 +8,16 @@ encoded once each and appended; every document then gets its count from the
 cache.  A group of copies is reduced to one text on the map side, so none is
 ever gathered.
 
+Digests are joined with the cache first, and texts follow only for misses:
+with none, no text leaves its task; up to ``SENT_MISSES`` digests (16 MB) go to
+all tasks, and only their texts are exchanged; with more (a cold cache) the
+distinct texts meet the missing digests in one exchange.  The result is the same.
+
 Normalisation: null is empty; nothing else changes, as every difference can
 change the count.  Repeated rows count each; an empty table appends nothing.
 An append whose job fails leaves no rows; two appends of one digest are
-harmless (the cache is read distinct).
+harmless (the cache is read distinct).  Texts are counted whole, however long.
+Only the id and the text are read, so other columns and their names don't matter.
 """
 
 from __future__ import annotations
@@ -23,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import drop_scratch, ship_package
 from . import textkernel as tk
-from .tables import text_or_empty
+from .tables import landed, text_or_empty
 from .tokenizers_public import count_tokens, version
 
 TOKENIZER = "piece_bpe_32k.model"
+#: Missing digests that are sent to every task, at most (32 bytes each).
+SENT_MISSES = 500_000
 _CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -48,26 +56,51 @@ class CountCache:
         self.spark, self.tokenizer, self.folder = spark, tokenizer, folder
         self.path = f"{path}/tokenizer={version(tokenizer, folder)}"
 
-    def read(self) -> DataFrame:
+    def stored(self) -> bool:
+        """Whether any count of this tokenizer is stored."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        if not there:
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+    def read(self) -> DataFrame:
+        if not self.stored():
             return self.spark.createDataFrame([], _CACHE)
         # equal digests have equal counts; distinct rows (not one per digest) leave a
         # join by digest an exchange of its own, in which a hot digest can be split
         return self.spark.read.schema(_CACHE).parquet(self.path).distinct()
 
+    def misses(self, docs: DataFrame, text_col: str = "text") -> tuple[DataFrame | None, str | None]:
+        """``digest, text`` of the distinct texts of ``docs`` that are not stored
+        (``None``: there are none), and a scratch folder to drop after use."""
+        text = text_or_empty(f"`{text_col}`")
+        keyed = docs.select(digest(text).alias("digest"), text.alias("text"))
+        if not self.stored():
+            return _one_each(keyed), None
+        known = self.read().select("digest")
+        absent, path = landed(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "missing-digests")
+        n = absent.count()
+        if not n:
+            drop_scratch(path)
+            return None, None
+        if n <= SENT_MISSES:
+            return _one_each(keyed.join(F.broadcast(absent), "digest", "left_semi")), path
+        # one text of each digest per task first: a join before that would move all
+        # copies (and a semi join would be put there by the optimiser)
+        marked = absent.withColumn("absent", F.lit(True))
+        return _one_each(keyed).join(marked, "digest", "left").where("absent").select("digest", "text"), path
+
     def fill(self, docs: DataFrame, text_col: str = "text") -> None:
         """Encode and append the distinct texts of ``docs`` that are not stored."""
         ship_package(self.spark)
-        text = text_or_empty(f"`{text_col}`")
-        # one text of each digest per task first: a join before that would move all
-        # copies (and an anti join would be put there by the optimiser)
-        distinct = (docs.select(digest(text).alias("digest"), text.alias("text"))
-                    .groupBy("digest").agg(F.first("text").alias("text")))
-        stored = self.read().select("digest", F.lit(True).alias("stored"))
-        misses = distinct.join(stored, "digest", "left").where("stored is null").select("digest", "text")
-        misses.mapInArrow(_count(self.tokenizer, self.folder), _CACHE).write.mode("append").parquet(self.path)
+        rows, path = self.misses(docs, text_col)
+        if rows is not None:
+            rows.mapInArrow(_count(self.tokenizer, self.folder), _CACHE).write.mode("append").parquet(self.path)
+        if path is not None:
+            drop_scratch(path)
+
+
+def _one_each(keyed: DataFrame) -> DataFrame:
+    """One text of each digest, reduced in each task before the exchange."""
+    return keyed.groupBy("digest").agg(F.first("text").alias("text"))
 
 
 def digest(text) -> F.Column:
