@@ -3,19 +3,20 @@
 A Misra-Gries summary names the digests that may be frequent.  Their groups
 are counted exactly with map-side partial aggregation, and the verified
 winners are broadcast, so rows of frequent texts are settled where they are
-read.  Only the rows of infrequent digests are shuffled, where no group can be
-large.
+read.  Only the rows of infrequent digests are shuffled: their groups are
+aggregated partially and joined back.
 
 Defined cases: null text counts as empty; equal texts with equal ids (repeated
 rows) report the same ``keep_id`` and are all ``kept`` (``dedup`` returns one);
 a null id never beats an id, and a group of null ids alone keeps ``keep_id``
 null and its rows kept; an empty table gives an empty result.  ``annotate``
 reads only the id and the text, so other columns and their names don't matter.
+Texts are hashed whole, however long; only digests are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import land, pick, row_key, text_or_empty
@@ -48,8 +49,8 @@ def _settle(rows: DataFrame) -> DataFrame:
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, row_key`` for every row."""
-    keys = land(docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row_key"),
-                            F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("text_sha256")),
+    keys = land(docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(f"`{text_col}`").alias("row_key"),
+                            F.sha2(text_or_empty(f"`{text_col}`").cast("binary"), 256).alias("text_sha256")),
                 "exact-keys")
     winners = (keys.join(F.broadcast(frequent_digests(keys)), "text_sha256")
                .groupBy("text_sha256")
@@ -58,9 +59,9 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     winners = land(winners, "exact-winners")  # at most STREAMS * CANDIDATES rows
     heavy = keys.join(F.broadcast(winners), "text_sha256")
     rest = keys.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    same = Window.partitionBy("text_sha256")
-    light = (rest.withColumn("keep_id", F.max("doc_id").over(same))
-             .withColumn("group_size", F.count(F.lit(1)).over(same)))
+    # a join rather than a window: a group that is large after all is a skewed join side, which can be split
+    groups = rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    light = rest.join(groups, "text_sha256")
     cols = ["doc_id", "keep_id", "group_size", "text_sha256", "row_key"]
     return (_settle(heavy.select(*cols).unionByName(light.select(*cols)))
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "row_key"))
