@@ -7,6 +7,7 @@ no vocabulary is part of this repository.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from functools import lru_cache
@@ -15,8 +16,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: Pre-tokens remembered in each of two generations (about 120 bytes each).
-REMEMBERED = 400_000
+#: Pre-tokens remembered in each of two generations (about 120 bytes each, and
+#: their text and ids), and bytes of those texts and ids: a text without spaces
+#: is one long pre-token.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 
 #: The public byte-level BPE split, for texts of characters below U+0250 only,
 #: where letters, numbers and white space are these.  Texts with others (or
@@ -49,6 +52,19 @@ def version(name: str, folder: str | None = None) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def is_plain(file: dict) -> bool:
+    """Whether a tokenizer file says what ``ByteLevelEncoder`` stands in for: no
+    normaliser, the byte-level split as it is, and plain BPE merges."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    return (file.get("normalizer") is None and file.get("truncation") is None and file.get("padding") is None
+            and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True)
+            and split.get("use_regex", True) and model.get("type", "BPE") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix",
+                                               "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+            and all(t.get("special") and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word")
+                    for t in file.get("added_tokens") or []))
+
+
 class ByteLevelEncoder:
     """``tokenizers`` encoding of whole texts, remembering pre-tokens.
 
@@ -56,7 +72,8 @@ class ByteLevelEncoder:
     of its pre-tokens in turn.  The library's model encodes each new one; ids
     are kept as little-endian 32-bit bytes, so a text is one join.  Texts for
     which the split could differ (see ``SPLIT``) or that hold an added special
-    string are encoded whole by the library.
+    string are encoded whole by the library, and so is every text if the file
+    says anything but that split and that model (``plain``).
     """
 
     def __init__(self, name: str, folder: str | None = None) -> None:
@@ -64,9 +81,12 @@ class ByteLevelEncoder:
         self.tokenizer = Tokenizer.from_file(file_path(name, folder))
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(file_path(name, folder), encoding="utf-8") as f:
+            self.plain = is_plain(json.load(f))
         self.characters = byte_characters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0                            # bytes of the young ones
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
@@ -81,17 +101,20 @@ class ByteLevelEncoder:
             mapped = "".join([self.characters[b] for b in piece.encode()])
             ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
         self.young[piece] = ids
+        self.held += len(piece) + len(ids)
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.plain:
+            return self.whole(texts)
         out = []
         for text in texts:
             if not self.simple(text):
                 out += self.whole([text])
                 continue
-            if len(self.young) > REMEMBERED:
-                self.old, self.young = self.young, {}
+            if len(self.young) > REMEMBERED or self.held > REMEMBERED_BYTES:
+                self.old, self.young, self.held = self.young, {}, 0
             young, learn = self.young, self._learn
             out.append(b"".join([young[p] if p in young else learn(p) for p in SPLIT.findall(text)]))
         return out
