@@ -16,7 +16,10 @@ Defined cases: null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken as often as their source is taken
 whole, and count nothing; a source without words has target 0; repeated rows
 are documents of their own (which of two alike is taken can't be told apart);
-an empty table gives an empty result.
+an empty table gives an empty result.  Words are counted over whole texts,
+however long.  Ties between documents of one length are settled by the seeded
+hash, then by the row.  Only the id, source and text are read, and ``mix``
+carries all columns in one struct, so no names clash.
 """
 
 from __future__ import annotations
@@ -151,9 +154,9 @@ def annotate(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col:
     """``doc_id, size, source_size, target, copies, taken, row_key, source`` for every row."""
     spark = docs.sparkSession
     ship_package(spark)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       F.regexp_count(text_or_empty(text_col), F.lit(SPACE_WORD)).cast("long").alias("size"),
-                       row_key(text_col).alias("row_key"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
+                       F.regexp_count(text_or_empty(f"`{text_col}`"), F.lit(SPACE_WORD)).cast("long").alias("size"),
+                       row_key(f"`{text_col}`").alias("row_key"))
     base = base.withColumn("rank", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_key"))) \
                .withColumn("slot", F.pmod("rank", F.lit(SLOTS)))
     base = land(base, "mix-sizes")

@@ -11,7 +11,10 @@ with a Cholesky factor that is computed once and sent along.
 Defined cases: null text counts as empty and gets a score like any other;
 labels other than 0 and 1, and labels of unknown documents, are not used; a
 document labelled twice counts twice; if a class has no training row, every
-score is the share of class 1 among the labels (0.5 without any).
+score is the share of class 1 among the labels (0.5 without any).  Statistics
+are of the whole text, however long; repeated rows score alike; scores have no
+ties to break; an empty table gives no rows.  ``score`` reads the id and the
+text alone, ``keep`` carries all columns in one struct, so no names clash.
 """
 
 from __future__ import annotations

@@ -55,7 +55,7 @@ def pick(docs: DataFrame, decisions: DataFrame, copies: str, id_col: str = "doc_
     rows, by id and text, which no hot group can share.
     """
     key = lambda text: F.xxhash64(text, *[F.col(f"`{c}`") for c in also]) if also else text
-    per_key = (decisions.groupBy(F.xxhash64(id_col).alias("_a"), key(F.col("row_key")).alias("_b"))
+    per_key = (decisions.groupBy(F.xxhash64(F.col(f"`{id_col}`")).alias("_a"), key(F.col("row_key")).alias("_b"))
                .agg(F.sum(F.col(copies).cast("long")).alias("_copies"))
                .where(F.col("_copies") > 0))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),

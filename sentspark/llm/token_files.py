@@ -10,7 +10,9 @@ stored; a second, tiny table holds each file's first position.
 
 The order is by id, nulls first, equal ids by their texts; repeated rows are
 documents of their own.  Null text counts as empty (the end id alone).  An
-empty table writes no rows.
+empty table writes no rows.  Texts are encoded whole, however long: a task
+holds one Arrow batch of them.  Only the id and the text are read, so other
+columns and their names don't matter.
 """
 
 from __future__ import annotations

@@ -17,7 +17,11 @@ those of the greatest likelihood ratio; scoring reads everything.
 
 Defined cases: null text counts as empty; a text without matched clause scores
 the bias alone; labels other than 0 and 1 are not used; without labels of both
-kinds the lists score with fixed weights.
+kinds the lists score with fixed weights.  Texts are scanned whole, however
+long.  Repeated rows score alike; as copies they are learned from once.  Ties
+between stems go to the first by code point.  An empty table gives no rows.
+Only the id and the text (and the labels' two columns) are read, so other
+columns and their names don't matter.
 """
 
 from __future__ import annotations

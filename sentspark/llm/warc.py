@@ -16,7 +16,10 @@ Files are opened by pyarrow's filesystems (local, HDFS, S3, GCS) on workers.
 Defined cases: a null payload is written as an empty one; a record without a
 header has null in its column; headers are matched in any case, and the last
 of repeated ones counts; records of unknown types are returned like any other;
-an empty folder has no rows.
+an empty folder has no rows, and an empty table writes no archive.  Records
+with equal ids or payloads are records of their own.  A long payload is held
+whole, one record at a time.  Pages' other columns are not read, so their
+names don't matter.
 """
 
 from __future__ import annotations

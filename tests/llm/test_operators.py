@@ -236,7 +236,8 @@ def test_decontaminate(spark, rows, part_bytes):
               (54, "naïve Über 中文"), (None, long[1][1][:200]), (10, "the of and in")]
     all_rows = rows + long
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.annotate(docs(spark, all_rows, CLASHES), bench, part_bytes=part_bytes, keep=["doc_id"])
+    got = decontaminate.annotate(docs(spark, all_rows, CLASHES), bench, part_bytes=part_bytes, keep=["doc_id"],
+                                 buffer_bytes=50 * part_bytes)
     have = Counter((r.row.doc_id, r.n_words, sum(s["end"] - s["start"] for s in r.spans), tuple(r["items"]))
                    for r in got.collect())
     want = Counter((i, n, h, tuple(f)) for i, n, h, f in brute_hits(all_rows, items))
@@ -259,6 +260,42 @@ def brute_print(t, shingle=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_full_anchors_are_split(spark):
+    """Whatever the size of blocks, split or not: the same trees, of true links."""
+    rng = np.random.default_rng(1)
+
+    def trees(n, edges):
+        parent = list(range(n))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for a, b in edges:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return [root(x) for x in range(n)]
+    for bits in (0, 1, 2, 3):
+        base = rng.integers(0, 2 ** 63, 20).tolist()
+        prints = {b ^ sum(1 << k for k in set(rng.integers(0, 64, rng.integers(0, 5)).tolist())) for b in base for _ in range(20)}
+        prints = np.array(list(prints), dtype=np.uint64)
+        home = rng.random(len(prints)) < 0.7
+        near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= bits
+        want = trees(len(prints), zip(*np.nonzero(near & (home[:, None] | home[None, :]))))
+        for direct, block in ((1 << 22, 1 << 20), (0, 1 << 20), (0, 100), (1 << 22, 50)):
+            edges = simhash.forest(home, prints, bits, direct, block)
+            assert trees(len(prints), edges) == want and len(edges) == len(prints) - len(set(want))
+            assert all(np.bitwise_count(prints[a] ^ prints[b]) <= bits and (home[a] or home[b]) for a, b in edges)
+    # 100,000 homes of one anchor, all within radius 3 of one codeword: no pass over all pairs
+    full = np.zeros(100_000, dtype=np.uint64)
+    for block in (0, 23):
+        for _ in range(3):
+            full ^= np.uint64(1) << (rng.integers(0, 23, len(full)) + block).astype(np.uint64)
+    full = np.unique(full | rng.integers(0, 1 << 18, len(full)).astype(np.uint64) << np.uint64(46))
+    compared = sum(len(i) for i, _ in simhash._candidates(np.ones(len(full), bool), full, 2, simhash.DIRECT, simhash.BLOCK))
+    assert compared < len(full) ** 2 / 100
+
+
 def test_fingerprint(spark, rows):
     for _, t in rows[:40]:
         assert simhash.fingerprint(t) == brute_print(t)
@@ -375,6 +412,147 @@ def test_statistics_match_plain_python(rows):
         assert math.isclose(got[6], math.sqrt((len(w) - len(set(w))) / max(1, len(w))))
 
 
+def brute_statistics(text):
+    """All statistics of one text, byte by byte."""
+    b = (text or "").encode()
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", lower)]
+    w = [x for _, x in words]
+    lines = re.findall(rb"[^\n]+", lower)
+    plain = b".,;:'\"()-"
+    symbol = lambda c: 0x21 <= c < 0x7F and not chr(c).isalnum() and c not in plain
+    count, size = max(1, len(w)), max(1, len(b))
+    letters = max(1, sum(65 <= c <= 90 or 97 <= c <= 122 for c in b))
+    root = lambda x, of: math.sqrt(min(1, max(0, x / of)))
+    return [math.log1p(len(w)), math.log1p(sum(map(len, w)) / count), root(sum(map(symbol, b)), size),
+            root(sum(65 <= c <= 90 for c in b), letters), root(sum(48 <= c <= 57 for c in b), size),
+            root(sum(x == y for x, y in zip(w, w[1:])), count), root(len(w) - len(set(w)), count),
+            root(sum(symbol(x[-1]) for x in w), count), math.log1p(len(w) / max(1, len(lines))),
+            root(sum(c >= 128 for c in b), size), root(len(lines) - len(set(lines)), max(1, len(lines))),
+            root(b.count(b"."), count)]
+
+
+def brute_discriminant(x, y):
+    """Quadratic discriminant fitted at once, with general solves instead of cached factors."""
+    d = x.shape[1]
+    means = [x[y == c].mean(axis=0) for c in (0, 1)]
+    covs = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    n = [int((y == c).sum()) for c in (0, 1)]
+    pooled = (covs[0] * n[0] + covs[1] * n[1]) / sum(n)
+    out = []
+    for c in (0, 1):
+        s = 0.9 * covs[c] + 0.1 * pooled
+        mu, square = np.trace(s) / d, (s * s).mean()
+        weight = max(1e-3, min(1.0, (square + mu * mu) / ((n[c] + 1) * (square - mu * mu / d))))
+        out.append((means[c], (1 - weight) * s + weight * max(mu, 1e-6) * np.eye(d), math.log(n[c] / sum(n))))
+
+    def score(v):
+        logs = [p - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (v - m) @ np.linalg.solve(s, v - m) for m, s, p in out]
+        return 1 / (1 + math.exp(min(700, max(-700, logs[0] - logs[1]))))
+    return score
+
+
+def test_quality_scores_match_plain_python(spark):
+    """Every score of the smallest table: statistics, fit and posterior computed anew."""
+    folder = "/root/testdata/sf0.001"
+    df, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r.text for r in df.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows and r.quality in (0, 1)}
+    stats = {i: np.array(brute_statistics(t)) for i, t in rows.items()}
+    score = brute_discriminant(np.array([stats[i] for i in y]), np.array(list(y.values())))
+    got = {r.doc_id: r.score for r in quality.score(df, labels).collect()}
+    assert got.keys() == rows.keys()
+    for i, v in stats.items():
+        assert math.isclose(got[i], score(v), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def brute_toxicity(model, text):
+    """A model's score of one text, word by word and clause by clause."""
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    lists = {w.encode(): s for ws, s in ((toxicity.TARGETS, grammar.TARGET), (toxicity.NEGATIONS, grammar.NEGATION),
+                                         (toxicity.REPORTS, grammar.REPORT)) for w in ws}
+    stems = [(s.encode(), grammar.INSULT, x) for s, x in model.stems.items()]
+    stems += [(s.encode(), grammar.THREAT, x) for s, x in model.threats.items()]
+    by_size = defaultdict(list)
+    for s, kind, x in stems:
+        by_size[len(s)].append((s, kind, x))
+    total = np.zeros(len(toxicity.PATTERNS))
+    for clause in re.split(rb"[.!?;:\n]", lower):
+        symbols, powers = [], []
+        for word in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", clause):
+            symbol, power = lists.get(word, grammar.OTHER), 0.0
+            for size in by_size:                                   # in the model's order; a tie keeps the first
+                for s, kind, x in by_size[size]:
+                    if word.startswith(s) and x > power:
+                        symbol, power = kind, x
+            symbols.append(symbol)
+            powers.append(power)
+        if not {grammar.INSULT, grammar.THREAT} & set(symbols):
+            continue
+        # the transducers, spelled out
+        at = [k for k, s in enumerate(symbols) if s in (grammar.INSULT, grammar.THREAT)]
+        insults = [k for k, s in enumerate(symbols) if s == grammar.INSULT]
+        aims = [k for k, s in enumerate(symbols) if s == grammar.TARGET]
+        nots = [k for k, s in enumerate(symbols) if s == grammar.NEGATION]
+        said = [k for k, s in enumerate(symbols) if s == grammar.REPORT]
+        threat = int(grammar.THREAT in symbols and bool(aims))
+        if not insults and not threat:
+            continue
+        aimed = int(any(abs(i - a) <= 4 for i in insults for a in aims))
+        negated = int(all(any(0 < k - n <= 3 for n in nots) for k in at))
+        reported = int(bool(said) and any(k > said[0] for k in at))
+        pattern = toxicity.PATTERNS.index((threat, aimed or threat, negated, reported))
+        total[pattern] += max(powers) * (1 + 0.25 * max(0, min(3, len(insults)) - 1))
+    z = model.bias + (total / 4.0) @ np.array(model.weights)
+    return 1 / (1 + math.exp(-min(700, max(-700, z))))
+
+
+def test_toxicity_scores_match_plain_python(spark):
+    folder = "/root/testdata/sf0.001"
+    df, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(df, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(df, labels).collect()}
+    rows = {r.doc_id: r.text for r in df.collect()}
+    assert got.keys() == rows.keys()
+    for i, text in rows.items():
+        assert math.isclose(got[i], brute_toxicity(model, text), rel_tol=1e-9), i
+    for text in ("You are not an idiot", "she said you are stupid", "I will kill you!", "kill it", "idiot idiots moron fools",
+                 "no one said: you fool", "never, ever a scum. they wrote trash", "", "not stupid but dumb"):
+        one = float(model.score(model.features(pa.array([text])))[0])
+        assert math.isclose(one, brute_toxicity(model, text), rel_tol=1e-9), text
+
+
+def test_other_tokenizer_files_are_left_to_the_library(tmp_path):
+    """A normaliser, another split, a prefix space: the shortcut must not be taken."""
+    import json
+
+    from tokenizers import Tokenizer
+    with open(tokenizers_public.file_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        given = json.load(f)
+    assert tokenizers_public.is_plain(given)
+    texts_ = ["Plain English TEXT, 123 words", "  Two  spaces\n\n and tabs\t", "", "Ünïcode 한국어", "don't we'll"]
+    changed = {"lower": given | {"normalizer": {"type": "Lowercase"}},
+               "prefix": given | {"pre_tokenizer": given["pre_tokenizer"] | {"add_prefix_space": True}},
+               "split": given | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+                   {"type": "WhitespaceSplit"}, given["pre_tokenizer"] | {"use_regex": False}]}}}
+    for name, file in changed.items():
+        assert not tokenizers_public.is_plain(file)
+        (tmp_path / f"{name}.json").write_text(json.dumps(file), encoding="utf-8")
+        want = [e.ids for e in Tokenizer.from_file(str(tmp_path / f"{name}.json")).encode_batch(texts_, add_special_tokens=False)]
+        got = tokenizers_public.byte_level(f"{name}.json", str(tmp_path)).encode(texts_)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want, name
+    words = Tokenizer.from_file(tokenizers_public.file_path("word_bpe_49k.json"))
+    assert tokenizers_public.count_tokens(texts_, "word_bpe_49k.json") == [
+        len(e.ids) for e in words.encode_batch(texts_, add_special_tokens=False)]
+
+
+def test_remembered_pieces_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokenizers_public, "REMEMBERED_BYTES", 5000)
+    e = tokenizers_public.ByteLevelEncoder("byte_bpe_50k.json")
+    e.encode(["x" * 400 + str(k) for k in range(200)])
+    assert sum(len(p) + len(i) for d in (e.young, e.old) for p, i in d.items()) < 5 * 5000
+
+
 def test_grammar_patterns():
     run = grammar.compose().run
     o, i, k, t, n, r = range(6)
@@ -457,6 +635,24 @@ def test_token_files(spark, rows, tmp_path):
     assert token_files.round_trip(docs(spark, [])).count() == 0
 
 
+def test_texts_stay_when_all_digests_are_stored(spark, rows, tmp_path, monkeypatch):
+    cache = token_counts.CountCache(spark, f"file://{tmp_path}/cache")
+    cache.fill(docs(spark, rows))
+    assert cache.misses(docs(spark, rows)) == (None, None)
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        token_counts.annotate(docs(spark, rows), cache).explain()
+    assert not any("Exchange" in x and "text#" in x for x in said.getvalue().splitlines())
+    # a few misses, sent to the tasks; and more of them than that
+    for most, new in ((500_000, "one more"), (0, "and another")):
+        monkeypatch.setattr(token_counts, "SENT_MISSES", most)
+        more = rows + [(1, new), (2, new)]
+        found, path = cache.misses(docs(spark, more))
+        assert [r.text for r in found.select("text").collect()] == [new]
+        before = spark.read.parquet(cache.path).count()
+        cache.fill(docs(spark, more))
+        assert spark.read.parquet(cache.path).count() == before + 1
+
+
 def test_token_counts(spark, rows, tmp_path):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizers_public.file_path("piece_bpe_32k.model"))
@@ -600,7 +796,10 @@ def test_decontaminate_holds_one_part(spark, tmp_path, monkeypatch):
     assert {r.row.doc_id: r["items"] for r in found.collect()} == {k: [f"i{k}"] for k in range(4)}
     with contextlib.redirect_stdout(io.StringIO()) as said:
         found.explain()
-    assert said.getvalue().count("MapInArrow") == 1           # a task holds one part
+    assert said.getvalue().count("MapInArrow") == 1           # one pass over the documents, however many parts
+    assert "sentspark-decontaminate" not in said.getvalue()    # and nothing is written on the way
+    assert len(list(decontaminate.parts(bench, 60))) == 4
+    assert decontaminate._opened.cache_info().maxsize == 1     # a task holds one part
 
 
 def test_toxic_stems_by_likelihood_before_the_limit(spark, monkeypatch):
