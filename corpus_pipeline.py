@@ -4,6 +4,13 @@ Every stage reads what its predecessor has kept and returns the columns of
 documents; the last one writes token files and returns what they hold of each
 document.  ``run`` writes each stage as Parquet under ``spark.checkpoint.dir``
 and reads it again, so a stage's losses replay that stage alone.
+
+Defined cases, stage by stage: null and empty texts are judged, deduplicated
+(as one group of near duplicates) and written (as the end id) like any other;
+texts are read whole, however long; of rows alike in id and text one stays
+after near-dedup, and the mix may repeat it; ties are settled by id; an empty
+table passes every stage; all columns of documents are carried in one struct,
+so extra columns and their names don't matter.  A null id is an id like any other.
 """
 
 from __future__ import annotations
