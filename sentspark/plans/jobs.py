@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_score
 from ..operators import corpus as CO
 from ..operators import features as FE
+from ..operators import subword as SW
 from ..operators import text as TO
 from ..operators.tokenizing import Tokenizer
 from ..sources import readers as R
@@ -55,6 +56,7 @@ def prepare_corpus(corpus: DataFrame, headlines: Sequence[DataFrame], pairs: Seq
              "add": dataset_path(out_dir, "add_", "train", "csv"),
              "unsup": dataset_path(out_dir, "unsup_", "train", "csv")}
     SK.write_csv(wiki.select("sentence"), paths["wiki"])
+    wiki = R.read_csv(docs.sparkSession, paths["wiki"], R.SENTENCE_SCHEMA)     # cleaned once
     titles = [TO.rename_col(h.select("title"), "title", "sentence") for h in headlines]
     SK.write_csv(CO.union_corpora([wiki, *titles], "sentence").select("sentence"), paths["add"])
     flat = []
@@ -77,15 +79,21 @@ def _keyed(df: DataFrame, name: str) -> DataFrame:
 
 def make_datasets(spark: SparkSession, train_path: str, eval_paths: Mapping[str, str], out_dir: str,
                   vocab_size: int = 32000, max_length: int = FE.MAX_SEQ_LENGTH,
-                  tokenizer: Tokenizer | None = None) -> str:
+                  tokenizer: Tokenizer | None = None, subwords: bool = False) -> str:
     """Feature building.  ``train_path`` holds one ``sentence`` column (CSV,
     TSV, JSON or Parquet by extension); ``eval_paths`` maps split names to
-    TSV files with ``sentence1, sentence2, score``.  ``tokenizer`` replaces the
-    corpus vocabulary (e.g. a pretrained one).  Writes
+    TSV files with ``sentence1, sentence2, score``.  The vocabulary is that of the
+    corpus: its whole words, or with ``subwords`` the word pieces learned from
+    it; ``tokenizer`` replaces it (e.g. a pretrained one).  Writes
     ``(row_id, input_ids, attention_mask, token_type_ids, labels)`` per
     split under ``out_dir`` (``labels`` is null for training rows)."""
     train = _keyed(R.read_by_extension(spark, train_path, R.SENTENCE_SCHEMA), "train-keyed")
-    vocab = tokenizer or FE.vocab_tokenizer(FE.build_vocab(train, "sentence", vocab_size), vocab_size)
+    if tokenizer is not None:
+        vocab = tokenizer
+    elif subwords:
+        vocab = SW.subword_tokenizer(SW.learn_subwords(train, "sentence", vocab_size))
+    else:
+        vocab = FE.vocab_tokenizer(FE.build_vocab(train, "sentence", vocab_size), vocab_size)
     views = FE.self_pair(train).select(ROW_ID, F.get("sentences", 0).alias("a"))  # views are alike
     tr = FE.encode(views, ["a", "a"], vocab, [ROW_ID], max_length=max_length, with_masks=True)
     tr = tr.select(F.lit("train").alias("split"), "*", F.lit(None).cast("double").alias("labels"))

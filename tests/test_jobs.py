@@ -46,3 +46,14 @@ def test_prepare_corpus_and_make_datasets(spark):
     # training rows carry two identical views
     tr = d.where(F.col("split") == "train")
     assert tr.where(F.get("input_ids", 0) != F.get("input_ids", 1)).count() == 0
+
+
+def test_make_datasets_with_subwords(spark, tmp_path):
+    """Training rows are encoded with pieces learned from them; nearly no token is unknown."""
+    from sentspark.operators import features as FE
+    train = str(tmp_path / "train.parquet")
+    clean_sentences(S.table(spark, SMOKE, "documents")).select("sentence").write.parquet(train)
+    out = J.make_datasets(spark, train, {}, str(tmp_path / "features"), vocab_size=400, max_length=24, subwords=True)
+    rows = spark.read.parquet(out).select(F.explode(F.get("input_ids", 0)).alias("id"))
+    n = {r.unknown: r["count"] for r in rows.where(F.col("id") != FE.PAD_ID).groupBy((F.col("id") == FE.UNK_ID).alias("unknown")).count().collect()}
+    assert n.get(True, 0) < 0.01 * n[False] and rows.agg(F.max("id")).first()[0] < 400
