@@ -36,13 +36,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives hold of each page.  Lengths and digests of responses
     are taken from their payloads, those of revisits from their headers."""
-    rows = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    pages = read_table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = warc.round_trip(pages)
     full = F.col("payload").isNotNull()
-    return rows.select(warc.page_of("record_id").alias("page_id"),
+    return rows.select(warc.page_of("record_id", kind).alias("page_id"),
                        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
                        .alias("payload_bytes"),
                        F.when(full, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-                       "record_type", warc.page_of("refers_to").alias("refers_to"))
+                       "record_type", warc.page_of("refers_to", kind).alias("refers_to"))
 
 
 @register

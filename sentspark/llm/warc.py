@@ -406,12 +406,16 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def record_id(page: F.Column) -> F.Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
+    """A record's id from a page's, of any type; nothing stands for null, ``%`` for an empty string."""
+    text = F.url_encode(page.cast("string"))     # no bracket or line break gets into a header
+    return F.concat(F.lit("<urn:x-page:"), F.when(text == "", F.lit("%")).otherwise(F.coalesce(text, F.lit(""))), F.lit(">"))
 
 
-def page_of(column: str) -> F.Column:
-    """The page of a record id (null if it names none)."""
-    return F.expr(f"try_cast(regexp_extract({column}, '^<urn:x-page:(-?[0-9]+)>$', 1) as long)")
+def page_of(column: str, kind: str = "long") -> F.Column:
+    """The page of a record id (null if it names none), as a ``kind``."""
+    text = F.regexp_extract(column, "^<urn:x-page:(.+)>$", 1)     # no match: empty
+    page = F.when(text == "%", F.lit("")).when(text != "", F.try_url_decode(text))
+    return page.try_cast(kind)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
