@@ -208,10 +208,21 @@ def _keep(model: Discriminant, threshold: float):
     return run
 
 
+#: Labelled ids that ``keep`` sends to every task, at most.
+SENT_IDS = 500_000
+
+
 def keep(docs: DataFrame, labels: DataFrame, threshold: float, used: Column | None = None,
-         text_col: str = "text", **columns: str) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold`` (no exchange of texts)."""
-    model, _ = train(docs, labels, used, text_col=text_col, **columns)
+         id_col: str = "doc_id", text_col: str = "text", sent_ids: int = SENT_IDS, **columns: str) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold`` (no exchange of
+    texts).  Learning needs the statistics of labelled rows alone: up to
+    ``sent_ids`` of their ids are sent to the tasks; beyond, every row's are
+    computed for it, with the same result."""
+    ids = labels.select(F.col(f"`{id_col}`").alias("_labelled")).distinct()
+    rows = docs
+    if ids.limit(sent_ids + 1).count() <= sent_ids:
+        rows = docs.join(F.broadcast(ids), docs[f"`{id_col}`"] == ids["_labelled"], "left_semi")
+    model, _ = train(rows, labels, used, id_col=id_col, text_col=text_col, **columns)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     carried = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("_text"))
     return carried.mapInArrow(_keep(model, threshold), T.StructType([carried.schema["row"]])).select("row.*")
