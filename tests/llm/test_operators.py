@@ -396,6 +396,8 @@ def test_quality(spark):
     kept = quality.keep(df, labels, 0.5)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, s in got.items() if s >= 0.5}
+    every = quality.keep(df, labels, 0.5, sent_ids=0)              # too many labelled ids to send
+    assert sorted(map(repr, every.collect())) == sorted(map(repr, kept.collect()))
     one_class = quality.score(df, labels.where("quality = 1")).select("score").distinct().collect()
     assert [r.score for r in one_class] == [1.0]
     assert quality.score(docs(spark, []), labels).count() == 0
@@ -670,6 +672,19 @@ def test_token_counts(spark, rows, tmp_path):
 
 # ---- op2 --------------------------------------------------------------------
 
+def test_archives_keep_ids_of_any_type(spark):
+    body = "x" * 200
+    pages = [("b", body), ("a>\r\nX: 1", body), ("", "short"), (None, "y"), ("%", "z"), ("ü/ 1", body), ("12", "w")]
+    df = spark.createDataFrame([(i, "http://a", h) for i, h in pages], "page_id string, url string, html string")
+    rows = warc.round_trip(df).select(warc.page_of("record_id", "string").alias("page_id"), "record_type",
+                                      warc.page_of("refers_to", "string").alias("refers_to")).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in rows), key=repr) == sorted(
+        ((i, "revisit" if i in ("b", "ü/ 1") else "response", "a>\r\nX: 1" if i in ("b", "ü/ 1") else None) for i, _ in pages),
+        key=repr)
+    number = spark.createDataFrame([("<urn:x-page:-7>",), ("<urn:x-page:>",), ("other",), (None,), ("<urn:x-page:x>",)], "r string")
+    assert [r[0] for r in number.select(warc.page_of("r")).collect()] == [-7, None, None, None, None]
+
+
 def test_warc_round_trip(spark):
     long = "<p>" + "x" * 150 + "</p>"
     pages = [(5, "http://a", long), (3, "http://b", long), (9, None, long), (None, "http://n", long), (1, "u", "short"),
