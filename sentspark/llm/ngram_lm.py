@@ -23,9 +23,9 @@ A word's place is its shard's base plus its index there.  The pairs of one
 first word lie in one shard, unless the word is so frequent that its pairs
 would outgrow it; those of such words are spread over all shards.
 
-Memory of a task: about 100 bytes per token of ``FLUSH_TOKENS`` tokens, plus
-one shard when shards are merged; shards follow the number of shuffle
-partitions.
+Memory of a task: about 80 bytes per token of ``FLUSH_TOKENS`` tokens, or one
+shard when shards are merged; shards follow the bytes of the texts
+(``SHARD_BYTES``), so a shard does not grow with the corpus.
 
 Defined cases: null text has the end token alone; words are runs of bytes
 other than ASCII white space, with A-Z lower-cased; a table without training
@@ -56,7 +56,10 @@ from .warc import filesystem
 _U = np.uint64
 #: Words of the longest n-grams.
 ORDER = 3
-FLUSH_TOKENS = 3_600_000
+#: Words that a task counts, or scores, at a time.
+FLUSH_TOKENS, SCORED_TOKENS = 4_500_000, 1_800_000
+#: Bytes of text whose n-grams one shard merges (a shard of a task each, at least one a shuffle partition).
+SHARD_BYTES = 32 << 20
 #: A first word with more than this share of a shard's tokens is spread.
 SPREAD = 0.25
 #: So many most frequent words of each shard can be found to be such.
@@ -274,9 +277,10 @@ def pair_shard(first: np.ndarray, key: np.ndarray, hot: np.ndarray, shards: int)
 
 def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes of all tokens (sorted), which of them each token is, and where texts begin."""
-    tokens = np.concatenate([t for t, _ in held])
     begins = np.concatenate([b[:-1] + k for (t, b), k in
                              zip(held, np.cumsum([0, *(len(t) for t, _ in held[:-1])]))]).astype(np.int64)
+    tokens = np.concatenate([t for t, _ in held])
+    held.clear()                                 # let go before sorting
     keys, which = np.unique(tokens, return_inverse=True)
     return keys, which, begins
 
@@ -292,7 +296,10 @@ def shifted(x: np.ndarray, begins: np.ndarray, start: int) -> np.ndarray:
 def _pairs(held: list[tuple[np.ndarray, np.ndarray]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first and second words of all pairs (the start context is place V)."""
     keys, which, begins = _joined(held)
-    second = vocabulary.places(keys)[which]
+    places = vocabulary.places(keys)
+    if vocabulary.size < 1 << 30:
+        places = places.astype(np.int32)
+    second = places[which]
     return shifted(second, begins, vocabulary.size), second
 
 
@@ -507,9 +514,11 @@ def train(docs: DataFrame, used: Column | None = None, shards: int | None = None
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     ship_package(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch_path(spark, "ngrams")
     rows = (docs.where(used) if used is not None else docs).select(F.col(f"`{text_col}`").alias("text"))
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     words = (rows.mapInArrow(_count_words(shards), _PART).groupBy("shard")
              .applyInArrow(_merge_words(folder), "shard int, n long, at array<long>, often array<long>, total long, "
                                                "words string, counts string"))
@@ -568,7 +577,7 @@ def _score(model):
                 tokens = _tokens(batch)
                 held.append((batch.column("doc_id"), tokens))
                 size += len(tokens[0])
-                if size >= FLUSH_TOKENS // 2:
+                if size >= SCORED_TOKENS:
                     yield _score_block(m, held)
                     held, size = [], 0
         if held:
@@ -578,7 +587,10 @@ def _score(model):
 
 def _score_block(m: Model, held) -> pa.RecordBatch:
     v = m.vocabulary
-    keys, which, begins = _joined([t for _, t in held])
+    ids, bounds = pa.concat_arrays([d for d, _ in held]), [b for _, (_, b) in held]
+    tokens = [t for _, t in held]
+    held.clear()
+    keys, which, begins = _joined(tokens)
     places = v.places(keys)
     known = np.flatnonzero(places >= 0)
     count = np.zeros(len(keys))
@@ -588,7 +600,7 @@ def _score_block(m: Model, held) -> pa.RecordBatch:
     first = shifted(which, begins, len(keys))
     f, s, index = indexed_pairs(first, which)
     words = np.append(places, v.size)
-    sizes = np.concatenate([np.diff(b) for _, (_, b) in held])
+    sizes = np.concatenate([np.diff(b) for b in bounds])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     total = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end token
     if m.triples is None:
@@ -597,7 +609,7 @@ def _score_block(m: Model, held) -> pa.RecordBatch:
         lower = m.triples.middle(m, words, f, s)[index]
         logs = m.triples.log10(m, words[f], words[s], index, words[first], lower)
     return pa.RecordBatch.from_pydict({
-        "doc_id": pa.concat_arrays([d for d, _ in held]), "n_tokens": pa.array(sizes, pa.int64()),
+        "doc_id": ids, "n_tokens": pa.array(sizes, pa.int64()),
         "n_known": pa.array(total((places >= 0)[which].astype(np.int64))),
         "train_tokens": pa.array(np.full(len(sizes), v.tokens)),
         "base_score": pa.array(total(base)), "score": pa.array(total(logs))})
