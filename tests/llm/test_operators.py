@@ -524,6 +524,25 @@ def test_toxicity_scores_match_plain_python(spark):
         assert math.isclose(one, brute_toxicity(model, text), rel_tol=1e-9), text
 
 
+def test_ablation_of_transducers(spark):
+    """Each mark is counted where it stands, and taking it off changes the loss by its weight."""
+    model = toxicity.Model({"idiot": 4.0}, {"kill": 4.0})
+    rows = [(1, "you idiot", 1), (2, "he is not an idiot at all here", 0), (3, "fine words", 0), (4, "an idiot", 1),
+            (5, "you are an idiot. fine", 1), (6, "you will kill them", 1), (7, None, 0)]
+    df = docs(spark, [(i, t) for i, t, _ in rows], CLASHES)
+    got = {r.transducer: r for r in toxicity.ablation(df, labelled(spark, rows, "toxic"), model).collect()}
+    assert {k: (r.rows, r.documents, r.idle) for k, r in got.items()} == {
+        "threat": (7, 1, False), "aimed": (7, 4, False), "negated": (7, 1, False), "reported": (7, 0, True)}
+    y = np.array([x for _, _, x in rows])
+    x = model.features(pa.array([t for _, t, _ in rows], pa.string()))
+    loss = lambda w: float((np.logaddexp(0, z := model.bias + x @ w) - y * z).mean())
+    assert all(math.isclose(r.loss, loss(np.array(model.weights)), rel_tol=1e-12) for r in got.values())
+    off = [model.weights[toxicity.PATTERNS.index((k, a, 0, r))] for k, a, _, r in toxicity.PATTERNS]
+    assert math.isclose(got["negated"].loss_without, loss(np.array(off)), rel_tol=1e-12)
+    assert got["negated"].loss_without > got["negated"].loss and got["reported"].loss_without == got["reported"].loss
+    assert toxicity.ablation(df.limit(0), labelled(spark, rows, "toxic"), model).where("rows > 0").count() == 0
+
+
 def test_other_tokenizer_files_are_left_to_the_library(tmp_path):
     """A normaliser, another split, a prefix space: the shortcut must not be taken."""
     import json
