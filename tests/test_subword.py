@@ -91,6 +91,25 @@ def test_merges_equal_brute_force_on_the_corpus(spark):
     assert [tuple(r) for r in got] == brute_subwords(texts, 300)
 
 
+def test_queries_equal_brute_force(spark):
+    """The registered queries on the smallest tables: every row."""
+    from sentspark.plans import catalog as Q
+    rows = {(r.doc_id, r.pos): r.sentence for r in S.wiki_sentences(spark, SF).collect()}
+    want = brute_subwords(rows.values(), 400)
+    old, Q.SUBWORD_SIZE = Q.SUBWORD_SIZE, 400     # the plain learner takes minutes for 2,048 entries
+    try:
+        got = Q.QUERIES["subword_vocab"](spark, SF).orderBy("id").collect()
+        encoded = Q.QUERIES["subword_encode"](spark, SF).collect()
+    finally:
+        Q.SUBWORD_SIZE = old
+    assert [tuple(r) for r in got] == want
+    ids = {t: i for t, i, _ in want}
+    assert len(encoded) == len(rows)
+    for r in encoded:
+        x = brute_encode(rows[r.doc_id, r.pos], ids, FE.MAX_SEQ_LENGTH)
+        assert r.input_ids == ",".join(map(str, x + [FE.PAD_ID] * (FE.MAX_SEQ_LENGTH - len(x))))
+
+
 def test_learning_ends(spark):
     few = SW.learn_subwords(corpus(spark, ["ab ab", "ab c"]), vocab_size=100).orderBy("id").collect()
     assert [(r.token, r.cnt) for r in few] == [("##b", 3), ("a", 3), ("c", 1), ("ab", 3)]
