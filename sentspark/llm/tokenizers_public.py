@@ -10,6 +10,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -65,6 +66,17 @@ def is_plain(file: dict) -> bool:
                     for t in file.get("added_tokens") or []))
 
 
+class Remembered(dict):
+    """Ids of pre-tokens; one that is not there is learned when it is asked for."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.learn(piece)
+
+
 class ByteLevelEncoder:
     """``tokenizers`` encoding of whole texts, remembering pre-tokens.
 
@@ -83,9 +95,8 @@ class ByteLevelEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(file_path(name, folder), encoding="utf-8") as f:
             self.plain = is_plain(json.load(f))
-        self.characters = byte_characters()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.characters = dict(enumerate(byte_characters()))
+        self.young, self.old = Remembered(self._learn), {}
         self.held = 0                            # bytes of the young ones
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -98,8 +109,9 @@ class ByteLevelEncoder:
     def _learn(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            mapped = "".join([self.characters[b] for b in piece.encode()])
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            mapped = piece.encode().decode("latin-1").translate(self.characters)
+            tokens = [t.id for t in self.model.tokenize(mapped)]
+            ids = struct.pack(f"<{len(tokens)}I", *tokens)
         self.young[piece] = ids
         self.held += len(piece) + len(ids)
         return ids
@@ -114,9 +126,8 @@ class ByteLevelEncoder:
                 out += self.whole([text])
                 continue
             if len(self.young) > REMEMBERED or self.held > REMEMBERED_BYTES:
-                self.old, self.young, self.held = self.young, {}, 0
-            young, learn = self.young, self._learn
-            out.append(b"".join([young[p] if p in young else learn(p) for p in SPLIT.findall(text)]))
+                self.old, self.young, self.held = self.young, Remembered(self._learn), 0
+            out.append(b"".join(map(self.young.__getitem__, SPLIT.findall(text))))
         return out
 
 
