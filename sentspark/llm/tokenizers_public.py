@@ -10,17 +10,16 @@ import hashlib
 import json
 import os
 import re
-import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: Pre-tokens remembered in each of two generations (about 120 bytes each, and
-#: their text and ids), and bytes of those texts and ids: a text without spaces
-#: is one long pre-token.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
+#: Pre-tokens remembered in each of two generations (about 120 bytes each), and
+#: characters of the longest: a text without spaces is one long pre-token.
+REMEMBERED, LONG = 400_000, 64
 
 #: The public byte-level BPE split, for texts of characters below U+0250 only,
 #: where letters, numbers and white space are these.  Texts with others (or
@@ -67,14 +66,21 @@ def is_plain(file: dict) -> bool:
 
 
 class Remembered(dict):
-    """Ids of pre-tokens; one that is not there is learned when it is asked for."""
+    """Ids of pre-tokens; one that is not there is taken from the generation
+    before, or made, and remembered unless it is long."""
 
-    def __init__(self, learn) -> None:
+    def __init__(self, before: dict[str, bytes], make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.learn = learn
+        self.before, self.make = before.get, make
 
     def __missing__(self, piece: str) -> bytes:
-        return self.learn(piece)
+        ids = self.before(piece)
+        if ids is None:
+            ids = self.make(piece)
+            if len(piece) > LONG:
+                return ids
+        self[piece] = ids
+        return ids
 
 
 class ByteLevelEncoder:
@@ -96,8 +102,7 @@ class ByteLevelEncoder:
         with open(file_path(name, folder), encoding="utf-8") as f:
             self.plain = is_plain(json.load(f))
         self.characters = dict(enumerate(byte_characters()))
-        self.young, self.old = Remembered(self._learn), {}
-        self.held = 0                            # bytes of the young ones
+        self.young = Remembered({}, self._make)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
@@ -106,15 +111,11 @@ class ByteLevelEncoder:
     def simple(self, text: str) -> bool:
         return _SIMPLE.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def _learn(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            mapped = piece.encode().decode("latin-1").translate(self.characters)
-            tokens = [t.id for t in self.model.tokenize(mapped)]
-            ids = struct.pack(f"<{len(tokens)}I", *tokens)
-        self.young[piece] = ids
-        self.held += len(piece) + len(ids)
-        return ids
+    def _make(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))
+        if len(tokens) == 1:
+            return tokens[0].id.to_bytes(4, "little")
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -125,8 +126,9 @@ class ByteLevelEncoder:
             if not self.simple(text):
                 out += self.whole([text])
                 continue
-            if len(self.young) > REMEMBERED or self.held > REMEMBERED_BYTES:
-                self.old, self.young, self.held = self.young, Remembered(self._learn), 0
+            if len(self.young) > REMEMBERED:
+                self.young.before = {}.get       # two generations, no more
+                self.young = Remembered(self.young, self._make)
             out.append(b"".join(map(self.young.__getitem__, SPLIT.findall(text))))
         return out
 

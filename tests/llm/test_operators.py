@@ -567,11 +567,16 @@ def test_other_tokenizer_files_are_left_to_the_library(tmp_path):
         len(e.ids) for e in words.encode_batch(texts_, add_special_tokens=False)]
 
 
-def test_remembered_pieces_are_bounded_in_bytes(monkeypatch):
-    monkeypatch.setattr(tokenizers_public, "REMEMBERED_BYTES", 5000)
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokenizers_public, "REMEMBERED", 30)
     e = tokenizers_public.ByteLevelEncoder("byte_bpe_50k.json")
-    e.encode(["x" * 400 + str(k) for k in range(200)])
-    assert sum(len(p) + len(i) for d in (e.young, e.old) for p, i in d.items()) < 5 * 5000
+    texts_ = ["x" * 400 + " " + " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(j, j + 5)) for j in range(200)]
+    whole = e.whole(texts_)
+    for t, ids in zip(texts_, whole):
+        assert e.encode([t]) == [ids]
+        assert len(e.young) <= 40 and max(map(len, e.young)) <= tokenizers_public.LONG
+        before = e.young.before.__self__         # of the generations, one more is held
+        assert len(before) <= 40 and not (isinstance(before, tokenizers_public.Remembered) and before.before.__self__)
 
 
 def test_grammar_patterns():
