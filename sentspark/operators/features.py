@@ -74,7 +74,7 @@ def build_vocab(df: DataFrame, col: str = "sentence", vocab_size: int = 32000) -
     k = vocab_size - N_SPECIAL
     if k <= 0:
         raise ValueError("vocab_size must exceed the number of reserved ids")
-    counts = (df.select(F.explode(tokens(col)).alias("token"))
+    counts = (df.select(F.explode(F.split(col, " ", -1)).alias("token")).where(F.col("token") != "")
                 .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
                 .withColumn("_oct", F.floor(F.log2("cnt") * F.lit(16.0)).cast("int")))
     hist = counts.groupBy("_oct").agg(F.count(F.lit(1)).alias("_n_tok"))
@@ -316,7 +316,8 @@ def dedup_label(flat: DataFrame, keys: Sequence[str], label_col: str = "labels",
 
 def mlm_mask(df: DataFrame, ids_col: str, keys: Sequence[str], vocab_size: int,
              probability: float = MLM_PROBABILITY, seed: int = 42,
-             out_ids: str = "mlm_input_ids", out_labels: str = "mlm_labels") -> DataFrame:
+             out_ids: str = "mlm_input_ids", out_labels: str = "mlm_labels",
+             carry: Sequence[str] | None = None) -> DataFrame:
     """Masked-LM inputs and labels for an ``array<array<int>>`` column.
 
     Non-special positions are picked with ``probability``; of those 80 % become
@@ -325,13 +326,16 @@ def mlm_mask(df: DataFrame, ids_col: str, keys: Sequence[str], vocab_size: int,
     of one md5 of ``seed:keys:view:pos`` -- stable across retries, no shuffle.
 
     Works on Arrow batches; padding and other special ids are never hashed.
+    All columns of ``df`` come back with the two new ones; ``carry`` names
+    fewer, the others then do not travel from the Python workers.
     """
     ship_package(df.sparkSession)
+    kept = [f for f in df.schema if carry is None or f.name in carry]
     keyed = df.withColumn("_key", hash_key(seed, *[F.col(k) for k in keys]))
     kind = T.ArrayType(T.ArrayType(T.IntegerType()))
-    out = T.StructType([*df.schema, T.StructField(out_ids, kind), T.StructField(out_labels, kind)])
+    out = T.StructType([*kept, T.StructField(out_ids, kind), T.StructField(out_labels, kind)])
     return keyed.mapInArrow(masker(ids_col, SPECIAL_IDS, probability, MLM_MASK_SHARE, MLM_RANDOM_SHARE, vocab_size,
-                                   IGNORE_INDEX, out_ids, out_labels, "_key"), out)
+                                   IGNORE_INDEX, out_ids, out_labels, "_key", [f.name for f in kept]), out)
 
 
 def default_batcher(df: DataFrame, keys: Sequence[str], ids_col: str = "input_ids",

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..functions.md5 import md5_words
+from ..functions.md5 import md5_pairs, md5_words
 from .trie import FlatTrie
 
 # Reserved token ids (our own numbering).
@@ -27,6 +27,8 @@ N_SPECIAL = len(SPECIAL_IDS)
 CONTINUES = "##"
 #: Longer words are unknown as a whole to ``SubwordTokenizer`` (as in word-piece tokenizers).
 MOST_WORD_BYTES = 400
+#: Ends of messages, for every size of a key, up to which ``token_digests`` writes them out.
+MOST_TAILS = 1 << 14
 
 Tokenizer = Callable[[Sequence[str], int], Sequence[Sequence[int]]]
 
@@ -159,9 +161,12 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
                                     pa.array(values, pa.int32()))
 
 
-def _stacked(views: list[pa.ListArray]) -> pa.ListArray:
-    """Row by row, the lists of all views."""
+def _stacked(views: list[pa.ListArray], width: int | None) -> pa.ListArray:
+    """Row by row, the lists of all views; ``width``: the size of every list, if they are alike."""
     n, k = len(views[0]), len(views)
+    if width is not None:
+        values = np.stack([v.values.to_numpy().reshape(n, width) for v in views], axis=1).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), _lists(values, np.full(n * k, width)))
     every = pa.concat_arrays(views)
     order = np.arange(n * k).reshape(k, n).T.reshape(-1)
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), every.take(pa.array(order)))
@@ -189,7 +194,7 @@ def encoder(tokenizer: Tokenizer, views: Sequence[str], nested: bool, keys: Sequ
             names = [out_col, "attention_mask", "token_type_ids"][:3 if with_masks else 1]
             out = {c: batch.column(c) for c in keys}
             for k, name in enumerate(names):
-                out[name] = _stacked([made[v][k] for v in views]) if nested else made[views[0]][k]
+                out[name] = _stacked([made[v][k] for v in views], max_length if pad else None) if nested else made[views[0]][k]
             yield pa.RecordBatch.from_pydict(out)
     return run
 
@@ -199,24 +204,39 @@ def token_digests(keys: pa.Array, row: np.ndarray, view: np.ndarray, pos: np.nda
     data, start, end = string_bytes(keys)
     size = end - start
     # a row's tokens share its key, and tokens of one place the rest of the message
-    place, which = np.unique(view * (int(pos.max(initial=0)) + 1) + pos, return_inverse=True)
-    ends = [b":%d:%d" % divmod(int(p), int(pos.max(initial=0)) + 1) for p in place]
-    tail = np.zeros((len(ends), max(map(len, ends), default=0)), dtype=np.uint8)
-    for k, e in enumerate(ends):
-        tail[k, :len(e)] = np.frombuffer(e, dtype=np.uint8)
+    width = int(pos.max(initial=0)) + 1
+    place = view * width + pos
+    known = np.flatnonzero(np.bincount(place))
+    ends = [b":%d:%d" % divmod(int(p), width) for p in known]
+    longest = max(map(len, ends), default=0)
     tail_size = np.array([len(e) for e in ends], dtype=np.int64)
-    head = np.zeros((len(size), int(size.max(initial=0)) + tail.shape[1]), dtype=np.uint8)
+    nth = np.zeros(int(known[-1]) + 1 if len(known) else 0, dtype=np.int64)
+    nth[known] = np.arange(len(known))
+    which = nth[place]
     at = np.repeat(np.arange(len(size)), size)
+    head = np.zeros((len(size), max(64, int(size.max(initial=0)) + longest)), dtype=np.uint8)
     head[at, np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)] = data[start[0]:end[-1]] if len(size) else 0
+    sizes, kind = np.unique(size, return_inverse=True)
+    if head.shape[1] == 64 and int(size.max(initial=0)) + longest < 56 and len(sizes) * len(ends) <= MOST_TAILS:
+        # one block each: the rest of the message where keys of a size end, with the digest's end mark and length
+        tails = np.zeros((len(sizes), len(ends), 64), dtype=np.uint8)
+        for s, n in enumerate(sizes.tolist()):
+            for k, e in enumerate(ends):
+                tails[s, k, n:n + len(e) + 1] = np.frombuffer(e + b"\x80", dtype=np.uint8)
+                tails[s, k, 56:] = np.frombuffer((8 * (n + len(e))).to_bytes(8, "little"), dtype=np.uint8)
+        return md5_pairs(head, tails.reshape(-1, 64), row, kind[row] * len(ends) + which)
+    tail = np.zeros((len(ends), longest), dtype=np.uint8)
+    for k, e in enumerate(ends):
+        tail[k, :len(e)] = np.frombuffer(e, dtype=np.uint8)
     messages = head[row]
-    for j in range(tail.shape[1]):
+    for j in range(longest):
         own = np.flatnonzero(tail_size[which] > j)
         messages[own, size[row[own]] + j] = tail[which[own], j]
     return md5_words(messages, size[row] + tail_size[which])
 
 
 def masker(ids_col: str, special: Sequence[int], probability: float, mask_share: float, random_share: float,
-           vocab_size: int, ignore: int, out_ids: str, out_labels: str, key_col: str):
+           vocab_size: int, ignore: int, out_ids: str, out_labels: str, key_col: str, carry: Sequence[str]):
     """The batch function of ``mlm_mask``: one digest per token that is not special."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,23 +245,22 @@ def masker(ids_col: str, special: Sequence[int], probability: float, mask_share:
             ids = inner.flatten().to_numpy(zero_copy_only=False)
             per_view = pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False)
             per_row = pc.fill_null(pc.list_value_length(outer), 0).to_numpy(zero_copy_only=False)
-            view = np.concatenate([np.arange(n) for n in per_row]) if len(per_row) else per_row
+            view = np.arange(len(per_view)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
             row_of_view = np.repeat(np.arange(len(per_row)), per_row)
             first = np.cumsum(per_view) - per_view
-            of = np.repeat(np.arange(len(per_view)), per_view)
             drawn = np.flatnonzero(~np.isin(ids, special))
-            u = token_digests(batch.column(key_col), row_of_view[of[drawn]], view[of[drawn]],
-                              drawn - first[of[drawn]]) / 4294967296.0
-            picked = u[:, 0] < probability
-            masked = u[:, 1] < mask_share
-            swapped = u[:, 2] < random_share
+            of = np.repeat(np.arange(len(per_view)), per_view)[drawn]
+            digests = token_digests(batch.column(key_col), row_of_view[of], view[of], drawn - first[of])
+            picked = np.flatnonzero(digests[:, 0] / 4294967296.0 < probability)
+            u = digests[picked, 1:] / 4294967296.0
+            drawn = drawn[picked]
             old = ids[drawn]
-            new = np.where(masked, MASK_ID, np.where(swapped, np.floor(u[:, 3] * vocab_size).astype(np.int32), old))
+            swapped = np.where(u[:, 1] < random_share, np.floor(u[:, 2] * vocab_size).astype(np.int32), old)
             ids_out, labels = ids.copy(), np.full(len(ids), ignore, dtype=np.int32)
-            ids_out[drawn] = np.where(picked, new, old)
-            labels[drawn] = np.where(picked, old, ignore)
+            ids_out[drawn] = np.where(u[:, 0] < mask_share, MASK_ID, swapped)
+            labels[drawn] = old
             rows = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
-            out = {c: batch.column(c) for c in batch.schema.names if c != key_col}
+            out = {c: batch.column(c) for c in carry}
             for name, values in ((out_ids, ids_out), (out_labels, labels)):
                 out[name] = pa.ListArray.from_arrays(rows, _lists(values, per_view))
             yield pa.RecordBatch.from_pydict(out)

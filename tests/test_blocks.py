@@ -5,12 +5,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sentspark.functions.md5 import md5_words
 from sentspark.operators import contrastive as C
 from sentspark.operators import features as FE
+from sentspark.operators import tokenizing as TK
 from sentspark.operators import vectors as VO
 
 
@@ -154,3 +156,24 @@ def test_pooling_merges_partial_sums(spark, pooler):
                 assert pooled[d] is None
             else:
                 assert math.isclose(pooled[d], sum(own) / len(own), rel_tol=1e-12, abs_tol=1e-15)
+
+
+def test_digests_of_tokens_whatever_their_keys():
+    """Keys of every length: short ones in one block with shared ends, long ones in as many as they need."""
+    rng = np.random.default_rng(8)
+    for longest in (0, 9, 50, 130):
+        keys = ["k" * int(n) + "é" * int(n > 3) for n in rng.integers(0, longest + 1, 40)]
+        row, view, pos = (rng.integers(0, n, 500) for n in (len(keys), 3, 120))
+        got = TK.token_digests(pa.array(keys, pa.string()), row, view, pos)
+        want = [hashlib.md5(f"{keys[r]}:{v}:{p}".encode()).digest() for r, v, p in zip(row, view, pos)]
+        assert [g.astype(">u4").tobytes() for g in got] == want
+    none = np.zeros(0, np.int64)
+    assert TK.token_digests(pa.array(["a"]), none, none, none).shape == (0, 4)
+    assert TK.token_digests(pa.array([], pa.string()), none, none, none).shape == (0, 4)
+
+
+def test_masks_come_back_with_the_columns_asked_for(spark):
+    df = spark.createDataFrame([(1, "x", [[2, 9, 3]])], "k long, other string, ids array<array<int>>")
+    assert FE.mlm_mask(df, "ids", ["k"], 100).columns == ["k", "other", "ids", "mlm_input_ids", "mlm_labels"]
+    few = FE.mlm_mask(df, "ids", ["k"], 100, probability=1.0, carry=["k"])
+    assert few.columns == ["k", "mlm_input_ids", "mlm_labels"] and few.first().mlm_labels == [[-100, 9, -100]]
