@@ -50,7 +50,7 @@ def sentence_break(col) -> Column:
 
 def nbsp_norm(col) -> Column:
     """P5: NBSP -> space."""
-    return F.translate(_c(col), NBSP, " ")
+    return F.replace(_c(col), F.lit(NBSP), F.lit(" "))    # finds bytes; ``translate`` looks up every character
 
 
 def split_lines(col) -> Column:

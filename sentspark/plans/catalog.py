@@ -58,8 +58,8 @@ def r6(c) -> F.Column:
 
 def ids_text(c) -> F.Column:
     """An int array as "a,b,c" (exact, engine-neutral)."""
-    # the cast is one generated loop; it prints "[1, 2]"
-    return F.translate((F.col(c) if isinstance(c, str) else c).cast("string"), "[] ", "")
+    # numbers are printed straight into one buffer; casts make a string each, ``translate`` looks up every character
+    return F.btrim(F.to_json(F.col(c) if isinstance(c, str) else c), F.lit("[]"))
 
 
 def dense_weights(out_dim: int = DENSE_OUT, in_dim: int = 64) -> np.ndarray:
@@ -374,7 +374,7 @@ def q_pad_batch(spark, sf):
 
 
 def _pair_features(spark, sf, with_masks=False):
-    w = S.wiki_sentences(spark, sf)
+    w = SK.land(S.wiki_sentences(spark, sf), "corpus")    # the vocabulary and the encoding read it
     vocab = FE.build_vocab(w, "sentence", VOCAB_SIZE)
     p = FE.self_pair(w).select("doc_id", "pos", F.get("sentences", 0).alias("a"))  # both views are alike
     return FE.encode(p, ["a", "a"], vocab, ["doc_id", "pos"], with_masks=with_masks)
@@ -406,7 +406,7 @@ def q_dedup_label(spark, sf):
 @register("mlm_mask")
 def q_mlm_mask(spark, sf):
     f = _pair_features(spark, sf)
-    m = FE.mlm_mask(f, "input_ids", ["doc_id", "pos"], VOCAB_SIZE, seed=SEED)
+    m = FE.mlm_mask(f, "input_ids", ["doc_id", "pos"], VOCAB_SIZE, seed=SEED, carry=["doc_id", "pos"])
     flat = FE.flatten_views(m, ["doc_id", "pos"], ["mlm_input_ids", "mlm_labels"])
     return flat.select("doc_id", "pos", "view", ids_text("mlm_input_ids").alias("mlm_input_ids"),
                        ids_text("mlm_labels").alias("mlm_labels"))

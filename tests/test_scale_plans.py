@@ -99,3 +99,19 @@ def test_vocab_plan_has_no_nested_loop_or_cartesian(spark):
     specs = re.findall(r"windowspecdefinition\(([^,)]*)", plan)
     assert all(x.startswith(("_oct", "_scan_b")) for x in specs if " ASC" in x or " DESC" in x), specs
     assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+
+
+def test_ids_are_printed_without_a_lookup_a_character(spark):
+    from sentspark.plans import catalog as Q
+    df = spark.sql("SELECT explode(array(array(1, -100, 0), array(), CAST(NULL AS array<int>), array(7, NULL))) AS ids")
+    out = df.select(Q.ids_text("ids").alias("t"))
+    assert [r.t for r in out.collect()] == ["1,-100,0", "", None, "7,null"]
+    assert "translate(" not in _plan(out)
+
+
+def test_the_pair_queries_clean_the_corpus_once(spark):
+    """The vocabulary and the encoding read the sentences that were written, not the texts again."""
+    from sentspark.plans import catalog as Q
+    for name in ("mlm_mask", "flatten_views"):
+        plan = _plan(Q.QUERIES[name](spark, SMOKE))
+        assert "documents.parquet" not in plan and "sentspark-corpus" in plan and "translate(" not in plan
