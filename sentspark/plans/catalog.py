@@ -329,7 +329,7 @@ def q_subword_vocab(spark, sf):
 @register("subword_encode")
 def q_subword_encode(spark, sf):
     """Word pieces learned from the corpus, looked up in the mapped trie."""
-    w = S.wiki_sentences(spark, sf)
+    w = SK.land(S.wiki_sentences(spark, sf), "corpus")    # learning and encoding read it
     pieces = SW.subword_tokenizer(SW.learn_subwords(w, "sentence", SUBWORD_SIZE))
     e = FE.encode(w, "sentence", pieces, ["doc_id", "pos"])
     return e.select("doc_id", "pos", ids_text("input_ids").alias("input_ids"))

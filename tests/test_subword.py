@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -160,3 +161,38 @@ def test_a_sent_trie_costs_its_name(spark):
     back = pickle.loads(raw)
     assert back(["w7 w19999 no"], 8) == [[FE.CLS_ID, 12, 20004, FE.UNK_ID, FE.SEP_ID]]
     assert pa.array(back(["w7"], 8)).to_pylist() == t(["w7"], 8)
+
+
+def test_rows_are_merged_together():
+    """A batch of words at once: runs of one letter, pairs that come up again, marks inside words."""
+    rng = random.Random(5)
+    def letters(w):
+        return [c if i == 0 else "##" + c for i, c in enumerate(w)]
+    for _ in range(40):
+        words = ["".join(rng.choice("aab#é😀") for _ in range(rng.randint(1, 9))) for _ in range(30)]
+        merges, now = [], [letters(w) for w in words]
+        for _ in range(12):
+            pairs = [p for s in now for p in zip(s, s[1:])]
+            if not pairs:
+                break
+            merges.append(rng.choice(pairs))
+            now = [SW.merge_symbols(s, merges[-1]) for s in now]
+        symbols = SW.Symbols()
+        first = pa.RecordBatch.from_pydict({"token": pa.array(words), "cnt": pa.array(range(len(words)), pa.int64())})
+        packed = list(SW._lettered([first]))
+        out, = SW._applied(symbols, merges)(packed)
+        ids, size = SW._unpacked(out.column(0))
+        names, ends = symbols.names(ids), np.cumsum(size)
+        assert [names[e - n:e] for e, n in zip(ends, size)] == now
+
+
+def test_words_are_not_merged_one_by_one(spark):
+    """The passes over the words work on arrays: 100,000 words, 150 merges."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(100_000)]
+    letters = [x for x in "abcdefgh"]
+    merges = [(a, "##" + b) for a in letters for b in letters] + [("##" + a, "##" + b) for a in letters for b in letters]
+    batch = pa.RecordBatch.from_pydict({"token": pa.array(words), "cnt": pa.array([1] * len(words), pa.int64())})
+    begin = time.process_time()
+    list(SW._applied(SW.Symbols(), merges)(SW._lettered([batch])))
+    assert time.process_time() - begin < 2.0
